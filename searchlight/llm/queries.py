@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from searchlight.llm import bpe, quality, simhash, token_counts, token_files
+from searchlight.llm import bpe, decontam, html_extract, pii, ppm, quality, sharding, simhash, token_counts, token_files
 from searchlight.llm.common import new_folder, read_table
 
 
@@ -18,18 +18,38 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op6_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(read_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), new_folder(spark, "token-files"))
     return token_files.read_token_files(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_simhash, op7_token_counts, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_pii, op4_simhash, op5_ppm, op6_jump_shards, op7_token_counts, op8_decontamination, op9_html, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
