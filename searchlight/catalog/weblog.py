@@ -133,14 +133,19 @@ _on_c = lambda f, **how: lambda spark, sf_dir: f(_classified(spark, sf_dir), **h
 _on_u = lambda f, **how: lambda spark, sf_dir: f(_urls(spark, sf_dir), **how)
 
 
+def _kept(spark, sf_dir):
+    """The classified requests and their roll-up, kept while eighteen rules read them; they spill to disk."""
+    c = _classified(spark, sf_dir).persist()
+    return c, W.url_rollup(c).persist()
+
+
 def _findings(spark, sf_dir):
-    c = _classified(spark, sf_dir)
-    return W.all_findings(c, W.url_rollup(c))
+    return W.all_findings(*_kept(spark, sf_dir))
 
 
 def _health(spark, sf_dir):
-    c = _classified(spark, sf_dir)
-    return W.health_score(c, W.all_findings(c, W.url_rollup(c)))
+    c, urls = _kept(spark, sf_dir)
+    return W.health_score(c, W.all_findings(c, urls))
 
 
 _URL_COLUMNS = ["url", "hits", "bytes", "purpose", "content_type", "last_status", "last_seen", "segment", "verified_hits", *W.CLASSES, "s200", "s301", "s302", "s404", "s500"]
