@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from searchlight.catalog import pairs, search, weblog
+from searchlight.catalog import pairs, periods, search, weblog
 
-_PARTS = (weblog, search, pairs)
+_PARTS = (weblog, search, pairs, periods)
 QUERIES = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
