@@ -146,10 +146,13 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2, node_size: int = 2
 
     small = groups.select("codes").mapInArrow(search, "a bigint, b bigint")
     hot = members.where(F.col("count") > node_size).select("fp").distinct()
-    near = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))") if distance == 2 else F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp & ~shiftleft(1L, i)))")
-    if distance == 0:
-        near = F.expr("array(fp)")
-    balls = hot.select("fp", F.explode(near).alias("code")).groupBy("code").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
+    # Within two bits: some code is within one bit of both. Within one bit: equal but for one known bit.
+    near = {
+        2: "concat(array(struct(-1 as i, fp as code)), transform(sequence(0, 63), i -> struct(-1 as i, fp ^ shiftleft(1L, i) as code)))",
+        1: "transform(sequence(0, 63), i -> struct(i, fp & ~shiftleft(1L, i) as code))",
+        0: "array(struct(-1 as i, fp as code))",
+    }[distance]
+    balls = hot.select("fp", F.expr(f"inline({near})")).groupBy("i", "code").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     return small.unionByName(balls.select(F.explode("all").alias("a"), "b").where("a != b"))
 
 
