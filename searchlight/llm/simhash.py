@@ -72,28 +72,31 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """A hierarchy over codes in Gray order; each group keeps the bits that its members share."""
+    """A hierarchy over codes of one or more 64-bit words in Gray order; each group keeps the bits that its members share."""
 
     def __init__(self, codes: np.ndarray, fan_out: int = 8):
-        self.codes = codes[np.argsort(gray_rank(codes), kind="stable")]
+        codes = codes.reshape(len(codes), -1)
+        self.order = np.lexsort(gray_rank(codes).T[::-1])
+        self.codes = codes[self.order]
         self.fan_out, self.levels = fan_out, []  # bottom up: (bits that all members share, their values)
-        same, ones = np.full(len(codes), ~np.uint64(0)), self.codes
+        same, ones = np.full_like(self.codes, ~np.uint64(0)), self.codes
         while len(ones) > fan_out:
             at = np.arange(0, len(ones), fan_out)
-            differ = np.bitwise_or.reduceat((ones ^ np.repeat(ones[at], np.diff([*at, len(ones)]))) | ~same, at)
+            differ = np.bitwise_or.reduceat((ones ^ np.repeat(ones[at], np.diff([*at, len(ones)]), axis=0)) | ~same, at, axis=0)
             same, ones = ~differ, ones[at] & ~differ
             self.levels.append((same, ones))
 
-    def links(self, distance: int, block: int = 4096):
+    def links(self, distance: int, block: int = 512):
         """Pairs of positions in ``codes`` within the distance, each once, by blocks of queries."""
         n, widths = len(self.codes), np.arange(self.fan_out)
+        bits = lambda x: np.bitwise_count(x).sum(axis=1)
         for begin in range(0, n, block):
             query = np.arange(begin, min(n, begin + block))
             top = len(self.levels[-1][0]) if self.levels else n
             q, group = np.repeat(query, top), np.tile(np.arange(top), len(query))
             for level in range(len(self.levels) - 1, -1, -1):
                 same, ones = self.levels[level]
-                keep = np.bitwise_count((self.codes[q] ^ ones[group]) & same[group]) <= distance
+                keep = bits((self.codes[q] ^ ones[group]) & same[group]) <= distance
                 q, group = q[keep], group[keep]
                 below = len(self.levels[level - 1][0]) if level else n
                 q, group = np.repeat(q, self.fan_out), (group[:, None] * self.fan_out + widths).ravel()
@@ -101,12 +104,12 @@ class GrayIndex:
                 q, group = q[keep], group[keep]
             keep = group > q
             q, group = q[keep], group[keep]
-            keep = np.bitwise_count(self.codes[q] ^ self.codes[group]) <= distance
+            keep = bits(self.codes[q] ^ self.codes[group]) <= distance
             yield q[keep], group[keep]
 
 
 def spanning_links(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (code, smallest code that it reaches) that connect the codes just as all pairs within the distance do."""
+    """Links (number of a code, number of a code that it reaches) that connect the codes just as all pairs within the distance do."""
     index = GrayIndex(codes)
     parent = list(range(len(codes)))
 
@@ -123,7 +126,7 @@ def spanning_links(codes: np.ndarray, distance: int) -> tuple[np.ndarray, np.nda
                 parent[max(x, y)] = min(x, y)
     roots = np.array([root(x) for x in range(len(codes))], np.int64)
     linked = roots != np.arange(len(codes))
-    return index.codes[linked], index.codes[roots[linked]]
+    return index.order[linked], index.order[roots[linked]]
 
 
 def fingerprint_links(distinct: DataFrame, distance: int = 2, node_size: int = 256) -> DataFrame:
@@ -139,9 +142,10 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2, node_size: int = 2
         for batch in batches:
             a, b = [], []
             for codes in batch.column(0):
-                x, y = spanning_links(np.sort(codes.values.to_numpy().view(np.uint64)), distance)
-                a.append(x)
-                b.append(y)
+                own = codes.values.to_numpy().view(np.uint64)
+                x, y = spanning_links(own, distance)
+                a.append(own[x])
+                b.append(own[y])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], ["a", "b"]) if a else pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
     small = groups.select("codes").mapInArrow(search, "a bigint, b bigint")
@@ -172,9 +176,79 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, distance: in
     return rows.join(placed, "fp").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, words_per_shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of docs with one of each component: its smallest doc_id, of equal ids the smallest text hash; equal rows count once."""
-    found = near_duplicates(docs, words_per_shingle=words_per_shingle, distance=distance)
+#: Wide fingerprints: words of 64 bits, and the sampled masks (bits each) that are their index's upper nodes.
+LANES, SAMPLES, SAMPLE_BITS, WIDE_DISTANCE = 4, 56, 20, 40
+SAMPLED = np.random.default_rng(64).permuted(np.tile(np.arange(64 * LANES), (SAMPLES, 1)), axis=1)[:, :SAMPLE_BITS]
+
+
+def wide_fingerprint(text: bytes, words_per_shingle: int = 3) -> np.ndarray:
+    """SimHash of 256 bits (as booleans): each shingle's hash is mixed into four words."""
+    words = text.lower().split()
+    n, h = len(words), xxhash.xxh64_intdigest
+    if not n:
+        return np.zeros(64 * LANES, bool)
+    hashes = np.fromiter((h(b" ".join(words[i : i + words_per_shingle]), 42) for i in range(max(n - words_per_shingle + 1, 1))), np.uint64)
+    ones = np.zeros(64 * LANES, np.int64)
+    for i in range(0, len(hashes), 4096):
+        z = hashes[i : i + 4096, None] + np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(np.ascontiguousarray(z).view(np.uint8), bitorder="little").reshape(-1, 64 * LANES).sum(0, dtype=np.int64)
+    return 2 * ones > len(hashes)
+
+
+def near_copies(docs: DataFrame, *, words_per_shingle: int = 3, distance: int = WIDE_DISTANCE, node_size: int = 1024) -> DataFrame:
+    """(doc_id, text_hash, component) for every row: groups of texts that are alike to about 0.8 of their five-word shingles.
+
+    Two bits of 64 tell nearly identical texts only. Here 256 bits are compared, of which at most ``distance`` may differ,
+    and the upper nodes are sampled masks, of which two such texts share one with a probability near one (measured in the
+    tests). Nodes of up to ``node_size`` members are searched by the Gray-order index; in larger ones, which only large
+    groups of near copies fill, each member is held against the node's least member.
+    """
+    scale = 1 << np.arange(SAMPLE_BITS)
+
+    def run(batches):
+        for batch in batches:
+            own, fp, keys = [], [], []
+            for value in batch.column(1):
+                text = value.as_py()
+                bits = wide_fingerprint(text, words_per_shingle)
+                own.append(_signed(xxhash.xxh64_intdigest(text, 42)))
+                fp.append(np.packbits(bits, bitorder="little").tobytes())
+                keys.append((bits[SAMPLED] @ scale).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int32()))], ["doc_id", "text_hash", "fp", "keys"])
+
+    rows = materialised(texts(docs).mapInArrow(run, "doc_id bigint, text_hash bigint, fp binary, keys array<int>"))
+    distinct = rows.groupBy("fp").agg(F.first("keys").alias("keys"))
+    nodes = materialised(distinct.select("fp", F.posexplode("keys").alias("mask", "bits")))
+    sizes = materialised(nodes.groupBy("mask", "bits").agg(F.count("*").alias("count"), F.min("fp").alias("least")).where("count > 1"))
+    members = materialised(nodes.join(sizes, ["mask", "bits"]))
+
+    def search(batches):
+        for batch in batches:
+            a, b = [], []
+            for codes in batch.column(0):
+                own = codes.as_py()
+                x, y = spanning_links(np.frombuffer(b"".join(own), np.uint64).reshape(-1, LANES), distance)
+                a += [own[i] for i in x]
+                b += [own[i] for i in y]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    def compare(batches):
+        for batch in batches:
+            pair = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, LANES) for c in batch.columns]
+            yield batch.filter(pa.array(np.bitwise_count(pair[0] ^ pair[1]).sum(axis=1) <= distance))
+
+    small = members.where(F.col("count") <= node_size).groupBy("mask", "bits").agg(F.collect_list("fp").alias("codes"))
+    links = small.select("codes").mapInArrow(search, "a binary, b binary")
+    hot = members.where((F.col("count") > node_size) & (F.col("fp") != F.col("least"))).select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    labels = materialised(components(links.unionByName(hot.mapInArrow(compare, "a binary, b binary"))))
+    return rows.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("doc_id", "text_hash", F.coalesce("label", "fp").alias("component"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs with one of each component (doc_id, text_hash, component): its smallest doc_id, of equal ids the smallest text hash; equal rows count once."""
     keep = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
     keep = materialised(keep.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")).distinct())
     own = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -209,10 +209,36 @@ def test_gray_index_finds_every_pair():
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     codes = np.unique(np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)), base[:10] ^ np.uint64(3)]))
     index = simhash.GrayIndex(codes)
-    found = {tuple(sorted((int(index.codes[x]), int(index.codes[y])))) for a, b in index.links(2, block=7) for x, y in zip(a, b)}
+    found = {tuple(sorted((int(index.codes[x, 0]), int(index.codes[y, 0])))) for a, b in index.links(2, block=7) for x, y in zip(a, b)}
     assert found == {tuple(sorted((int(a), int(b)))) for a, b in itertools.combinations(codes, 2) if (int(a) ^ int(b)).bit_count() <= 2}
 
 
+@pytest.mark.parametrize("node_size", [2, 1024])
+def test_near_copies(spark, node_size):
+    """Groups of texts with a few edits are found, others are left alone."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, alike = [], {}
+    for group in range(60):
+        first = [rng.choice(vocabulary) for _ in range(rng.randrange(60, 400))]
+        rows.append((1000 * group, " ".join(first)))
+        for copy in range(1, 6):
+            words = list(first)
+            for _ in range(rng.randrange(1 + len(words) // 50)):
+                words[rng.randrange(len(words))] = "new"
+            a, b = shingles(first), shingles(words)
+            if len(a & b) / len(a | b) >= 0.8:
+                rows.append((1000 * group + copy, " ".join(words)))
+                alike[1000 * group + copy] = 1000 * group
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    component = {r.doc_id: bytes(r.component) for r in simhash.near_copies(docs, node_size=node_size).collect()}
+    assert sum(component[a] == component[b] for a, b in alike.items()) / len(alike) >= 0.95
+    assert len({component[1000 * g] for g in range(60)}) == 60
+    left = {r.doc_id for r in simhash.one_of_each(docs, simhash.near_copies(docs)).collect()}
+    assert {1000 * g for g in range(60)} <= left and len(left) <= 60 + 0.05 * len(alike)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "a long, b long")
     labels = {r.node: r.label for r in components.components(edges).collect()}
