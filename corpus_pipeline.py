@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: words shingled by five, fingerprints within two bits."""
-    return simhash.one_of_each(docs, words_per_shingle=5)
+    """One document of each group of near copies stays; wide fingerprints tell texts that share 0.8 of their five-word shingles."""
+    return simhash.one_of_each(docs, simhash.near_copies(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
