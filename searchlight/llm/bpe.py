@@ -13,6 +13,7 @@ piece of any length takes linear time.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from functools import lru_cache
@@ -27,7 +28,7 @@ from searchlight.llm.segments import SegmentCache, groups_by_size
 ROOT = 0
 NEVER = 1 << 30
 #: Deterministic transitions and pair verdicts that a worker keeps; beyond that it starts afresh.
-MAX_TRANSITIONS = 1_000_000
+MAX_TRANSITIONS = 400_000
 #: Bytes of a piece from which on tokens are emitted while the piece is read.
 LONG = 4096
 #: Where a row of transitions, which is keyed by byte, keeps its alternatives.
@@ -157,6 +158,7 @@ class Transducer:
             return [whole]
         if self.n_moves > MAX_TRANSITIONS or len(self.beside) > MAX_TRANSITIONS:
             self._reset()
+            gc.collect()  # rows of transitions refer to each other
         out: list[int] = []
         ended: list[int] = []
         row = self.start

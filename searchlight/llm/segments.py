@@ -15,8 +15,8 @@ from searchlight.llm.common import WHITE_SPACE
 
 segments_of = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[ .,\n]|\\Z)|[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+").findall
 
-#: Entries a worker keeps (a short segment and a few bytes each: under 100 MB), and the longest segment kept.
-MAX_ENTRIES, MAX_LENGTH = 400_000, 64
+#: Entries a worker keeps (a short segment and a few bytes each: about 50 MB), and the longest segment kept.
+MAX_ENTRIES, MAX_LENGTH = 200_000, 64
 
 
 class SegmentCache(dict):
