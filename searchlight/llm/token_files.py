@@ -160,4 +160,5 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 keys = [None if k == NULL_KEY else k for k in f.keys.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(f.starts[:-1] + start), pa.array(f.sizes // f.width), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "start").repartition("file").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # A task a file: a number of partitions that is asked for is not coalesced, however small the manifest is.
+    return manifest.select("file", "start").repartition(max(manifest.count(), 1), "file").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
