@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from searchlight.catalog import pages, pairs, periods, search, sources, weblog
+from searchlight.catalog import intents, pages, pairs, periods, search, sources, weblog
 
-_PARTS = (weblog, search, pairs, periods, pages, sources)
+_PARTS = (weblog, search, pairs, periods, pages, sources, intents)
 QUERIES = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

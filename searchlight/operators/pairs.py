@@ -15,7 +15,7 @@ from searchlight.operators import search as S
 
 CFG = OverlapConfig()
 # Words that carry no topic.
-STOPWORDS = ["the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "at", "by", "from", "is", "are", "be", "how", "what", "why", "when", "where", "which", "who", "do", "does", "did", "can", "your", "my", "you", "i", "it", "this"]
+STOPWORDS = ["the", "a", "an", "of", "for", "to", "in", "on", "and", "or", "is", "are", "with", "my", "your", "best", "top", "free", "online", "near", "me", "how", "what", "why", "when", "where", "who", "can", "do", "does", "vs"]
 
 
 def content_tokens(query: Column) -> Column:

@@ -5,12 +5,13 @@ import lzma
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from searchlight import catalog, fixtures
-from searchlight.operators import clusters, links, pages, periods, routing, search, weblog
+from searchlight.operators import clusters, intents, links, pages, periods, routing, search, weblog
 from searchlight.sources import logs
 from searchlight.streaming import weblog as live
 
@@ -142,6 +143,16 @@ def test_action_plan_has_each_page_once(spark):
     assert len({r.page for r in rows}) == len(rows) == wanted
 
 
+def test_crossover():
+    """a fades while b grows: the hand-off is found; with equal or constant series there is none."""
+    a = np.array([20, 22, 25, 24, 20, 15, 10, 6, 2, 0, 0, 0, 0, 0, 0, 0], float)
+    b = np.array([0, 0, 1, 3, 6, 10, 14, 18, 22, 25, 26, 27, 28, 29, 30, 31], float)
+    at, reason = intents.crossover(a, b)
+    assert reason == "handoff" and 5 <= at <= 8
+    assert intents.crossover(a, a)[0] is None and intents.crossover(b, a)[0] is None
+    assert intents.crossover(a[:7], b[:7])[1] == "few weeks" and intents.crossover(np.ones(16), b)[1] == "low peak"
+
+
 def test_query_blocks(spark):
     queries = spark.createDataFrame([("red shoes",), ("blue shoes",), ("blue hat",), ("alone here",), ("green tea",), ("tea pot",)], "query string")
     found = {r.query: r.block for r in clusters.query_blocks(queries).collect()}
