@@ -46,8 +46,10 @@ NAMES = frozenset(
     sidebars aside comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices
     popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs
     masthead footer pagination pager share sharing social related recommended recommendations widget widgets toolbar login
-    searchbox""".split()
+    searchbox alert alerts""".split()
 )
+#: Names of boilerplate that also count as parts of longer words, such as topmenu or page-footer2.
+PARTS = re.compile("sidebar|side-bar|comment|cookie|footer|advert|breadcrumb|newsletter|navbar|navig|sponsor|menu|banner|popup", re.I)
 #: Share of the standard deviation from which on a block's fused ratio counts, and of the chosen text that the article must hold.
 THRESHOLD, HOLD = 0.5, 0.9
 
@@ -64,7 +66,7 @@ def boilerplate(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and any(w.lower() in NAMES for w in WORDS.findall(value)):
+        if name in ("class", "id") and (PARTS.search(value) or any(w.lower() in NAMES for w in WORDS.findall(value))):
             return True
     return False
 
