@@ -14,7 +14,7 @@ PER = f"{fixtures.cte('fx_search')}, pr AS (SELECT CASE WHEN date < DATE '{CUT}'
 KEYS = f"""{PER}, k0 AS (SELECT lower(key) AS key, CAST(sum(clicks) FILTER (period = 'baseline') AS BIGINT) AS clicks_a, CAST(sum(impressions) FILTER (period = 'baseline') AS BIGINT) AS impressions_a, CAST(sum(clicks) FILTER (period = 'current') AS BIGINT) AS clicks_b, CAST(sum(impressions) FILTER (period = 'current') AS BIGINT) AS impressions_b,
  sum(position * impressions) FILTER (period = 'baseline') / sum(impressions) FILTER (period = 'baseline') AS position_a, sum(position * impressions) FILTER (period = 'current') / sum(impressions) FILTER (period = 'current') AS position_b FROM pr GROUP BY 1),
 ks AS (SELECT *, CASE WHEN clicks_a IS NULL THEN 'new' WHEN clicks_b IS NULL THEN 'lost' ELSE 'retained' END AS cohort FROM k0)"""
-DAY = f"{PER}, dy AS (SELECT period, date, sum(clicks) AS clicks, sum(impressions) AS impressions FROM pr GROUP BY 1, 2)"
+DAY = f"{PER}, dy AS (SELECT period, date, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions FROM pr GROUP BY 1, 2)"
 
 
 def _rows(s, d):
