@@ -268,8 +268,12 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, *, key: str =
     return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, text string")
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document its token count and the digests of its ids and of the bytes that the ids decode to."""
+def encode_digests(docs: DataFrame, path: str, pattern: str, *, keep: bool = True) -> DataFrame:
+    """Per document its token count and the digests of its ids and of the bytes that the ids decode to.
+
+    keep: workers keep the transducer and its caches for their next task. Where other stages share the workers' memory,
+    each task can let go of them.
+    """
 
     def run(batches):
         c = codec(path, pattern)
@@ -285,5 +289,9 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 sha.append(hashlib.sha256(packed).hexdigest())
                 back.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if not keep:
+            del c
+            codec.cache_clear()
+            gc.collect()
 
     return texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, distance: in
 
 
 #: Wide fingerprints: words of 64 bits, and the sampled masks (bits each) that are their index's upper nodes.
-LANES, SAMPLES, SAMPLE_BITS, WIDE_DISTANCE = 4, 56, 20, 40
+LANES, SAMPLES, SAMPLE_BITS, WIDE_DISTANCE = 4, 64, 22, 40
 SAMPLED = np.random.default_rng(64).permuted(np.tile(np.arange(64 * LANES), (SAMPLES, 1)), axis=1)[:, :SAMPLE_BITS]
 
 
