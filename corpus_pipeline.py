@@ -31,7 +31,7 @@ def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's token count and the digests of its ids and of what they decode to."""
-    return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
 
 
 STAGES = [
