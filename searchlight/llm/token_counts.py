@@ -55,7 +55,10 @@ def frequent_lengths(docs: DataFrame, path: str, *, sample_rows: int = 4096, tab
         top = sorted(seen, key=lambda w: (-seen[w], w))[:table_size]
         yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([count[w] for w in top], pa.int64())], ["word", "n"])
 
-    return dict(texts(docs).limit(sample_rows).coalesce(1).mapInArrow(run, "word string, n bigint").limit(table_size).collect())
+    # A limit alone would move that many rows from each partition.
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = texts(docs) if share == 1 else texts(docs).sample(fraction=share, seed=7)
+    return dict(sample.limit(sample_rows).coalesce(1).mapInArrow(run, "word string, n bigint").limit(table_size).collect())
 
 
 def count_tokens(docs: DataFrame, path: str, *, limit: int = 2048, sample_rows: int = 4096, table_size: int = 32768) -> DataFrame:
