@@ -12,6 +12,8 @@ on the codes within one bit of them instead, of which a code can have at most 65
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -198,13 +200,68 @@ def wide_fingerprint(text: bytes, words_per_shingle: int = 3) -> np.ndarray:
     return 2 * ones > len(hashes)
 
 
+def bridges(members: DataFrame, close: Callable, block: int = 1024) -> DataFrame:
+    """Edges (a, b) between the labels of members (node, value, label) that connect them as all pairs of a node's values that are close do.
+
+    ``close`` takes two lists of values and gives (number of the first row, rows of a boolean matrix). Pairs of one label need
+    no comparison. So a node's members outside its largest label are held against all members, in pairs of blocks: a
+    large group that has one label already costs a count, and one key's pairs of blocks are dealt out to all tasks.
+    """
+    own = materialised(members)
+    sizes = own.groupBy("node", "label").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total"), F.count("*").alias("labels")).where("labels > 1")
+    open_ = materialised(open_.select("node", F.col("most.label").alias("largest"), F.ceil((F.col("total") - F.col("most.n")) / block).alias("rest"), F.ceil(F.col("most.n") / block).alias("blocks")))
+    rest = F.col("label") != F.col("largest")
+    dealt = own.join(open_, "node").select("node", "rest", "blocks", rest.alias("minor"), F.pmod(F.xxhash64("value"), F.when(rest, F.col("rest")).otherwise(F.col("blocks"))).alias("block"), F.struct("value", "label").alias("member"))
+    dealt = materialised(dealt.groupBy("node", "minor", "block").agg(F.first("rest").alias("rest"), F.first("blocks").alias("blocks"), F.collect_list("member").alias("members")))
+    against = F.expr("concat(transform(sequence(block, rest - 1), i -> struct(true as minor, i as block)), transform(sequence(0L, blocks - 1), i -> struct(false as minor, i as block)))")
+    left = dealt.where("minor").select("node", F.col("members").alias("a"), F.explode(against).alias("to")).select("node", "to.minor", "to.block", "a")
+    pairs = left.join(dealt.select("node", "minor", "block", F.col("members").alias("b")), ["node", "minor", "block"]).select("a", "b")
+
+    def compare(batches):
+        for batch in batches:
+            a, b = [], []
+            for x, y in zip(*batch.columns):
+                x, y = x.values, y.values
+                names = pa.concat_arrays([x.field("label"), y.field("label")]).dictionary_encode()
+                number = names.indices.to_numpy()
+                one, two = number[: len(x)], number[len(x) :]
+                parent = list(range(len(names.dictionary)))
+                for begin, found in close(x.field("value").to_pylist(), y.field("value").to_pylist()):
+                    i, j = np.nonzero(found & (one[begin : begin + len(found), None] != two[None]))
+                    for p, q in set(zip(one[begin + i].tolist(), two[j].tolist())):
+                        while parent[p] != p:
+                            p = parent[p]
+                        while parent[q] != q:
+                            q = parent[q]
+                        if p != q:
+                            parent[max(p, q)] = min(p, q)
+                            a.append(names.dictionary[p].as_py())
+                            b.append(names.dictionary[q].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return pairs.mapInArrow(compare, "a binary, b binary")
+
+
+def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, label) after ``edges`` have joined labels; nodes without one that an edge names get one."""
+    edges = materialised(edges)
+    if edges.isEmpty():
+        return labels
+    over = materialised(components(edges).select(F.col("node").alias("label"), F.col("label").alias("over")))
+    moved = labels.join(over, "label", "left").select("node", F.coalesce("over", "label").alias("label"))
+    alone = over.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("over").alias("label"))
+    return materialised(moved.unionByName(alone))
+
+
 def near_copies(docs: DataFrame, *, words_per_shingle: int = 3, distance: int = WIDE_DISTANCE, node_size: int = 1024) -> DataFrame:
     """(doc_id, text_hash, component) for every row: groups of texts that are alike to about 0.8 of their five-word shingles.
 
     Two bits of 64 tell nearly identical texts only. Here 256 bits are compared, of which at most ``distance`` may differ,
     and the upper nodes are sampled masks, of which two such texts share one with a probability near one (measured in the
-    tests). Nodes of up to ``node_size`` members are searched by the Gray-order index; in larger ones, which only large
-    groups of near copies fill, each member is held against the node's least member.
+    tests). Nodes of up to ``node_size`` members are searched by the Gray-order index. In larger ones, which only large
+    groups of near copies fill, each member is held against the node's least member first, and ``bridges`` compares all
+    pairs that are not in one component then.
     """
     scale = 1 << np.arange(SAMPLE_BITS)
 
@@ -242,8 +299,17 @@ def near_copies(docs: DataFrame, *, words_per_shingle: int = 3, distance: int =
 
     small = members.where(F.col("count") <= node_size).groupBy("mask", "bits").agg(F.collect_list("fp").alias("codes"))
     links = small.select("codes").mapInArrow(search, "a binary, b binary")
-    hot = members.where((F.col("count") > node_size) & (F.col("fp") != F.col("least"))).select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    large = members.where(F.col("count") > node_size)
+    hot = large.where(F.col("fp") != F.col("least")).select(F.col("fp").alias("a"), F.col("least").alias("b"))
     labels = materialised(components(links.unionByName(hot.mapInArrow(compare, "a binary, b binary"))))
+    large = large.select(F.struct("mask", "bits").alias("node"), "fp").join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
+
+    def close(a: list, b: list):
+        x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(-1, LANES) for v in (a, b))
+        for i in range(0, len(x), 64):
+            yield i, np.bitwise_count(x[i : i + 64, None] ^ y[None]).sum(axis=2) <= distance
+
+    labels = joined_labels(labels, bridges(large.select("node", F.col("fp").alias("value"), F.coalesce("label", "fp").alias("label")), close))
     return rows.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("doc_id", "text_hash", F.coalesce("label", "fp").alias("component"))
 
 

@@ -239,6 +239,23 @@ def test_near_copies(spark, node_size):
     assert {1000 * g for g in range(60)} <= left and len(left) <= 60 + 0.05 * len(alike)
 
 
+def test_near_copies_of_a_large_node(spark, monkeypatch):
+    """In a node over node_size all pairs are compared: variants of one text that are far from the node's least member, and from each other, stay one group."""
+    rng = np.random.default_rng(5)
+    first = rng.random(256) < 0.5
+    first[:30] = True
+    codes = {0: first}
+    for i in range(1, 80):
+        codes[i] = first.copy()
+        codes[i][30 + rng.permutation(226)[:32]] ^= True
+    assert sum((codes[i] ^ codes[j]).sum() <= 40 for i in range(1, 80) for j in range(i)) <= 100
+    monkeypatch.setattr(simhash, "SAMPLED", np.tile(np.arange(simhash.SAMPLE_BITS), (2, 1)))
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda text, size: codes[int(text)])
+    docs = spark.createDataFrame([(i, str(i)) for i in codes], "doc_id long, text string")
+    for node_size in (4, 1024):
+        assert len({bytes(r.component) for r in simhash.near_copies(docs, node_size=node_size).collect()}) == 1
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "a long, b long")
     labels = {r.node: r.label for r in components.components(edges).collect()}
