@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, distance: in
 
 
 #: Wide fingerprints: words of 64 bits, and the sampled masks (bits each) that are their index's upper nodes.
-LANES, SAMPLES, SAMPLE_BITS, WIDE_DISTANCE = 4, 64, 22, 40
+LANES, SAMPLES, SAMPLE_BITS, WIDE_DISTANCE = 4, 96, 16, 56
 SAMPLED = np.random.default_rng(64).permuted(np.tile(np.arange(64 * LANES), (SAMPLES, 1)), axis=1)[:, :SAMPLE_BITS]
 
 
@@ -254,42 +254,44 @@ def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return materialised(moved.unionByName(alone))
 
 
-def near_copies(docs: DataFrame, *, words_per_shingle: int = 3, distance: int = WIDE_DISTANCE, node_size: int = 1024) -> DataFrame:
-    """(doc_id, text_hash, component) for every row: groups of texts that are alike to about 0.8 of their five-word shingles.
+def linked_fingerprints(distinct: DataFrame, distance: int, node_size: int) -> DataFrame:
+    """(node, label) for the distinct wide fingerprints in column fp that are within the distance of another one in a common node.
 
-    Two bits of 64 tell nearly identical texts only. Here 256 bits are compared, of which at most ``distance`` may differ,
-    and the upper nodes are sampled masks, of which two such texts share one with a probability near one (measured in the
-    tests). Nodes of up to ``node_size`` members are searched by the Gray-order index. In larger ones, which only large
+    Nodes of up to ``node_size`` members are searched pair by pair or by the Gray-order index. In larger ones, which only large
     groups of near copies fill, each member is held against the node's least member first, and ``bridges`` compares all
     pairs that are not in one component then.
     """
     scale = 1 << np.arange(SAMPLE_BITS)
+    shifts = np.arange(len(SAMPLED)) << SAMPLE_BITS
 
     def run(batches):
         for batch in batches:
-            own, fp, keys = [], [], []
-            for value in batch.column(1):
-                text = value.as_py()
-                bits = wide_fingerprint(text, words_per_shingle)
-                own.append(_signed(xxhash.xxh64_intdigest(text, 42)))
-                fp.append(np.packbits(bits, bitorder="little").tobytes())
-                keys.append((bits[SAMPLED] @ scale).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int32()))], ["doc_id", "text_hash", "fp", "keys"])
-
-    rows = materialised(texts(docs).mapInArrow(run, "doc_id bigint, text_hash bigint, fp binary, keys array<int>"))
-    distinct = rows.groupBy("fp").agg(F.first("keys").alias("keys"))
-    nodes = materialised(distinct.select("fp", F.posexplode("keys").alias("mask", "bits")))
-    sizes = materialised(nodes.groupBy("mask", "bits").agg(F.count("*").alias("count"), F.min("fp").alias("least")).where("count > 1"))
-    members = materialised(nodes.join(sizes, ["mask", "bits"]))
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 8 * LANES), axis=1, bitorder="little")
+            keys = np.stack([bits[:, at] @ scale for at in SAMPLED], axis=1) + shifts if len(bits) else np.zeros((0, len(SAMPLED)), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(bits) + 1, dtype=np.int32) * len(SAMPLED), keys.ravel().astype(np.int32))], ["fp", "nodes"])
+
+    nodes = distinct.select("fp").mapInArrow(run, "fp binary, nodes array<int>").select("fp", F.explode("nodes").alias("node"))
+    hot = F.broadcast(materialised(nodes.groupBy("node").count().where(F.col("count") > node_size).select("node")))
 
     def search(batches):
         for batch in batches:
             a, b = [], []
-            for codes in batch.column(0):
-                own = codes.as_py()
-                x, y = spanning_links(np.frombuffer(b"".join(own), np.uint64).reshape(-1, LANES), distance)
-                a += [own[i] for i in x]
-                b += [own[i] for i in y]
+            all_codes = np.frombuffer(b"".join(batch.column(0).flatten().to_pylist()), np.uint64).reshape(-1, LANES)
+            sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            begins = np.cumsum(sizes) - sizes
+            for size in np.unique(sizes[sizes <= 16]):
+                x, y = np.triu_indices(size, 1)
+                own = begins[sizes == size]
+                for i in range(0, len(own), 2048):
+                    one, two = ((own[i : i + 2048, None] + v).ravel() for v in (x, y))
+                    near = np.bitwise_count(all_codes[one] ^ all_codes[two]).sum(axis=1) <= distance
+                    a += [v.tobytes() for v in all_codes[one[near]]]
+                    b += [v.tobytes() for v in all_codes[two[near]]]
+            for i in np.flatnonzero(sizes > 16):
+                own = all_codes[begins[i] : begins[i] + sizes[i]]
+                x, y = spanning_links(own, distance)
+                a += [own[i].tobytes() for i in x]
+                b += [own[i].tobytes() for i in y]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     def compare(batches):
@@ -297,20 +299,115 @@ def near_copies(docs: DataFrame, *, words_per_shingle: int = 3, distance: int =
             pair = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, LANES) for c in batch.columns]
             yield batch.filter(pa.array(np.bitwise_count(pair[0] ^ pair[1]).sum(axis=1) <= distance))
 
-    small = members.where(F.col("count") <= node_size).groupBy("mask", "bits").agg(F.collect_list("fp").alias("codes"))
+    small = nodes.join(hot, "node", "left_anti").groupBy("node").agg(F.collect_list("fp").alias("codes")).where(F.size("codes") > 1)
     links = small.select("codes").mapInArrow(search, "a binary, b binary")
-    large = members.where(F.col("count") > node_size)
-    hot = large.where(F.col("fp") != F.col("least")).select(F.col("fp").alias("a"), F.col("least").alias("b"))
-    labels = materialised(components(links.unionByName(hot.mapInArrow(compare, "a binary, b binary"))))
-    large = large.select(F.struct("mask", "bits").alias("node"), "fp").join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
+    large = materialised(nodes.join(hot, "node"))
+    least = F.broadcast(large.groupBy("node").agg(F.min("fp").alias("b")))
+    held = large.join(least, "node").where("fp != b").select(F.col("fp").alias("a"), "b")
+    labels = materialised(components(links.unionByName(held.mapInArrow(compare, "a binary, b binary"))))
+    large = large.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
 
     def close(a: list, b: list):
         x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(-1, LANES) for v in (a, b))
         for i in range(0, len(x), 64):
             yield i, np.bitwise_count(x[i : i + 64, None] ^ y[None]).sum(axis=2) <= distance
 
-    labels = joined_labels(labels, bridges(large.select("node", F.col("fp").alias("value"), F.coalesce("label", "fp").alias("label")), close))
-    return rows.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("doc_id", "text_hash", F.coalesce("label", "fp").alias("component"))
+    return joined_labels(labels, bridges(large.select("node", F.col("fp").alias("value"), F.coalesce("label", "fp").alias("label")), close))
+
+
+def shingle_set(text: bytes, words_per_shingle: int) -> np.ndarray:
+    """The hashes of a text's word shingles, sorted, each once."""
+    words = text.lower().split()
+    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + words_per_shingle]), 42) for i in range(max(len(words) - words_per_shingle + 1, 1))} if words else ()
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
+
+
+def sets_alike(least_share: float) -> Callable:
+    """For ``bridges``: which packed shingle sets share ``least_share`` of their union or more."""
+
+    def close(a: list, b: list):
+        b = [np.frombuffer(v, np.uint64) for v in b]
+        sizes = np.fromiter(map(len, b), np.int64, len(b))
+        all_b, owner = np.concatenate(b), np.repeat(np.arange(len(b)), sizes)
+        order = np.argsort(all_b, kind="stable")
+        all_b, owner = all_b[order], owner[order]
+        for i, packed in enumerate(a):
+            own = np.frombuffer(packed, np.uint64)
+            begin, end = np.searchsorted(all_b, own, "left"), np.searchsorted(all_b, own, "right")
+            n = end - begin
+            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.bincount(owner[at], minlength=len(b))
+            yield i, (common >= least_share * (len(own) + sizes - common) - 1e-9)[None]
+
+    return close
+
+
+def near_copies(docs: DataFrame, *, words_per_shingle: int = 3, distance: int = WIDE_DISTANCE, node_size: int = 1024, words_per_set: int = 5, least_share: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, component) for every row: groups of texts joined by pairs that share ``least_share`` of their five-word shingles.
+
+    Two bits of 64 tell nearly identical texts only. Here 256 bits are compared, of which at most ``distance`` may differ,
+    and the upper nodes are sampled masks, of which two texts at 0.8 share one with a probability of 0.99 and more
+    (measured in the tests). That gives candidate groups only: in each of them the shingle sets themselves are compared, first with
+    the group's least one, then all pairs that are not joined yet. ``least_share`` 0 leaves that out.
+    """
+
+    def run(batches):
+        for batch in batches:
+            own, fp = [], []
+            for value in batch.column(1):
+                text = value.as_py()
+                own.append(_signed(xxhash.xxh64_intdigest(text, 42)))
+                fp.append(np.packbits(wide_fingerprint(text, words_per_shingle), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), pa.array(fp, pa.binary())], ["doc_id", "text_hash", "fp"])
+
+    rows = materialised(texts(docs).mapInArrow(run, "doc_id bigint, text_hash bigint, fp binary"))
+    labels = linked_fingerprints(materialised(rows.select("fp").distinct()), distance, node_size).select(F.col("node").alias("fp"), "label")
+    placed = rows.select("text_hash", "fp").distinct().join(labels, "fp", "left").select("text_hash", F.coalesce("label", "fp").alias("group"))
+    placed = materialised(placed)
+    if not least_share:
+        return rows.join(placed, "text_hash").select("doc_id", "text_hash", F.col("group").alias("component"))
+    many = placed.groupBy("group").count().where("count > 1").select("group")
+    wanted = materialised(placed.join(many, "group"))
+
+    def read(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            own, group, names, sets = [], [], [], []
+            for number, label, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if number in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(number)
+                packed = shingle_set(value, words_per_set).tobytes()
+                own.append(number)
+                group.append(label)
+                names.append(xxhash.xxh3_128_digest(packed))
+                sets.append(packed)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(group, pa.binary()), pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["text_hash", "group", "name", "shingles"])
+
+    hashed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    found = materialised(hashed.join(wanted, "text_hash").select("text_hash", "group", "text").mapInArrow(read, "text_hash bigint, group binary, name binary, shingles binary"))
+    names = found.select("text_hash", "name").distinct()
+    sets = materialised(found.groupBy("group", "name").agg(F.first("shingles").alias("value")))
+    least = sets.groupBy("group").agg(F.min(F.struct("name", "value")).alias("least"))
+    held = sets.join(least, "group").where("name != least.name").select(F.col("name").alias("a"), F.col("least.name").alias("b"), F.col("value").alias("x"), F.col("least.value").alias("y"))
+
+    def compare(batches):
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            alike = []
+            for one, two in zip(x, y):
+                one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                alike.append(common >= least_share * (len(one) + len(two) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    alike = materialised(components(held.mapInArrow(compare, "a binary, b binary")))
+    apart = sets.join(alike.select(F.col("node").alias("name"), "label"), "name", "left").select(F.col("group").alias("node"), "value", F.coalesce("label", "name").alias("label"))
+    alike = joined_labels(alike, bridges(apart, sets_alike(least_share), block=128))
+    names = names.join(alike.select(F.col("node").alias("name"), "label"), "name", "left").select("text_hash", F.coalesce("label", "name").alias("label"))
+    placed = materialised(placed.join(names, "text_hash", "left").select("text_hash", F.coalesce("label", "group").alias("component")))
+    return rows.join(placed, "text_hash").select("doc_id", "text_hash", "component")
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -253,7 +253,37 @@ def test_near_copies_of_a_large_node(spark, monkeypatch):
     monkeypatch.setattr(simhash, "wide_fingerprint", lambda text, size: codes[int(text)])
     docs = spark.createDataFrame([(i, str(i)) for i in codes], "doc_id long, text string")
     for node_size in (4, 1024):
-        assert len({bytes(r.component) for r in simhash.near_copies(docs, node_size=node_size).collect()}) == 1
+        assert len({bytes(r.component) for r in simhash.near_copies(docs, node_size=node_size, distance=40, least_share=0).collect()}) == 1
+
+
+def test_near_copies_at_the_limit(spark):
+    """Blocks appended, removed or replaced: pairs at a five-word similarity of 0.8 to 0.85 are found, pairs at 0.7 to 0.8 are not."""
+    rng = random.Random(11)
+    make = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows = []
+    for i in range(600):
+        words, kind = make(rng.randrange(100, 400)), i % 3
+        k = int(len(words) * rng.uniform(0.05, 0.35))
+        at = rng.randrange(len(words) - k)
+        copy = [words + make(k), words[:-k], words[:at] + make(k) + words[at + k :]][kind]
+        a, b = shingles(words), shingles(copy)
+        share = len(a & b) / len(a | b)
+        if 0.8 <= share <= 0.85 or 0.7 <= share < 0.8:
+            rows += [(2 * i, " ".join(words), share >= 0.8), (2 * i + 1, " ".join(copy), share >= 0.8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, alike boolean")
+    for node_size in (2, 1024):
+        component = {r.doc_id: bytes(r.component) for r in simhash.near_copies(docs, node_size=node_size).collect()}
+        joined = {yes: [component[d] == component[d + 1] for d, _, own in rows if own == yes and d % 2 == 0] for yes in (True, False)}
+        assert min(map(len, joined.values())) >= 40 and sum(joined[True]) / len(joined[True]) >= 0.97 and not any(joined[False])
+
+
+def test_near_copies_far_from_the_least_set(spark):
+    """In a candidate group all sets are compared, not only with the least one: each pair's two texts are one group, pairs are not."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(2 * g + c, " ".join([*words[:150], *(f"g{g}x{i}" for i in range(50)), *["end"] * c])) for g in range(20) for c in range(2)]
+    component = {r.doc_id: bytes(r.component) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), distance=256, node_size=2).collect()}
+    assert all(component[2 * g] == component[2 * g + 1] for g in range(20)) and len(set(component.values())) == 20
 
 
 def test_components_of_a_long_path(spark):
