@@ -1,23 +1,30 @@
-"""Information-theoretic sanitisation, as DataFrame expressions throughout.
+"""Information-theoretic sanitisation over whole texts.
 
-Patterns find the protected entities: e-mail addresses, IP addresses, card and phone numbers. What is
-written near an entity can reveal it as well. So terms within ``WIDTH`` characters of an entity's mentions
-are counted with it over the whole corpus, and a term's pointwise mutual information with the entity,
+Patterns find the protected entities: e-mail addresses, IP addresses, card and phone numbers. What a document
+says elsewhere can reveal them as well. So the terms of each document that mentions an entity are counted
+with it over the whole corpus, and a term's pointwise mutual information with the entity,
 log2(p(entity, term) / (p(entity) p(term))), is held against the entity's own information -log2 p(entity):
 from ``generalise_from`` times of it on the term is generalised, from ``remove_from`` times on (each
-document with the term names the entity) it is removed. A term must stand by the entity in at least
-``least_contexts`` different surroundings, so copies of one passage are not evidence.
+document with the term names the entity) it is removed. A mention's surroundings are ``WIDTH`` characters on
+either side, or further on to the term; a term needs at least ``least_contexts`` different ones, so copies
+of one passage are not evidence. Revealing terms are replaced wherever any document has them.
 
-Only mentions with their surroundings, a small part of the texts, are kept and joined. The terms'
-document frequencies take one more pass, which adds up in each task before it shuffles.
+Only texts with mentions are kept between the passes. Document frequencies add up in each task before the
+shuffle, and terms in too many documents for an entity are left out before anything is counted with it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import defaultdict
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from searchlight.llm.common import materialised
+from searchlight.llm.ppm import frequent
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' patterns. Quantifiers that need no way back are possessive, and runs are entered at their beginning
@@ -29,7 +36,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++)*+"
-#: Characters on either side of a mention that are its surroundings; shortest term.
+#: Characters on either side of a mention that are its surroundings at least; shortest term.
 WIDTH, LEAST_LETTERS = 60, 4
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -76,57 +83,103 @@ def joined(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat({names}[x.k], ':', x.s, ':', x.e)), ',')"
 
 
-def _mentions(found: DataFrame) -> DataFrame:
-    """A row for each base span of ``found``: row, entity, around (a hash of the surroundings), the text on both sides."""
-    return found.select("row", F.expr("inline(__mentions)")).select("row", "entity", F.xxhash64("left", "right").alias("around"), F.col("left"), F.col("right"), "from", "e", "cut_right", "base")
+def values_of(text: str) -> str:
+    """SQL: all terms of a text in their order."""
+    return f"regexp_extract_all({text}, {_text(TERM)}, 0)"
+
+
+def places(text: str, values: list[str], base: list[dict]):
+    """(s, e, term) of a text's terms that are long enough and outside the base spans, from ``values_of``."""
+    starts, reach = [x["s"] for x in base], []
+    for x in base:
+        reach.append(max(x["e"], reach[-1] if reach else 0))
+    at = 0
+    for value in values:
+        s = text.index(value, at)
+        at = s + len(value)
+        if len(value) >= LEAST_LETTERS:
+            i = bisect_left(starts, at) - 1
+            if i < 0 or reach[i] <= s:
+                yield s, at, value.lower()
 
 
 def _with_mentions(found: DataFrame) -> DataFrame:
-    """Adds __mentions: for each base span its entity, the text on either side, where that begins, and the spans nearby."""
+    """Adds __mentions: entity and place of each base span."""
     names = f"array({', '.join(_text(k) for k in KINDS)})"
-    return found.withColumn("__mentions", F.expr(f"""transform(__base, b -> struct(
-        concat({names}[b.k], ':', lower(b.v)) as entity,
-        substring(__text, greatest(b.s - {WIDTH}, 0) + 1, least(b.s, {WIDTH})) as left,
-        substring(__text, b.e + 1, {WIDTH}) as right,
-        greatest(b.s - {WIDTH}, 0) as from, b.e as e,
-        b.e + {WIDTH} < length(__text) as cut_right,
-        transform(filter(__base, o -> o.e > b.s - {WIDTH} and o.s < b.e + {WIDTH}), o -> struct(o.s as s, o.e as e)) as base))"""))
-
-
-def _terms(mentions: DataFrame) -> DataFrame:
-    """(row, entity, around, t, s, e): the terms on either side of each mention, without those cut off or inside a span."""
-    found = mentions.select("*", F.expr(f"regexp_extract_all(left, {_text(TERM)}, 0)").alias("lv"), F.expr(f"regexp_extract_all(right, {_text(TERM)}, 0)").alias("rv"))
-    left = f"filter({matches('left', 'lv', TERM)}, m -> not (from > 0 and m.s = 0))"
-    right = f"filter({matches('right', 'rv', TERM)}, m -> not (cut_right and m.e = length(right)) and m.s > 0)"
-    both = f"concat(transform({left}, m -> struct(lower(m.v) as t, m.s + from as s, m.e + from as e)), transform({right}, m -> struct(lower(m.v) as t, m.s + e as s, m.e + e as e)))"
-    clear = f"filter({both}, m -> length(m.t) >= {LEAST_LETTERS} and not exists(base, o -> o.s < m.e and m.s < o.e))"
-    return found.select("row", "entity", "around", F.expr(f"inline({clear})"))
-
-
-def revealing_terms(docs: DataFrame, found: DataFrame, *, least_contexts: int = 3, generalise_from: float = 0.9, remove_from: float = 1.0) -> DataFrame | None:
-    """(row, s, e, remove) of the terms to sanitise in the rows of ``found`` (row, __mentions), or None if there are none."""
-    mentions = _mentions(found)
-    entities = mentions.groupBy("entity", "around").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("surroundings")).where(F.col("surroundings") >= least_contexts)
-    near = materialised(_terms(mentions))
-    terms = materialised(near.join(materialised(entities.select("entity")), "entity"))
-    once = terms.select("entity", "t", "around").distinct().groupBy("entity", "t").agg(F.count("*").alias("surroundings")).where(F.col("surroundings") >= least_contexts)
-    together = terms.select("entity", "t", "row").distinct().groupBy("entity", "t").agg(F.count("*").alias("n_ct"))
-    n_c = mentions.join(once.select("entity").distinct(), "entity", "left_semi").select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    n = docs.count()
+    return found.withColumn("__mentions", F.expr(f"transform(__base, b -> struct(concat({names}[b.k], ':', lower(b.v)) as entity, b.s as s, b.e as e))"))
+
+
+def revealing_terms(docs: DataFrame, *, least_contexts: int = 3, generalise_from: float = 0.9, remove_from: float = 1.0) -> dict[str, bool]:
+    """The terms to sanitise, and whether to remove them, from docs with the column text."""
+    spark = docs.sparkSession
+    small = _with_mentions(with_base(docs.select("text"))).where(F.size("__base") > 0).withColumn("row", F.monotonically_increasing_id())
+    small = materialised(small.select("row", "__text", F.expr("transform(__base, b -> struct(b.s as s, b.e as e))").alias("base"), "__mentions"))
+    mentions = small.select("row", F.inline("__mentions"))
+    n_c = mentions.groupBy("entity", "row").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("n_c"), F.sum("n").alias("n"))
+    n_c = materialised(n_c.where(F.col("n") >= least_contexts).select("entity", "n_c"))
+    n, least = docs.count(), n_c.agg(F.min("n_c")).first()[0]
+    if least is None:
+        return {}
+    words = docs.select(F.explode(F.array_distinct(F.expr("transform(" + values_of("coalesce(text, '')") + ", t -> lower(t))"))).alias("t"))
+    n_t = materialised(words.groupBy("t").agg(F.count("*").alias("n")))
+    # The mutual information cannot reach the threshold for a term in more documents than this.
+    bound = lambda own: n * (own / n) ** generalise_from * (1 + 1e-9)
+    common = spark.sparkContext.broadcast({t: k for t, k in frequent(n_t.where(F.col("n") > bound(least)), 100_000).select("t", "n").toArrow().to_pandas().itertuples(index=False)})
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for text, values, base, own in zip(*(c.to_pylist() for c in batch.columns)):
+                spots = defaultdict(list)
+                for s, e, t in places(text, values, base):
+                    spots[t].append((s, e))
+                by = defaultdict(list)
+                for m in own:
+                    by[m["entity"], m["n_c"]].append((m["s"], m["e"]))
+                for (entity, n_own), where in by.items():
+                    most = bound(n_own)
+                    for t, at in spots.items():
+                        if common.value.get(t, 0) > most:
+                            continue
+                        contexts = set()
+                        for s, e in where:
+                            i = bisect_left(at, (s, e))
+                            a, b = min(at[max(i - 1, 0) : i + 1], key=lambda x: max(x[0] - e, s - x[1]))
+                            contexts.add(xxhash.xxh3_64_intdigest(text[max(min(a, s - WIDTH), 0) : max(b, e + WIDTH)].encode()) >> 1)
+                        rows += [(entity, t, c, i == 0) for i, c in enumerate(contexts)]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()))], ["entity", "t", "context", "first"])
+
+    own = mentions.join(n_c, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_c", "s", "e")).alias("own"))
+    together = small.join(own, "row").select("__text", F.expr(values_of("__text")).alias("v"), "base", "own").mapInArrow(run, "entity string, t string, context bigint, first boolean")
+    together = together.groupBy("entity", "t", "context").agg(F.count_if("first").alias("n_ct")).groupBy("entity", "t").agg(F.sum("n_ct").alias("n_ct"), F.count("*").alias("contexts"))
+    pairs = together.where(F.col("contexts") >= least_contexts).join(n_c, "entity").join(n_t.select("t", F.col("n").alias("n_t")), "t")
     information = -F.log2(F.col("n_c") / n)
     shared = F.log2(F.col("n_ct") * float(n) / (F.col("n_c") * F.col("n_t")))
-    # A term stands in no fewer documents than it does near any entity, so that number tells most common words apart.
-    n_near = near.select("t", "row").distinct().groupBy("t").agg(F.count("*").alias("n_t"))
-    pairs = once.join(together, ["entity", "t"]).join(n_c, "entity").join(n_near, "t").where(shared >= generalise_from * information - 1e-9)
-    pairs = materialised(pairs.select("entity", "t", "n_ct", "n_c"))
-    if pairs.isEmpty():
-        return None
-    wanted = materialised(pairs.select("t").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(coalesce(text, '')), {_text(TERM)}, 0)"))).alias("t"))
-    n_t = words.groupBy("t").agg(F.count("*").alias("n_t")).join(wanted, "t", "left_semi")
-    risky = pairs.join(n_t, "t").where(shared >= generalise_from * information - 1e-9)
-    risky = materialised(risky.select("entity", "t", (shared >= remove_from * information - 1e-9).alias("remove")))
-    return terms.join(risky, ["entity", "t"]).groupBy("row", "s", "e").agg(F.bool_or("remove").alias("remove"))
+    risky = pairs.where(shared >= generalise_from * information - 1e-9).groupBy("t").agg(F.bool_or(shared >= remove_from * information - 1e-9).alias("remove"))
+    found = risky.toArrow()
+    return dict(zip(found["t"].to_pylist(), found["remove"].to_pylist()))
+
+
+def with_terms(found: DataFrame, risky: dict[str, bool]) -> DataFrame:
+    """Adds the places of revealing terms to __base, as one kind more (two for those to remove)."""
+    if not risky:
+        return found
+    table = found.sparkSession.sparkContext.broadcast(risky)
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32()), ("v", pa.string())]))
+
+    @F.arrow_udf("array<struct<s:int,k:int,e:int,v:string>>")
+    def find(text: pa.Array, values: pa.Array, base: pa.Array) -> pa.Array:
+        known, out = table.value, []
+        for i, own in enumerate(values.to_pylist()):
+            if known.keys().isdisjoint(map(str.lower, own)):
+                out.append([])
+            else:
+                out.append([{"s": s, "k": len(KINDS) + known[t], "e": e, "v": ""} for s, e, t in places(text[i].as_py(), own, base[i].as_py()) if t in known])
+        return pa.array(out, kind)
+
+    terms = find(F.col("__text"), F.expr(values_of("__text")), F.expr("transform(__base, b -> struct(b.s as s, b.e as e))"))
+    return found.withColumn("__terms", terms).withColumn("__base", F.expr("array_sort(concat(__base, __terms))"))
 
 
 def find_spans(docs: DataFrame, **how) -> DataFrame:
@@ -135,16 +188,10 @@ def find_spans(docs: DataFrame, **how) -> DataFrame:
     Null and empty texts have no spans. Rows count by themselves, equal ones alike, and null ids stay null.
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = _with_mentions(with_base(own)).withColumn("row", F.monotonically_increasing_id())
-    found = materialised(found.select("row", "doc_id", "__base", "__mentions"))
-    terms = revealing_terms(own, found.where(F.size("__base") > 0), **how)
-    if terms is None:
-        found = found.withColumn("__all", F.col("__base"))
-    else:
-        extra = terms.groupBy("row").agg(F.collect_set(F.struct("s", F.lit(len(KINDS)).alias("k"), "e", F.lit("").alias("v"))).alias("__terms"))
-        found = found.join(extra, "row", "left").withColumn("__all", F.expr("array_sort(concat(__base, coalesce(__terms, cast(array() as array<struct<s:int,k:int,e:int,v:string>>))))"))
-    counts = [F.expr(f"cast(size(filter(__base, x -> x.k = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(F.expr(joined("__base")), 256).alias("base_sha256"), F.expr(joined("__all")).alias("spans"))
+    found = with_base(own).withColumn("__own", F.col("__base"))
+    found = with_terms(found, revealing_terms(own, **how)).withColumn("__all", F.expr(f"transform(__base, x -> struct(x.s as s, least(x.k, {len(KINDS)}) as k, x.e as e))"))
+    counts = [F.expr(f"cast(size(filter(__own, x -> x.k = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(F.expr(joined("__own")), 256).alias("base_sha256"), F.expr(joined("__all")).alias("spans"))
 
 
 def sanitise(docs: DataFrame, **how) -> DataFrame:
@@ -152,18 +199,7 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
 
     Of overlapping spans the first one is replaced. Null texts stay null; all columns and rows stay.
     """
-    key = [F.col("doc_id").cast("bigint").alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__hash")]
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    small = _with_mentions(with_base(plain)).where(F.size("__base") > 0)
-    small = materialised(small.withColumn("row", F.monotonically_increasing_id()).select("row", *key, "__mentions"))
-    terms = revealing_terms(plain, small, **how)
-    done = with_base(docs)
-    if terms is not None:
-        extra = terms.groupBy("row").agg(F.collect_set(F.struct("s", F.when(F.col("remove"), len(KINDS) + 1).otherwise(len(KINDS)).alias("k"), "e", F.lit("").alias("v"))).alias("__terms"))
-        # Rows with the same id and the same text have the same terms.
-        extra = materialised(small.join(extra, "row").select("__id", "__hash", "__terms").dropDuplicates(["__id", "__hash"]))
-        done = done.withColumn("__h", F.xxhash64("__text")).join(extra, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
-        done = done.withColumn("__base", F.expr("array_sort(concat(__base, coalesce(__terms, cast(array() as array<struct<s:int,k:int,e:int,v:string>>))))"))
+    done = with_terms(with_base(docs), revealing_terms(docs.select("text"), **how))
     labels = f"array({', '.join(_text(LABELS[k]) for k in (*KINDS, 'term'))}, '')"
     text: Column = F.expr(f"""case when size(__base) = 0 then text else aggregate(__base, struct(0 as at, cast(array() as array<string>) as out),
         (a, x) -> case when x.s < a.at then a else struct(x.e as at, concat(a.out, array(substring(__text, a.at + 1, x.s - a.at), {labels}[x.k])) as out) end,

@@ -355,6 +355,21 @@ def test_pii_terms(spark):
     assert "[TERM] met jim at [EMAIL]" in loose[0]
 
 
+def test_pii_terms_of_whole_texts(spark):
+    """A term far from the entity is found, removed in all places and also where the entity is not named; copies of one passage are no evidence."""
+    filler = lambda i: " ".join(f"body{i * 40 + j}" for j in range(40))
+    rows = [(i, f"Dear zorbulon, {filler(i)} yours zorbulon. Write to jim@corp.example.com now") for i in range(30)]
+    rows += [(50, f"Met zorbulon {filler(50)}")]
+    rows += [(60 + i, f"{filler(60 + i)} {filler(99)} quimbly {filler(98)} ask bob@corp.example.com today {filler(97)} {filler(80 + i)}") for i in range(5)]
+    rows += [(200 + i, f"some common text number {i} with dear yours write now met") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert not any("zorbulon" in clean[i] for i in range(30)) and "[TERM]" in clean[50] and "zorbulon" not in clean[50]
+    assert all("quimbly" in clean[60 + i] for i in range(5)) and clean[200] == dict(rows)[200]
+    spans = {r.doc_id: r.spans for r in pii.find_spans(docs).collect()}
+    assert spans[50] == "term:4:12" and spans[0].count("term:") == 2
+
+
 def test_ppm(spark, documents, texts):
     rows = ppm.score_documents(documents, table_size=300).collect()
     train = {i: t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2}
