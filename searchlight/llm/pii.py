@@ -15,11 +15,6 @@ shuffle, and terms in too many documents for an entity are left out before anyth
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import defaultdict
-
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,19 +83,9 @@ def values_of(text: str) -> str:
     return f"regexp_extract_all({text}, {_text(TERM)}, 0)"
 
 
-def places(text: str, values: list[str], base: list[dict]):
-    """(s, e, term) of a text's terms that are long enough and outside the base spans, from ``values_of``."""
-    starts, reach = [x["s"] for x in base], []
-    for x in base:
-        reach.append(max(x["e"], reach[-1] if reach else 0))
-    at = 0
-    for value in values:
-        s = text.index(value, at)
-        at = s + len(value)
-        if len(value) >= LEAST_LETTERS:
-            i = bisect_left(starts, at) - 1
-            if i < 0 or reach[i] <= s:
-                yield s, at, value.lower()
+def places(text: str, values: str, base: str) -> str:
+    """SQL: array<struct<s, e, v>> of a text's terms in lower case that are long enough and outside the base spans."""
+    return f"filter(transform({matches(text, values, TERM)}, m -> struct(m.s as s, m.e as e, lower(m.v) as v)), m -> length(m.v) >= {LEAST_LETTERS} and not exists({base}, o -> o.s < m.e and m.s < o.e))"
 
 
 def _with_mentions(found: DataFrame) -> DataFrame:
@@ -124,35 +109,16 @@ def revealing_terms(docs: DataFrame, *, least_contexts: int = 3, generalise_from
     n_t = materialised(words.groupBy("t").agg(F.count("*").alias("n")))
     # The mutual information cannot reach the threshold for a term in more documents than this.
     bound = lambda own: n * (own / n) ** generalise_from * (1 + 1e-9)
-    common = spark.sparkContext.broadcast({t: k for t, k in frequent(n_t.where(F.col("n") > bound(least)), 100_000).select("t", "n").toArrow().to_pandas().itertuples(index=False)})
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for text, values, base, own in zip(*(c.to_pylist() for c in batch.columns)):
-                spots = defaultdict(list)
-                for s, e, t in places(text, values, base):
-                    spots[t].append((s, e))
-                by = defaultdict(list)
-                for m in own:
-                    by[m["entity"], m["n_c"]].append((m["s"], m["e"]))
-                for (entity, n_own), where in by.items():
-                    most = bound(n_own)
-                    for t, at in spots.items():
-                        if common.value.get(t, 0) > most:
-                            continue
-                        contexts = set()
-                        for s, e in where:
-                            i = bisect_left(at, (s, e))
-                            a, b = min(at[max(i - 1, 0) : i + 1], key=lambda x: max(x[0] - e, s - x[1]))
-                            contexts.add(xxhash.xxh3_64_intdigest(text[max(min(a, s - WIDTH), 0) : max(b, e + WIDTH)].encode()) >> 1)
-                        rows += [(entity, t, c, i == 0) for i, c in enumerate(contexts)]
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_()))], ["entity", "t", "context", "first"])
-
-    own = mentions.join(n_c, "entity").groupBy("row").agg(F.collect_list(F.struct("entity", "n_c", "s", "e")).alias("own"))
-    together = small.join(own, "row").select("__text", F.expr(values_of("__text")).alias("v"), "base", "own").mapInArrow(run, "entity string, t string, context bigint, first boolean")
-    together = together.groupBy("entity", "t", "context").agg(F.count_if("first").alias("n_ct")).groupBy("entity", "t").agg(F.sum("n_ct").alias("n_ct"), F.count("*").alias("contexts"))
+    common = F.broadcast(frequent(n_t.where(F.col("n") > bound(least)), 100_000).select("t", F.col("n").alias("often")))
+    spots = small.select("row", "base", "__text", F.expr(values_of("__text")).alias("v")).select("row", F.expr(f"inline({places('__text', 'v', 'base')})")).withColumnsRenamed({"s": "ts", "e": "te", "v": "t"})
+    rare = spots.join(common, "t", "left").groupBy("row", "t").agg(F.first("often").alias("often"), F.collect_list(F.struct("ts", "te")).alias("at"))
+    own = mentions.join(n_c, "entity").join(rare, "row").where(F.coalesce("often", F.lit(0)) <= F.expr(f"{n} * pow(n_c / {n}, {generalise_from}) * (1 + 1e-9)"))
+    near = F.expr("array_min(transform(at, x -> struct(greatest(x.ts - e, s - x.te) as far, x.ts as ts, x.te as te)))")
+    own = own.select("row", "entity", "t", "s", "e", near.alias("x")).join(small.select("row", "__text"), "row")
+    context = F.expr(f"xxhash64(substring(__text, greatest(least(x.ts, s - {WIDTH}), 0) + 1, greatest(x.te, e + {WIDTH}) - greatest(least(x.ts, s - {WIDTH}), 0)))")
+    own = own.select("row", "entity", "t", context.alias("context")).groupBy("row", "entity", "t").agg(F.collect_set("context").alias("contexts"))
+    together = own.select("entity", "t", F.posexplode("contexts").alias("i", "context")).groupBy("entity", "t", "context").agg(F.count_if(F.col("i") == 0).alias("n_ct"))
+    together = together.groupBy("entity", "t").agg(F.sum("n_ct").alias("n_ct"), F.count("*").alias("contexts"))
     pairs = together.where(F.col("contexts") >= least_contexts).join(n_c, "entity").join(n_t.select("t", F.col("n").alias("n_t")), "t")
     information = -F.log2(F.col("n_c") / n)
     shared = F.log2(F.col("n_ct") * float(n) / (F.col("n_c") * F.col("n_t")))
@@ -165,21 +131,11 @@ def with_terms(found: DataFrame, risky: dict[str, bool]) -> DataFrame:
     """Adds the places of revealing terms to __base, as one kind more (two for those to remove)."""
     if not risky:
         return found
-    table = found.sparkSession.sparkContext.broadcast(risky)
-    kind = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32()), ("v", pa.string())]))
-
-    @F.arrow_udf("array<struct<s:int,k:int,e:int,v:string>>")
-    def find(text: pa.Array, values: pa.Array, base: pa.Array) -> pa.Array:
-        known, out = table.value, []
-        for i, own in enumerate(values.to_pylist()):
-            if known.keys().isdisjoint(map(str.lower, own)):
-                out.append([])
-            else:
-                out.append([{"s": s, "k": len(KINDS) + known[t], "e": e, "v": ""} for s, e, t in places(text[i].as_py(), own, base[i].as_py()) if t in known])
-        return pa.array(out, kind)
-
-    terms = find(F.col("__text"), F.expr(values_of("__text")), F.expr("transform(__base, b -> struct(b.s as s, b.e as e))"))
-    return found.withColumn("__terms", terms).withColumn("__base", F.expr("array_sort(concat(__base, __terms))"))
+    kinds = F.create_map(*[F.lit(x) for t, gone in risky.items() for x in (t, len(KINDS) + gone)])
+    found = found.withColumn("__v", F.expr(values_of("__text"))).withColumn("__v", F.when(F.arrays_overlap(F.expr("transform(__v, t -> lower(t))"), F.array(*map(F.lit, risky))), F.col("__v")).otherwise(F.array().cast("array<string>")))
+    found = found.withColumn("__terms", F.expr(places("__text", "__v", "__base")))
+    terms = F.transform(F.filter("__terms", lambda m: F.map_contains_key(kinds, m["v"])), lambda m: F.struct(m["s"].alias("s"), kinds[m["v"]].alias("k"), m["e"].alias("e"), F.lit("").alias("v")))
+    return found.withColumn("__terms", terms).withColumn("__base", F.expr("array_sort(concat(__base, __terms))")).drop("__v", "__terms")
 
 
 def find_spans(docs: DataFrame, **how) -> DataFrame:
