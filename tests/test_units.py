@@ -1,6 +1,11 @@
 """Operators on small hand-made rows."""
 
 import datetime
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 import lzma
 import math
 import random
@@ -204,3 +209,21 @@ def test_driver_contract(spark):
     found = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(found)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("away", [("searchlight/llm", "tests/llm", "corpus_pipeline.py"), ("searchlight/llm", "tests/llm"), ()])
+def test_driver_contract_without_the_training_data_folders(tmp_path, away):
+    """In a copy without those folders, and on a machine without the vocabularies, all other queries stay."""
+    root = Path(__spark_entry__.__file__).parent
+    for name in ("searchlight", "tests", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            (shutil.copytree if (root / name).is_dir() else shutil.copy)(root / name, tmp_path / name)
+    for name in away:
+        if (tmp_path / name).is_dir():
+            shutil.rmtree(tmp_path / name)
+        else:
+            (tmp_path / name).unlink(missing_ok=True)
+    hide = "" if away else "import sys; sys.modules['public_tokenizers'] = None; "
+    said = subprocess.run([sys.executable, "-c", hide + "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q); print(*sorted(q))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    assert said.stdout.splitlines()[-1].split() == sorted(catalog.QUERIES)
