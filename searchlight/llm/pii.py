@@ -1,16 +1,19 @@
 """Information-theoretic sanitisation over whole texts.
 
 Patterns find the protected entities: e-mail addresses, IP addresses, card and phone numbers. What a document
-says elsewhere can reveal them as well. So the terms of each document that mentions an entity are counted
-with it over the whole corpus, and a term's pointwise mutual information with the entity,
-log2(p(entity, term) / (p(entity) p(term))), is held against the entity's own information -log2 p(entity):
-from ``generalise_from`` times of it on the term is generalised, from ``remove_from`` times on (each
-document with the term names the entity) it is removed. A mention's surroundings are ``WIDTH`` characters on
-either side, or further on to the term; a term needs at least ``least_contexts`` different ones, so copies
-of one passage are not evidence. Revealing terms are replaced wherever any document has them.
-
-Only texts with mentions are kept between the passes. Document frequencies add up in each task before the
-shuffle, and terms in too many documents for an entity are left out before anything is counted with it.
+says elsewhere can reveal them as well. So terms (runs of letters and digits outside those spans) are counted in
+documents: n of them in all, n_c name the entity, n_t hold the term, n_ct do both. The pointwise mutual
+information log2(n n_ct / (n_c n_t)) tells how strongly the term reveals the entity; it is held against the
+entity's own information log2(n / n_c). From ``generalise_from`` times of it on the term is generalised to its
+class, from ``remove_from`` times on (each document with the term names the entity) it is removed, in every
+document that has it. Copies of one passage are no evidence: a document counts as evidence by the ``WIDTH``
+characters on either side of its mention, and a term needs ``least_contexts`` different ones.
+
+What is counted shrinks step by step. Only documents with mentions are kept between the passes, and of those only
+entities with enough different surroundings are counted with terms. A term's count among the documents with mentions
+bounds its count in all of them from below, which leaves few terms to be counted in the whole corpus. Every
+count adds up in each task before its shuffle, and the terms found meet the texts by a join, which is a broadcast
+while there are few of them.
 """
 
 from __future__ import annotations
@@ -19,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from searchlight.llm.common import materialised
-from searchlight.llm.ppm import frequent
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' patterns. Quantifiers that need no way back are possessive, and runs are entered at their beginning
@@ -31,22 +33,27 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++)*+"
-#: Characters on either side of a mention that are its surroundings at least; shortest term.
-WIDTH, LEAST_LETTERS = 60, 4
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+#: Characters on either side of a mention that are its surroundings; shortest term; most terms or texts that are broadcast.
+WIDTH, LEAST_LETTERS, MOST_BROADCAST = 60, 4, 100_000
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+#: Classes that terms are generalised to, by what they look like; the first that matches.
+CLASSES = {r"^\p{N}+$": "[NUMBER]", r"\p{N}": "[CODE]", r"^\p{Lu}": "[NAME]", "": "[TERM]"}
 
 
 def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matches(text: str, values: str, pattern: str) -> str:
-    """SQL: array<struct<s, e, v>> of a column's matches, whose ``values`` regexp_extract_all has given; code points, end exclusive."""
+def matches(text: str, values: str, pattern: str, wanted: str, at: str = "0") -> str:
+    """SQL: array<struct<s, e, v>> of those matches m in a text for which ``wanted`` holds; code points, end exclusive.
+
+    regexp_extract_all has given the ``values`` of all matches; the text begins at place ``at``.
+    """
     gaps = f"split({text}, {_text(pattern)}, -1)"
     return f"""case when size({values}) = 0 then cast(array() as array<struct<s:int,e:int,v:string>>) else
       aggregate(zip_with(slice({gaps}, 1, size({values})), {values}, (g, v) -> struct(length(g) as g, v as v)),
-        struct(0 as at, cast(array() as array<struct<s:int,e:int,v:string>>) as out),
-        (a, x) -> struct(a.at + x.g + length(x.v) as at, concat(a.out, array(struct(a.at + x.g as s, a.at + x.g + length(x.v) as e, x.v as v))) as out),
+        struct({at} as at, cast(array() as array<struct<s:int,e:int,v:string>>) as out),
+        (a, m) -> struct(a.at + m.g + length(m.v) as at, case when {wanted} then concat(a.out, array(struct(a.at + m.g as s, a.at + m.g + length(m.v) as e, m.v as v))) else a.out end as out),
         a -> a.out) end"""
 
 
@@ -59,7 +66,7 @@ def _valid(kind: str) -> str:
     if kind == "card":
         # Luhn: from the right, every second digit is doubled, and the digits of the result are added.
         return f"""length({digits}) between 14 and 19 and aggregate(transform(sequence(1, least(length({digits}), 19)),
-          i -> cast(substring(reverse({digits}), i, 1) as int) * (2 - i % 2)), 0, (a, d) -> a + if(d > 9, d - 9, d)) % 10 = 0"""
+          i -> cast(substring(reverse({digits}), i, 1) as int) * (2 - i % 2)), 0, (s, d) -> s + if(d > 9, d - 9, d)) % 10 = 0"""
     return "true"
 
 
@@ -68,74 +75,78 @@ def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     prefilter = {"email": "instr(__text, '@') > 0", "ip": "instr(__text, '.') > 0", "card": "true", "phone": "instr(__text, '+') > 0"}
     found = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     found = found.select("*", *[F.expr(f"case when {prefilter[k]} then regexp_extract_all(__text, {_text(PATTERNS[k])}, 0) else cast(array() as array<string>) end").alias(f"__v_{k}") for k in KINDS])
-    parts = [f"transform(filter({matches('__text', f'__v_{k}', PATTERNS[k])}, m -> {_valid(k)}), m -> struct(m.s as s, {i} as k, m.e as e, m.v as v))" for i, k in enumerate(KINDS)]
+    parts = [f"transform({matches('__text', f'__v_{k}', PATTERNS[k], _valid(k))}, m -> struct(m.s as s, {i} as k, m.e as e, m.v as v))" for i, k in enumerate(KINDS)]
     return found.withColumn("__base", F.expr(f"array_sort(concat({', '.join(parts)}))")).drop(*[f"__v_{k}" for k in KINDS])
 
 
+def with_parts(found: DataFrame) -> DataFrame:
+    """Adds __parts: array<struct<at, t, k>>, the text between the base spans, where it begins, and the kind of the span that follows (null at the end).
+
+    A span that reaches beyond one that it overlaps follows an empty part, so no character of a span is in a part.
+    """
+    parts = """aggregate(__base, struct(0 as at, cast(array() as array<struct<at:int,t:string,k:int>>) as out),
+      (a, x) -> case when x.e <= a.at then a else struct(x.e as at, concat(a.out, array(struct(a.at as at, substring(__text, a.at + 1, greatest(x.s - a.at, 0)) as t, x.k as k))) as out) end,
+      a -> concat(a.out, array(struct(a.at as at, substring(__text, a.at + 1, length(__text)) as t, cast(null as int) as k))))"""
+    return found.withColumn("__parts", F.expr(f"case when size(__base) = 0 then array(struct(0 as at, __text as t, cast(null as int) as k)) else {parts} end"))
+
+
+def terms() -> Column:
+    """The distinct terms of __parts, in lower case."""
+    found = f"regexp_extract_all(array_join(transform(__parts, p -> p.t), '\\n'), {_text(TERM)}, 0)"
+    return F.expr(f"array_distinct(transform(filter({found}, v -> length(v) >= {LEAST_LETTERS}), v -> lower(v)))")
+
+
 def joined(spans: str) -> str:
     """SQL: kind:start:end of sorted spans, comma-joined."""
     names = f"array({', '.join(_text(k) for k in (*KINDS, 'term'))})"
     return f"array_join(transform({spans}, x -> concat({names}[x.k], ':', x.s, ':', x.e)), ',')"
 
 
-def values_of(text: str) -> str:
-    """SQL: all terms of a text in their order."""
-    return f"regexp_extract_all({text}, {_text(TERM)}, 0)"
-
-
-def places(text: str, values: str, base: str) -> str:
-    """SQL: array<struct<s, e, v>> of a text's terms in lower case that are long enough and outside the base spans."""
-    return f"filter(transform({matches(text, values, TERM)}, m -> struct(m.s as s, m.e as e, lower(m.v) as v)), m -> length(m.v) >= {LEAST_LETTERS} and not exists({base}, o -> o.s < m.e and m.s < o.e))"
-
-
-def _with_mentions(found: DataFrame) -> DataFrame:
-    """Adds __mentions: entity and place of each base span."""
-    names = f"array({', '.join(_text(k) for k in KINDS)})"
-    return found.withColumn("__mentions", F.expr(f"transform(__base, b -> struct(concat({names}[b.k], ':', lower(b.v)) as entity, b.s as s, b.e as e))"))
-
-
-def revealing_terms(docs: DataFrame, *, least_contexts: int = 3, generalise_from: float = 0.9, remove_from: float = 1.0) -> dict[str, bool]:
-    """The terms to sanitise, and whether to remove them, from docs with the column text."""
-    spark = docs.sparkSession
-    small = _with_mentions(with_base(docs.select("text"))).where(F.size("__base") > 0).withColumn("row", F.monotonically_increasing_id())
-    small = materialised(small.select("row", "__text", F.expr("transform(__base, b -> struct(b.s as s, b.e as e))").alias("base"), "__mentions"))
-    mentions = small.select("row", F.inline("__mentions"))
-    n_c = mentions.groupBy("entity", "row").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("n_c"), F.sum("n").alias("n"))
-    n_c = materialised(n_c.where(F.col("n") >= least_contexts).select("entity", "n_c"))
-    n, least = docs.count(), n_c.agg(F.min("n_c")).first()[0]
-    if least is None:
-        return {}
-    words = docs.select(F.explode(F.array_distinct(F.expr("transform(" + values_of("coalesce(text, '')") + ", t -> lower(t))"))).alias("t"))
-    n_t = materialised(words.groupBy("t").agg(F.count("*").alias("n")))
-    # The mutual information cannot reach the threshold for a term in more documents than this.
-    bound = lambda own: n * (own / n) ** generalise_from * (1 + 1e-9)
-    common = F.broadcast(frequent(n_t.where(F.col("n") > bound(least)), 100_000).select("t", F.col("n").alias("often")))
-    spots = small.select("row", "base", "__text", F.expr(values_of("__text")).alias("v")).select("row", F.expr(f"inline({places('__text', 'v', 'base')})")).withColumnsRenamed({"s": "ts", "e": "te", "v": "t"})
-    rare = spots.join(common, "t", "left").groupBy("row", "t").agg(F.first("often").alias("often"), F.collect_list(F.struct("ts", "te")).alias("at"))
-    own = mentions.join(n_c, "entity").join(rare, "row").where(F.coalesce("often", F.lit(0)) <= F.expr(f"{n} * pow(n_c / {n}, {generalise_from}) * (1 + 1e-9)"))
-    near = F.expr("array_min(transform(at, x -> struct(greatest(x.ts - e, s - x.te) as far, x.ts as ts, x.te as te)))")
-    own = own.select("row", "entity", "t", "s", "e", near.alias("x")).join(small.select("row", "__text"), "row")
-    context = F.expr(f"xxhash64(substring(__text, greatest(least(x.ts, s - {WIDTH}), 0) + 1, greatest(x.te, e + {WIDTH}) - greatest(least(x.ts, s - {WIDTH}), 0)))")
-    own = own.select("row", "entity", "t", context.alias("context")).groupBy("row", "entity", "t").agg(F.collect_set("context").alias("contexts"))
-    together = own.select("entity", "t", F.posexplode("contexts").alias("i", "context")).groupBy("entity", "t", "context").agg(F.count_if(F.col("i") == 0).alias("n_ct"))
-    together = together.groupBy("entity", "t").agg(F.sum("n_ct").alias("n_ct"), F.count("*").alias("contexts"))
-    pairs = together.where(F.col("contexts") >= least_contexts).join(n_c, "entity").join(n_t.select("t", F.col("n").alias("n_t")), "t")
-    information = -F.log2(F.col("n_c") / n)
-    shared = F.log2(F.col("n_ct") * float(n) / (F.col("n_c") * F.col("n_t")))
-    risky = pairs.where(shared >= generalise_from * information - 1e-9).groupBy("t").agg(F.bool_or(shared >= remove_from * information - 1e-9).alias("remove"))
-    found = risky.toArrow()
-    return dict(zip(found["t"].to_pylist(), found["remove"].to_pylist()))
-
-
-def with_terms(found: DataFrame, risky: dict[str, bool]) -> DataFrame:
-    """Adds the places of revealing terms to __base, as one kind more (two for those to remove)."""
-    if not risky:
-        return found
-    kinds = F.create_map(*[F.lit(x) for t, gone in risky.items() for x in (t, len(KINDS) + gone)])
-    found = found.withColumn("__v", F.expr(values_of("__text"))).withColumn("__v", F.when(F.arrays_overlap(F.expr("transform(__v, t -> lower(t))"), F.array(*map(F.lit, risky))), F.col("__v")).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("__terms", F.expr(places("__text", "__v", "__base")))
-    terms = F.transform(F.filter("__terms", lambda m: F.map_contains_key(kinds, m["v"])), lambda m: F.struct(m["s"].alias("s"), kinds[m["v"]].alias("k"), m["e"].alias("e"), F.lit("").alias("v")))
-    return found.withColumn("__terms", terms).withColumn("__base", F.expr("array_sort(concat(__base, __terms))")).drop("__v", "__terms")
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, marked for a broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def disclosures(docs: DataFrame, *, least_contexts: int = 3, generalise_from: float = 0.9) -> DataFrame:
+    """(entity, t, n, n_c, n_t, n_ct, contexts, information, shared): the pairs whose mutual information reaches the threshold."""
+    whole = with_parts(with_base(docs.select("text")))
+    name = f"concat(array({', '.join(_text(k) for k in KINDS)})[b.k], ':', case when b.k < 2 then lower(b.v) else regexp_replace(b.v, '[^0-9]', '') end)"
+    context = f"xxhash64(substring(__text, greatest(b.s - {WIDTH}, 0) + 1, b.e + {WIDTH} - greatest(b.s - {WIDTH}, 0)))"
+    small = whole.where(F.size("__base") > 0).select(F.monotonically_increasing_id().alias("row"), F.expr(f"transform(__base, b -> struct({name} as entity, {context} as context))").alias("mentions"), terms().alias("terms"))
+    small = materialised(small)
+    mentions = small.select("row", F.inline("mentions")).groupBy("row", "entity").agg(F.min("context").alias("context"))
+    own = mentions.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_c"), F.count("*").alias("contexts"))
+    own = materialised(own.where(F.col("contexts") >= least_contexts).select("entity", "n_c"))
+    n = docs.count()
+    held = small.select("row", F.explode("terms").alias("t"))
+    together = mentions.join(_few(own), "entity").join(held, "row").groupBy("entity", "t", "n_c", "context").agg(F.count("*").alias("n"))
+    together = together.groupBy("entity", "t", "n_c").agg(F.sum("n").alias("n_ct"), F.count("*").alias("contexts")).where(F.col("contexts") >= least_contexts)
+    information = F.log2(F.lit(float(n)) / F.col("n_c"))
+    shared = lambda n_t: F.log2(F.col("n_ct") * float(n) / (F.col("n_c") * F.col(n_t)))
+    reaches = lambda n_t: shared(n_t) >= generalise_from * information - 1e-9
+    at_least = held.groupBy("t").agg(F.count("*").alias("n_with_mentions"))
+    together = materialised(together.join(at_least, "t").where(reaches("n_with_mentions")).drop("n_with_mentions"))
+    wanted = materialised(together.select("t").distinct())
+    everywhere = whole.select(F.explode(terms()).alias("t")) if not wanted.isEmpty() else held.select("t")
+    n_t = everywhere.join(_few(wanted), "t").groupBy("t").agg(F.count("*").alias("n_t"))
+    found = together.join(n_t, "t").where(reaches("n_t"))
+    return found.select("entity", "t", F.lit(n).cast("bigint").alias("n"), "n_c", "n_t", "n_ct", "contexts", information.alias("information"), shared("n_t").alias("shared"))
+
+
+def with_risky_terms(docs: DataFrame, *, remove_from: float = 1.0, **how) -> DataFrame:
+    """docs with __text, __base, __parts and __risky: the map of the text's terms to sanitise, and whether to remove them (null if there are none)."""
+    whole = with_parts(with_base(docs))
+    pairs = disclosures(docs, **how)
+    risky = materialised(pairs.groupBy("t").agg(F.bool_or(F.col("shared") >= remove_from * F.col("information") - 1e-9).alias("remove")))
+    if risky.isEmpty():
+        return whole.withColumn("__risky", F.lit(None).cast("map<string,boolean>"))
+    # Texts, not rows, meet their terms: two hashes name a text, and its copies share an entry.
+    key = [F.xxhash64("__text").alias("__key"), F.xxhash64(F.lit(1), "__text").alias("__key2")]
+    hits = whole.select(*key, F.explode(terms()).alias("t")).join(_few(risky), "t").distinct().groupBy("__key", "__key2").agg(F.map_from_entries(F.collect_list(F.struct("t", "remove"))).alias("__risky"))
+    return whole.select("*", *key).join(_few(materialised(hits)), ["__key", "__key2"], "left").drop("__key", "__key2")
+
+
+RISKY = f"length(m.v) >= {LEAST_LETTERS} and map_contains_key(__risky, lower(m.v))"
 
 
 def find_spans(docs: DataFrame, **how) -> DataFrame:
@@ -143,21 +154,25 @@ def find_spans(docs: DataFrame, **how) -> DataFrame:
 
     Null and empty texts have no spans. Rows count by themselves, equal ones alike, and null ids stay null.
     """
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = with_base(own).withColumn("__own", F.col("__base"))
-    found = with_terms(found, revealing_terms(own, **how)).withColumn("__all", F.expr(f"transform(__base, x -> struct(x.s as s, least(x.k, {len(KINDS)}) as k, x.e as e))"))
-    counts = [F.expr(f"cast(size(filter(__own, x -> x.k = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(F.expr(joined("__own")), 256).alias("base_sha256"), F.expr(joined("__all")).alias("spans"))
+    found = with_risky_terms(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), **how)
+    values = f"regexp_extract_all(p.t, {_text(TERM)}, 0)"
+    places = f"flatten(transform(__parts, p -> {matches('p.t', values, TERM, RISKY, 'p.at')}))"
+    found = found.withColumn("__all", F.expr(f"""case when __risky is null then transform(__base, x -> struct(x.s as s, x.k as k, x.e as e)) else
+      array_sort(concat(transform(__base, x -> struct(x.s as s, x.k as k, x.e as e)), transform({places}, x -> struct(x.s as s, {len(KINDS)} as k, x.e as e)))) end"""))
+    counts = [F.expr(f"cast(size(filter(__base, x -> x.k = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(F.expr(joined("__base")), 256).alias("base_sha256"), F.expr(joined("__all")).alias("spans"))
 
 
 def sanitise(docs: DataFrame, **how) -> DataFrame:
-    """docs with each base span replaced by its kind's label, revealing terms by a label or, where they name the entity, by nothing.
+    """docs with each base span replaced by its kind's label, revealing terms by their class or, where they name the entity, by nothing.
 
-    Of overlapping spans the first one is replaced. Null texts stay null; all columns and rows stay.
+    Of overlapping spans each that reaches beyond the one before it leaves a label. Null texts stay null; all columns and rows stay.
     """
-    done = with_terms(with_base(docs), revealing_terms(docs.select("text"), **how))
-    labels = f"array({', '.join(_text(LABELS[k]) for k in (*KINDS, 'term'))}, '')"
-    text: Column = F.expr(f"""case when size(__base) = 0 then text else aggregate(__base, struct(0 as at, cast(array() as array<string>) as out),
-        (a, x) -> case when x.s < a.at then a else struct(x.e as at, concat(a.out, array(substring(__text, a.at + 1, x.s - a.at), {labels}[x.k])) as out) end,
-        a -> concat(array_join(a.out, ''), substring(__text, a.at + 1, length(__text)))) end""")
-    return done.withColumn("text", text).select(*docs.columns)
+    found = with_risky_terms(docs, **how)
+    label = f"case when p.k is null then '' else array({', '.join(_text(LABELS[k]) for k in KINDS)})[p.k] end"
+    general = f"case {' '.join(f'when m.v rlike {_text(pattern)} then {_text(name)}' for pattern, name in CLASSES.items())} end"
+    value = f"case when not ({RISKY}) then m.v when __risky[lower(m.v)] then '' else {general} end"
+    values = f"transform(transform(regexp_extract_all(p.t, {_text(TERM)}, 0), v -> struct(v as v)), m -> {value})"
+    clean = f"case when __risky is null then p.t else array_join(zip_with(split(p.t, {_text(TERM)}, -1), concat({values}, array('')), (g, v) -> concat(g, v)), '') end"
+    text = F.expr(f"case when size(__base) = 0 and __risky is null then text else array_join(transform(__parts, p -> concat({clean}, {label})), '') end")
+    return found.withColumn("text", text).select(*docs.columns)
