@@ -1,15 +1,16 @@
 """Language-model scores by prediction by partial matching (PPM), pretrained on the corpus.
 
-The model is a trie of byte contexts within words: each byte of a word, and the blank that ends it, is
-predicted from up to ``order`` bytes before it, back to the blank that begins the word. Escapes follow
-method C (the escape counts as often as a context has different successors), and a symbol that a longer
-context knows is excluded from the shorter ones. So a word's code length depends on the word alone: it is
-computed once for each distinct word, and a text's score is the sum over its words and its end.
-
-Plan: one pass adds words up in each task, one shuffle sums them. The trie's counts come from the
-distinct words. If they are at most ``max_model`` numbers they are broadcast; else words' events are dealt
-out by the last two context bytes, and each task holds the part of the trie below them. Texts are scored
-by a broadcast table of the ``table_size`` most frequent words; only the other words go through a join.
+A text is read as its words in lower case with one blank between them and an end. The model is a trie of byte
+contexts: each byte is predicted from up to ``order`` bytes before it, across words and back to the text's
+beginning. Escapes follow method C (the escape counts as often as a context has different successors), and a symbol
+that a longer context knows is excluded from the shorter ones. A text's score is the log10 probability of all
+its bytes.
+
+A gram is a context with its symbol, as one number. Each task adds its grams up before one shuffle sums them. If the
+trie has at most ``max_model`` counts it is broadcast. Else it stays a table: each task's texts are cut into chunks
+of at most ``CHUNK`` bytes, the chunks' distinct grams are scored by one join an order, and each chunk meets its
+scores. The base score's unigrams are counted and looked up alike: the ``table_size`` most frequent words are
+broadcast, the others of a text go through a join.
 """
 
 from __future__ import annotations
@@ -20,57 +21,52 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from searchlight.llm.common import materialised
+from searchlight.llm.common import materialised, slices
 
-BLANK, END = 0x20, b"\n"
+END = b"\n"
 ORDER = 5
-#: Distinct words, and trie counts, that a task holds before it passes them on.
-MOST_WORDS, MOST_GRAMS = 400_000, 2_000_000
+#: Distinct words, and grams, that a task holds before it passes them on; bytes of the texts of a chunk.
+MOST_WORDS, MOST_GRAMS, CHUNK = 400_000, 2_000_000, 16 << 20
+#: Where a gram has its order (the bytes of its context); its bytes stand below, the symbol lowest.
+TOP = np.uint64(56)
 
 
-def events(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The longest gram of every predicted byte, and which word it belongs to: (codes, orders, word numbers).
+def events(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The longest gram of every predicted byte, text after text, and how many each text has.
 
-    A gram of order j is j context bytes and the symbol, as a number of j + 1 bytes below j in the top byte. The end of
-    a text is a word of its own without a closing blank.
+    A text begins with its END byte as context and is closed by it.
     """
-    buffer = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    n = np.arange(len(buffer))
-    blank = buffer == BLANK
-    last = np.maximum.accumulate(np.where(blank, n, 0))
-    before = np.concatenate([[0], last[:-1]])
-    orders = np.minimum(n - before, order)
-    number = np.cumsum(blank) - 1 - blank
+    parts = [END + b" ".join(text.lower().split()) + END for text in texts]
+    buffer = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    begins = np.cumsum(sizes) - sizes
     wide = buffer.astype(np.uint64)
-    codes = wide.copy()
+    codes = wide | np.uint64(order) << TOP
     for j in range(1, order + 1):
-        deep = orders >= j
-        codes[deep] |= wide[n[deep] - j] << np.uint64(8 * j)
-    codes |= orders.astype(np.uint64) << np.uint64(56)
-    ends = np.fromiter((w == END for w in words), bool, len(words))
-    keep = n > 0
-    if ends.any():
-        keep &= ~(blank & ends[np.maximum(number, 0)])
-    return codes[keep], orders[keep], number[keep]
+        codes[j:] |= wide[:-j] << np.uint64(8 * j)
+    for j in range(order):
+        at = begins[sizes > j] + j
+        codes[at] = codes[at] & np.uint64((1 << 8 * (j + 1)) - 1) | np.uint64(j) << TOP
+    return np.delete(codes, begins), sizes - 1
 
 
 def shorter(codes: np.ndarray) -> np.ndarray:
     """The grams without their oldest context byte (order 1 or more)."""
-    order = (codes >> np.uint64(56)) - np.uint64(1)
-    return (codes & ((np.uint64(1) << (np.uint64(8) * (order + np.uint64(1)))) - np.uint64(1))) | order << np.uint64(56)
+    order = (codes >> TOP) - np.uint64(1)
+    return (codes & ((np.uint64(1) << (np.uint64(8) * (order + np.uint64(1)))) - np.uint64(1))) | order << TOP
 
 
 def context(codes: np.ndarray) -> np.ndarray:
     """A number for the context of each gram."""
-    low = (np.uint64(1) << np.uint64(56)) - np.uint64(1)
+    low = (np.uint64(1) << TOP) - np.uint64(1)
     return (codes & ~low) | (codes & low) >> np.uint64(8)
 
 
 def summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, at = np.unique(codes, return_inverse=True)
+    at, distinct = pd.factorize(codes)
     return distinct, np.bincount(at, counts, len(distinct)).astype(np.int64)
 
 
@@ -78,15 +74,15 @@ def all_orders(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     """The grams and all their shorter ones, with their counts."""
     parts = [(codes, counts)]
     while len(codes):
-        keep = codes >> np.uint64(56) > 0
+        keep = codes >> TOP > 0
         codes, counts = summed(shorter(codes[keep]), counts[keep])
         parts.append((codes, counts))
     return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
 
 class Trie:
-    """The counts of grams with what the escapes need: for each context its total, its number of symbols and the
-    total that its symbols have in the next shorter context."""
+    """The counts of grams (in ascending order) with what the escapes need: for each context its total, its number of symbols and
+    the total that its symbols have in the next shorter context."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
         at = np.argsort(codes)
@@ -95,7 +91,7 @@ class Trie:
         self.total = np.bincount(index, self.counts, len(self.contexts))
         self.symbols = np.bincount(index, minlength=len(self.contexts)).astype(float)
         self.below = np.zeros(len(self.contexts))
-        deep = self.codes >> np.uint64(56) > 0
+        deep = self.codes >> TOP > 0
         np.add.at(self.below, index[deep], self.find(shorter(self.codes[deep])))
 
     def find(self, codes: np.ndarray) -> np.ndarray:
@@ -107,7 +103,8 @@ class Trie:
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """The log10 probability of each gram's symbol after its context."""
         out = np.zeros(len(codes))
-        todo = np.arange(len(codes))
+        todo = np.argsort(codes)  # neighbours in the trie are looked up one after the other
+        codes = codes[todo]
         less_total, less_symbols = np.zeros(len(codes)), np.zeros(len(codes))
         while len(todo):
             c = context(codes)
@@ -123,17 +120,18 @@ class Trie:
             less_total = np.where(known, self.below[at] if len(self.contexts) else 0, less_total)
             less_symbols = np.where(known, self.symbols[at] if len(self.contexts) else 0, less_symbols)
             left = ~seen
-            final = left & (codes >> np.uint64(56) == 0)
+            final = left & (codes >> TOP == 0)
             out[todo[final]] -= np.log10(np.maximum(256 - less_symbols[final], 1))
             left &= ~final
             codes, todo, less_total, less_symbols = shorter(codes[left]), todo[left], less_total[left], less_symbols[left]
         return out
 
 
-def word_scores(words: list[bytes], trie: Trie, order: int = ORDER) -> np.ndarray:
-    codes, _, number = events(words, order)
-    distinct, at = np.unique(codes, return_inverse=True)
-    return np.bincount(number, trie.log10(distinct)[at], len(words))
+def text_scores(texts: list[bytes], log10, order: int = ORDER) -> np.ndarray:
+    """The score of each text; ``log10`` gives those of distinct grams."""
+    codes, sizes = events(texts, order)
+    at, distinct = pd.factorize(codes)
+    return np.bincount(np.repeat(np.arange(len(texts)), sizes), log10(distinct)[at], len(texts))
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -167,8 +165,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n_train").alias("n_train"), F.sum("n").alias("n"))
 
 
-def count_grams(words: DataFrame, order: int = ORDER) -> DataFrame:
-    """(code, n): the trie's counts from (word, n_train)."""
+def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(code, n): the trie's counts from the texts of ``marked`` documents that are not held out."""
 
     def run(batches):
         held: list[tuple] = []
@@ -179,66 +177,101 @@ def count_grams(words: DataFrame, order: int = ORDER) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], ["code", "n"])
 
         size = 0
-        for batch in batches:
-            if batch.num_rows:
-                codes, _, number = events(batch.column(0).to_pylist(), order)
-                held.append(summed(codes, batch.column(1).to_numpy()[number]))
-                size += len(held[-1][0])
+        for batch in (own for batch in batches for own in slices(batch, 0)):
+            held.append(np.unique(events(batch.column(0).to_pylist(), order)[0], return_counts=True))
+            size += len(held[-1][0])
             if size > MOST_GRAMS:
                 yield merged()
                 size = 0
         if held:
             yield merged()
 
-    return words.where("n_train > 0").select("word", "n_train").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
+    return docs.where("not held_out").select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
-def _arrays(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    found = grams.toArrow()
-    return found["code"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.int64)
 
-
-def score_words(words: DataFrame, grams: DataFrame, *, order: int = ORDER, max_model: int = 8_000_000) -> DataFrame:
-    """words with the column score: the log10 probability of the word's bytes and its closing blank."""
+def add_scores(rows: DataFrame, grams: DataFrame, *, order: int = ORDER, max_model: int = 6_000_000) -> DataFrame:
+    """rows (with the column text, which goes) with the column score."""
     grams = materialised(grams)
+    names = [f.name for f in rows.schema if f.name != "text"]
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", score double"
     if grams.count() > max_model:
-        return _score_words_apart(words, grams, order)
-    model = words.sparkSession.sparkContext.broadcast(_arrays(grams))
+        return _add_scores_apart(rows, grams, order, names, types)
+    found = grams.sort("code").toArrow()
+    model = rows.sparkSession.sparkContext.broadcast((found["code"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.int64)))
 
     def run(batches):
         trie = None
         for batch in batches:
-            if trie is None:
-                trie = Trie(*model.value)
-            scores = word_scores(batch.column("word").to_pylist(), trie, order) if batch.num_rows else np.zeros(0)
-            yield batch.append_column("score", pa.array(scores))
+            for own in slices(batch, batch.schema.get_field_index("text")):
+                trie = trie or Trie(*model.value)
+                yield own.select(names).append_column("score", pa.array(text_scores(own.column("text").to_pylist(), trie.log10, order)))
 
-    return words.mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in words.schema)}, score double")
+    return rows.mapInArrow(run, types)
 
 
-def _score_words_apart(words: DataFrame, grams: DataFrame, order: int) -> DataFrame:
-    """score_words without a broadcast trie: events meet the part of the trie below their last two context bytes."""
-    part = F.when(F.shiftrightunsigned("code", 56) >= 2, F.shiftrightunsigned("code", 8).bitwiseAND(0xFFFF)).otherwise(F.lit(-1))
-    low = grams.sparkSession.sparkContext.broadcast(_arrays(grams.where(F.shiftrightunsigned("code", 56) < 2)))  # at most 65 792 rows
+def _order(code: str) -> Column:
+    return F.shiftrightunsigned(code, 56)
+
+
+def _context(code: str) -> Column:
+    return F.expr(f"(shiftrightunsigned({code}, 56) << 56) | shiftrightunsigned({code} & {(1 << 56) - 1}L, 8)")
 
-    def cut(batches):
-        for batch in batches:
-            if batch.num_rows:
-                codes, _, number = events(batch.column(0).to_pylist(), order)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(number)), pa.array(codes.view(np.int64))], ["word", "code"])
 
-    cuts = materialised(words.select("word").mapInArrow(cut, "word binary, code bigint"))
+def _shorter(code: str) -> Column:
+    return F.expr(f"((shiftrightunsigned({code}, 56) - 1) << 56) | ({code} & ((1L << cast(8 * shiftrightunsigned({code}, 56) as int)) - 1))")
 
-    def score(own: pd.DataFrame, deep: pd.DataFrame) -> pd.DataFrame:
-        codes, counts = low.value
-        trie = Trie(np.concatenate([codes, deep["code"].to_numpy(np.int64).view(np.uint64)]), np.concatenate([counts, deep["n"].to_numpy(np.int64)]))
-        return pd.DataFrame({"code": own["code"], "p": trie.log10(own["code"].to_numpy(np.int64).view(np.uint64))})
 
-    distinct = cuts.select("code").distinct().withColumn("part", part).groupBy("part")
-    below = grams.where(F.shiftrightunsigned("code", 56) >= 2).withColumn("part", part).groupBy("part")
-    scored = materialised(distinct.cogroup(below).applyInPandas(score, "code bigint, p double"))
-    sums = cuts.join(scored, "code").groupBy("word").agg(F.sum("p").alias("score"))
-    return words.join(sums, "word")
+def score_grams(codes: DataFrame, grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(code, p) for the distinct grams in column code: what ``Trie.log10`` gives, by one pair of joins an order."""
+    lower = grams.select(F.col("code").alias("short"), F.col("n").alias("below"))
+    stats = grams.withColumns({"context": _context("code"), "short": F.when(_order("code") > 0, _shorter("code"))}).join(lower, "short", "left")
+    stats = materialised(stats.groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.count("*").cast("double").alias("symbols"), F.coalesce(F.sum("below"), F.lit(0)).cast("double").alias("below")))
+    todo = codes.select("code", F.col("code").alias("at"), F.lit(0.0).alias("p"), F.lit(0.0).alias("less_total"), F.lit(0.0).alias("less_symbols"))
+    done = None
+    for k in range(order, -1, -1):
+        now = todo.where(_order("at") == k).withColumn("context", _context("at")).join(stats, "context", "left").join(grams.select(F.col("code").alias("at"), "n"), "at", "left")
+        known, total, symbols = F.col("total").isNotNull(), F.col("total") - F.col("less_total"), F.col("symbols") - F.col("less_symbols")
+        share = F.coalesce(F.when(total + symbols > 0, F.log10(F.coalesce("n", symbols) / (total + symbols))), F.lit(0.0))
+        now = now.select("code", "at", (F.col("p") + share).alias("p"), F.when(known, F.col("below")).otherwise(F.col("less_total")).alias("less_total"), F.when(known, F.col("symbols")).otherwise(F.col("less_symbols")).alias("less_symbols"), F.col("n").isNotNull().alias("seen"))
+        now = materialised(now)
+        last = F.when(F.col("seen"), F.col("p")).otherwise(F.col("p") - F.log10(F.greatest(256 - F.col("less_symbols"), F.lit(1.0))))
+        ended = now.where("seen").select("code", "p") if k else now.select("code", last.alias("p"))
+        done = ended if done is None else done.unionByName(ended)
+        todo = todo.where(_order("at") < k).unionByName(now.where("not seen").withColumn("at", _shorter("at")).drop("seen")) if k else None
+        todo = materialised(todo) if k else None
+    return done
+
+
+def _add_scores_apart(rows: DataFrame, grams: DataFrame, order: int, names: list[str], types: str) -> DataFrame:
+    """add_scores without a broadcast trie: chunks of texts give their distinct grams and get the scores of these."""
+
+    def cut(batches):
+        own = number = 0
+        for batch in (own for batch in batches for own in slices(batch, batch.schema.get_field_index("text"))):
+            number, own = (number + 1, 0) if own > CHUNK else (number, own + batch.nbytes)
+            yield batch.append_column("number", pa.array(np.full(batch.num_rows, number)))
+
+    chunks = rows.mapInArrow(cut, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", number bigint")
+    chunks = materialised(chunks.withColumn("chunk", F.spark_partition_id() * F.lit(1 << 32) + F.col("number")).drop("number"))
+
+    def give(batches):
+        for batch in (own for batch in batches for own in slices(batch, 1)):
+            chunk = batch.column(0).to_numpy()
+            for c in np.unique(chunk):
+                codes = np.unique(events(batch.column(1).filter(pa.array(chunk == c)).to_pylist(), order)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), c)), pa.array(codes.view(np.int64))], ["chunk", "code"])
+
+    wanted = materialised(chunks.select("chunk", "text").mapInArrow(give, "chunk bigint, code bigint").distinct())
+    scored = wanted.join(score_grams(wanted.select("code").distinct(), grams, order), "code")
+
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        codes, p = known["code"].to_numpy().view(np.uint64), known["p"].to_numpy()
+        at = np.argsort(codes)
+        codes, p = codes[at], p[at]
+        found = text_scores(texts["text"].to_pylist(), lambda c: p[np.searchsorted(codes, c)], order) if texts.num_rows else np.zeros(0)
+        return texts.select(names).append_column("score", pa.array(found))
+
+    return chunks.groupBy("chunk").cogroup(scored.groupBy("chunk")).applyInArrow(score, types)
 
 
 def frequent(words: DataFrame, most: int) -> DataFrame:
@@ -253,26 +286,26 @@ def frequent(words: DataFrame, most: int) -> DataFrame:
     return words.where(F.lit(False)) if least is None else words.where(F.floor(F.log2("n") * 16) >= least)
 
 
-def score_documents(docs: DataFrame, *, order: int = ORDER, table_size: int = 200_000, max_model: int = 8_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, *, order: int = ORDER, table_size: int = 200_000, longest: int = 64, max_model: int = 6_000_000) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words in lower case (ASCII) and one end; null and empty texts have only the end. base_score is the
-    add-one unigram score, score the PPM model's log10 probability of all words with the blanks that end them and the end.
-    An empty training part makes every token unknown. Equal rows are scored alike; other columns are ignored.
+    add-one unigram score, score the PPM model's log10 probability of the words with a blank between them and the end.
+    An empty training part makes every token unknown. Equal rows are scored alike; other columns are ignored. The
+    broadcast table holds words of at most ``longest`` bytes, which bounds its size.
     """
     spark = docs.sparkSession
     source = marked(docs)
-    counted = materialised(count_words(source))
-    n, v = counted.where("n_train > 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count("*")).first()
-    words = materialised(score_words(counted, count_grams(counted, order), order=order, max_model=max_model))
-    table = spark.sparkContext.broadcast(frequent(words, table_size).select("word", "n_train", "score").toArrow().to_pydict())
+    words = materialised(count_words(source))
+    n, v = words.where("n_train > 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count("*")).first()
+    table = spark.sparkContext.broadcast(frequent(words.where(F.octet_length("word") <= longest), table_size).select("word", "n_train").toArrow().to_pydict())
     scale = float(np.log10(n + v + 1))
 
     def run(batches):
         number = {w: i for i, w in enumerate(table.value["word"])}
         counts = np.array(table.value["n_train"], float)
-        base, score, known = np.log10(counts + 1), np.array(table.value["score"], float), counts > 0
-        for batch in batches:
+        base, known = np.log10(counts + 1), counts > 0
+        for batch in (own for batch in batches for own in slices(batch, 1)):
             rows = []
             for value in batch.column(1):
                 tokens = value.as_py().lower().split()
@@ -280,14 +313,15 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, table_size: int = 20
                 ids = np.fromiter(map(number.get, tokens, repeat(-1)), np.int64, len(tokens))
                 found = ids[ids >= 0]
                 rare = Counter(tokens[i] for i in np.flatnonzero(ids < 0)) if len(found) < len(ids) else {}
-                rows.append((len(tokens), int(known[found].sum()), float(base[found].sum()) - scale * len(tokens), float(score[found].sum()), [{"word": w, "times": t} for w, t in rare.items()]))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, columns, kinds)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                rows.append((len(tokens), int(known[found].sum()), float(base[found].sum()) - scale * len(tokens), [{"word": w, "times": t} for w, t in rare.items()]))
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *map(pa.array, columns, kinds)], ["doc_id", "text", "held_out", "n_tokens", "n_known", "base_score", "rare"])
 
-    rows = source.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:binary,times:bigint>>")
+    rows = source.mapInArrow(run, "doc_id bigint, text binary, held_out boolean, n_tokens bigint, n_known bigint, base_score double, rare array<struct<word:binary,times:bigint>>")
+    rows = add_scores(rows, count_grams(source, order), order=order, max_model=max_model)
     rows = materialised(rows.withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select("row", F.inline("rare")).join(words.select("word", "n_train", F.col("score").alias("s")), "word")
-    more = rare.groupBy("row").agg(F.sum(F.when(F.col("n_train") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10(F.col("n_train") + 1.0)).alias("b"), F.sum(F.col("times") * F.col("s")).alias("s"))
+    rare = rows.select("row", F.inline("rare")).join(words.select("word", "n_train"), "word")
+    more = rare.groupBy("row").agg(F.sum(F.when(F.col("n_train") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10(F.col("n_train") + 1.0)).alias("b"))
     plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    return rows.join(more, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "k"), F.lit(n).cast("bigint").alias("train_tokens"), plus("base_score", "b"), plus("score", "s"))
+    return rows.join(more, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "k"), F.lit(n).cast("bigint").alias("train_tokens"), plus("base_score", "b"), "score")
