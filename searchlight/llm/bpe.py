@@ -7,7 +7,7 @@ neighbours may stand side by side. That makes a nondeterministic transducer over
 on demand: a deterministic state is the set of live alternatives, and a transition also gives the one
 token that the encoding of the bytes read so far ends with. Tokens are certain once one alternative is
 left; alternatives differ only inside the bytes of one longest token, so the lookahead is bounded, and a
-piece of any length takes linear time.
+piece of any length takes linear time. Decoding is a state machine over bytes whose state is the character begun.
 """
 
 from __future__ import annotations
@@ -22,17 +22,21 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from searchlight.llm.common import texts
-from searchlight.llm.segments import SegmentCache, groups_by_size
+from searchlight.llm.common import slices, texts
+from searchlight.llm.segments import SegmentCache
 
 ROOT = 0
 NEVER = 1 << 30
-#: Deterministic transitions and pair verdicts that a worker keeps; beyond that it starts afresh.
-MAX_TRANSITIONS = 400_000
+#: Deterministic transitions and pair verdicts that a worker keeps (about 250 and 130 bytes each); beyond that it starts afresh.
+MAX_TRANSITIONS, MAX_PAIRS = 500_000, 400_000
 #: Bytes of a piece from which on tokens are emitted while the piece is read.
 LONG = 4096
-#: Where a row of transitions, which is keyed by byte, keeps its alternatives.
-STATE = -1
+#: A transition is the number of the next state above these bits, and 1 + the token that ends here (or 0) in them.
+TOKEN_BITS = 22
+TOKEN = (1 << TOKEN_BITS) - 1
+#: An alternative is the last finished token (-1 at the start) above these bits, and the place in the trie in them.
+NODE_BITS = 32
+NODE = (1 << NODE_BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -62,9 +66,10 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.start = {STATE: ((-1, ROOT),)}
-        self.rows, self.n_moves = {self.start[STATE]: self.start}, 0
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.states: list[tuple] = [(-1 << NODE_BITS | ROOT,)]  # a state's live alternatives by its number
+        self.number = {self.states[0]: 0}
+        self.moves: dict[int, int] = {}  # number of a state << 8 | byte -> transition
+        self.beside: dict[int, bool] = {}
         self.spines: dict[int, tuple] = {}
 
     def merged(self, piece: bytes) -> list[int]:
@@ -105,7 +110,8 @@ class Transducer:
         They don't if, at some time, what stands left and right of the border has a merge that comes before both the
         merges that end them; of equal ranks the left one comes first.
         """
-        found = self.beside.get((a, b))
+        pair = a << TOKEN_BITS | b
+        found = self.beside.get(pair)
         if found is None:
             right, _, whole = self._spines(a) if a >= 0 else ([], [], True)
             _, left, also = self._spines(b)
@@ -118,29 +124,36 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            self.beside[a, b] = found
+            self.beside[pair] = found
         return found
 
-    def _move(self, row: dict, byte: int) -> tuple[dict, int]:
-        """Determinises one transition: the row of the next state, and 1 + the token that ends here or 0."""
+    def _move(self, state: int, byte: int) -> int:
+        """Determinises one transition."""
         alive, ended = [], 0
-        for last, node in row[STATE]:
-            node = self.child.get(node << 8 | byte)
+        child, beside, token_at, is_leaf = self.child.get, self.beside.get, self.token_at, self.is_leaf
+        for way in self.states[state]:
+            node = child((way & NODE) << 8 | byte)
             if node is None:
                 continue
-            if not self.is_leaf[node]:
-                alive.append((last, node))
-            token = self.token_at[node]
-            if token >= 0 and self.may_follow(last, token):
-                alive.append((token, ROOT))
-                ended = token + 1
+            last = way >> NODE_BITS
+            if not is_leaf[node]:
+                alive.append(last << NODE_BITS | node)
+            token = token_at[node]
+            if token >= 0:
+                yes = beside(last << TOKEN_BITS | token)
+                if yes is None:
+                    yes = self.may_follow(last, token)
+                if yes:
+                    alive.append(token << NODE_BITS | ROOT)
+                    ended = token + 1
         if not alive:
             raise ValueError(f"the vocabulary can't encode byte {byte}")
         key = tuple(alive)
-        if key not in self.rows:
-            self.rows[key] = {STATE: key}
-        self.n_moves += 1
-        move = row[byte] = (self.rows[key], ended)
+        after = self.number.get(key)
+        if after is None:
+            after = self.number[key] = len(self.states)
+            self.states.append(key)
+        move = self.moves[state << 8 | byte] = after << TOKEN_BITS | ended
         return move
 
     def _emit(self, ended: list[int]) -> list[int]:
@@ -156,45 +169,69 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if self.n_moves > MAX_TRANSITIONS or len(self.beside) > MAX_TRANSITIONS:
+        if len(self.moves) > MAX_TRANSITIONS or len(self.beside) > MAX_PAIRS:
             self._reset()
-            gc.collect()  # rows of transitions refer to each other
         out: list[int] = []
         ended: list[int] = []
-        row = self.start
+        state, known = 0, self.moves.get
         for byte in piece:
-            row, token = row.get(byte) or self._move(row, byte)
-            ended.append(token)
-            if token and len(ended) >= LONG and len(row[STATE]) == 1:
+            move = known(state << 8 | byte) or self._move(state, byte)
+            state = move >> TOKEN_BITS
+            ended.append(move & TOKEN)
+            if len(ended) >= LONG and move & TOKEN and len(self.states[state]) == 1:
                 out += self._emit(ended)
                 ended.clear()
         return out + self._emit(ended) if out else self._emit(ended)
 
 
+#: The classes of bytes that the UTF-8 state machine tells apart, and its transitions: a state is what may follow. State 0
+#: is between characters, 1 to 3 want as many more continuation bytes, the others want a narrower first one (to keep out
+#: overlong forms, surrogates and what lies beyond U+10FFFF). No entry: the bytes are no UTF-8.
+CLASS = bytes([0] * 0x80 + [1] * 0x10 + [2] * 0x10 + [3] * 0x20 + [4] * 2 + [5] * 30 + [6] + [7] * 12 + [8] + [7] * 2 + [9] + [10] * 3 + [11] + [4] * 11)
+_AFTER_E0, _AFTER_ED, _AFTER_F0, _AFTER_F4 = 4, 5, 6, 7
+UTF8 = {(0, 0): 0, (0, 5): 1, (0, 6): _AFTER_E0, (0, 7): 2, (0, 8): _AFTER_ED, (0, 9): _AFTER_F0, (0, 10): 3, (0, 11): _AFTER_F4}
+UTF8 |= {(more, continuation): more - 1 for more in (1, 2, 3) for continuation in (1, 2, 3)}
+UTF8 |= {(_AFTER_E0, 3): 1, (_AFTER_ED, 1): 1, (_AFTER_ED, 2): 1, (_AFTER_F0, 2): 2, (_AFTER_F0, 3): 2, (_AFTER_F4, 1): 2}
+
+
 class Utf8Stream:
-    """Decodes bytes that arrive in parts: gives every complete character and keeps an incomplete tail for the next part."""
+    """Decodes bytes that arrive in parts, by a state machine whose state outlives a part; bytes that are no UTF-8 become U+FFFD.
 
-    #: How many bytes follow a lead byte.
-    FOLLOW = [0] * 0xC2 + [1] * 30 + [2] * 16 + [3] * 5 + [0] * 11
+    The machine steps through the character that a part begins in and through the last one it has; whole characters
+    between them are decoded at once.
+    """
 
     def __init__(self) -> None:
-        self.tail = b""
+        self.state, self.begun = 0, b""
+
+    def _step(self, byte: int) -> str:
+        """What is decided by one more byte."""
+        after = UTF8.get((self.state, CLASS[byte]))
+        if after is None:
+            broken, self.state, self.begun = self.begun, 0, b""
+            return "\ufffd" + self._step(byte) if broken else "\ufffd"
+        self.state, self.begun = after, self.begun + bytes([byte])
+        if after:
+            return ""
+        whole, self.begun = self.begun, b""
+        return whole.decode()
 
     def feed(self, part: bytes) -> str:
-        data = self.tail + part
-        cut = len(data)
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte & 0xC0 != 0x80:
-                if self.FOLLOW[byte] >= back:
-                    cut -= back
-                break
-        self.tail = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        at, end, out = 0, len(part), []
+        while at < end and self.state:
+            out.append(self._step(part[at]))
+            at += 1
+        last = end
+        while last > max(at, end - 4) and 1 <= CLASS[part[last - 1]] <= 3:
+            last -= 1
+        last = max(last - 1, at)  # the last byte that can begin a character
+        out.append(part[at:last].decode("utf-8", "replace"))
+        out += map(self._step, part[last:])
+        return "".join(out)
 
     def finish(self) -> str:
-        rest, self.tail = self.tail, b""
-        return rest.decode("utf-8", "replace")
+        rest, self.state, self.begun = self.begun, 0, b""
+        return "\ufffd" if rest else ""
 
 
 class Codec:
@@ -203,7 +240,7 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.cache = SegmentCache(self._encode_segment)
+        self.cache = SegmentCache(lambda new: map(self._encode_segment, new))
 
     def _encode_segment(self, segment: str) -> bytes:
         encode = self.transducer.encode
@@ -216,7 +253,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return self.cache.encode(text)
+        return next(self.cache.encode([text]))
 
     def decode_bytes(self, ids, step: int = 1 << 16):
         """The bytes of a sequence of ids, in parts."""
@@ -245,11 +282,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, key: str = "do
 
     def run(batches):
         c = codec(path, pattern)
-        for batch in batches:
-            values = [t.decode() for t in batch.column(1).to_pylist()]
-            for a, b in groups_by_size(values):
-                ids = [_unpack(c.encode(t)).tolist() for t in values[a:b]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(ids, pa.list_(pa.int64()))], [key, "ids"])
+        for batch in (own for batch in batches for own in slices(batch, 1)):
+            ids = [_unpack(packed).tolist() for packed in c.cache.encode([t.decode() for t in batch.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], [key, "ids"])
 
     source = texts(docs, key, text)
     return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids array<bigint>")
@@ -269,18 +304,18 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, *, key: str =
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, *, keep: bool = True) -> DataFrame:
-    """Per document its token count and the digests of its ids and of the bytes that the ids decode to.
+    """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256 (digests of the ids and of the bytes that they decode to).
 
+    Null and empty texts have no tokens, equal rows equal results, null ids stay null; other columns are ignored.
     keep: workers keep the transducer and its caches for their next task. Where other stages share the workers' memory,
     each task can let go of them.
     """
 
     def run(batches):
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in (own for batch in batches for own in slices(batch, 1)):
             n, sha, back = [], [], []
-            for value in batch.column(1):
-                packed = c.encode(value.as_py().decode())
+            for packed in c.cache.encode([t.decode() for t in batch.column(1).to_pylist()]):
                 digest, stream = hashlib.sha256(), Utf8Stream()
                 for part in c.decode_bytes(_unpack(packed)):
                     digest.update(stream.feed(part).encode())

@@ -6,6 +6,9 @@ import posixpath
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,13 @@ def materialised(df: DataFrame) -> DataFrame:
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text, the text as UTF-8 bytes and null as empty."""
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias(text))
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 22):
+    """Slices of a batch whose column (strings or bytes) has about ``most`` bytes each, so that long texts don't add up in memory."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)

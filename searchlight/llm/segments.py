@@ -9,36 +9,67 @@ wherever it stands, and a frequent one needs to be encoded only once a worker.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 
 from searchlight.llm.common import WHITE_SPACE
 
 segments_of = re.compile(f" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[ .,\n]|\\Z)|[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+").findall
 
-#: Entries a worker keeps (a short segment and a few bytes each: about 50 MB), and the longest segment kept.
-MAX_ENTRIES, MAX_LENGTH = 200_000, 64
+#: Entries of each of a worker's two generations (a short segment and a few bytes each: about 40 MB), and the longest segment kept.
+MAX_ENTRIES, MAX_LENGTH = 250_000, 64
+#: Characters of the texts that are looked up together.
+GROUP = 1 << 20
 
 
-class SegmentCache(dict):
-    """segment -> what ``encode`` gives for it (packed token ids, or their number)."""
+class SegmentCache:
+    """segment -> what ``encode_all`` gives for it (packed token ids, or their number).
 
-    def __init__(self, encode: Callable):
-        super().__init__()
-        self.encode_one = encode
+    ``encode_all`` gets the distinct segments that a group of texts lacks, so a library is called once a group. When a
+    generation of entries is full, the one before it is forgotten; what is used again moves to the new one.
+    """
 
-    def __missing__(self, segment: str):
-        found = self.encode_one(segment)
-        if len(segment) <= MAX_LENGTH:
-            if len(self) >= MAX_ENTRIES:
-                self.clear()
-            self[segment] = found
-        return found
+    def __init__(self, encode_all: Callable[[list[str]], Iterable], table: Mapping | None = None):
+        self.encode_all = encode_all
+        self.table = table or {}  # known beforehand; never forgotten
+        self.now: dict = {}
+        self.before: dict = {}
+        self.long: list[str] = []
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, segments_of(text)))
+    def found(self, cut: list[list[str]]) -> Mapping:
+        """A mapping that has all the segments of a group, until the next call."""
+        for segment in self.long:
+            del self.now[segment]
+        self.long.clear()
+        if len(self.now) > MAX_ENTRIES:
+            self.before, self.now = self.now, {}
+        new = []
+        for segment in set().union(*cut).difference(self.now):
+            value = self.table.get(segment)
+            if value is None:
+                value = self.before.get(segment)
+            if value is None:
+                new.append(segment)
+            else:
+                self.now[segment] = value
+        if new:
+            self.now.update(zip(new, self.encode_all(new)))
+            self.long += [segment for segment in new if len(segment) > MAX_LENGTH]
+        return self.now
 
+    def values(self, texts: list[str], cut: Callable[[str], list[str]] = segments_of):
+        """For each text the values of its segments, in groups of texts so that memory stays bounded."""
+        for a, b in groups_by_size(texts):
+            parts = [cut(text) for text in texts[a:b]]
+            get = self.found(parts).__getitem__
+            for part in parts:
+                yield map(get, part)
 
-def groups_by_size(values: list, most: int = 1 << 22):
+    def encode(self, texts: list[str]):
+        """The packed ids of each text."""
+        return map(b"".join, self.values(texts))
+
+
+def groups_by_size(values: list, most: int = GROUP):
     """Slices of a list of strings with about ``most`` characters each, so that memory stays bounded in a batch of long texts."""
     start = total = 0
     for i, value in enumerate(values):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from searchlight.llm.common import WHITE_SPACE, texts
+from searchlight.llm.common import WHITE_SPACE, slices, texts
 from searchlight.llm.segments import MAX_LENGTH, SegmentCache
 
 words_of = re.compile(f"[^{WHITE_SPACE}]+").findall
@@ -26,7 +26,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]").search
 
 @lru_cache(2)
 def word_counter(path: str) -> SegmentCache:
-    """The worker's cache of token numbers by word, over the tokenizer file at ``path``.
+    """The worker's cache of token numbers by word (tier two), over the tokenizer file at ``path``.
 
     The tokenizer turns white space into one blank and drops it between words, so words are counted apart.
     """
@@ -34,7 +34,7 @@ def word_counter(path: str) -> SegmentCache:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return SegmentCache(lambda word: len(tokenizer.encode(word, add_special_tokens=False).ids))
+    return SegmentCache(lambda new: map(len, tokenizer.encode_batch_fast(new, add_special_tokens=False)))
 
 
 def words(text: str) -> list[str]:
@@ -51,9 +51,8 @@ def frequent_lengths(docs: DataFrame, path: str, *, sample_rows: int = 4096, tab
         for batch in batches:
             for value in batch.column(1):
                 seen.update(w for w in words(value.as_py().decode()) if len(w) <= MAX_LENGTH)
-        count = word_counter(path)
         top = sorted(seen, key=lambda w: (-seen[w], w))[:table_size]
-        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([count[w] for w in top], pa.int64())], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array(list(word_counter(path).encode_all(top)) if top else [], pa.int64())], ["word", "n"])
 
     # A limit alone would move that many rows from each partition.
     share = min(1.0, sample_rows / max(docs.count(), 1))
@@ -67,13 +66,10 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 2048, sample_rows:
 
     def run(batches):
         count = word_counter(path)
-        count.update(table.value)
-        for batch in batches:
-            n_bytes, n_tokens = [], []
-            for value in batch.column(1):
-                raw = value.as_py()
-                n_bytes.append(len(raw))
-                n_tokens.append(sum(map(count.__getitem__, words(raw.decode()))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        count.table = table.value
+        for batch in (own for batch in batches for own in slices(batch, 1)):
+            raw = batch.column(1).to_pylist()
+            n_tokens = list(map(sum, count.values([value.decode() for value in raw], words)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, raw)), pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return texts(docs).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -29,15 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from searchlight.llm.common import materialised, texts
+from searchlight.llm.common import materialised, slices, texts
 from searchlight.llm.segments import SegmentCache
 
 #: Fixed values of the zstandard seekable format.
 SKIPPABLE_KEYS, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
-#: A null key's value in a file; the sorted files have them first.
-NULL_KEY = -(1 << 63)
+#: Before the keys: bytes an id takes, and how many of the first keys are null.
+HEAD = struct.Struct("<BQ")
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -50,17 +50,18 @@ class TokenFileWriter:
     def __init__(self, out, width: int, level: int = 1):
         self.out, self.width = out, width
         self.compress = zstandard.ZstdCompressor(level=level, write_content_size=True).compress
-        self.keys, self.entries, self.n_tokens = array("q"), [], 0
+        self.keys, self.entries, self.n_tokens, self.nulls = array("q"), [], 0, 0
 
     def add(self, key: int | None, ids: bytes) -> None:
         packed = self.compress(ids)
         self.out.write(packed)
-        self.keys.append(NULL_KEY if key is None else key)
+        self.nulls += key is None  # sorted files have them first
+        self.keys.append(key or 0)
         self.entries.append(ENTRY.pack(len(packed), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
         self.n_tokens += len(ids) // self.width
 
     def finish(self) -> None:
-        keys = bytes([self.width]) + zlib.compress(self.keys.tobytes(), 1)
+        keys = HEAD.pack(self.width, self.nulls) + zlib.compress(self.keys.tobytes(), 1)
         self.out.write(struct.pack("<II", SKIPPABLE_KEYS, len(keys)) + keys)
         self.entries.append(ENTRY.pack(8 + len(keys), 0, 0))
         table = b"".join(self.entries)
@@ -80,7 +81,9 @@ class TokenFile:
         self.begins = np.concatenate([[0], np.cumsum(table[:, 0], dtype=np.int64)])
         self.sizes, self.sums = table[:-1, 1].astype(np.int64), table[:-1, 2]
         keys = self._at(int(self.begins[n - 1]) + 8, int(table[-1, 0]) - 8)
-        self.width, self.keys = keys[0], np.frombuffer(zlib.decompress(keys[1:]), "<i8")
+        self.width, nulls = HEAD.unpack_from(keys)
+        own = np.frombuffer(zlib.decompress(keys[HEAD.size :]), "<i8")
+        self.keys = pa.array(own, mask=np.arange(len(own)) < nulls)
         #: Tokens of the file before each document.
         self.starts = np.concatenate([[0], np.cumsum(self.sizes // self.width)])
         self.decompress = zstandard.ZstdDecompressor().decompress
@@ -109,7 +112,7 @@ def id_cache(path: str) -> tuple[SegmentCache, int]:
     tokenizer = Tokenizer.from_file(path)
     width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
     kind = "H" if width == 2 else "I"
-    return SegmentCache(lambda s: array(kind, tokenizer.encode(s, add_special_tokens=False).ids).tobytes()), width
+    return SegmentCache(lambda new: (array(kind, found.ids).tobytes() for found in tokenizer.encode_batch_fast(new, add_special_tokens=False))), width
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int = 0) -> DataFrame:
@@ -127,12 +130,13 @@ def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int =
         name = f"part-{TaskContext.get().partitionId():06d}.tokens.zst"
         part = f"{where}/.{name}.{TaskContext.get().taskAttemptId()}"
         writer, out, first = None, None, None
-        for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if writer is None:
-                    out, first = store.open_output_stream(part, compression=None), key
-                    writer = TokenFileWriter(out, width)
-                writer.add(key, cache.encode(value.as_py().decode()) + end)
+        for batch in (own for batch in batches for own in slices(batch, 1)):
+            keys = batch.column(0).to_pylist()
+            if writer is None and keys:
+                out, first = store.open_output_stream(part, compression=None), keys[0]
+                writer = TokenFileWriter(out, width)
+            for key, ids in zip(keys, cache.encode([value.decode() for value in batch.column(1).to_pylist()])):
+                writer.add(key, ids + end)
         if writer:
             writer.finish()
             out.close()
@@ -157,8 +161,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 with store.open_input_file(where) as source:
                     f = TokenFile(source, source.size())
                     crc = [zlib.crc32(f.ids(i)) for i in range(len(f))]
-                keys = [None if k == NULL_KEY else k for k in f.keys.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(f.starts[:-1] + start), pa.array(f.sizes // f.width), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([f.keys, pa.array(f.starts[:-1] + start), pa.array(f.sizes // f.width), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # A task a file: a number of partitions that is asked for is not coalesced, however small the manifest is.
     return manifest.select("file", "start").repartition(max(manifest.count(), 1), "file").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
