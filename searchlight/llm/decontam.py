@@ -3,13 +3,15 @@
 Edit distance is hard to hash, so item-sized windows and items go through the CGK embedding: a random walk
 copies symbols to a string three times as long, stepping on or staying by a random bit of (step, symbol).
 A few edits change few places of the result, so Hamming distance stands for edit distance, and sampled
-places are locality-sensitive keys. ``walks`` walks with ``bands`` samples of ``places`` places each find
-what is to be found with a recall near one (measured in the tests); an exact edit distance then decides.
-
-Windows are only embedded where an item can begin: an item of n words with at most k edits keeps one of
-k + 1 pieces whole, so a document must hold a piece of the item, and near it all but k of the item's
-distinct words. Both tests lose nothing. Items are few against documents; they are read in blocks of at
-most ``block_bytes``, each broadcast and held against all documents in one pass without a shuffle.
+places are locality-sensitive keys. The keys of all items are one index; a window whose key is in it is a
+candidate for the items that have the key. ``walks`` walks with ``bands`` samples of ``places`` places each
+find what is to be found with a recall near one (measured in the tests, with and without the prefilter); an
+exact edit distance then decides.
+
+``prefilter`` spares most windows the walk: an item of n words with at most k edits keeps one of k + 1 pieces
+whole, so windows are embedded only around a piece of some item of their size. That loses nothing, and says
+nothing about which item it is. Items are few against documents; they are dealt out to blocks of about
+``block_bytes`` of text, each broadcast as it is and held against all documents in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIMILARITY = 0.8
+from searchlight.llm.common import materialised, slices
+
+SIMILARITY, BLOCK_BYTES = 0.8, 8 << 20
 #: Bytes that separate words besides white space: ASCII punctuation.
 TO_BLANKS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 PAD = -1
@@ -41,46 +45,56 @@ def mixed(*parts) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def edit_distance(item: list[int], region: list[int]) -> tuple[int, int]:
-    """The least edit distance of the item to any part of the region, and where the first such part begins."""
-    row = [(0, j) for j in range(len(region) + 1)]
-    for i, a in enumerate(item, 1):
-        last, row[0] = row[0], (i, 0)
-        for j, b in enumerate(region, 1):
-            best = last if a == b else min((last[0] + 1, last[1]), (row[j][0] + 1, row[j][1]), (row[j - 1][0] + 1, row[j - 1][1]))
-            last, row[j] = row[j], best
-    return min(row)
+def edit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
+    """The least edit distance of the item to any part of the region, and where the first such part begins.
+
+    A cell is the distance above 32 bits that tell where its part begins; insertions are a running minimum along the row.
+    """
+    one, at = np.int64(1 << 32), np.arange(len(region) + 1)
+    row = at.copy()
+    for i, word in enumerate(item, 1):
+        best = np.minimum(row[:-1] + one * (region != word), row[1:] + one)
+        row = np.concatenate([[i * one], best]) - at * one
+        row = np.minimum.accumulate(row) + at * one
+    return divmod(int(row.min()), int(one))
 
 
 class Items:
     """The benchmark items of one block, ready to be found."""
 
-    def __init__(self, items: list[tuple[int, bytes]], similarity: float = SIMILARITY, walks: int = 4, bands: int = 12, places: int = 3):
+    def __init__(self, items: list[tuple[int, bytes]], similarity: float = SIMILARITY, walks: int = 4, bands: int = 12, places: int = 3, prefilter: bool = True):
         self.number: dict[bytes, int] = {}
-        self.similarity, self.walks = similarity, walks
-        self.items = []  # (item_id, word numbers, most edits, distinct words)
-        self.seeds: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        self.similarity, self.walks, self.prefilter = similarity, walks, prefilter
+        self.items = []  # (item_id, word numbers, most edits)
+        seeds: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
+        rng = np.random.default_rng(20240229)
+        self.samples = np.sort(rng.random((walks, bands, places)), axis=2)
+        keys: dict[int, list] = defaultdict(list)
+        same_size: dict[int, list] = defaultdict(list)
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words])
             n = len(ids)
             k = int((1 - similarity) * n + 1e-9)
-            size, index = n // (k + 1), len(self.items)
-            self.items.append((item_id, ids, k, set(ids)))
+            size = n // (k + 1)
+            rolled = self.rolled(ids, size)
             for piece in range(k + 1):
                 at = piece * n // (k + 1)
-                self.seeds[size][int(self.rolled(np.array(ids), size)[at])].append((index, at))
-        self.seeds = {size: dict(found) for size, found in self.seeds.items()}
+                seeds[size][int(rolled[at])].add((n, at, k))
+            same_size[n].append(len(self.items))
+            self.items.append((item_id, ids, k))
+        for n, own in same_size.items():
+            embedded = self.band_keys(np.concatenate([self.items[i][1] for i in own]), np.arange(len(own)) * n, n)
+            for index, found in zip(own, embedded.tolist()):
+                for key in set(found):
+                    keys[key].append(index)
+        self.seeds = {size: {code: tuple(places) for code, places in found.items()} for size, found in seeds.items()}
         self.sorted = {size: np.sort(np.fromiter(found, np.uint64, len(found))) for size, found in self.seeds.items()}
-        rng = np.random.default_rng(20240229)
-        self.samples = np.sort(rng.random((walks, bands, places)), axis=2)
-        self.keys: dict[int, list] = defaultdict(list)
-        for index, (_, ids, _, _) in enumerate(self.items):
-            for key in set(self.band_keys(np.array(ids), np.array([0]), len(ids)).ravel().tolist()):
-                self.keys[key].append(index)
-        self.keys = dict(self.keys)
+        self.keys = {key: tuple(found) for key, found in keys.items()}
+        self.sorted_keys = np.sort(np.fromiter(self.keys, np.uint64, len(self.keys)))
+        self.sizes = {(len(ids), k) for _, ids, k in self.items}
 
     @staticmethod
     def rolled(ids: np.ndarray, size: int) -> np.ndarray:
@@ -107,9 +121,11 @@ class Items:
         chosen = [out[:, np.arange(walks)[:, None], places[:, :, p]] for p in range(places.shape[2])]
         return mixed(np.full_like(chosen[0], n), np.broadcast_to(np.arange(walks)[:, None] * bands + np.arange(bands), chosen[0].shape), *chosen).reshape(len(starts), -1)
 
-    def candidates(self, ids: np.ndarray) -> dict[int, set[int]]:
-        """item index -> starts at which a window of the item's size may begin."""
-        found: dict[int, set[int]] = defaultdict(set)
+    def windows(self, ids: np.ndarray) -> dict[int, np.ndarray]:
+        """Window size -> starts of the windows to embed."""
+        if not self.prefilter:
+            return {n: np.arange(len(ids)) for n, _ in self.sizes}
+        found: dict[int, list] = defaultdict(list)
         for size, seeds in self.seeds.items():
             if len(ids) < size:
                 continue
@@ -121,15 +137,24 @@ class Items:
             if not len(at):
                 continue
             codes = self.rolled(ids, size)[at]
-            table = self.sorted[size]
-            hit = table[np.minimum(np.searchsorted(table, codes), len(table) - 1)] == codes
+            hit = is_in(codes, self.sorted[size])
             for pos, code in zip(at[hit].tolist(), codes[hit].tolist()):
-                for index, offset in seeds[code]:
-                    _, item, k, distinct = self.items[index]
+                for n, offset, k in seeds[code]:
                     first = pos - offset
-                    near = ids[max(first - k, 0) : first + len(item) + k]
-                    if len(distinct.intersection(near.tolist())) >= len(distinct) - k:
-                        found[index].update(range(max(first - k, 0), max(min(first + k, len(ids) - 1), 0) + 1))
+                    found[n].append(np.arange(max(first - k, 0), max(min(first + k, len(ids) - 1), 0) + 1))
+        return {n: np.unique(np.concatenate(starts)) for n, starts in found.items()}
+
+    def candidates(self, ids: np.ndarray) -> dict[int, list[int]]:
+        """Item index -> starts of the windows that share a key with it, ascending."""
+        found: dict[int, list[int]] = defaultdict(list)
+        for n, starts in self.windows(ids).items():
+            for i in range(0, len(starts), 1024):
+                part = starts[i : i + 1024]
+                keys = self.band_keys(ids, part, n)
+                at, band = np.nonzero(is_in(keys, self.sorted_keys))
+                for start, key in dict.fromkeys(zip(part[at].tolist(), keys[at, band].tolist())):
+                    for index in self.keys[key]:
+                        found[index].append(start)
         return found
 
     def find(self, text: bytes) -> list[tuple[int, int, int, int]]:
@@ -138,73 +163,80 @@ class Items:
         ids = np.fromiter(map(self.number.get, words, (0,) * len(words)), np.int64, len(words))
         out = []
         for index, starts in self.candidates(ids).items():
-            item_id, item, k, _ = self.items[index]
-            n, starts = len(item), np.array(sorted(starts))
-            best = (n + 1, 0)
-            for i in range(0, len(starts), 1024):
-                part = starts[i : i + 1024]
-                keys = self.band_keys(ids, part, n)
-                hit = [s for s, own in zip(part.tolist(), keys.tolist()) if any(index in self.keys.get(key, ()) for key in own)]
-                beyond = -1
-                for s in hit:
-                    if s < beyond or best[0] == 0:
-                        continue
-                    a, beyond = max(s - k, 0), s + k + 1
-                    d, at = edit_distance(item, ids[a : s + n + 2 * k + 1].tolist())
-                    best = min(best, (d, a + at))
+            item_id, item, k = self.items[index]
+            n, best, beyond = len(item), (len(item) + 1, 0), -1
+            for start in sorted(set(starts)):
+                if start < beyond or best[0] == 0:
+                    continue
+                a, beyond = max(start - k, 0), start + k + 1
+                d, at = edit_distance(item, ids[a : start + n + 2 * k + 1])
+                best = min(best, (d, a + at))
             if best[0] <= k:
                 out.append((item_id, n, *best))
         return out
 
 
-def blocks(benchmark: DataFrame, block_bytes: int, **how):
-    """The benchmark as broadcasts of ``Items``, each of at most about block_bytes of text. Null and wordless items match nothing."""
+def is_in(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which codes are in a sorted table."""
+    return table[np.minimum(np.searchsorted(table, codes), len(table) - 1)] == codes if len(table) else np.zeros(codes.shape, bool)
+
+
+def blocks(benchmark: DataFrame, block_bytes: int):
+    """The benchmark as broadcasts of (item_id, text) lists, each of about block_bytes of text, one after the other. Null and wordless items match nothing."""
     text = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("binary").alias("text"))
     total = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // block_bytes)
     for i in range(parts):
         own = text.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) if parts > 1 else text
-        items = Items([(r.item_id, bytes(r.text)) for r in own.orderBy("item_id", "text").collect()], **how)
-        yield benchmark.sparkSession.sparkContext.broadcast(items)
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.item_id, bytes(r.text)) for r in own.orderBy("item_id", "text").collect()])
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY, block_bytes: int = 32 << 20) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, *, block_bytes: int = BLOCK_BYTES, **how) -> DataFrame:
     """A row for each document and item it holds: doc_id, item_id, item_words, edit_distance, similarity, first_word.
 
-    Similarity is 1 - edit distance / words of the item, over the best passage. Null and empty texts hold nothing, an
-    empty benchmark gives no rows, equal documents each have their own rows.
+    Similarity is 1 - edit distance / words of the item, over the best passage, the first of equally good ones. Null and
+    empty texts hold nothing, an empty benchmark gives no rows, equal documents each have their own rows.
     """
 
-    def search(items):
+    def search(block):
         def run(batches):
-            for batch in batches:
+            items = Items(block.value, **how)
+            for batch in (own for batch in batches for own in slices(batch, 1)):
                 rows = []
                 for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    rows += [(key, *found) for found in items.value.find((value.as_py() or "").encode())]
+                    rows += [(key, *found) for found in items.find((value.as_py() or "").encode())]
                 columns = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "item_words", "edit_distance", "first_word"])
 
         return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, item_id bigint, item_words bigint, edit_distance bigint, first_word bigint")
 
     out = None
-    for items in blocks(benchmark, block_bytes, similarity=similarity):
-        out = search(items) if out is None else out.unionByName(search(items))
+    for block in blocks(benchmark, block_bytes):
+        out = search(block) if out is None else out.unionByName(search(block))
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, item_words bigint, edit_distance bigint, first_word bigint")
     return out.select("doc_id", "item_id", "item_words", "edit_distance", (1 - F.col("edit_distance") / F.col("item_words")).alias("similarity"), "first_word")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, similarity: float = SIMILARITY, block_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with all their columns."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, block_bytes: int = BLOCK_BYTES, **how) -> DataFrame:
+    """The rows of docs that hold no benchmark item, with all their columns; null and empty texts stay, equal rows share their fate.
+
+    After each block but the last the rows left are written, so tasks hold one block and the driver's plan stays short.
+    """
     at = docs.columns.index("text")
 
-    def clean(items):
+    def clean(block):
         def run(batches):
-            for batch in batches:
-                yield batch.filter(pa.array([not items.value.find((value.as_py() or "").encode()) for value in batch.column(at)], pa.bool_()))
+            items = Items(block.value, **how)
+            for batch in (own for batch in batches for own in slices(batch, at)):
+                yield batch.filter(pa.array([not items.find((value.as_py() or "").encode()) for value in batch.column(at)], pa.bool_()))
 
         return run
 
-    for items in blocks(benchmark, block_bytes, similarity=similarity):
-        docs = docs.mapInArrow(clean(items), docs.schema)
-    return docs
+    waiting = None
+    for block in blocks(benchmark, block_bytes):
+        if waiting:
+            docs = materialised(docs.mapInArrow(clean(waiting), docs.schema))
+            waiting.destroy()
+        waiting = block
+    return docs.mapInArrow(clean(waiting), docs.schema) if waiting else docs

@@ -497,6 +497,18 @@ def test_decontamination_recall_and_precision(spark):
         assert found <= truth and len(found & truth) / len(truth) >= 0.95 and (1000, 30) in found
     left = {r.doc_id for r in decontam.drop_contaminated(frame, benchmark, block_bytes=1500).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in found}
+    # The keys find the windows: with every window of every item's size embedded, the same is found and nothing else.
+    bare = {(r.doc_id, r.item_id) for r in decontam.contaminations(frame, benchmark, prefilter=False).collect()}
+    assert bare == found
+
+
+def test_edit_distance_of_parts():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        item, region = rng.integers(0, 4, rng.integers(1, 9)), rng.integers(0, 4, rng.integers(0, 14))
+        d, at = decontam.edit_distance(item, region)
+        assert d == least_distance(list(item), list(region))
+        assert min(least_distance(list(item), list(region[at : at + n])) if n else len(item) for n in range(len(region) - at + 1)) == d
 
 
 PAGE = """<html><head><title>T</title></head><body><header class="site"><a href="/">Site</a><h1>My Site</h1></header><div class="cookie-notice"><p>We use cookies, okay?</p></div><div id="wrap"><div class="sidebar"><p>Popular posts. Read them all, now.</p></div><div class="content"><h2>Title &amp; more</h2><p>First   para, with <a href=x>link</a> text. It is long enough to matter, and has commas.<p>Second&nbsp;para: more text here, which goes on for a while. Really.</p><ul><li>one thing<li>two things</ul><p>End.</p><div class="comments"><p>Nice post, dude! I like it, a lot.</p></div></div></div><form><p>Sign up</p><input></form><footer>(c) me</footer><script>var x = "<p>no</p>";</script></body></html>"""
