@@ -2,17 +2,22 @@
 
 Rows of a fingerprint are collapsed first, so exact copies cost one entry. Upper nodes of the index are
 masked bit patterns: with three masks that split the 64 bits, two fingerprints that differ in at most
-two bits share the pattern of at least one mask, so a link is never lost. Under an upper node the
-members are sorted by Gray rank, which puts codes with few differing bits side by side, and factored
-into a hierarchy: each group keeps the bits that all its members share. A search adds up the differences
-between the query's bits and a group's shared bits and leaves out the whole group once they exceed the
-distance. Nodes with more members than ``node_size`` are not searched that way: their members are joined
-on the codes within one bit of them instead, of which a code can have at most 65, so no group grows.
+two bits share the pattern of at least one mask, so a link is never lost. A node with more members than
+``node_size`` is divided alike: the bits that its pattern leaves free are split by three masks again, and a link
+inside it shares the pattern of one of them. Under a node the members are sorted by Gray rank, which puts
+codes with few differing bits side by side, and factored into a hierarchy: each group keeps the bits that all
+its members share. A search adds up the differences between the query's bits and a group's shared bits and
+leaves out the whole group once they exceed the distance.
+
+``near_copies`` joins texts by the share of five-word shingles that they have in common. At a share of 0.8
+fingerprints differ in 15 % of their bits, however long they are, so masked patterns that such a pair shares are
+shared by much that is unlike. There the upper nodes are bands of min-hashes instead, wide fingerprints in
+Gray order prune what is compared below them, and the shingle sets themselves decide.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +25,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from searchlight.llm.common import materialised, texts
+from searchlight.llm.common import materialised, slices, texts
 from searchlight.llm.components import components
 
-#: The three masks: bits 0-21, 22-42 and 43-63.
-MASKS = ((1 << 22) - 1, ((1 << 21) - 1) << 22, ((1 << 21) - 1) << 43)
+#: Free bits of a node that can have so few members that it needs no division.
+FEW_BITS = 8
+
+
+@lru_cache(4096)
+def divided(fixed: int) -> tuple[int, int, int]:
+    """A node's fixed bits and, added to them, each of three parts of its free bits."""
+    free = [1 << i for i in range(64) if not fixed >> i & 1]
+    size = -(-len(free) // 3)
+    return tuple(fixed | sum(free[i * size : (i + 1) * size]) for i in range(3))
 
 
 def _signed(x: int) -> int:
@@ -56,7 +69,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, text_hash, fp) per row; text_hash tells rows with the same key apart."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (own for batch in batches for own in slices(batch, 1)):
             values = batch.column(1)
             fp = [_signed(fingerprint(v.as_py(), words_per_shingle)) for v in values]
             own = [_signed(xxhash.xxh64_intdigest(v.as_py(), 42)) for v in values]
@@ -88,25 +101,30 @@ class GrayIndex:
             same, ones = ~differ, ones[at] & ~differ
             self.levels.append((same, ones))
 
-    def links(self, distance: int, block: int = 512):
-        """Pairs of positions in ``codes`` within the distance, each once, by blocks of queries."""
+    def near(self, queries: np.ndarray, distance: int, pairs: int = 1 << 20):
+        """Pairs (number of a query, position in ``codes``) within the distance, by blocks of queries."""
         n, widths = len(self.codes), np.arange(self.fan_out)
         bits = lambda x: np.bitwise_count(x).sum(axis=1)
-        for begin in range(0, n, block):
-            query = np.arange(begin, min(n, begin + block))
+        block = max(pairs // n, 1)
+        for begin in range(0, len(queries), block):
+            query = np.arange(begin, min(len(queries), begin + block))
             top = len(self.levels[-1][0]) if self.levels else n
             q, group = np.repeat(query, top), np.tile(np.arange(top), len(query))
             for level in range(len(self.levels) - 1, -1, -1):
                 same, ones = self.levels[level]
-                keep = bits((self.codes[q] ^ ones[group]) & same[group]) <= distance
+                keep = bits((queries[q] ^ ones[group]) & same[group]) <= distance
                 q, group = q[keep], group[keep]
                 below = len(self.levels[level - 1][0]) if level else n
                 q, group = np.repeat(q, self.fan_out), (group[:, None] * self.fan_out + widths).ravel()
                 keep = group < below
                 q, group = q[keep], group[keep]
+            keep = bits(queries[q] ^ self.codes[group]) <= distance
+            yield q[keep], group[keep]
+
+    def links(self, distance: int, pairs: int = 1 << 20):
+        """Pairs of positions in ``codes`` within the distance, each once, by blocks."""
+        for q, group in self.near(self.codes, distance, pairs):
             keep = group > q
-            q, group = q[keep], group[keep]
-            keep = bits(self.codes[q] ^ self.codes[group]) <= distance
             yield q[keep], group[keep]
 
 
@@ -135,31 +153,36 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2, node_size: int = 2
     """Edges (a, b) that connect the distinct codes in column fp as all pairs within ``distance`` (0 to 2) bits do."""
     if not 0 <= distance <= 2:
         raise ValueError("the masks are made for a distance of at most 2")
-    nodes = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("bits")) for i, m in enumerate(MASKS)])).alias("node")).select("fp", "node.mask", "node.bits")
-    sizes = materialised(nodes.groupBy("mask", "bits").count().where("count > 1"))
-    members = materialised(nodes.join(sizes, ["mask", "bits"]))
-    groups = members.where(F.col("count") <= node_size).groupBy("mask", "bits").agg(F.collect_list("fp").alias("codes"))
+
+    def divide(batches):
+        for batch in batches:
+            codes, fixed = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().view(np.uint64)
+            known, at = np.unique(fixed, return_inverse=True)
+            masks = np.array([divided(int(f)) for f in known], np.uint64).reshape(-1, 3)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(codes, 3).view(np.int64)), pa.array(masks.ravel().view(np.int64))], ["fp", "fixed"])
 
     def search(batches):
         for batch in batches:
-            a, b = [], []
+            a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for codes in batch.column(0):
                 own = codes.values.to_numpy().view(np.uint64)
                 x, y = spanning_links(own, distance)
                 a.append(own[x])
                 b.append(own[y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], ["a", "b"]) if a else pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-
-    small = groups.select("codes").mapInArrow(search, "a bigint, b bigint")
-    hot = members.where(F.col("count") > node_size).select("fp").distinct()
-    # Within two bits: some code is within one bit of both. Within one bit: equal but for one known bit.
-    near = {
-        2: "concat(array(struct(-1 as i, fp as code)), transform(sequence(0, 63), i -> struct(-1 as i, fp ^ shiftleft(1L, i) as code)))",
-        1: "transform(sequence(0, 63), i -> struct(i, fp & ~shiftleft(1L, i) as code))",
-        0: "array(struct(-1 as i, fp as code))",
-    }[distance]
-    balls = hot.select("fp", F.expr(f"inline({near})")).groupBy("i", "code").agg(F.min("fp").alias("b"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    return small.unionByName(balls.select(F.explode("all").alias("a"), "b").where("a != b"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).view(np.int64)) for v in (a, b)], ["a", "b"])
+
+    links, nodes = None, distinct.select("fp", F.lit(0).cast("bigint").alias("fixed"))
+    while True:
+        nodes = nodes.mapInArrow(divide, "fp bigint, fixed bigint").withColumn("bits", F.col("fp").bitwiseAND(F.col("fixed")))
+        sizes = nodes.groupBy("fixed", "bits").count().where("count > 1")
+        members = materialised(nodes.join(materialised(sizes), ["fixed", "bits"]))
+        large = (F.col("count") > node_size) & (F.bit_count("fixed") < 64 - FEW_BITS)
+        groups = members.where(~large).groupBy("fixed", "bits").agg(F.collect_list("fp").alias("codes"))
+        found = groups.select("codes").mapInArrow(search, "a bigint, b bigint")
+        links = found if links is None else links.unionByName(found)
+        nodes = members.where(large).select("fp", "fixed")
+        if nodes.isEmpty():
+            return links
 
 
 def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, distance: int = 2) -> DataFrame:
@@ -178,18 +201,23 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, distance: in
     return rows.join(placed, "fp").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component", "component_id")
 
 
-#: Wide fingerprints: words of 64 bits, and the sampled masks (bits each) that are their index's upper nodes.
-LANES, SAMPLES, SAMPLE_BITS, WIDE_DISTANCE = 4, 96, 16, 56
-SAMPLED = np.random.default_rng(64).permuted(np.tile(np.arange(64 * LANES), (SAMPLES, 1)), axis=1)[:, :SAMPLE_BITS]
+#: Wide fingerprints: words of 64 bits, and how many bits may differ. Texts that share 0.8 of their shingles differ in 39
+#: on average, and in more than this about once in 100 000 times.
+LANES, WIDE_DISTANCE = 4, 64
+#: Min-hash bands: two texts that share 0.8 have one of them in common with a probability of 0.9996.
+BANDS, BAND_ROWS = 20, 5
+MULTIPLIERS, OFFSETS = np.random.default_rng(64).integers(1, 1 << 63, (2, BANDS * BAND_ROWS), np.uint64) | np.uint64(1)
 
 
-def wide_fingerprint(text: bytes, words_per_shingle: int = 3) -> np.ndarray:
-    """SimHash of 256 bits (as booleans): each shingle's hash is mixed into four words."""
+def shingle_set(text: bytes, words_per_shingle: int = 5) -> np.ndarray:
+    """The hashes of a text's word shingles, sorted, each once; a text with fewer words is one shingle, one without words has none."""
     words = text.lower().split()
-    n, h = len(words), xxhash.xxh64_intdigest
-    if not n:
-        return np.zeros(64 * LANES, bool)
-    hashes = np.fromiter((h(b" ".join(words[i : i + words_per_shingle]), 42) for i in range(max(n - words_per_shingle + 1, 1))), np.uint64)
+    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + words_per_shingle]), 42) for i in range(max(len(words) - words_per_shingle + 1, 1))} if words else ()
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of 256 bits over a shingle set (four words): each hash is mixed into four."""
     ones = np.zeros(64 * LANES, np.int64)
     for i in range(0, len(hashes), 4096):
         z = hashes[i : i + 4096, None] + np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -197,48 +225,74 @@ def wide_fingerprint(text: bytes, words_per_shingle: int = 3) -> np.ndarray:
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
         ones += np.unpackbits(np.ascontiguousarray(z).view(np.uint8), bitorder="little").reshape(-1, 64 * LANES).sum(0, dtype=np.int64)
-    return 2 * ones > len(hashes)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
-def bridges(members: DataFrame, close: Callable, block: int = 1024) -> DataFrame:
-    """Edges (a, b) between the labels of members (node, value, label) that connect them as all pairs of a node's values that are close do.
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a shingle set's min-hash bands; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    least = np.full(len(MULTIPLIERS), ~np.uint64(0))
+    for i in range(0, len(hashes), 4096):
+        z = (hashes[i : i + 4096, None] ^ OFFSETS) * MULTIPLIERS
+        least = np.minimum(least, (z ^ (z >> np.uint64(32))).min(axis=0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def alike(one: np.ndarray, two: np.ndarray, least_share: float) -> bool:
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return common >= least_share * (len(one) + len(two) - common) - 1e-9
+
 
-    ``close`` takes two lists of values and gives (number of the first row, rows of a boolean matrix). Pairs of one label need
-    no comparison. So a node's members outside its largest label are held against all members, in pairs of blocks: a
-    large group that has one label already costs a count, and one key's pairs of blocks are dealt out to all tasks.
+def bridges(members: DataFrame, sets: DataFrame, least_share: float, block_bytes: int = 4 << 20) -> DataFrame:
+    """Edges (a, b) between the labels of members (node, name, fp, label) that connect them as all alike pairs of a node do.
+
+    Pairs of one label need no comparison. So a node's members outside its largest label are held against all members, in
+    pairs of blocks of about ``block_bytes`` of shingle sets: a large group that has one label already costs a count, and
+    one node's pairs of blocks are dealt out to all tasks. In a pair of blocks the Gray-order index of wide
+    fingerprints leaves out what differs too much, and the sets (name, shingles) decide.
     """
-    own = materialised(members)
-    sizes = own.groupBy("node", "label").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("node").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = materialised(open_.select("node", F.col("most.label").alias("largest"), F.ceil((F.col("total") - F.col("most.n")) / block).alias("rest"), F.ceil(F.col("most.n") / block).alias("blocks")))
+    many = members.groupBy("node", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    open_ = many.groupBy("node").agg(F.max(F.struct("n", "label", "bytes")).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("labels")).where("labels > 1 and n > 2")
+    count = lambda size: F.ceil((size + 1) / block_bytes)
+    open_ = materialised(open_.select("node", F.col("most.label").alias("largest"), count(F.col("bytes") - F.col("most.bytes")).alias("rest"), count(F.col("most.bytes")).alias("blocks")))
     rest = F.col("label") != F.col("largest")
-    dealt = own.join(open_, "node").select("node", "rest", "blocks", rest.alias("minor"), F.pmod(F.xxhash64("value"), F.when(rest, F.col("rest")).otherwise(F.col("blocks"))).alias("block"), F.struct("value", "label").alias("member"))
+    dealt = members.join(open_, "node").select("node", "rest", "blocks", rest.alias("minor"), F.pmod(F.xxhash64("name"), F.when(rest, F.col("rest")).otherwise(F.col("blocks"))).alias("block"), "name", "fp", "label")
+    dealt = dealt.join(sets.select("name", "shingles"), "name").select("node", "rest", "blocks", "minor", "block", F.struct("shingles", "fp", "label").alias("member"))
     dealt = materialised(dealt.groupBy("node", "minor", "block").agg(F.first("rest").alias("rest"), F.first("blocks").alias("blocks"), F.collect_list("member").alias("members")))
     against = F.expr("concat(transform(sequence(block, rest - 1), i -> struct(true as minor, i as block)), transform(sequence(0L, blocks - 1), i -> struct(false as minor, i as block)))")
     left = dealt.where("minor").select("node", F.col("members").alias("a"), F.explode(against).alias("to")).select("node", "to.minor", "to.block", "a")
     pairs = left.join(dealt.select("node", "minor", "block", F.col("members").alias("b")), ["node", "minor", "block"]).select("a", "b")
 
     def compare(batches):
-        for batch in batches:
-            a, b = [], []
-            for x, y in zip(*batch.columns):
-                x, y = x.values, y.values
-                names = pa.concat_arrays([x.field("label"), y.field("label")]).dictionary_encode()
-                number = names.indices.to_numpy()
-                one, two = number[: len(x)], number[len(x) :]
-                parent = list(range(len(names.dictionary)))
-                for begin, found in close(x.field("value").to_pylist(), y.field("value").to_pylist()):
-                    i, j = np.nonzero(found & (one[begin : begin + len(found), None] != two[None]))
-                    for p, q in set(zip(one[begin + i].tolist(), two[j].tolist())):
-                        while parent[p] != p:
-                            p = parent[p]
-                        while parent[q] != q:
-                            q = parent[q]
-                        if p != q:
-                            parent[max(p, q)] = min(p, q)
-                            a.append(names.dictionary[p].as_py())
-                            b.append(names.dictionary[q].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        for batch in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            x, y = batch.column(0)[0].values, batch.column(1)[0].values
+            names = pa.concat_arrays([x.field("label"), y.field("label")]).dictionary_encode()
+            number = names.indices.to_numpy()
+            one, two = number[: len(x)], number[len(x) :]
+            parent, links = list(range(len(names.dictionary))), []
+
+            def root(p: int) -> int:
+                while parent[p] != p:
+                    p = parent[p]
+                return p
+
+            codes = [np.frombuffer(b"".join(v.field("fp").to_pylist()), np.uint64).reshape(-1, LANES) for v in (x, y)]
+            index = GrayIndex(codes[1])
+            values = [[np.frombuffer(s, np.uint64) for s in v.field("shingles").to_pylist()] for v in (x, y)]
+            for i, j in index.near(codes[0], WIDE_DISTANCE):
+                j = index.order[j]
+                differ = one[i] != two[j]
+                for p, q in zip(i[differ].tolist(), j[differ].tolist()):
+                    first, second = root(one[p]), root(two[q])
+                    if first != second and alike(values[0][p], values[1][q], least_share):
+                        parent[max(first, second)] = min(first, second)
+                        links.append((names.dictionary[first].as_py(), names.dictionary[second].as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return pairs.mapInArrow(compare, "a binary, b binary")
 
@@ -254,160 +308,71 @@ def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return materialised(moved.unionByName(alone))
 
 
-def linked_fingerprints(distinct: DataFrame, distance: int, node_size: int) -> DataFrame:
-    """(node, label) for the distinct wide fingerprints in column fp that are within the distance of another one in a common node.
-
-    Nodes of up to ``node_size`` members are searched pair by pair or by the Gray-order index. In larger ones, which only large
-    groups of near copies fill, each member is held against the node's least member first, and ``bridges`` compares all
-    pairs that are not in one component then.
-    """
-    scale = 1 << np.arange(SAMPLE_BITS)
-    shifts = np.arange(len(SAMPLED)) << SAMPLE_BITS
-
-    def run(batches):
-        for batch in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 8 * LANES), axis=1, bitorder="little")
-            keys = np.stack([bits[:, at] @ scale for at in SAMPLED], axis=1) + shifts if len(bits) else np.zeros((0, len(SAMPLED)), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(bits) + 1, dtype=np.int32) * len(SAMPLED), keys.ravel().astype(np.int32))], ["fp", "nodes"])
-
-    nodes = distinct.select("fp").mapInArrow(run, "fp binary, nodes array<int>").select("fp", F.explode("nodes").alias("node"))
-    hot = F.broadcast(materialised(nodes.groupBy("node").count().where(F.col("count") > node_size).select("node")))
-
-    def search(batches):
-        for batch in batches:
-            a, b = [], []
-            all_codes = np.frombuffer(b"".join(batch.column(0).flatten().to_pylist()), np.uint64).reshape(-1, LANES)
-            sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
-            begins = np.cumsum(sizes) - sizes
-            for size in np.unique(sizes[sizes <= 16]):
-                x, y = np.triu_indices(size, 1)
-                own = begins[sizes == size]
-                for i in range(0, len(own), 2048):
-                    one, two = ((own[i : i + 2048, None] + v).ravel() for v in (x, y))
-                    near = np.bitwise_count(all_codes[one] ^ all_codes[two]).sum(axis=1) <= distance
-                    a += [v.tobytes() for v in all_codes[one[near]]]
-                    b += [v.tobytes() for v in all_codes[two[near]]]
-            for i in np.flatnonzero(sizes > 16):
-                own = all_codes[begins[i] : begins[i] + sizes[i]]
-                x, y = spanning_links(own, distance)
-                a += [own[i].tobytes() for i in x]
-                b += [own[i].tobytes() for i in y]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    def compare(batches):
-        for batch in batches:
-            pair = [np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, LANES) for c in batch.columns]
-            yield batch.filter(pa.array(np.bitwise_count(pair[0] ^ pair[1]).sum(axis=1) <= distance))
-
-    small = nodes.join(hot, "node", "left_anti").groupBy("node").agg(F.collect_list("fp").alias("codes")).where(F.size("codes") > 1)
-    links = small.select("codes").mapInArrow(search, "a binary, b binary")
-    large = materialised(nodes.join(hot, "node"))
-    least = F.broadcast(large.groupBy("node").agg(F.min("fp").alias("b")))
-    held = large.join(least, "node").where("fp != b").select(F.col("fp").alias("a"), "b")
-    labels = materialised(components(links.unionByName(held.mapInArrow(compare, "a binary, b binary"))))
-    large = large.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
-
-    def close(a: list, b: list):
-        x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(-1, LANES) for v in (a, b))
-        for i in range(0, len(x), 64):
-            yield i, np.bitwise_count(x[i : i + 64, None] ^ y[None]).sum(axis=2) <= distance
-
-    return joined_labels(labels, bridges(large.select("node", F.col("fp").alias("value"), F.coalesce("label", "fp").alias("label")), close))
-
-
-def shingle_set(text: bytes, words_per_shingle: int) -> np.ndarray:
-    """The hashes of a text's word shingles, sorted, each once."""
-    words = text.lower().split()
-    hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + words_per_shingle]), 42) for i in range(max(len(words) - words_per_shingle + 1, 1))} if words else ()
-    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
-
-
-def sets_alike(least_share: float) -> Callable:
-    """For ``bridges``: which packed shingle sets share ``least_share`` of their union or more."""
-
-    def close(a: list, b: list):
-        b = [np.frombuffer(v, np.uint64) for v in b]
-        sizes = np.fromiter(map(len, b), np.int64, len(b))
-        all_b, owner = np.concatenate(b), np.repeat(np.arange(len(b)), sizes)
-        order = np.argsort(all_b, kind="stable")
-        all_b, owner = all_b[order], owner[order]
-        for i, packed in enumerate(a):
-            own = np.frombuffer(packed, np.uint64)
-            begin, end = np.searchsorted(all_b, own, "left"), np.searchsorted(all_b, own, "right")
-            n = end - begin
-            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-            common = np.bincount(owner[at], minlength=len(b))
-            yield i, (common >= least_share * (len(own) + sizes - common) - 1e-9)[None]
-
-    return close
-
-
-def near_copies(docs: DataFrame, *, words_per_shingle: int = 3, distance: int = WIDE_DISTANCE, node_size: int = 1024, words_per_set: int = 5, least_share: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, *, words_per_set: int = 5, least_share: float = 0.8, block_bytes: int = 4 << 20, most_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, text_hash, component) for every row: groups of texts joined by pairs that share ``least_share`` of their five-word shingles.
 
-    Two bits of 64 tell nearly identical texts only. Here 256 bits are compared, of which at most ``distance`` may differ,
-    and the upper nodes are sampled masks, of which two texts at 0.8 share one with a probability of 0.99 and more
-    (measured in the tests). That gives candidate groups only: in each of them the shingle sets themselves are compared, first with
-    the group's least one, then all pairs that are not joined yet. ``least_share`` 0 leaves that out.
+    Texts with one shingle set are one entry; null texts and those without words have the empty one. Entries meet in
+    min-hash bands. Each is first held against its bands' least entries, which costs as many comparisons as there are
+    entries; ``bridges`` then compares what shares a band and is not joined yet. Wide fingerprints that differ in more
+    than ``WIDE_DISTANCE`` bits are left out of either, and the shingle sets decide: what is joined is alike.
     """
 
-    def run(batches):
-        for batch in batches:
-            own, fp = [], []
-            for value in batch.column(1):
-                text = value.as_py()
-                own.append(_signed(xxhash.xxh64_intdigest(text, 42)))
-                fp.append(np.packbits(wide_fingerprint(text, words_per_shingle), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64()), pa.array(fp, pa.binary())], ["doc_id", "text_hash", "fp"])
-
-    rows = materialised(texts(docs).mapInArrow(run, "doc_id bigint, text_hash bigint, fp binary"))
-    labels = linked_fingerprints(materialised(rows.select("fp").distinct()), distance, node_size).select(F.col("node").alias("fp"), "label")
-    placed = rows.select("text_hash", "fp").distinct().join(labels, "fp", "left").select("text_hash", F.coalesce("label", "fp").alias("group"))
-    placed = materialised(placed)
-    if not least_share:
-        return rows.join(placed, "text_hash").select("doc_id", "text_hash", F.col("group").alias("component"))
-    many = placed.groupBy("group").count().where("count > 1").select("group")
-    wanted = materialised(placed.join(many, "group"))
+    def sketch(batches):
+        for batch in (own for batch in batches for own in slices(batch, 1)):
+            own, name, fp, bands, size = [], [], [], [], []
+            for value in batch.column(1).to_pylist():
+                hashes = shingle_set(value, words_per_set)
+                own.append(_signed(xxhash.xxh64_intdigest(value, 42)))
+                name.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                fp.append(wide_fingerprint(hashes).tobytes())
+                bands.append(band_keys(hashes).view(np.int64))
+                size.append(hashes.nbytes)
+            arrays = [batch.column(0), pa.array(own, pa.int64()), pa.array(name, pa.binary()), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(size, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_hash", "name", "fp", "bands", "size"])
+
+    rows = materialised(texts(docs).mapInArrow(sketch, "doc_id bigint, text_hash bigint, name binary, fp binary, bands array<bigint>, size bigint"))
+    entries = rows.groupBy("name").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("text_hash").alias("text_hash"))
+    nodes = materialised(entries.select("name", "fp", "size", "text_hash", F.explode("bands").alias("node")))
+    shared = nodes.groupBy("node").agg(F.min(F.struct("name", "fp")).alias("least"), F.count("*").alias("n")).where("n > 1").select("node", "least")
+    nodes = materialised(nodes.join(materialised(shared), "node"))
 
     def read(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            own, group, names, sets = [], [], [], []
-            for number, label, value in zip(*(c.to_pylist() for c in batch.columns)):
-                if number in seen:
+        seen: set[bytes] = set()
+        for batch in (own for batch in batches for own in slices(batch, 1)):
+            names, sets = [], []
+            for name, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if name in seen:
                     continue
                 if len(seen) < 1_000_000:
-                    seen.add(number)
-                packed = shingle_set(value, words_per_set).tobytes()
-                own.append(number)
-                group.append(label)
-                names.append(xxhash.xxh3_128_digest(packed))
-                sets.append(packed)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(group, pa.binary()), pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["text_hash", "group", "name", "shingles"])
-
-    hashed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = materialised(hashed.join(wanted, "text_hash").select("text_hash", "group", "text").mapInArrow(read, "text_hash bigint, group binary, name binary, shingles binary"))
-    names = found.select("text_hash", "name").distinct()
-    sets = materialised(found.groupBy("group", "name").agg(F.first("shingles").alias("value")))
-    least = sets.groupBy("group").agg(F.min(F.struct("name", "value")).alias("least"))
-    held = sets.join(least, "group").where("name != least.name").select(F.col("name").alias("a"), F.col("least.name").alias("b"), F.col("value").alias("x"), F.col("least.value").alias("y"))
-
-    def compare(batches):
+                    seen.add(name)
+                names.append(name)
+                sets.append(shingle_set(value, words_per_set).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sets, pa.binary())], ["name", "shingles"])
+
+    # One text of each entry that shares a band is read again.
+    wanted = materialised(nodes.select("text_hash", "name").distinct())
+    wanted = F.broadcast(wanted) if wanted.limit(most_broadcast + 1).count() <= most_broadcast else wanted
+    text = F.coalesce("text", F.lit(""))
+    sets = docs.select(F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).join(wanted, "text_hash").select("name", "text")
+    sets = materialised(sets.mapInArrow(read, "name binary, shingles binary").groupBy("name").agg(F.first("shingles").alias("shingles")))
+
+    def compare_fingerprints(batches):
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            alike = []
-            for one, two in zip(x, y):
-                one, two = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                alike.append(common >= least_share * (len(one) + len(two) - common) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
-
-    alike = materialised(components(held.mapInArrow(compare, "a binary, b binary")))
-    apart = sets.join(alike.select(F.col("node").alias("name"), "label"), "name", "left").select(F.col("group").alias("node"), "value", F.coalesce("label", "name").alias("label"))
-    alike = joined_labels(alike, bridges(apart, sets_alike(least_share), block=128))
-    names = names.join(alike.select(F.col("node").alias("name"), "label"), "name", "left").select("text_hash", F.coalesce("label", "name").alias("label"))
-    placed = materialised(placed.join(names, "text_hash", "left").select("text_hash", F.coalesce("label", "group").alias("component")))
-    return rows.join(placed, "text_hash").select("doc_id", "text_hash", "component")
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, LANES) for c in ("fa", "fb"))
+            yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= WIDE_DISTANCE))
+
+    def compare_sets(batches):
+        for batch in (own for batch in batches for own in slices(batch, 2)):
+            pairs = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())
+            yield batch.select(["a", "b"]).filter(pa.array([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least_share) for x, y in pairs], pa.bool_()))
+
+    stars = nodes.where("name != least.name").select(F.col("name").alias("a"), F.col("least.name").alias("b"), F.col("fp").alias("fa"), F.col("least.fp").alias("fb")).distinct()
+    stars = stars.mapInArrow(compare_fingerprints, "a binary, b binary")
+    stars = stars.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
+    labels = materialised(components(stars.select("a", "b", "x", "y").mapInArrow(compare_sets, "a binary, b binary")))
+    members = nodes.join(labels.select(F.col("node").alias("name"), "label"), "name", "left").select("node", "name", "fp", "size", F.coalesce("label", "name").alias("label"))
+    labels = joined_labels(labels, bridges(materialised(members), sets, least_share, block_bytes))
+    return rows.join(labels.select(F.col("node").alias("name"), "label"), "name", "left").select("doc_id", "text_hash", F.coalesce("label", "name").alias("component"))
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:

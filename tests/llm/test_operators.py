@@ -215,12 +215,12 @@ def test_gray_index_finds_every_pair():
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     codes = np.unique(np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)), base[:10] ^ np.uint64(3)]))
     index = simhash.GrayIndex(codes)
-    found = {tuple(sorted((int(index.codes[x, 0]), int(index.codes[y, 0])))) for a, b in index.links(2, block=7) for x, y in zip(a, b)}
+    found = {tuple(sorted((int(index.codes[x, 0]), int(index.codes[y, 0])))) for a, b in index.links(2, pairs=500) for x, y in zip(a, b)}
     assert found == {tuple(sorted((int(a), int(b)))) for a, b in itertools.combinations(codes, 2) if (int(a) ^ int(b)).bit_count() <= 2}
 
 
-@pytest.mark.parametrize("node_size", [2, 1024])
-def test_near_copies(spark, node_size):
+@pytest.mark.parametrize("block_bytes", [2000, 4 << 20])
+def test_near_copies(spark, block_bytes):
     """Groups of texts with a few edits are found, others are left alone."""
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(5000)]
@@ -238,28 +238,49 @@ def test_near_copies(spark, node_size):
                 rows.append((1000 * group + copy, " ".join(words)))
                 alike[1000 * group + copy] = 1000 * group
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    component = {r.doc_id: bytes(r.component) for r in simhash.near_copies(docs, node_size=node_size).collect()}
+    component = {r.doc_id: bytes(r.component) for r in simhash.near_copies(docs, block_bytes=block_bytes).collect()}
     assert sum(component[a] == component[b] for a, b in alike.items()) / len(alike) >= 0.95
     assert len({component[1000 * g] for g in range(60)}) == 60
     left = {r.doc_id for r in simhash.one_of_each(docs, simhash.near_copies(docs)).collect()}
     assert {1000 * g for g in range(60)} <= left and len(left) <= 60 + 0.05 * len(alike)
 
 
-def test_near_copies_of_a_large_node(spark, monkeypatch):
-    """In a node over node_size all pairs are compared: variants of one text that are far from the node's least member, and from each other, stay one group."""
-    rng = np.random.default_rng(5)
-    first = rng.random(256) < 0.5
-    first[:30] = True
-    codes = {0: first}
-    for i in range(1, 80):
-        codes[i] = first.copy()
-        codes[i][30 + rng.permutation(226)[:32]] ^= True
-    assert sum((codes[i] ^ codes[j]).sum() <= 40 for i in range(1, 80) for j in range(i)) <= 100
-    monkeypatch.setattr(simhash, "SAMPLED", np.tile(np.arange(simhash.SAMPLE_BITS), (2, 1)))
-    monkeypatch.setattr(simhash, "wide_fingerprint", lambda text, size: codes[int(text)])
-    docs = spark.createDataFrame([(i, str(i)) for i in codes], "doc_id long, text string")
-    for node_size in (4, 1024):
-        assert len({bytes(r.component) for r in simhash.near_copies(docs, node_size=node_size, distance=40, least_share=0).collect()}) == 1
+def plain_groups(rows, share=0.8):
+    """Components of all pairs that share so much of their five-word shingles."""
+    sets = {}
+    for i, text in rows:
+        w = text.split()
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1)))
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if root(a) != root(b) and len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
+            parent[root(a)] = root(b)
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize(("block_bytes", "most_broadcast"), [(3000, 1), (4 << 20, 1_000_000)])
+def test_near_copies_of_a_large_group(spark, block_bytes, most_broadcast):
+    """Variants of one text, most pairs of which share about 0.6, and a family that shares a long passage: as all pairs give, whatever the size of the blocks."""
+    rng = random.Random(5)
+    make = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    first, passage, rows = make(120), make(90), []
+    for i in range(250):
+        words = list(first)
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(len(words))] = rng.choice(("new", "other", f"n{i}"))
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(passage + make(rng.randrange(8, 40)))) for i in range(60)]
+    want = plain_groups(rows)
+    got = {r.doc_id: bytes(r.component) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=block_bytes, most_broadcast=most_broadcast).collect()}
+    pairs = lambda label: {frozenset(p) for p in itertools.combinations(label, 2) if label[p[0]] == label[p[1]]}
+    found, true = pairs(got), pairs(want)
+    assert found <= true and len(found) >= 0.98 * len(true) and len(true) > 1000
 
 
 def test_near_copies_at_the_limit(spark):
@@ -278,8 +299,8 @@ def test_near_copies_at_the_limit(spark):
         if 0.8 <= share <= 0.85 or 0.7 <= share < 0.8:
             rows += [(2 * i, " ".join(words), share >= 0.8), (2 * i + 1, " ".join(copy), share >= 0.8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, alike boolean")
-    for node_size in (2, 1024):
-        component = {r.doc_id: bytes(r.component) for r in simhash.near_copies(docs, node_size=node_size).collect()}
+    for block_bytes in (2000, 4 << 20):
+        component = {r.doc_id: bytes(r.component) for r in simhash.near_copies(docs, block_bytes=block_bytes).collect()}
         joined = {yes: [component[d] == component[d + 1] for d, _, own in rows if own == yes and d % 2 == 0] for yes in (True, False)}
         assert min(map(len, joined.values())) >= 40 and sum(joined[True]) / len(joined[True]) >= 0.97 and not any(joined[False])
 
@@ -288,7 +309,7 @@ def test_near_copies_far_from_the_least_set(spark):
     """In a candidate group all sets are compared, not only with the least one: each pair's two texts are one group, pairs are not."""
     words = [f"w{i}" for i in range(200)]
     rows = [(2 * g + c, " ".join([*words[:150], *(f"g{g}x{i}" for i in range(50)), *["end"] * c])) for g in range(20) for c in range(2)]
-    component = {r.doc_id: bytes(r.component) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), distance=256, node_size=2).collect()}
+    component = {r.doc_id: bytes(r.component) for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=2000).collect()}
     assert all(component[2 * g] == component[2 * g + 1] for g in range(20)) and len(set(component.values())) == 20
 
 
