@@ -1,16 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes a sequence of blocks, each with its tag path from the root. Parts that are not text or
-name themselves as boilerplate (by element, role, class or id) are left out. For each tag path, text
-length and punctuation are added up and divided by the number of its blocks; the two ratios are smoothed
-over neighbouring blocks and multiplied. Blocks above the threshold (a share of their standard deviation)
-vote for their paths, and chosen paths are fused: the innermost element that holds nearly all of their
-text is the article, and every block in it counts, short ones as well.
+A page becomes a sequence of blocks, each with its tag path from the root. For each tag path, text length
+and punctuation are added up and divided by the number of its blocks; the two ratios are smoothed over
+neighbouring blocks and multiplied. Blocks above the threshold (a share of their standard deviation) vote for
+their paths, and chosen paths are fused: the innermost element that holds nearly all of their text is the
+article, and the blocks in it count, short ones and links as well.
+
+Names only weigh. An element whose class or id names boilerplate makes a path of its own, whose ratio is
+multiplied by a weight, unless the element holds an article or (but for readers' comments) the larger part of the
+page's plain text. So inside the article a named part stays out only if its path does not reach the threshold. What HTML itself calls
+no content (menus, footers, forms, scripts and so on, or what is hidden) has weight zero.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict
 
@@ -31,10 +36,10 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?。，！？、…]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object select button".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg object select button".split())
 #: Elements that are never part of the text.
 OUT = RAW | frozenset("head nav footer aside form menu dialog audio video canvas map datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr data output".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr data output math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder semantics annotation".split())
 #: An element of the key closes open elements of the value, up to the next container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("html body div article section main table ul ol dl blockquote figure details header".split())
@@ -46,54 +51,64 @@ NAMES = frozenset(
     sidebars aside comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices
     popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs
     masthead footer pagination pager share sharing social related recommended recommendations widget widgets toolbar login
-    searchbox alert alerts""".split()
+    searchbox alert alerts topbar topmenu""".split()
 )
-#: Names of boilerplate that also count as parts of longer words, such as topmenu or page-footer2.
-PARTS = re.compile("sidebar|side-bar|comment|cookie|footer|advert|breadcrumb|newsletter|navbar|navig|sponsor|menu|banner|popup", re.I)
+#: Words that stand beside a name without making it another thing.
+BESIDE = frozenset("list box bar area section block wrap wrapper container inner outer main top bottom left right page site header footer content item items body thread form text link links post posts id".split())
+#: Names of what readers wrote, which can be longer than the article.
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: What a path's ratio is multiplied by: left out by HTML, readers' comments, a class or id that is a name, one that has a name among other words.
+WEIGHTS = {"-": 0.0, "~": 0.05, "!": 0.05, "?": 0.3}
 #: Share of the standard deviation from which on a block's fused ratio counts, and of the chosen text that the article must hold.
 THRESHOLD, HOLD = 0.5, 0.9
 
 
-def boilerplate(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is left out. inside: it stands within an article or main element."""
+def mark(tag: str, attrs: str, inside: bool) -> str:
+    """The mark of an element, a key of WEIGHTS or empty. inside: it stands within an article or main element."""
     if tag in OUT or tag == "header" and not inside:
-        return True
+        return "-"
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    found = ""
     for name, value in ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "-"
         if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id") and (PARTS.search(value) or any(w.lower() in NAMES for w in WORDS.findall(value))):
-            return True
-    return False
-
-
-def blocks_of(page: str, strict: bool = True) -> list[tuple[tuple, str, int]]:
-    """(path, text, characters in links) of each block in page order; a path's elements have numbers that tell them apart.
-
-    strict: leave boilerplate out. Markup may be broken or cut off: ends without a beginning are passed over, and elements
-    that stay open end with what holds them.
+            return "-"
+        if name in ("class", "id"):
+            for token in value.split():
+                words = [w.lower() for w in WORDS.findall(token)]
+                if any(w in NAMES for w in words):
+                    plain = all(w in NAMES or w in BESIDE or w.isdigit() for w in words)
+                    kind = "?" if not plain else "~" if READERS.intersection(words) else "!"
+                    found = min(found or kind, kind, key=list(WEIGHTS).index)
+    return found
+
+
+def blocks_of(page: str) -> tuple[list[tuple[tuple, str, int]], set[int]]:
+    """(path, text, characters in links) of each block in page order, and the numbers of the elements that hold an article or main.
+
+    A path's elements are (tag and mark, number). Markup may be broken or cut off: ends without a beginning are passed
+    over, and elements that stay open end with what holds them.
     """
     out: list[tuple[tuple, str, int]] = []
     stack: list[tuple[str, str, int]] = []  # tag, label, number
-    dropped = links = articles = number = 0
+    links = articles = number = 0
     parts: list[tuple[str, bool]] = []
+    around: set[int] = set()
 
     def flush():
         if parts:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
-                path = tuple((label, n) for tag, label, n in stack if tag not in INLINE)
+                path = tuple((label, n) for tag, label, n in stack if tag not in INLINE or label != tag)
                 out.append((path, text, sum(len(" ".join(p.split())) for p, linked in parts if linked)))
             parts.clear()
 
     def pop(to: int):
-        nonlocal dropped, links, articles
-        for tag, label, _ in stack[to:]:
-            dropped -= label == ""
+        nonlocal links, articles
+        for tag, _, _ in stack[to:]:
             links -= tag == "a"
             articles -= tag in ("article", "main")
         del stack[to:]
@@ -102,12 +117,12 @@ def blocks_of(page: str, strict: bool = True) -> list[tuple[tuple, str, int]]:
     while at < size:
         token = TOKEN.search(page, at)
         begin = token.start() if token else size
-        if begin > at and not dropped:
+        if begin > at:
             parts.append((html.unescape(page[at:begin]), links > 0))
         if not token:
             break
         at = token.end()
-        if token[0].startswith("<![CDATA[") and not dropped:
+        if token[0].startswith("<![CDATA["):
             parts.append((token[0][9:].removesuffix("]]>"), links > 0))
         tag = (token["name"] or token["name2"] or "").lower()
         if not tag:
@@ -115,8 +130,7 @@ def blocks_of(page: str, strict: bool = True) -> list[tuple[tuple, str, int]]:
         attrs = token["attrs"] or token["attrs2"] or ""
         block = tag not in INLINE and tag != "br"
         if tag == "br":
-            if not dropped:
-                parts.append((" ", False))
+            parts.append((" ", False))
             continue
         if token["end"] or token["end2"]:
             open_ = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
@@ -144,33 +158,55 @@ def blocks_of(page: str, strict: bool = True) -> list[tuple[tuple, str, int]]:
         if tag in VOID or attrs.endswith("/"):
             continue
         number += 1
-        away = boilerplate(tag, attrs, articles > 0) if strict else tag in OUT
-        stack.append((tag, "" if away else tag, number))
-        dropped += away
+        label = tag + mark(tag, attrs, articles > 0)
+        if label != tag and not block:  # a marked span is a block of its own
+            flush()
+        stack.append((tag, label, number))
         links += tag == "a"
-        articles += tag in ("article", "main")
+        if tag in ("article", "main"):
+            articles += 1
+            around.update(n for _, _, n in stack[:-1])
     flush()
-    return out
+    return out, around
+
+
+def path_ratios(blocks: list[tuple[tuple, str, int]], paths: list[tuple]) -> np.ndarray:
+    """Per block its tag path's plain characters and punctuation marks a block, smoothed over neighbours and fused."""
+    sums = defaultdict(lambda: np.zeros(3))
+    for path, (_, text, linked) in zip(paths, blocks):
+        sums[path] += (len(text) - linked, len(PUNCTUATION.findall(text)), 1)
+    ratios = np.array([sums[path][:2] / sums[path][2] for path in paths])
+    if len(blocks) >= 3:
+        padded = np.pad(ratios, ((1, 1), (0, 0)), mode="edge")
+        ratios = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
+    return ratios[:, 0] * (1 + ratios[:, 1])
 
 
 def main_text(page: str | None) -> str:
     """The text of the article; empty if there is none."""
     if not page:
         return ""
-    blocks = blocks_of(page) or blocks_of(page, strict=False)
+    blocks, around = blocks_of(page)
+    plain: dict[int, int] = defaultdict(int)
+    for path, text, linked in blocks:
+        for label, number in path:
+            if label[-1] in WEIGHTS:
+                plain[number] += len(text) - linked
+    most = sum(len(text) - linked for _, text, linked in blocks) / 2
+
+    def label_of(label: str, number: int) -> str:
+        """Without its mark if the element holds an article, or by its name alone is boilerplate but holds most of the page."""
+        lifted = number in around or label[-1] in "!?" and plain[number] > most
+        return label[:-1] if label[-1] in WEIGHTS and lifted else label
+
+    blocks = [(tuple((label_of(*e), e[1]) for e in path), text, linked) for path, text, linked in blocks]
+    weight = lambda path: math.prod(WEIGHTS.get(label[-1], 1.0) for label, _ in path)
+    blocks = [b for b in blocks if weight(b[0])] or [(tuple((label.rstrip("-~!?"), n) for label, n in path), text, linked) for path, text, linked in blocks]
     if not blocks:
         return ""
-    # Navigation that does not name itself: blocks that are mostly links.
-    plain = [b for b in blocks if b[2] <= 0.7 * len(b[1])] or blocks
-    sums = defaultdict(lambda: np.zeros(3))
-    paths = [tuple(label for label, _ in path) for path, _, _ in plain]
-    for path, (_, text, linked) in zip(paths, plain):
-        sums[path] += (len(text) - linked, len(PUNCTUATION.findall(text)), 1)
-    ratios = np.array([sums[path][:2] / sums[path][2] for path in paths])
-    if len(plain) >= 3:
-        padded = np.pad(ratios, ((1, 1), (0, 0)), mode="edge")
-        ratios = 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
-    fused = ratios[:, 0] * (1 + ratios[:, 1])
+    paths = [tuple(label for label, _ in path) for path, _, _ in blocks]
+    weights = np.array([weight(path) for path, _, _ in blocks])
+    fused = path_ratios(blocks, paths) * weights
     chosen = fused >= THRESHOLD * fused.std()
     votes = defaultdict(list)
     for path, yes in zip(paths, chosen):
@@ -178,22 +214,25 @@ def main_text(page: str | None) -> str:
     good = {path for path, own in votes.items() if 2 * sum(own) >= len(own)}
     held: dict[tuple[int, str, int], int] = defaultdict(int)  # depth, label and number of an element
     total = 0
-    for label, (path, text, _) in zip(paths, plain):
-        if label in good:
+    for label, (path, text, linked) in zip(paths, blocks):
+        if label in good and linked <= 0.7 * len(text):  # navigation that does not name itself finds no article
             total += len(text)
             for depth, (tag, number) in enumerate(path):
                 held[depth, tag, number] += len(text)
-    around = [e for e in held if e[1] in CONTAINERS and held[e] >= HOLD * total]
-    articles = [e for e in around if e[1] in ("article", "main")]
-    depth, tag, number = max(articles or around, default=(-1, "", 0))
+    around_all = [e for e in held if e[1].rstrip("~!?") in CONTAINERS and held[e] >= HOLD * total]
+    articles = [e for e in around_all if e[1] in ("article", "main")]
+    depth, tag, number = max(articles or around_all, default=(-1, "", 0))
     narrow = tag in ("", "html", "body")
 
-    def belongs(label: tuple, path: tuple) -> bool:
+    def belongs(label: tuple, path: tuple, text: str, linked: int) -> bool:
         if depth >= 0 and (len(path) <= depth or path[depth][1] != number):
             return False
-        return not narrow or label in good or bool(label) and label[-1] in HEADINGS
+        inside = path[depth + 1 :] if depth >= 0 else path
+        if any(name[-1] in WEIGHTS for name, _ in inside) and label not in good:
+            return False
+        return not narrow or (label in good or bool(label) and label[-1] in HEADINGS) and linked <= 0.7 * len(text)
 
-    return " ".join(text for label, (path, text, _) in zip(paths, plain) if belongs(label, path))
+    return " ".join(text for label, (path, text, linked) in zip(paths, blocks) if belongs(label, path, text, linked))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -615,3 +615,40 @@ def test_pii_generalises_by_class(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert clean[50] == "Some [NAME], [NAME] and [CODE] [TERM]" and clean[100] == "other text number 0 with things here about it"
     assert clean[51].count("1111") == 0 and "[CARD]" in clean[51] and "[EMAIL]" in clean[0]
+
+
+PROSE = ["The first paragraph goes on for a while, with commas, and says something. It is long enough.", "A second one follows; it has more to say, of course, and says it at length, as they do.", "Then a third, which ends the matter, more or less, after some more words of this kind."]
+LONGER = "<p>" + "</p><p>".join(PROSE) + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<body><div class="site-menu"><a href=a>Home</a> <a href=b>News</a></div><article>{LONGER}<div class="commentary"><p>{PROSE[0]}</p></div></article><p>(c) 2020</p></body>', " ".join([*PROSE, PROSE[0]])),
+        (f'<body><article>{LONGER}<section class="social-policy"><p>{PROSE[1]}</p></section></article></body>', " ".join([*PROSE, PROSE[1]])),
+        (f'<body><div id="content">{LONGER}<div class="restaurant-menu-review"><p>{PROSE[2]}</p></div></div><footer>(c) 2020</footer></body>', " ".join([*PROSE, PROSE[2]])),
+        (f'<body><div class="post widget">{LONGER}</div><p>(c) 2020</p></body>', " ".join(PROSE)),
+        (f'<body><article><h1>Title</h1>{LONGER}<p><a href="x">All about this in a longer text elsewhere</a></p></article></body>', "Title " + " ".join(PROSE) + " All about this in a longer text elsewhere"),
+        (f"<body><article>{LONGER}<p>It holds that <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here.</p></article></body>", " ".join(PROSE) + " It holds that x=1 here."),
+        (f'<body><div class="row with-sidebar"><article>{LONGER}</article><div class="sidebar"><p>Popular posts. Read them.</p></div></div></body>', " ".join(PROSE)),
+        (f'<body><div class="elementor-widget"><div>{LONGER}</div></div><div class="cookie-notice"><p>We use cookies, as you know, and ask you to agree to this. Please do.</p></div></body>', " ".join(PROSE)),
+        (f'<body><article>{LONGER}<div id="comments">{"".join(f"<p>{PROSE[i % 3]} I agree, {i}.</p>" for i in range(9))}</div></article></body>', " ".join(PROSE)),
+        (f'<body><main>{LONGER}<div class="ad">{PROSE[0]}</div><aside><p>{PROSE[1]}</p></aside><form><p>{PROSE[1]}</p></form></main><div class="page-footer2">{PROSE[2]}</div></body>', " ".join(PROSE)),
+    ],
+)
+def test_html_names_only_weigh(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_html_path_ratios():
+    """Against plain sums over each tag path."""
+    blocks, _ = html_extract.blocks_of(PAGE)
+    paths = [tuple(label for label, _ in path) for path, _, _ in blocks]
+    ratio = {}
+    for p in set(paths):
+        own = [b for b, q in zip(blocks, paths) if q == p]
+        ratio[p] = (sum(len(t) - k for _, t, k in own) / len(own), sum(sum(c in ".,;:!?" for c in t) for _, t, _ in own) / len(own))
+    around = lambda i: [ratio[paths[max(i - 1, 0)]], ratio[paths[i]], ratio[paths[i]], ratio[paths[min(i + 1, len(paths) - 1)]]]
+    want = [sum(x for x, _ in around(i)) / 4 * (1 + sum(y for _, y in around(i)) / 4) for i in range(len(paths))]
+    assert html_extract.path_ratios(blocks, paths).tolist() == pytest.approx(want)
+    assert {b[1] for b in blocks} >= {"We use cookies, okay?", "End.", "Site"} and not any("var x" in b[1] for b in blocks)
