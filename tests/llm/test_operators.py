@@ -342,6 +342,33 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert again.columns == docs.columns and again.count() == quality.quality_scores(docs, labels).where("kept").count()
 
 
+def test_quality_verdicts(spark, documents, texts):
+    """Scores and verdicts against plain multinomials of all documents and of half the trusted ones; the other half gives the threshold."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    trusted = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    half = {i: zlib.crc32(str(i).encode()) % 2 for i in trusted}
+    size = 1 << quality.BUCKET_BITS
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w.lower()) for w in text.encode().split()]
+        h += [(a * int(quality.MULTIPLY_A) + b) % (1 << 64) for a, b in itertools.pairwise(h)]
+        return [(x * int(quality.MULTIPLY_B) % (1 << 64)) >> (64 - quality.BUCKET_BITS) for x in h]
+
+    own = {i: grams(t) for i, t in texts.items()}
+    every, good = Counter(), Counter()
+    for i, found in own.items():
+        every.update(found)
+        if half.get(i) == 0:
+            good.update(found)
+    ratio = lambda b: math.log((good[b] + 1) / (good.total() + size)) - math.log((every[b] + 1) / (every.total() + size))
+    score = {i: sum(map(ratio, found)) / len(found) if found else 0.0 for i, found in own.items()}
+    rows = {r.doc_id: r for r in quality.quality_scores(documents, labels).collect()}
+    unseen = [score[i] for i in trusted if half[i] == 1 and not rows[i].base_failed]
+    least = np.mean(unseen) - quality.DEVIATIONS * np.std(unseen)
+    for i, r in rows.items():
+        assert r.score == pytest.approx(score[i]) and r.kept == (not r.base_failed and score[i] >= round(float(least), 6))
+
+
 def base_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
