@@ -41,6 +41,8 @@ SENSITIVE = [
     ("/backup", r"/backup(/|s/|\.|$)"),
     ("debug.log", r"/debug\.log(\?|$)"),
 ]
+#: IPs that are broadcast, about 100 bytes each.
+MOST_IPS = 100_000
 FINDING = ["category", "issue", "url", "segment", "status_code", "hits", "urgency", "confidence"]
 
 
@@ -98,13 +100,20 @@ def classify(ua: Column, hits: Column, total: Column, admin_share: Column, verif
 def classify_requests(requests: DataFrame, ranges: DataFrame) -> DataFrame:
     """requests with purpose, content_type, class, agent, automated and verified.
 
-    What is known of an IP comes from one aggregate by IP; a heavy IP's rows are split by Spark's skew join.
+    One aggregate by IP comes first. A rule looks at an IP only if it is verified, mostly a logged-in user's or has over a
+    tenth of all requests. Up to ``MOST_IPS`` of such IPs are broadcast, so no request is shuffled; more are joined, and
+    Spark's skew join splits a heavy IP's rows.
     """
-    known = ip_profile(requests).select("ip", F.col("hits").alias("ip_hits"), "admin_share")
-    known = known.join(verify_bot_ip(known, ranges), "ip", "left")
+    profile = ip_profile(requests).withColumnRenamed("hits", "ip_hits")
     total = requests.agg(F.count("*")).scalar()
+    known = profile.join(verify_bot_ip(profile, ranges), "ip", "left").where(F.col("verified_agent").isNotNull() | (F.col("admin_share") > 0.5) | (F.col("ip_hits") > 0.10 * total))
+    known = known.select("ip", "ip_hits", "admin_share", "verified_class", "verified_agent")
+    rows = known.limit(MOST_IPS + 1).collect()
+    if len(rows) <= MOST_IPS:
+        known = F.broadcast(requests.sparkSession.createDataFrame(rows, known.schema))
     joined = with_purpose(requests).join(known, "ip", "left")
-    verdict = classify(F.coalesce("user_agent", F.lit("")), F.col("ip_hits"), total, F.col("admin_share"), F.col("verified_class"), F.col("verified_agent"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    verdict = classify(F.coalesce("user_agent", F.lit("")), none("ip_hits"), total, none("admin_share"), F.col("verified_class"), F.col("verified_agent"))
     return joined.withColumn("verdict", verdict).select("*", "verdict.class", "verdict.agent", "verdict.automated", F.col("verified_agent").isNotNull().alias("verified")).drop("verdict", "ip_hits", "admin_share", "verified_class", "verified_agent")
 
 
@@ -136,8 +145,8 @@ def url_rollup(classified: DataFrame) -> DataFrame:
 
 
 def share_of_all(df: DataFrame, count: str = "requests") -> Column:
-    """The percentage of all counts; a window over the few rows of a roll-up."""
-    return F.round(F.col(count) / F.sum(count).over(Window.partitionBy(F.lit(0))) * 100, 2)
+    """The percentage of all counts of a roll-up."""
+    return F.round(F.col(count) / df.agg(F.sum(count)).scalar() * 100, 2)
 
 
 def traffic_segments(classified: DataFrame) -> DataFrame:
@@ -150,10 +159,11 @@ def _with_share(df: DataFrame) -> DataFrame:
 
 def agent_rollup(classified: DataFrame, top: int = 30) -> DataFrame:
     """Requests, share, distinct URLs and most frequent status of the most frequent agents."""
-    per = classified.groupBy("agent", "status").agg(F.count("*").alias("n"))
-    status = per.groupBy("agent").agg(F.max_by("status", F.struct("n", -F.col("status"))).alias("top_status"))
-    agents = classified.groupBy("agent").agg(F.first("class").alias("class"), F.count("*").alias("requests"), F.countDistinct("url").alias("unique_urls"))
-    return _with_share(agents).join(status, "agent").orderBy(F.desc("requests"), "agent").limit(top)
+    per = classified.groupBy("agent", "status", "url").agg(F.count("*").alias("n"), F.first("class").alias("class"))
+    by_status = per.groupBy("agent", "status").agg(F.sum("n").alias("n"), F.first("class").alias("class"))
+    agents = by_status.groupBy("agent").agg(F.first("class").alias("class"), F.sum("n").alias("requests"), F.max_by("status", F.struct("n", -F.col("status"))).alias("top_status"))
+    urls = per.groupBy("agent", "url").agg(F.sum("n").alias("n")).groupBy("agent").agg(F.count("url").alias("unique_urls"))
+    return _with_share(agents).join(urls, "agent").select("agent", "class", "requests", "unique_urls", "pct", "top_status").orderBy(F.desc("requests"), "agent").limit(top)
 
 
 def status_mix(classified: DataFrame) -> DataFrame:
@@ -230,22 +240,29 @@ def issue_302(urls: DataFrame, least: int = 3) -> DataFrame:
     return finding(found, "Redirects", "302 Temporary Redirect", P2, F.when(n >= 10, "High").otherwise("Medium"), status="302", hits=n)
 
 
+def _parts(referrer: str, starts: str) -> Column:
+    """Every part of a referrer that begins at a place i for which ``starts`` holds."""
+    return F.explode(F.expr(f"flatten(transform(filter(sequence(1, length({referrer})), i -> {starts}), i -> transform(sequence(1, length({referrer}) - i + 1), n -> substring({referrer}, i, n))))"))
+
+
 def redirect_chains(classified: DataFrame, urls: DataFrame, least_coverage: float = 0.2, top: int = 10, exact: bool = False) -> DataFrame:
     """301 answers whose referrer names a URL that itself answers 301: url, hits, coverage.
 
-    By default a referrer names a URL that it contains anywhere, which a few distinct referrers are held against; exact
-    compares paths by an equi-join.
+    By default a referrer names a URL that it contains anywhere; exact compares paths. Either is an equi-join: the distinct
+    referrers give their parts, those from a slash or scheme on for URLs that begin so, any for the odd ones.
     """
     given = F.trim("referrer").isNotNull() & ~F.trim("referrer").isin("", "-")
     coverage = classified.agg((F.count_if(given) / F.greatest(F.count("*"), F.lit(1))).alias("c")).scalar()
     hops = classified.where(given & (F.col("status") == 301)).groupBy(F.trim("referrer").alias("referrer"), "url").agg(F.count("*").alias("n"))
-    sources = urls.where("s301 >= 1").select(F.col("url").alias("source"))
+    sources = urls.where("s301 >= 1 and url != ''").select(F.col("url").alias("source"))
     if exact:
         chained = hops.withColumn("path", A.url_path(F.col("referrer"))).join(sources.withColumn("path", A.url_path(F.col("source"))), "path", "left_semi")
     else:
-        # A substring test has no key: the distinct referrers, not the requests, meet the redirecting URLs.
-        named = hops.select("referrer").distinct().join(sources, F.col("referrer").contains(F.col("source")), "left_semi")
-        chained = hops.join(named, "referrer", "left_semi")
+        usual = F.col("source").rlike("^(/|http)")
+        refs = hops.select("referrer").distinct()
+        named = refs.select("referrer", _parts("referrer", "substring(referrer, i, 1) = '/' or substring(referrer, i, 4) = 'http'").alias("source")).join(sources.where(usual), "source", "left_semi")
+        odd = refs.select("referrer", _parts("referrer", "true").alias("source")).join(sources.where(~usual), "source", "left_semi")
+        chained = hops.join(named.unionByName(odd).select("referrer").distinct(), "referrer", "left_semi")
     return chained.where(coverage >= least_coverage).groupBy("url").agg(F.sum("n").alias("hits")).orderBy(F.desc("hits"), "url").limit(top)
 
 
@@ -291,8 +308,7 @@ def issue_param_explosion(urls: DataFrame) -> DataFrame:
     rows = urls.where(F.col("url").contains("?") & ~F.col("purpose").isin("admin_polling", "admin_ui", "scanner_probe", "static_asset"))
     base, query = F.substring_index("url", "?", 1), F.expr("substring(url, instr(url, '?'))")
     rolled = rows.groupBy(base.alias("url")).agg(F.count("*").alias("variants"), F.count_if(query.rlike("(?i)" + A.TRACKING)).alias("tracking"), F.sum("hits").alias("hits"))
-    all_variants = F.sum("variants").over(Window.partitionBy(F.lit(0)))
-    found = rolled.withColumn("all", all_variants).where((F.col("all") > 5) & ((F.col("variants") >= 20) | (F.col("tracking") >= 5)))
+    found = rolled.withColumn("all", rolled.agg(F.sum("variants")).scalar()).where((F.col("all") > 5) & ((F.col("variants") >= 20) | (F.col("tracking") >= 5)))
     return finding(found, "Crawl Budget", "URL Parameter Explosion", P2, F.when((F.col("variants") >= 50) | (F.col("tracking") >= 20), "High").otherwise("Medium"), segment=F.lit("All"))
 
 
@@ -395,11 +411,16 @@ def finding_order(findings: DataFrame) -> DataFrame:
 
 
 def finding_groups(findings: DataFrame) -> DataFrame:
-    """Per category and issue: findings, hits, worst urgency, findings by confidence, and the ten URLs with the most hits."""
+    """Per category and issue: findings, hits, worst urgency, findings by confidence, and the ten URLs with the most hits.
+
+    Each task keeps ten rows a group before the shuffle, as the rank is bounded.
+    """
     rank = F.row_number().over(Window.partitionBy("category", "issue").orderBy(F.desc("hits"), "url"))
-    ranked = findings.withColumn("r", rank)
+    best = findings.select("category", "issue", "url", "hits").withColumn("r", rank).where("r <= 10")
+    best = best.groupBy("category", "issue").agg(F.array_sort(F.collect_list(F.struct("r", "url"))).alias("t"))
     worst = F.min(urgency_rank(F.col("urgency")))
-    grouped = ranked.groupBy("category", "issue").agg(F.count("*").alias("findings"), F.sum("hits").alias("hits"), worst.alias("w"), *[F.count_if(F.col("confidence") == c).alias(c.lower()) for c in ("High", "Medium", "Low")], F.array_sort(F.collect_list(F.when(F.col("r") <= 10, F.struct("r", "url")))).alias("t"))
+    grouped = findings.groupBy("category", "issue").agg(F.count("*").alias("findings"), F.sum("hits").alias("hits"), worst.alias("w"), *[F.count_if(F.col("confidence") == c).alias(c.lower()) for c in ("High", "Medium", "Low")])
+    grouped = grouped.join(best, ["category", "issue"])
     return grouped.select("category", "issue", "findings", "hits", F.element_at(F.array(*map(F.lit, (P1, P2, P3))), F.col("w") + 1).alias("worst_urgency"), "high", "medium", "low", F.array_join("t.url", " | ").alias("top_urls"))
 
 
