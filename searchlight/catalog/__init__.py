@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from searchlight.catalog import intents, page_checks, pages, pairs, periods, search, sources, weblog
+from searchlight.catalog import intents, page_checks, pages, pairs, periods, planning, search, sources, weblog
 from searchlight.catalog.rounding import FLOATS
 
-_PARTS = (weblog, search, pairs, periods, pages, sources, intents, page_checks)
+_PARTS = (weblog, search, pairs, periods, pages, sources, intents, page_checks, planning)
 PLACES = 6
 
 

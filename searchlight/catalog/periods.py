@@ -86,7 +86,7 @@ ALL = {
     "referring_profile": (lambda s, d: L.referring_profile(_links(s, d)), f"WITH {LK} SELECT CAST(floor(score / 20) AS INT) AS band, count(DISTINCT domain) AS domains, count(*) AS links FROM lk GROUP BY 1"),
     "keyword_master": (_v("fx_keywords", L.keyword_master), f"WITH {KW} SELECT * FROM km"),
     "keyword_clusters": (_v("fx_keywords", lambda k: L.keyword_clusters(L.keyword_master(k))), f"WITH {KW} SELECT seed, count(*) AS keywords, sum(search_volume) AS volume, arg_max(keyword, search_volume * 1e9 - ordinal) AS top_keyword FROM km GROUP BY seed"),
-    "noise_flags": (lambda s, d: L.noise_flags(s.read.parquet(f"{d}/part.parquet").select(F.concat_ws(" ", "p_name", F.element_at(F.split("p_name", " "), (F.col("p_partkey") % 2 + 1).cast("int"))).alias("keyword")).distinct()), "SELECT DISTINCT p_name || ' ' || string_split(p_name, ' ')[p_partkey % 2 + 1] AS keyword, p_partkey % 2 = 1 OR string_split(p_name, ' ')[1] = string_split(p_name, ' ')[2] AS doubled FROM part"),
+    "doubled_words": (lambda s, d: L.doubled_words(s.read.parquet(f"{d}/part.parquet").select(F.concat_ws(" ", "p_name", F.element_at(F.split("p_name", " "), (F.col("p_partkey") % 2 + 1).cast("int"))).alias("keyword")).distinct()), "SELECT DISTINCT p_name || ' ' || string_split(p_name, ' ')[p_partkey % 2 + 1] AS keyword, p_partkey % 2 = 1 OR string_split(p_name, ' ')[1] = string_split(p_name, ' ')[2] AS doubled FROM part"),
     "click_kind": (_v("fx_clicks", lambda c: c.select("page", "selector", L.click_kind(F.col("selector")).alias("kind"))), f"WITH {fixtures.cte('fx_clicks')} SELECT page, selector, {_KIND} AS kind FROM fx_clicks"),
     "click_summary": (_v("fx_clicks", L.click_summary), f"WITH {fixtures.cte('fx_clicks')}, c AS (SELECT *, {_KIND} AS kind FROM fx_clicks) SELECT page, CAST(coalesce(sum(clicks) FILTER (kind = 'conversion'), 0) AS BIGINT) AS conversion, CAST(coalesce(sum(clicks) FILTER (kind = 'non_conversion'), 0) AS BIGINT) AS non_conversion, CAST(coalesce(sum(clicks) FILTER (kind = 'ambiguous'), 0) AS BIGINT) AS ambiguous, max(struct_pack(c := clicks, s := selector)) FILTER (kind = 'non_conversion').s AS top_distractor FROM c GROUP BY page".replace("max(struct_pack(c := clicks, s := selector)) FILTER (kind = 'non_conversion').s", "(max(struct_pack(c := clicks, s := selector)) FILTER (kind = 'non_conversion')).s")),
     "largest_band_drop": (_v("fx_scroll", L.largest_band_drop), f"WITH {fixtures.cte('fx_scroll')}, n AS (SELECT *, lead(visitors) OVER w AS nv, lead(depth_pct) OVER w AS nd FROM fx_scroll WINDOW w AS (PARTITION BY page ORDER BY depth_pct)), b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY visitors - nv DESC, depth_pct) AS r FROM n WHERE nv IS NOT NULL) SELECT b.page, depth_pct AS from_depth, nd AS to_depth, visitors - nv AS drop, (SELECT arg_min(visitors, abs(depth_pct - 50)) FROM fx_scroll f WHERE f.page = b.page) AS mid_visitors FROM b WHERE r = 1"),

@@ -28,8 +28,8 @@ from searchlight.llm.common import materialised, slices
 
 END = b"\n"
 ORDER = 5
-#: Distinct words, and grams, that a task holds before it passes them on; bytes of the texts of a chunk.
-MOST_WORDS, MOST_GRAMS, CHUNK = 400_000, 2_000_000, 16 << 20
+#: Distinct words, and grams, that a task holds before it passes them on; bytes of the texts of a chunk, and of those scored at once.
+MOST_WORDS, MOST_GRAMS, CHUNK, SLICE = 400_000, 2_000_000, 16 << 20, 2 << 20
 #: Where a gram has its order (the bytes of its context); its bytes stand below, the symbol lowest.
 TOP = np.uint64(56)
 
@@ -40,13 +40,12 @@ def events(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarr
     A text begins with its END byte as context and is closed by it.
     """
     parts = [END + b" ".join(text.lower().split()) + END for text in texts]
-    buffer = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     begins = np.cumsum(sizes) - sizes
-    wide = buffer.astype(np.uint64)
-    codes = wide | np.uint64(order) << TOP
-    for j in range(1, order + 1):
-        codes[j:] |= wide[:-j] << np.uint64(8 * j)
+    # Every eight bytes as a number, the last one lowest.
+    codes = np.ndarray(int(sizes.sum()), ">u8", bytes(7) + b"".join(parts), strides=(1,)).astype(np.uint64)
+    codes &= np.uint64((1 << 8 * (order + 1)) - 1)
+    codes |= np.uint64(order) << TOP
     for j in range(order):
         at = begins[sizes > j] + j
         codes[at] = codes[at] & np.uint64((1 << 8 * (j + 1)) - 1) | np.uint64(j) << TOP
@@ -172,41 +171,27 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
         held: list[tuple] = []
 
         def merged():
-            codes, counts = all_orders(*summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])))
+            codes, counts = summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], ["code", "n"])
+            return codes, counts
 
+        give = lambda codes, counts: pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], ["code", "n"])
         size = 0
-        for batch in (own for batch in batches for own in slices(batch, 0)):
+        for batch in (own for batch in batches for own in slices(batch, 0, SLICE)):
             held.append(np.unique(events(batch.column(0).to_pylist(), order)[0], return_counts=True))
             size += len(held[-1][0])
             if size > MOST_GRAMS:
-                yield merged()
+                held.append(merged())
+                size = len(held[0][0])
+            if size > MOST_GRAMS // 2:
+                yield give(*held.pop())
                 size = 0
         if held:
-            yield merged()
+            yield give(*merged())
 
-    return docs.where("not held_out").select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def add_scores(rows: DataFrame, grams: DataFrame, *, order: int = ORDER, max_model: int = 6_000_000) -> DataFrame:
-    """rows (with the column text, which goes) with the column score."""
-    grams = materialised(grams)
-    names = [f.name for f in rows.schema if f.name != "text"]
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", score double"
-    if grams.count() > max_model:
-        return _add_scores_apart(rows, grams, order, names, types)
-    found = grams.sort("code").toArrow()
-    model = rows.sparkSession.sparkContext.broadcast((found["code"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.int64)))
-
-    def run(batches):
-        trie = None
-        for batch in batches:
-            for own in slices(batch, batch.schema.get_field_index("text")):
-                trie = trie or Trie(*model.value)
-                yield own.select(names).append_column("score", pa.array(text_scores(own.column("text").to_pylist(), trie.log10, order)))
-
-    return rows.mapInArrow(run, types)
+    longest = docs.where("not held_out").select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    parts = F.expr("transform(sequence(0L, shiftrightunsigned(code, 56)), j -> (code & ((1L << cast(8 * (j + 1) as int)) - 1)) | (j << 56))")
+    return longest.select(F.explode(parts).alias("code"), "n").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _order(code: str) -> Column:
@@ -242,8 +227,10 @@ def score_grams(codes: DataFrame, grams: DataFrame, order: int = ORDER) -> DataF
     return done
 
 
-def _add_scores_apart(rows: DataFrame, grams: DataFrame, order: int, names: list[str], types: str) -> DataFrame:
-    """add_scores without a broadcast trie: chunks of texts give their distinct grams and get the scores of these."""
+def add_scores_apart(rows: DataFrame, grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """rows (with the column text, which goes) with the column score, without a broadcast trie: chunks of texts give their distinct grams and get the scores of these."""
+    names = [f.name for f in rows.schema if f.name != "text"]
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", score double"
 
     def cut(batches):
         own = number = 0
@@ -255,7 +242,7 @@ def _add_scores_apart(rows: DataFrame, grams: DataFrame, order: int, names: list
     chunks = materialised(chunks.withColumn("chunk", F.spark_partition_id() * F.lit(1 << 32) + F.col("number")).drop("number"))
 
     def give(batches):
-        for batch in (own for batch in batches for own in slices(batch, 1)):
+        for batch in (own for batch in batches for own in slices(batch, 1, SLICE)):
             chunk = batch.column(0).to_numpy()
             for c in np.unique(chunk):
                 codes = np.unique(events(batch.column(1).filter(pa.array(chunk == c)).to_pylist(), order)[0])
@@ -300,15 +287,22 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, table_size: int = 20
     n, v = words.where("n_train > 0").agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count("*")).first()
     table = spark.sparkContext.broadcast(frequent(words.where(F.octet_length("word") <= longest), table_size).select("word", "n_train").toArrow().to_pydict())
     scale = float(np.log10(n + v + 1))
+    grams = materialised(count_grams(source, order))
+    model = None
+    if grams.count() <= max_model:
+        found = grams.toArrow()
+        model = spark.sparkContext.broadcast((found["code"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.int64)))
+        del found
 
     def run(batches):
         number = {w: i for i, w in enumerate(table.value["word"])}
         counts = np.array(table.value["n_train"], float)
         base, known = np.log10(counts + 1), counts > 0
-        for batch in (own for batch in batches for own in slices(batch, 1)):
-            rows = []
-            for value in batch.column(1):
-                tokens = value.as_py().lower().split()
+        trie = Trie(*model.value) if model else None
+        for batch in (own for batch in batches for own in slices(batch, 1, SLICE)):
+            rows, texts = [], batch.column(1).to_pylist()
+            for text in texts:
+                tokens = text.lower().split()
                 tokens.append(END)
                 ids = np.fromiter(map(number.get, tokens, repeat(-1)), np.int64, len(tokens))
                 found = ids[ids >= 0]
@@ -316,10 +310,12 @@ def score_documents(docs: DataFrame, *, order: int = ORDER, table_size: int = 20
                 rows.append((len(tokens), int(known[found].sum()), float(base[found].sum()) - scale * len(tokens), [{"word": w, "times": t} for w, t in rare.items()]))
             columns = list(zip(*rows)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *map(pa.array, columns, kinds)], ["doc_id", "text", "held_out", "n_tokens", "n_known", "base_score", "rare"])
+            last = pa.array(text_scores(texts, trie.log10, order)) if model else batch.column(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, columns, kinds), last], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "rare", "score" if model else "text"])
 
-    rows = source.mapInArrow(run, "doc_id bigint, text binary, held_out boolean, n_tokens bigint, n_known bigint, base_score double, rare array<struct<word:binary,times:bigint>>")
-    rows = add_scores(rows, count_grams(source, order), order=order, max_model=max_model)
+    rows = source.mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, rare array<struct<word:binary,times:bigint>>, " + ("score double" if model else "text binary"))
+    if not model:
+        rows = add_scores_apart(materialised(rows), grams, order)
     rows = materialised(rows.withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.inline("rare")).join(words.select("word", "n_train"), "word")
     more = rare.groupBy("row").agg(F.sum(F.when(F.col("n_train") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10(F.col("n_train") + 1.0)).alias("b"))

@@ -68,7 +68,8 @@ def referring_profile(links: DataFrame, step: float = 20) -> DataFrame:
 
 
 def rank_band(rank: Column) -> Column:
-    return F.when(rank < 200, "0-199").when(rank < 500, "200-499").otherwise("500-1000")
+    """low, medium or high on a scale of 0 to 1000."""
+    return F.when(rank < 200, "low").when(rank < 500, "medium").otherwise("high")
 
 
 def keyword_master(pulls: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def keyword_clusters(master: DataFrame) -> DataFrame:
     return master.groupBy("seed").agg(F.count("*").alias("keywords"), F.sum("search_volume").alias("volume"), F.max_by("keyword", F.struct("search_volume", -F.col("ordinal"))).alias("top_keyword"))
 
 
-def noise_flags(keywords: DataFrame) -> DataFrame:
+def doubled_words(keywords: DataFrame) -> DataFrame:
     """keyword, doubled: whether a word stands twice in a row."""
     return keywords.select("keyword", F.col("keyword").rlike(r"(?i)\b(\w+)\s+\1\b").alias("doubled"))
 
