@@ -180,14 +180,18 @@ GROUP BY page, query, date
 }
 
 
-def tables_of(name: str) -> list[str]:
-    """The base tables that a view reads."""
-    return sorted(set(re.findall(r"\{(\w+)\}", VIEWS[name])))
+def names_of(sql: str) -> list[str]:
+    """The base tables that stand in braces."""
+    return sorted(set(re.findall(r"\{(\w+)\}", sql)))
+
+
+def made(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The DataFrame of a text with tables in braces; other braces stand for themselves."""
+    return spark.sql(re.sub(r"\{\{(\w+)\}\}", r"{\1}", sql.replace("{", "{{").replace("}", "}}")), **tables)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = re.sub(r"\{\{(\w+)\}\}", r"{\1}", VIEWS[name].replace("{", "{{").replace("}", "}}"))  # other braces stand for themselves
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(name)})
+    return made(spark, VIEWS[name], {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names_of(VIEWS[name])})
 
 
 def cte(*names: str) -> str:

@@ -130,6 +130,28 @@ def parse_iis(lines: DataFrame, fields: Column | None = None) -> DataFrame:
     return _finish(lines, {"ip": F.coalesce(at("c-ip"), F.lit("-")), "ts": ts, "method": F.coalesce(at("cs-method"), F.lit("-")), "url": url, "status": status, "bytes": F.coalesce(_number(at("sc-bytes")), F.lit(0)), "user_agent": F.replace(F.coalesce(at("cs(User-Agent)"), F.lit("")), F.lit("+"), F.lit(" ")), "referrer": F.coalesce(at("cs(Referer)"), F.lit(""))})
 
 
+def parse_fpm3(files: DataFrame, year: int) -> DataFrame:
+    """Whole files (file, content) of the form with three lines a request: time, address, request. It has no agent and no year."""
+    lines = F.array_join(F.filter(F.transform(F.split("content", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
+    group = r"(?m)^[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\n\d{1,3}(?:\.\d{1,3}){3}\n.*$"
+    three = files.withColumn("g", F.explode(F.regexp_extract_all(lines, F.lit(group), F.lit(0)))).withColumn("g", F.split("g", "\n")).drop("content")
+    parts = F.split(F.col("g")[2], '"', -1)
+    word = lambda c: F.nullif(F.regexp_extract(F.trim(c), r"^(\S+)", 1), F.lit(""))
+    url = F.coalesce(F.nullif(F.trim(F.element_at(parts, -1)), F.lit("")), F.lit("-"))
+    stamp = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(F.col("g")[0], r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
+    status = F.when(F.size(parts) >= 2, _number(word(parts[1])))
+    return _finish(three, {"ip": F.col("g")[1], "ts": stamp, "method": F.coalesce(word(parts[0]), F.lit("-")), "url": F.when(url.startswith("/") | (url == "-"), url).otherwise(F.concat(F.lit("/"), url)), "status": status, "bytes": F.lit(0), "user_agent": F.lit(""), "referrer": F.lit("")}).drop("g")
+
+
+def parse_last_resort(lines: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Requests in the lines (file, value) of files from which ``parsed`` (file, ok) has none: an address, a method, a URL and a status."""
+    hopeless = parsed.groupBy("file").agg(F.count_if("ok").alias("n")).where("n = 0").select("file")
+    pattern = r"(\S+).*?[\"\s]([A-Z]+)\s+(\S+).*?(\d{3})"
+    part = lambda i: F.regexp_extract(F.trim("value"), pattern, i)
+    status = F.when(part(1) != "", part(4).try_cast("int"))
+    return _finish(lines.join(hopeless, "file", "left_semi"), {"ip": part(1), "ts": F.lit(None).cast("timestamp"), "method": part(2), "url": part(3), "status": F.when(status.between(100, 599), status), "bytes": F.lit(0), "user_agent": F.lit(""), "referrer": F.lit("")}).where("ok")
+
+
 def parse_hits_csv(rows: DataFrame) -> DataFrame:
     """Rows of a crawl export with text columns of any names: url, status, user_agent, ip, weight.
 
