@@ -46,10 +46,6 @@ SHARES = f"""{D}, ap AS (SELECT page, CASE WHEN length(query) % 4 = 0 THEN 'VIDE
 ash AS (SELECT page, CAST(max(t) AS BIGINT) AS total, (max(t) - sum(i) + coalesce(sum(i) FILTER (surface = 'AMP_BLUE_LINK'), 0)) / max(t) AS web_share, coalesce(sum(i) FILTER (surface <> 'AMP_BLUE_LINK'), 0) / max(t) AS non_web_share, CASE WHEN max(t) - sum(i) >= max(i) THEN 'WEB' ELSE arg_max(surface, i) END AS top_surface FROM ap JOIN (SELECT page, sum(impressions) AS t FROM fx_dense GROUP BY page) z USING (page) GROUP BY page)"""
 
 
-def _handoffs(s, d):
-    return I.handoff_queries(CP._aligned(s, d))
-
-
 def _moves(s, d):
     return s.sql("SELECT 'https://shop.example.com/economy/' AS loser, 'https://shop.example.com/small/' AS winner, date'2024-02-26' AS handoff_date UNION ALL SELECT 'https://shop.example.com/large/', 'https://shop.example.com/medium/', date'2024-02-26'")
 
@@ -77,8 +73,6 @@ ALL = {
     "intents_compatible": (_compatible, f"WITH {INTENT}, x AS (SELECT intent FROM it UNION SELECT unnest(['news', 'commercial', 'navigational', 'informational'])) SELECT a.intent AS a, b.intent AS b, a.intent = 'unknown' OR b.intent = 'unknown' OR a.intent = b.intent OR (a.intent, b.intent) IN (('informational', 'news'), ('commercial', 'informational')) AS compatible FROM x a JOIN x b ON a.intent <= b.intent"),
     "appearance_share": (_shares, f"WITH {SHARES} SELECT * FROM ash"),
     "surface_filter": (lambda s, d: I.surface_filter(CP._all_pairs(S.search_universe(fixtures.view(s, d, "fx_dense"))), _shares(s, d)), f"WITH {SHARES}, pr AS (SELECT DISTINCT a.page AS a, b.page AS b FROM fx_dense a JOIN (SELECT DISTINCT page, query FROM fx_dense) b ON a.query = b.query AND a.page < b.page) SELECT a, b, abs(coalesce(x.non_web_share, 0) - coalesce(y.non_web_share, 0)) AS delta, NOT ((coalesce(x.non_web_share, 0) >= 0.4) <> (coalesce(y.non_web_share, 0) >= 0.4) AND abs(coalesce(x.non_web_share, 0) - coalesce(y.non_web_share, 0)) >= 0.3) AS same_surface FROM pr LEFT JOIN ash x ON x.page = a LEFT JOIN ash y ON y.page = b"),
-    "handoff_detect": (_handoffs, None),
-    "detect_handoff": (lambda s, d: I.detect_handoff(_handoffs(s, d)), None),
     "leakage": (_leakage, f"WITH {LEAK} SELECT *, CASE WHEN change <= -0.25 THEN 'critical' WHEN change <= -0.1 THEN 'warning' ELSE 'none' END AS severity FROM lk"),
     "redirect_plan": (lambda s, d: I.redirect_plan(S.page_rollup(fixtures.view(s, d, "fx_dense")), _moves(s, d)), f"WITH {CS.WK}, fc AS (SELECT page, min(date) FILTER (clicks > 0) AS f FROM fx_dense GROUP BY page) SELECT loser, winner, contains(l.trend, 'Positive') AND NOT contains(w.trend, 'Positive') AND x.f > y.f AS staged FROM {_MOVES} JOIN tl l ON l.page = loser JOIN tl w ON w.page = winner JOIN fc x ON x.page = loser JOIN fc y ON y.page = winner"),
     "crossref_search": (_crossref_search, CW._W(f"{CW.CLASSIFIED}, {fixtures.cte('fx_sitemap')}", "SELECT loc AS url, CAST(length(loc) AS BIGINT) AS impressions FROM fx_sitemap WHERE regexp_replace(regexp_replace(loc, '^https?://[^/]*', ''), '/+$', '') NOT IN (SELECT regexp_replace(split_part(url, '?', 1), '/+$', '') FROM r)")),

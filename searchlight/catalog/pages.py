@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from searchlight import fixtures
-from searchlight.catalog import pairs as CP
 from searchlight.catalog import weblog as CW
-from searchlight.operators import clusters as C
 from searchlight.operators import pages as G
-from searchlight.operators import pairs as P
 from searchlight.operators import routing as R
-from searchlight.operators import search as S
 from searchlight.operators import weblog as W
+from searchlight.storage import shared_folder
 from searchlight.streaming import weblog as X
 
 
@@ -32,27 +28,13 @@ def _texts(s, d):
     return _read(s, d, "documents").select(F.concat_ws("-", "source", "lang").alias("grp"), F.col("doc_id").alias("page"), "text")
 
 
-def _edges(s, d):
-    m = fixtures.view(s, d, "fx_search")
-    return P.shortlist_pairs(S.search_universe(m)).where("accepted and score >= 0.75").select("a", "b"), m
+def _run(stream, mode, key=()):
+    """Runs a stream over what there is and gives its output as a table; files and state go to the shared folder.
 
-
-def _stars(s, d):
-    edges, m = _edges(s, d)
-    return C.star_clusters(m.groupBy("page").agg(F.sum("clicks").alias("clicks")), edges)
-
-
-def _winners(s, d):
-    m = fixtures.view(s, d, "fx_search")
-    pages = S.page_rollup(m)
-    return pages, C.cluster_winner(pages, _stars(s, d))
-
-
-def _run(stream, mode):
-    """Runs a stream over what there is and gives its output as a table; files and state go to the shared folder."""
+    In update mode a row of a later batch replaces those with its key, as an upsert into a table would.
+    """
     s = stream.sparkSession
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="searchlight-stream-")
-    folder = posixpath.join(base, f"stream-{uuid.uuid4().hex}")
+    folder = posixpath.join(shared_folder(s), f"stream-{uuid.uuid4().hex}")
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     else:
@@ -62,7 +44,10 @@ def _run(stream, mode):
 
         query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return s.read.schema(stream.schema).parquet(f"{folder}/out")
+    if mode == "append":
+        return s.read.schema(stream.schema).parquet(f"{folder}/out")
+    rows = s.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in key]), "batch").alias("x")).select(*key, "x.*").select(*stream.columns)
 
 
 def _live(s, d):
@@ -79,11 +64,11 @@ def _stream_classify(s, d):
 
 def _stream_trend(s, d):
     requests, ranges = fixtures.view(s, d, "fx_weblog"), fixtures.view(s, d, "fx_ranges")
-    return _run(X.stream_crawl_trend(X.stream_classify(_live(s, d), W.ip_profile(requests), ranges)), "append")
+    return _run(X.stream_crawl_trend(X.stream_classify(_live(s, d), W.ip_profile(requests), ranges)), "update", ["day"])
 
 
 def _stream_alerts(s, d):
-    return _run(X.stream_error_alerts(_live(s, d)), "update")
+    return _run(X.stream_error_alerts(_live(s, d)), "update", ["hour", "url"])
 
 
 def _routes(s, d):
@@ -112,14 +97,11 @@ ALL = {
     "render_gap": (lambda s, d: G.snapshot_diff(fixtures.view(s, d, "fx_snapshot")).groupBy("text_gap", "link_gap").agg(F.count("*").alias("pages")), None),
     "templated_ratio": (lambda s, d: G.templated_ratio(_texts(s, d)), TEMPLATED),
     "doorway_verdict": (lambda s, d: G.doorway_verdict(G.templated_ratio(_texts(s, d))), f"SELECT *, CASE WHEN templated >= 0.8 AND own_sentences < 3 THEN 'doorway risk' WHEN templated >= 0.5 THEN 'thin' ELSE 'distinct' END AS verdict FROM ({TEMPLATED}) x"),
-    "star_clusters": (_stars, None),
-    "query_blocks": (lambda s, d: C.query_blocks(fixtures.view(s, d, "fx_keywords").select(F.lower("keyword").alias("query")), least_share=0.13), None),
-    "cluster_winner": (lambda s, d: _winners(s, d)[1], None),
-    "action_plan": (lambda s, d: C.action_plan(*_winners(s, d)), None),
     "route_situations": (_routes, ROUTE),
     "stream_classify": (_stream_classify, CW._W(CW.CLASSIFIED, "SELECT event_id, class, agent, automated FROM r")),
-    "stream_crawl_trend": (_stream_trend, None),
-    "stream_error_alerts": (_stream_alerts, None),
+    "stream_crawl_trend": (_stream_trend, CW._W(CW.CLASSIFIED, f"SELECT CAST(ts AS DATE) AS day, count(*) AS total, {', '.join(f"count(*) FILTER (class = '{c}') AS {c}" for c in W.CLASSES)} FROM r GROUP BY 1")),
+    "stream_error_alerts": (_stream_alerts, CW._W(CW.CLASSIFIED, """SELECT * EXCLUDE (purpose), CASE WHEN s5xx >= 10 AND s5xx / hits >= 0.10 THEN 'P1 - Critical' WHEN s5xx >= 1 OR s404 >= 10 THEN 'P2 - High' ELSE 'P3 - Monitor' END AS urgency
+FROM (SELECT date_trunc('hour', ts) AS hour, url, any_value(purpose) AS purpose, count(*) AS hits, count(*) FILTER (status IN (500, 502, 503, 504)) AS s5xx, count(*) FILTER (status = 404) AS s404 FROM r GROUP BY 1, 2) x WHERE (s5xx >= 1 AND s5xx / hits >= 0.05) OR (s404 >= 3 AND purpose <> 'scanner_probe')""")),
 }
 QUERIES = {name: run for name, (run, _) in ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in ALL.items() if sql}

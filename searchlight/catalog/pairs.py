@@ -60,10 +60,6 @@ def _parity(s, d):
     return P.parity_test(_aligned(s, d), fixtures.view(s, d, "fx_dense").agg(F.max("date")).scalar())
 
 
-def _verdicts(s, d):
-    return P.pair_verdicts(_universe(s, d, "fx_dense"), fixtures.view(s, d, "fx_dense"))
-
-
 _u = lambda f, view="fx_search": lambda s, d: f(_universe(s, d, view))
 _STOP = ", ".join(f"'{w}'" for w in P.STOPWORDS)
 _SLUG = "regexp_extract(trim(regexp_replace(page, '^[a-z]+://[^/]*', ''), '/'), '[^/]*$')"
@@ -82,7 +78,6 @@ ALL = {
     "spearman": (lambda s, d: P.spearman(_aligned(s, d)), f"WITH {ALIGN}, rk AS (SELECT a, b, query, rank() OVER (PARTITION BY a, b, query ORDER BY clicks_a) + (count(*) OVER (PARTITION BY a, b, query, clicks_a) - 1) / 2 AS ra, rank() OVER (PARTITION BY a, b, query ORDER BY clicks_b) + (count(*) OVER (PARTITION BY a, b, query, clicks_b) - 1) / 2 AS rb FROM al) SELECT a, b, query, count(*) AS weeks, CASE WHEN count(*) >= 3 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) ELSE 0 END AS rho FROM rk GROUP BY 1, 2, 3"),
     "rolling_clicks": (lambda s, d: P.rolling_clicks(_aligned(s, d)), f"WITH {ALIGN} SELECT a, b, query, week, avg(clicks_a) OVER w AS mean_a, avg(clicks_b) OVER w AS mean_b FROM al WINDOW w AS (PARTITION BY a, b, query ORDER BY week ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"),
     "cluster_edges": (lambda s, d: P.cluster_edges(P.detect_ongoing(_parity(s, d))), f"WITH {PARITY} SELECT a, b FROM og WHERE ongoing AND (qualifying >= 2 OR qualifying_clicks >= 50)"),
-    "pair_verdict": (_verdicts, None),
 }
 QUERIES = {name: run for name, (run, _) in ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in ALL.items() if sql}

@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlight.operators.pairs import content_tokens
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """Computed once, in the folder of spark.checkpoint.dir (a temporary one in local mode only)."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="searchlight-checkpoint-"))
-    return df.checkpoint()
+from searchlight.storage import written
 
 
 def star_clusters(pages: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -32,13 +20,13 @@ def star_clusters(pages: DataFrame, edges: DataFrame, most_rounds: int = 100) ->
     strength = pages.select("page", F.struct((-F.coalesce("clicks", F.lit(0)).cast("double")).alias("c"), "page").alias("rank"))
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     links = both.join(strength.select(F.col("page").alias("a"), F.col("rank").alias("rank_a")), "a").join(strength.select(F.col("page").alias("b"), F.col("rank").alias("rank_b")), "b")
-    stronger = _written(links.where("rank_b < rank_a").select(F.col("a").alias("page"), F.col("b").alias("other"), "rank_b"))
-    state = _written(strength.select("page", F.lit("open").alias("state")))
+    stronger = written(links.where("rank_b < rank_a").select(F.col("a").alias("page"), F.col("b").alias("other"), "rank_b"))
+    state = written(strength.select("page", F.lit("open").alias("state")))
     for _ in range(most_rounds):
         seen = stronger.join(state.select(F.col("page").alias("other"), F.col("state").alias("s")), "other")
         verdict = seen.groupBy("page").agg(F.bool_or(F.col("s") == "primary").alias("taken"), F.bool_and(F.col("s") == "member").alias("free"))
         new = F.when(F.col("state") != "open", F.col("state")).when(F.col("taken"), "member").when(F.coalesce("free", F.lit(True)), "primary").otherwise("open")
-        state = _written(state.join(verdict, "page", "left").select("page", new.alias("state")))
+        state = written(state.join(verdict, "page", "left").select("page", new.alias("state")))
         if state.where("state = 'open'").isEmpty():
             break
     else:
@@ -49,16 +37,16 @@ def star_clusters(pages: DataFrame, edges: DataFrame, most_rounds: int = 100) ->
 
 def query_blocks(queries: DataFrame, least_share: float = 0.4, floor: int = 3, most_rounds: int = 60) -> DataFrame:
     """query, block: queries that share a token are in one block, named by its least query; tokens on too many queries do not link, single queries drop out."""
-    tokens = _written(queries.select("query").distinct().select("query", F.explode(content_tokens(F.col("query"))).alias("token")))
+    tokens = written(queries.select("query").distinct().select("query", F.explode(content_tokens(F.col("query"))).alias("token")))
     n = queries.agg(F.countDistinct("query")).scalar()
     linking = tokens.groupBy("token").agg(F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= F.greatest(F.lit(floor), F.floor(n * least_share))))
-    members = _written(tokens.join(linking.select("token"), "token"))
-    labels = _written(members.select("query").distinct().withColumn("block", F.col("query")))
+    members = written(tokens.join(linking.select("token"), "token"))
+    labels = written(members.select("query").distinct().withColumn("block", F.col("query")))
     for _ in range(most_rounds):
         by_token = members.join(labels, "query").groupBy("token").agg(F.min("block").alias("block"))
-        new = _written(members.join(by_token, "token").groupBy("query").agg(F.min("block").alias("block")))
+        new = written(members.join(by_token, "token").groupBy("query").agg(F.min("block").alias("block")))
         # A label points to a query whose own label may be smaller yet.
-        new = _written(new.join(new.select(F.col("query").alias("block"), F.col("block").alias("next")), "block", "left").select("query", F.least("block", F.coalesce("next", "block")).alias("block")))
+        new = written(new.join(new.select(F.col("query").alias("block"), F.col("block").alias("next")), "block", "left").select("query", F.least("block", F.coalesce("next", "block")).alias("block")))
         if new.join(labels, ["query", "block"], "left_anti").isEmpty():
             return new
         labels = new
@@ -74,15 +62,3 @@ def cluster_winner(pages: DataFrame, clusters: DataFrame, weights: tuple[float,
     score = weights[0] * clicks + weights[1] / (1 + F.exp(-F.coalesce("trend_slope", F.lit(0.0)))) + weights[2] * (1 - position / F.greatest(F.max(position).over(w), F.lit(1.0)))
     scored = joined.select("page", "primary", score.alias("score"))
     return scored.withColumn("winner", F.row_number().over(w.orderBy(F.desc("score"), "page")) == 1)
-
-
-def action_plan(pages: DataFrame, winners: DataFrame) -> DataFrame:
-    """One row a page: its cluster's winner, status and action; the plan is ordered by status and clicks."""
-    best = winners.where("winner").select("primary", F.col("page").alias("target"))
-    sizes = winners.groupBy("primary").agg(F.count("*").alias("members"))
-    rows = winners.join(best, "primary").join(sizes, "primary").join(pages.select("page", "clicks_window"), "page")
-    status = F.when(F.col("members") == 1, F.when(F.col("clicks_window") > 0, "standalone").otherwise("standalone (0 clicks)")).when(F.col("winner"), "cluster winner").otherwise("ongoing cannibal")
-    action = F.when(status == "ongoing cannibal", F.concat(F.lit("redirect to "), "target")).when(status == "cluster winner", "keep, and take up the members' content").otherwise("keep")
-    order = F.when(F.col("status") == "ongoing cannibal", 2).when(F.col("status") == "cluster winner", 7).when(F.col("status") == "standalone", 8).otherwise(9)
-    plan = rows.select("page", "target", "clicks_window", status.alias("status"), action.alias("action"))
-    return plan.orderBy(order, F.desc("clicks_window"), "page")

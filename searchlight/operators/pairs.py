@@ -159,12 +159,6 @@ def assess_redundant(parity: DataFrame, cfg: OverlapConfig = CFG) -> DataFrame:
     return m.select("a", "b", "shared", "weak_side", "dominance", "median_position", "weak_click_share", verdict.alias("redundant"))
 
 
-def average_rank(values: Column, value: Column) -> Column:
-    """The rank of a value among an array's values, ties averaged."""
-    below, same = F.size(F.filter(values, lambda v: v < value)), F.size(F.filter(values, lambda v: v == value))
-    return below + (same + 1) / F.lit(2.0)
-
-
 def spearman(aligned: DataFrame) -> DataFrame:
     """a, b, query, rho over the aligned weekly clicks; 0 below three weeks or where a side is constant."""
     part = ["a", "b", "query"]
@@ -183,19 +177,3 @@ def rolling_clicks(aligned: DataFrame, weeks: int = CFG.handoff_smoothing_weeks)
 def cluster_edges(pairs: DataFrame, cfg: OverlapConfig = CFG) -> DataFrame:
     """Pairs strong enough to form clusters: two qualifying queries, or one with enough clicks."""
     return pairs.where("ongoing").where((F.col("qualifying") >= 2) | (F.col("qualifying_clicks") >= cfg.cluster_min_clicks_for_single_query_ongoing)).select("a", "b")
-
-
-def pair_verdicts(universe: DataFrame, matrix: DataFrame, cfg: OverlapConfig = CFG) -> DataFrame:
-    """a, b and the verdict from URL twins, parity, redundancy, distinct demand and topic similarity, in that precedence."""
-    short = pairs_per_url_cap(shortlist_pairs(universe, cfg), cfg)
-    weekly = S.weekly_series(matrix)
-    end = matrix.agg(F.max("date")).scalar()
-    parity = parity_test(align_weekly(weekly, short), end, cfg)
-    joined = short.join(detect_ongoing(parity, cfg), ["a", "b"], "left").join(assess_redundant(parity, cfg).select("a", "b", "redundant"), ["a", "b"], "left").join(unique_click_share(universe, short), ["a", "b"], "left").join(url_twins(matrix).withColumn("twin", F.lit(True)), ["a", "b"], "left")
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    distinct = F.greatest(F.coalesce("share_a", F.lit(0.0)), F.coalesce("share_b", F.lit(0.0))) >= cfg.distinct_page_unique_share
-    duplicate = yes(F.col("twin")) & (F.col("topic_cosine") >= cfg.dup_twin_topic_min)
-    ongoing, redundant = yes(F.col("ongoing")), yes(F.col("redundant"))
-    watch = (F.col("shared") >= cfg.overlap_watch_min_shared) & (F.col("topic_cosine") >= cfg.overlap_watch_topic_min)
-    verdict = F.when(duplicate & ~distinct, "duplicate").when(ongoing & distinct, "differentiate").when(ongoing, "ongoing").when(duplicate, "differentiate").when(redundant & distinct, "differentiate").when(redundant, "redundant_duplicate").when(watch, "overlap_watch").otherwise("not_cannibal")
-    return joined.select("a", "b", "shared", "topic_cosine", F.coalesce("qualifying", F.lit(0)).alias("qualifying"), F.coalesce("qualifying_clicks", F.lit(0)).alias("qualifying_clicks"), ongoing.alias("ongoing"), redundant.alias("redundant"), verdict.alias("verdict"))

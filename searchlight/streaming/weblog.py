@@ -23,7 +23,7 @@ def stream_classify(requests: DataFrame, profile: DataFrame, ranges: DataFrame)
 
 
 def stream_crawl_trend(classified: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Requests a day and class, once a day is over; rows that come later than ``late`` are left out."""
+    """Requests a day and class. In update mode a day's row is given again as it grows, in append mode once it is over; rows that come later than ``late`` are left out."""
     day = F.window("ts", "1 day")
     by = [F.count_if(F.col("class") == c).alias(c) for c in W.CLASSES]
     return classified.withWatermark("ts", late).groupBy(day.alias("w")).agg(F.count("*").alias("total"), *by).select(F.to_date("w.start").alias("day"), "total", *W.CLASSES)
