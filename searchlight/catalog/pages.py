@@ -6,6 +6,7 @@ import posixpath
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from searchlight import fixtures
 from searchlight.catalog import weblog as CW
@@ -46,7 +47,7 @@ def _run(stream, mode, key=()):
     query.awaitTermination()
     if mode == "append":
         return s.read.schema(stream.schema).parquet(f"{folder}/out")
-    rows = s.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/out")
+    rows = s.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(f"{folder}/out")
     return rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in key]), "batch").alias("x")).select(*key, "x.*").select(*stream.columns)
 
 
