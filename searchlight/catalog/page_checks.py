@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from searchlight import fixtures
 from searchlight.catalog import pages as CP
 from searchlight.operators import page_checks as K
 
@@ -15,8 +16,26 @@ _COUNT = lambda pattern: f"len(regexp_extract_all(html, '{pattern}', 0, 'i'))::I
 _WORDS = lambda t: f"len(list_filter(string_split({t}, ' '), lambda w: w <> ''))::INT"
 WEIGHT = f"SELECT page_id, strlen(html)::INT AS bytes, {_LEN('style')} AS inline_css, {_LEN('script')} AS inline_js, {_COUNT('<script\\b')} AS scripts, {_COUNT('<style\\b')} AS styles, {_COUNT('<[a-z]')} AS tags, {_COUNT('<form\\b')} AS forms, length(trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '\\s+', ' ', 'g')))::INT AS title_chars, {_WORDS(_TEXT)} AS words FROM pages"
 LINKS = f"SELECT page_id, host, pos - 1 AS position, href FROM (SELECT page_id, {_HOST} AS host, unnest(h) AS href, unnest(range(1, len(h) + 1)) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1, 'is') AS h FROM pages) x) y"
-FEATURES = f"SELECT page_id, {_HOST} AS host, len(regexp_extract_all(lower({_TEXT}), '{K.CTA}'))::INT AS cta, len(regexp_extract_all({_TEXT}, '\\+\\d[\\d ().-]{{7,}}\\d'))::INT AS phones, len(regexp_extract_all({_TEXT}, '[$€£]\\s?\\d'))::INT AS prices, {_WORDS(_TEXT)} AS words FROM pages"
-PROFILE = f"SELECT host, count(*) AS pages, avg(words) AS mean_words, CAST(sum(cta) AS BIGINT) AS cta, bool_or(phones > 0) AS has_phone, bool_or(prices > 0) AS has_price FROM ({FEATURES}) f GROUP BY host"
+#: Pages with what asks for a conversion, a different part of it on each.
+OFFERS = """SELECT page_id, CASE WHEN page_id % 6 = 0 THEN replace(url, '/fr/', '/services/') ELSE url END AS url, concat(CASE WHEN page_id % 3 = 0 THEN '<section style="background-image: url(x)"><p>Hi</p></section>' ELSE '' END,
+  CASE page_id % 7 WHEN 0 THEN '<a href="tel:1">Get a <b>free</b> quote</a>' WHEN 1 THEN '<button class="sticky-bar">Contact us</button>' WHEN 2 THEN '<a href="/x">Book a call today, we wait for you and all your friends</a>' WHEN 3 THEN '<a href="/y">Sign up</a> <a href="/y">Sign up</a>' WHEN 4 THEN '<a href="/z">Request</a><button>Start now</button>' ELSE '<a href="/c">Claim it</a>' END,
+  CASE page_id % 5 WHEN 0 THEN '<p>Rated 4.8 / 5 by 1200+ verified reviews, money back.</p>' WHEN 1 THEN '<p>Our plans: $9 / month. Trusted by clients, 20 years in trade.</p>' WHEN 2 THEN '<form><p>x</p><input></form>' WHEN 3 THEN '<p>Case studies and a free guide. Call 555-123-4567</p>' ELSE '<p>Gold partner, 30 five-star</p>' END, html) AS html FROM {pages}"""
+_ASKS = " || ".join(f"regexp_extract_all(html, '<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1, 'is')" for tag in ("a", "button"))
+_HAS = lambda c, p: f"regexp_matches({c}, {CP.CW._q(p)}, 'is')"
+FEATURES = f"""SELECT page_id, {_HOST} AS host, {_WORDS('t')} AS words, list_filter(list_transform({_ASKS}, lambda c: trim(regexp_replace(regexp_replace(c, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))), lambda c: regexp_matches(c, {CP.CW._q(K.CTA)}, 'i') AND length(c) < 40) AS ctas, {_HAS('t', K.SPECIFIC_CTA)} AS specific_cta,
+list_transform(regexp_extract_all(t, {CP.CW._q(K.REVIEW_STAT)}, 0, 'i'), lambda x: trim(x)) AS review_stats, len(regexp_extract_all(t, {CP.CW._q(K.TRUST)}, 0, 'i'))::INT AS trust, {', '.join(f'{_HAS("t", p)} AS {n}' for n, p in K.IN_TEXT.items())}, contains(html, 'href="tel:') OR {_HAS('t', K.PHONE)} AS phone, {_HAS('url', K.SERVICE_URL)} AS service_page, {_HAS('html', K.FORM)} AS has_form, {_HAS('html', K.STICKY)} AS has_sticky, {_HAS('html', K.HERO)} AS hero FROM (SELECT *, {_TEXT} AS t FROM ({OFFERS.replace('{pages}', 'pages')}) o) x"""
+_LISTED = "page_id, host, words, array_to_string(ctas, '|') AS ctas, specific_cta, array_to_string(review_stats, '|') AS review_stats, trust, guarantee, pricing, lead_magnet, badges, testimonials, phone, service_page, has_form, has_sticky, hero"
+PROFILE = f"""WITH f AS ({FEATURES}), c AS (SELECT host, list(c ORDER BY n DESC, c)[1:8] AS top_ctas FROM (SELECT host, c, count(*) AS n FROM (SELECT host, unnest(ctas) AS c FROM f) u GROUP BY 1, 2) v GROUP BY host),
+r AS (SELECT host, list_sort(list(DISTINCT x))[1:6] AS review_counts FROM (SELECT host, unnest(review_stats) AS x FROM f) u GROUP BY host)
+SELECT host, count(*) AS pages, count(*) FILTER (service_page) AS service_pages, round(count(*) FILTER (hero) / count(*), 2) AS hero_frac, floor(avg(words))::BIGINT AS avg_words, CAST(sum(trust) AS BIGINT) AS trust_total, bool_or(specific_cta) AS specific_cta, {', '.join(f'bool_or({n}) AS {n}' for n in K.IN_TEXT)}, bool_or(has_form) AS has_form, bool_or(has_sticky) AS has_sticky, bool_or(phone) AS phone_present, coalesce(any_value(top_ctas), []) AS top_ctas, coalesce(any_value(review_counts), []) AS review_counts FROM f LEFT JOIN c USING (host) LEFT JOIN r USING (host) GROUP BY host"""
+
+
+def _features(s, d):
+    return K.conversion_features(fixtures.made(s, OFFERS, {"pages": s.read.parquet(f"{d}/pages.parquet")}))
+
+
+def _profile(s, d):
+    return K.host_profile(_features(s, d))
 
 
 def _outbound(s, d):
@@ -31,9 +50,10 @@ ALL = {
     "page_links": (_p(lambda p: K.page_links(p).withColumn("position", F.col("position").cast("bigint"))), LINKS),
     "outbound_links": (_outbound, f"SELECT page_id, 'https://amzn.to/' || substring(href, 2) AS href, 'Amazon' AS network FROM ({LINKS}) l"),
     "link_targets": (_p(lambda p: K.link_targets(K.page_links(p))), f"SELECT href, count(DISTINCT page_id) AS pages, count(*) AS places FROM ({LINKS}) l WHERE NOT regexp_matches(href, '^(https?:)?//', 'i') GROUP BY href"),
-    "conversion_features": (_p(K.conversion_features), FEATURES),
-    "host_profile": (_p(lambda p: K.host_profile(K.conversion_features(p))), PROFILE),
-    "conversion_findings": (_p(lambda p: K.conversion_findings(K.host_profile(K.conversion_features(p)))), f"SELECT host, CASE WHEN cta > 8 * pages THEN 'too many calls to action' ELSE 'no call to action' END AS finding FROM ({PROFILE}) p WHERE cta > 8 * pages OR cta = 0"),
+    "conversion_features": (lambda s, d: _features(s, d).withColumns({c: F.array_join(c, "|") for c in ("ctas", "review_stats")}), f"SELECT {_LISTED} FROM ({FEATURES}) f"),
+    "host_profile": (lambda s, d: _profile(s, d).drop("n_ctas", "review_stats").withColumns({c: F.array_join(c, "|") for c in ("top_ctas", "review_counts")}), f"SELECT * REPLACE (array_to_string(top_ctas, '|') AS top_ctas, array_to_string(review_counts, '|') AS review_counts) FROM ({PROFILE}) p"),
+    "conversion_findings": (lambda s, d: K.conversion_findings(_profile(s, d)), f"SELECT host, 'many calls to action without a clear one' AS finding FROM ({PROFILE}) p WHERE len(top_ctas) > 4 AND NOT specific_cta UNION ALL SELECT host, 'no review figure' FROM ({PROFILE}) p WHERE len(review_counts) = 0"),
+    "priority_weighting": (lambda s, d: K.priority_weighting(s.read.parquet(f"{d}/pages.parquet").selectExpr("url", "concat('i', page_id % 3) AS issue", "concat('P', 1 + page_id % 3, ' - x') AS urgency"), s.read.parquet(f"{d}/pages.parquet").where("page_id % 4 > 0").selectExpr("url", "page_id % 9 AS clicks", "cast(page_id % 25 as double) AS position")), "SELECT url, 'i' || (page_id % 3) AS issue, CAST((3 - page_id % 3) * greatest(CASE WHEN page_id % 4 > 0 THEN page_id % 9 ELSE 0 END, 1) * CASE WHEN page_id % 4 > 0 AND page_id % 25 BETWEEN 11 AND 20 THEN 2 ELSE 1 END AS BIGINT) AS weight FROM pages"),
 }
 QUERIES = {name: run for name, (run, _) in ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in ALL.items() if sql}

@@ -73,16 +73,17 @@ def _stream_alerts(s, d):
 
 
 def _routes(s, d):
-    c = _read(s, d, "conversations").where("role is not null")
+    c = _read(s, d, "conversations")
     words = F.element_at(F.array(*[F.lit(w) for words, _ in R.ROUTES for w in words[:2]]), (F.col("turn") * 7 + F.col("conv_id")).cast("int") % 48 + 1)
-    return R.route_situations(c.withColumn("text", F.concat_ws(" ", "text", words)).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", "text")
+    return R.route_situations(c.withColumn("text", F.concat_ws(" ", "text", words)).select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", "text", skills=SKILLS).withColumns({"matched": F.array_join("matched", ","), "skills": F.array_join("skills", ",")})
 
 
+SKILLS = {"technical-seo": ["logs", "render"], "topical-map": ["keywords"]}
 _WORDS = [w for words, _ in R.ROUTES for w in words[:2]]
-_SCORES = ", ".join(f"{{'score': {' + '.join(f'contains(t, {CW._q(k)})::INT' for k in words)}, 'section': '{section}', 'rule': {i}}}" for i, (words, section) in enumerate(R.ROUTES))
-ROUTE = f"""WITH c AS (SELECT conv_id || '-' || turn AS id, lower(text || ' ' || ([{', '.join(map(CW._q, _WORDS))}])[CAST((turn * 7 + conv_id) AS INT) % 48 + 1]) AS t FROM conversations WHERE role IS NOT NULL),
-h AS (SELECT id, x.score, x.section, row_number() OVER (PARTITION BY id ORDER BY x.score DESC, x.section, x.rule) AS r FROM (SELECT id, unnest([{_SCORES}]) AS x FROM c) y WHERE x.score > 0)
-SELECT c.id, coalesce(a.section, 'decision-router') AS section, coalesce(a.score, 0) AS score, CASE WHEN a.section IS NULL THEN NULL WHEN a.score = b.score THEN 'low' ELSE 'high' END AS confidence, CASE WHEN a.score = b.score THEN b.section END AS alternate
+_SCORES = ", ".join(f"{{'score': {' + '.join(f'contains(t, {CW._q(k)})::INT' for k in words)}, 'section': '{section}', 'rule': {i}, 'words': list_filter([{", ".join(map(CW._q, words))}], lambda w: contains(t, w))}}" for i, (words, section) in enumerate(R.ROUTES))
+ROUTE = f"""WITH c AS (SELECT conv_id || '-' || turn AS id, lower(text || ' ' || ([{', '.join(map(CW._q, _WORDS))}])[CAST((turn * 7 + conv_id) AS INT) % 48 + 1]) AS t FROM conversations),
+h AS (SELECT id, x.score, x.section, x.words, row_number() OVER (PARTITION BY id ORDER BY x.score DESC, x.section, x.rule) AS r FROM (SELECT id, unnest([{_SCORES}]) AS x FROM c) y WHERE x.score > 0)
+SELECT c.id, coalesce(a.section, 'decision-router') AS section, coalesce(a.score, 0) AS score, CASE WHEN a.section IS NULL THEN NULL WHEN a.score = b.score THEN 'low' ELSE 'high' END AS confidence, CASE WHEN a.score = b.score THEN b.section END AS alternate, coalesce(array_to_string(a.words, ','), '') AS matched, CASE a.section WHEN 'technical-seo' THEN 'logs,render' WHEN 'topical-map' THEN 'keywords' ELSE '' END AS skills
 FROM c LEFT JOIN (SELECT * FROM h WHERE r = 1) a USING (id) LEFT JOIN (SELECT * FROM h WHERE r = 2) b USING (id)"""
 _STRIP = "regexp_replace(regexp_replace(html, '<(script)\\b.*?</script\\s*>|<(style)\\b.*?</style\\s*>|<(noscript)\\b.*?</noscript\\s*>', ' ', 'gsi'), '<[^>]*>', ' ', 'gs')"
 _DECODE = _STRIP

@@ -48,5 +48,12 @@ FLOATS: dict[str, list[str]] = {
     "appearance_share": ["web_share", "non_web_share"],
     "surface_filter": ["delta"],
     "leakage": ["change"],
-    "host_profile": ["mean_words"],
+    "host_profile": ["hero_frac"],
+    "brand_leakage": ["position"],
+    "host_scores": ["overall"],
+    "attribution_reconcile": ["gap_share"],
+    "read_period_export": ["ctr"],
+    "pair_verdict": ["score", "topic_cosine"],
+    "cluster_winner": ["score"],
+    "plan_summary": ["share"],
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlight.functions import urls as U
@@ -10,7 +10,23 @@ from searchlight.operators.pages import page_text
 
 # Hosts of affiliate networks and their names.
 NETWORKS = [("amazon.com", "Amazon"), ("amzn.to", "Amazon"), ("shareasale.com", "ShareASale"), ("awin1.com", "Awin"), ("anrdoezrs.net", "CJ"), ("impact.com", "Impact"), ("rakuten.com", "Rakuten"), ("clickbank.net", "ClickBank")]
-CTA = r"\b(buy now|add to cart|get started|sign up|subscribe|contact us|book now|try free|learn more)\b"
+# What asks for, or supports, a conversion in a page's text.
+CTA = r"\b(get (a )?(free )?(quote|proposal|assessment|audit|consult\w*)|request|book|schedule|contact us|call now|get started|start (now|today)|free trial|talk to|speak (to|with)|claim|sign up)\b"
+SPECIFIC_CTA = r"\b(free (quote|assessment|audit|consultation)|request (a )?(proposal|quote|consult)|book (a )?(call|demo|meeting)|schedule (a )?(call|consult))\b"
+REVIEW_STAT = r"(\d(?:\.\d)?)\s*/\s*5|\b(\d{1,4})\s*\+?\s*(?:google |local |b2b |verified )*reviews?\b|\b(\d{1,4})\s*\+?\s*(?:five|5)[- ]star\b"
+TRUST = r"\b(review\w*|rating\w*|star\w*|testimonial\w*|certified|accredited|award\w*|trusted|clients?|years? (of|in)|guarantee)\b"
+IN_TEXT = {
+    "guarantee": r"\b(guarantee\w*|money[- ]back|sla|100%\s+satisf)\b",
+    "pricing": r"\b(pricing|\$\s?\d+\s*/\s*(mo|month|user)|per (user|month)|our plans?)\b",
+    "lead_magnet": r"\b(free (guide|ebook|checklist|template|download|assessment)|download (the|our)|whitepaper)\b",
+    "badges": r"\b(clutch|gartner|g2|premier partner|gold partner|certified partner|msp 501|inc\.?\s?5000)\b",
+    "testimonials": r"\b(testimonial\w*|what our clients say|client stories|case stud\w+)\b",
+}
+SERVICE_URL = r"/(services?|it-|managed|support|cloud|security|consulting|voip|network|backup|helpdesk|help-desk)"
+PHONE = r"\b\d{3}[.\-)\s]\d{3}[.\-\s]\d{4}\b"
+FORM = r"<form\b.*?<(input|textarea)\b|class=\"[^\"]*(elementor-form|wpcf7|gform|elementor-popup)"
+STICKY = r"class=\"[^\"]*\b(is-sticky|has-sticky|sticky-(nav|header|bar|top)|mysticky)\b|style=\"[^\"]*position\s*:\s*(fixed|sticky)"
+HERO = r"<(header|section)\b[^>]*background-image\s*:\s*url|<(header|section)\b[^>]*>[^§]{0,900}?<img\b"
 
 
 def _within(html: Column, tag: str) -> Column:
@@ -70,19 +86,38 @@ def link_targets(links: DataFrame) -> DataFrame:
 
 
 def conversion_features(pages: DataFrame) -> DataFrame:
-    """page_id, host, cta, phones, prices, words: what asks for a conversion."""
-    text = page_text(F.col("html"))
-    return pages.select("page_id", U.norm_domain(F.col("url")).alias("host"), F.regexp_count(F.lower(text), F.lit(CTA)).alias("cta"), F.regexp_count(text, F.lit(r"\+\d[\d ().-]{7,}\d")).alias("phones"), F.regexp_count(text, F.lit(r"[$€£]\s?\d")).alias("prices"), F.size(F.filter(F.split(text, " "), lambda w: w != "")).alias("words"))
+    """page_id, host, words, ctas (texts under 40 characters of links and buttons that ask for something), review_stats, trust, and what else the page has."""
+    with_text = pages.withColumn("t", page_text(F.col("html")))
+    t, h = F.col("t"), F.col("html")
+    controls = F.concat(*[F.regexp_extract_all(h, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1)) for tag in ("a", "button")])
+    asks = F.filter(F.transform(controls, lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))), lambda c: c.rlike("(?i)" + CTA) & (F.length(c) < 40))
+    has = lambda c, pattern: F.coalesce(c.rlike("(?is)" + pattern), F.lit(False))
+    return with_text.select(
+        "page_id", U.norm_domain(F.col("url")).alias("host"), F.size(F.filter(F.split(t, " "), lambda w: w != "")).alias("words"), asks.alias("ctas"), has(t, SPECIFIC_CTA).alias("specific_cta"),
+        F.transform(F.regexp_extract_all(t, F.lit("(?i)" + REVIEW_STAT), F.lit(0)), lambda x: F.trim(x)).alias("review_stats"), F.regexp_count(t, F.lit("(?i)" + TRUST)).alias("trust"), *[has(t, p).alias(n) for n, p in IN_TEXT.items()],
+        (h.rlike('(?i)href="tel:') | has(t, PHONE)).alias("phone"), has(F.col("url"), SERVICE_URL).alias("service_page"), has(h, FORM).alias("has_form"), has(h, STICKY).alias("has_sticky"), has(h, HERO).alias("hero"),
+    )
 
 
 def host_profile(features: DataFrame) -> DataFrame:
-    """Per host: pages, mean words, calls to action, whether any page has a phone number or a price."""
-    return features.groupBy("host").agg(F.count("*").alias("pages"), F.avg("words").alias("mean_words"), F.sum("cta").alias("cta"), F.bool_or(F.col("phones") > 0).alias("has_phone"), F.bool_or(F.col("prices") > 0).alias("has_price"))
+    """Per host: pages, the eight most frequent calls to action, six review figures, and what any, or what share, of its pages has."""
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "c"))
+    best = features.select("host", F.explode("ctas").alias("c")).groupBy("host", "c").agg(F.count("*").alias("n")).withColumn("r", rank).where("r <= 8")
+    best = best.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "c"))), lambda x: x["c"]).alias("top_ctas"))
+    any_ = [F.bool_or(c).alias(n) for n, c in {**{n: n for n in ("specific_cta", *IN_TEXT, "has_form", "has_sticky")}, "phone_present": "phone"}.items()]
+    stats = features.select("host", F.explode("review_stats").alias("x")).groupBy("host", "x").agg(F.count("*")).withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("x"))).where("r <= 6")
+    stats = stats.groupBy("host").agg(F.array_sort(F.collect_list("x")).alias("review_counts"))
+    rolled = features.groupBy("host").agg(F.count("*").alias("pages"), F.count_if("service_page").alias("service_pages"), F.round(F.count_if("hero") / F.count("*"), 2).alias("hero_frac"), F.floor(F.avg("words")).alias("avg_words"), F.sum("trust").alias("trust_total"), *any_)
+    none = F.array().cast("array<string>")
+    joined = rolled.join(best, "host", "left").join(stats, "host", "left").withColumn("top_ctas", F.coalesce("top_ctas", none)).withColumn("review_counts", F.coalesce("review_counts", none))
+    return joined.withColumn("n_ctas", F.size("top_ctas")).withColumn("review_stats", F.size("review_counts") > 0)
 
 
 def conversion_findings(profile: DataFrame) -> DataFrame:
-    finding = F.when(F.col("cta") > 8 * F.col("pages"), "too many calls to action").when(F.col("cta") == 0, "no call to action")
-    return profile.select("host", finding.alias("finding")).where("finding is not null")
+    """host, finding: over four different calls to action and no specific one; no review figure."""
+    sprawl = F.when((F.col("n_ctas") > 4) & ~F.col("specific_cta"), "many calls to action without a clear one")
+    found = F.filter(F.array(sprawl, F.when(~F.col("review_stats"), "no review figure")), lambda x: x.isNotNull())
+    return profile.select("host", F.explode(found).alias("finding"))
 
 
 def priority_weighting(findings: DataFrame, traffic: DataFrame) -> DataFrame:

@@ -35,18 +35,22 @@ ROUTES = [
 DEFAULT_SECTION = "decision-router"
 
 
-def route_situations(texts: DataFrame, key: str, text: str, routes: list[tuple[list[str], str]] = ROUTES) -> DataFrame:
-    """key, section, score, confidence, alternate. No rule: the default section; a tie for the first place: low confidence.
+def route_situations(texts: DataFrame, key: str, text: str, routes: list[tuple[list[str], str]] = ROUTES, skills: dict[str, list[str]] | None = None) -> DataFrame:
+    """key, section, score, confidence, alternate, matched (the section's keywords in the text), skills (those named for the section).
 
-    The rules are a list in the plan: a text's scores are computed in its row, without a join or shuffle.
+    No rule: the default section; a tie for the first place: low confidence. The rules are a list in the plan: a text's scores
+    are computed in its row, without a join or shuffle.
     """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    scores = F.array(*[F.struct(sum((low.contains(k).cast("int") for k in words), F.lit(0)).alias("score"), F.lit(section).alias("section"), F.lit(i).alias("rule")) for i, (words, section) in enumerate(routes)])
-    hits = F.filter(scores, lambda s: s["score"] > 0)
-    ranked = F.array_sort(F.transform(hits, lambda s: F.struct((-s["score"]).alias("minus"), s["section"].alias("section"), s["rule"].alias("rule"))))
+    held = lambda words: F.filter(F.array(*map(F.lit, words)), lambda w: low.contains(w))
+    scores = F.array(*[F.struct(held(words).alias("words"), F.lit(section).alias("section"), F.lit(i).alias("rule")) for i, (words, section) in enumerate(routes)])
+    hits = F.filter(scores, lambda s: F.size(s["words"]) > 0)
+    ranked = F.array_sort(F.transform(hits, lambda s: F.struct((-F.size(s["words"])).alias("minus"), s["section"].alias("section"), s["rule"].alias("rule"), s["words"].alias("words"))))
     rows = texts.select(key, ranked.alias("r")).select(key, F.try_element_at("r", F.lit(1)).alias("a"), F.try_element_at("r", F.lit(2)).alias("b"))
     tied = F.coalesce(F.col("a.minus") == F.col("b.minus"), F.lit(False))
-    return rows.select(key, F.coalesce("a.section", F.lit(DEFAULT_SECTION)).alias("section"), F.coalesce(-F.col("a.minus"), F.lit(0)).alias("score"), F.when(F.col("a.section").isNull(), None).when(tied, "low").otherwise("high").alias("confidence"), F.when(tied, F.col("b.section")).alias("alternate"))
+    named = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in (skills or {}).items() for x in pair]) if skills else None
+    suggested = F.coalesce(F.try_element_at(named, F.col("a.section")), F.array().cast("array<string>")) if skills else F.array().cast("array<string>")
+    return rows.select(key, F.coalesce("a.section", F.lit(DEFAULT_SECTION)).alias("section"), F.coalesce(-F.col("a.minus"), F.lit(0)).alias("score"), F.when(F.col("a.section").isNull(), None).when(tied, "low").otherwise("high").alias("confidence"), F.when(tied, F.col("b.section")).alias("alternate"), F.coalesce("a.words", F.array().cast("array<string>")).alias("matched"), suggested.alias("skills"))
 
 
 def decision_counts(decisions: DataFrame, *by: str) -> DataFrame:

@@ -144,7 +144,7 @@ def test_star_clusters_equal_the_greedy_ones(spark):
 
 def test_action_plan_has_each_page_once(spark):
     rows = catalog.QUERIES["action_plan"](spark, SF).collect()
-    wanted = fixtures.view(spark, SF, "fx_search").select("page").distinct().count()
+    wanted = fixtures.view(spark, SF, "fx_dense").select("page").distinct().count()
     assert len({r.page for r in rows}) == len(rows) == wanted
 
 
