@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from searchlight import fixtures
 from searchlight.catalog import pages as CP
+from searchlight.operators import page_audit as Q
 from searchlight.operators import page_checks as K
 
 _p = lambda f: lambda s, d: f(s.read.parquet(f"{d}/pages.parquet"))
@@ -38,6 +39,29 @@ def _profile(s, d):
     return K.host_profile(_features(s, d))
 
 
+#: Pages with landmarks, pagers, filters and an organisation, a different part of them on each.
+AUDITED = """SELECT page_id, url, concat(CASE page_id % 4 WHEN 0 THEN '<main>x</main>' WHEN 1 THEN '<main>a<MAIN>b</MAIN></main>' WHEN 2 THEN '<main>a</main><main>b</main>' ELSE '' END,
+  CASE page_id % 5 WHEN 0 THEN '<div class="pager"><button data-page="2">2</button></div>' WHEN 1 THEN '<ul id="pagination"><li><a href="/2">2</a></li></ul>' ELSE '' END, CASE WHEN page_id % 6 = 0 THEN '<input type="checkbox" data-tax="c">' ELSE '' END,
+  CASE page_id % 7 WHEN 0 THEN '<script type="application/ld+json">{"@graph":[{"@type":"WebSite"},{"@type":["Thing","LocalBusiness"],"name":"X","sameAs":["a"],"aggregateRating":{"ratingValue":"5.0"}}]}</script>' WHEN 1 THEN '<script type="application/ld+json">{"@type":"Organization","logo":"l","founders":[{"name":"f"}],"address":{"a":1},"telephone":"1","aggregateRating":{"ratingValue":4}}</script>'
+   WHEN 2 THEN '<script type="application/ld+json">[{"@type":"OnlineStore","name":"Y"}]</script><script type="application/ld+json">broken</script>' WHEN 3 THEN '<script type="application/ld+json">{"@type":"Product"}</script>' ELSE '' END,
+  CASE WHEN page_id % 8 = 0 THEN '<a href="/about-us">us</a> Since 1999' ELSE '' END, CASE page_id % 3 WHEN 0 THEN replace(replace(html, '<h1>', '<h6>'), '</h1>', '</h6>') WHEN 1 THEN replace(html, '<h1>', '<h1>Hi</h1><h1>') ELSE html END) AS html FROM {pages}"""
+_AUDIT = AUDITED.replace("{pages}", "pages")
+_BODY = lambda tag: f"trim(regexp_replace(regexp_replace(regexp_extract(html, '<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1, 'is'), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))"
+_LETTERS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z]+'))"
+CHECKS = f"""WITH x AS (SELECT page_id, {_BODY('title')} AS title, {_BODY('h1')} AS h1 FROM ({_AUDIT}) a), y AS (SELECT page_id, 'pagination' AS "check", CASE page_id % 5 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'OK' ELSE 'LOW' END AS severity FROM pages UNION ALL SELECT page_id, 'landmarks', CASE page_id % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END FROM pages
+UNION ALL SELECT page_id, 'title', CASE WHEN title = '' THEN 'MEDIUM' END FROM x UNION ALL SELECT page_id, 'heading', CASE WHEN h1 = '' THEN 'HIGH' WHEN title <> '' AND length(h1) < 25 AND len(list_filter({_LETTERS('title')}, lambda w: NOT list_contains({_LETTERS('h1')}, w))) >= 2 THEN 'MEDIUM' WHEN title <> '' THEN 'OK' END FROM x UNION ALL SELECT page_id, 'filters', 'LOW' FROM pages WHERE page_id % 6 = 0) SELECT * FROM y WHERE severity IS NOT NULL"""
+ENTITY = "SELECT page_id, CASE page_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END::INT AS blocks, page_id % 7 <= 2 AS has_organisation, page_id % 7 IN (0, 2) AS name, page_id % 7 = 0 AS same_as, page_id % 7 = 1 AS logo, page_id % 7 = 1 AS founder, page_id % 7 = 1 AS address, page_id % 7 = 1 AS telephone, page_id % 7 = 0 AS perfect_rating, page_id % 8 = 0 OR regexp_matches(html, 'href=[\"''][^\"'']*about', 'i') AS about_link, page_id % 8 = 0 OR regexp_matches(html, '\\b(founded|established|since)\\b\\s*\\d{4}', 'i') AS founded FROM pages"
+_TEMPLATES = "SELECT page_id, page_id % 9 AS grp, concat('<div>head</div>', chr(10), '<p>', cast(page_id % 3 AS string), '</p>', chr(10), '<p>same</p>', chr(10), 'own ', cast(CASE WHEN page_id % 4 = 0 THEN 0 ELSE page_id END AS string), chr(10), CASE WHEN page_id % 5 = 0 THEN 'more\nand more\nand even more' ELSE '' END) AS html FROM {pages}"
+TEMPLATE = f"WITH t AS ({_TEMPLATES.replace('{pages}', 'pages')}), l AS (SELECT page_id, grp, list_distinct(list_filter(list_transform(string_split(html, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS x FROM t) SELECT * FROM (SELECT a.page_id AS a, b.page_id AS b, len(list_intersect(a.x, b.x))::BIGINT AS common, 2 * len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x)) AS similarity, CASE WHEN 2 * len(list_intersect(a.x, b.x)) / (len(a.x) + len(b.x)) > 0.85 THEN 'very high' ELSE 'substantial' END AS label FROM l a JOIN l b ON a.grp = b.grp AND a.page_id < b.page_id) p WHERE similarity > 0.5"
+
+
+def _made(sql):
+    return lambda s, d: fixtures.made(s, sql, {"pages": s.read.parquet(f"{d}/pages.parquet")})
+
+
+_audited, _templates = _made(AUDITED), _made(_TEMPLATES)
+
+
 def _outbound(s, d):
     """The pages' own links, moved to a shop."""
     pages = s.read.parquet(f"{d}/pages.parquet").withColumn("html", F.replace("html", F.lit('href="/'), F.lit('href="https://amzn.to/')))
@@ -53,6 +77,9 @@ ALL = {
     "conversion_features": (lambda s, d: _features(s, d).withColumns({c: F.array_join(c, "|") for c in ("ctas", "review_stats")}), f"SELECT {_LISTED} FROM ({FEATURES}) f"),
     "host_profile": (lambda s, d: _profile(s, d).drop("n_ctas", "review_stats").withColumns({c: F.array_join(c, "|") for c in ("top_ctas", "review_counts")}), f"SELECT * REPLACE (array_to_string(top_ctas, '|') AS top_ctas, array_to_string(review_counts, '|') AS review_counts) FROM ({PROFILE}) p"),
     "conversion_findings": (lambda s, d: K.conversion_findings(_profile(s, d)), f"SELECT host, 'many calls to action without a clear one' AS finding FROM ({PROFILE}) p WHERE len(top_ctas) > 4 AND NOT specific_cta UNION ALL SELECT host, 'no review figure' FROM ({PROFILE}) p WHERE len(review_counts) = 0"),
+    "page_audit": (lambda s, d: Q.page_audit(_audited(s, d)), CHECKS),
+    "entity_signals": (lambda s, d: Q.entity_signals(_audited(s, d)), ENTITY),
+    "template_similarity": (lambda s, d: Q.template_similarity(_templates(s, d), "grp"), TEMPLATE),
     "priority_weighting": (lambda s, d: K.priority_weighting(s.read.parquet(f"{d}/pages.parquet").selectExpr("url", "concat('i', page_id % 3) AS issue", "concat('P', 1 + page_id % 3, ' - x') AS urgency"), s.read.parquet(f"{d}/pages.parquet").where("page_id % 4 > 0").selectExpr("url", "page_id % 9 AS clicks", "cast(page_id % 25 as double) AS position")), "SELECT url, 'i' || (page_id % 3) AS issue, CAST((3 - page_id % 3) * greatest(CASE WHEN page_id % 4 > 0 THEN page_id % 9 ELSE 0 END, 1) * CASE WHEN page_id % 4 > 0 AND page_id % 25 BETWEEN 11 AND 20 THEN 2 ELSE 1 END AS BIGINT) AS weight FROM pages"),
 }
 QUERIES = {name: run for name, (run, _) in ALL.items()}

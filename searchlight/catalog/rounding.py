@@ -56,4 +56,5 @@ FLOATS: dict[str, list[str]] = {
     "pair_verdict": ["score", "topic_cosine"],
     "cluster_winner": ["score"],
     "plan_summary": ["share"],
+    "template_similarity": ["similarity"],
 }
