@@ -29,7 +29,7 @@ from searchlight.llm.common import materialised, slices
 END = b"\n"
 ORDER = 5
 #: Distinct words, and grams, that a task holds before it passes them on; bytes of the texts of a chunk, and of those scored at once.
-MOST_WORDS, MOST_GRAMS, CHUNK, SLICE = 400_000, 2_000_000, 16 << 20, 2 << 20
+MOST_WORDS, MOST_GRAMS, CHUNK, SLICE = 400_000, 2_000_000, 16 << 20, 1 << 20
 #: Where a gram has its order (the bytes of its context); its bytes stand below, the symbol lowest.
 TOP = np.uint64(56)
 
