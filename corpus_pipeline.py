@@ -10,27 +10,27 @@ from searchlight.llm.common import new_folder, read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules or score below the threshold go."""
+    """Documents that fail the rules or score below the threshold go; null and empty texts fail."""
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays; wide fingerprints tell texts that share 0.8 of their five-word shingles."""
+    """One document of each group of texts joined by a share of 0.8 of their five-word shingles stays, the one with the smallest id; null texts and those without words are one group."""
     return simhash.one_of_each(docs, simhash.near_copies(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data, and terms that reveal it, are replaced in the texts."""
+    """Personal data, and terms that reveal it, are replaced in the texts; null texts stay null."""
     return pii.sanitise(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each text's token count and the digests of its ids and of what they decode to."""
+    """Each row's token count and the digests of its ids and of what they decode to; null texts are empty."""
     return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=False)
 
 
@@ -42,7 +42,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: Hashed n-grams, fingerprints and merges are beyond SQL; the tests hold the pipeline against a plain version.
+#: Hashed n-grams, fingerprints and merges are beyond SQL; the tests hold each stage against what it should do.
 ORACLE_SQL = None
 
 
