@@ -75,9 +75,11 @@ PURPOSES = [
     ("feed_or_sitemap", r"(/feed/?|/rss|sitemap[^/]*\.xml|sitemap_index)"),
     ("robots", r"/robots\.txt$"),
 ]
+# Fixed value.
 TRACKING = r"(?:^|[?&])(utm_[a-z]+|fbclid|gclid|msclkid|mc_cid|mc_eid|yclid|_ga|_gl)="
-CACHEBUST = r"(?:^|[?&])(_|v|ver|t|cb|r|nocache)=\d+"
+# Fixed value.
 ADMIN_LIKE = ["admin_polling", "admin_ui", "rest_api", "service_worker"]
+# Fixed value.
 FUTURE_CHROME = r"Chrome/([2-9]\d{2}|\d{4,})\."
 # Content types by file extension.
 EXTENSIONS = {
