@@ -360,7 +360,8 @@ def test_quality_verdicts(spark, documents, texts):
         every.update(found)
         if half.get(i) == 0:
             good.update(found)
-    ratio = lambda b: math.log((good[b] + 1) / (good.total() + size)) - math.log((every[b] + 1) / (every.total() + size))
+    n_good, n_every = good.total() + size, every.total() + size
+    ratio = lambda b: math.log((good[b] + 1) / n_good) - math.log((every[b] + 1) / n_every)
     score = {i: sum(map(ratio, found)) / len(found) if found else 0.0 for i, found in own.items()}
     rows = {r.doc_id: r for r in quality.quality_scores(documents, labels).collect()}
     unseen = [score[i] for i in trusted if half[i] == 1 and not rows[i].base_failed]
