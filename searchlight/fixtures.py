@@ -111,7 +111,7 @@ SELECT concat('s', cast(s_suppkey AS string), '.example') AS domain, (s_suppkey
 SELECT concat('/p/', cast(o_orderkey AS string)) AS page,
   CASE WHEN o_orderkey % 11 = 0 THEN 'no report' ELSE concat('{"categories":{"performance":{"score":0.', cast(10 + o_orderkey % 90 AS string), '},"accessibility":{"score":0.', cast(10 + o_orderkey % 83 AS string),
    '},"best-practices":{"score":1},"seo":{"score":', CASE WHEN o_orderkey % 7 = 0 THEN 'null' ELSE '0.5' END, '}},"audits":{"largest-contentful-paint":{"numericValue":', cast(o_orderkey % 5000 AS string),
-   '.5},"cumulative-layout-shift":{"numericValue":0.', cast(1000 + o_orderkey % 9000 AS string), '},"total-blocking-time":{"numericValue":', cast(o_orderkey % 700 AS string), '.25}',
+   '.5},"cumulative-layout-shift":{"numericValue":0.', cast(1000 + o_orderkey % 9000 AS string), '1},"total-blocking-time":{"numericValue":', cast(o_orderkey % 700 AS string), '.25}',
    CASE WHEN o_orderkey % 3 = 0 THEN concat(',"experimental-interaction-to-next-paint":{"numericValue":', cast(o_orderkey % 300 AS string), '}') ELSE '' END, '}}') END AS doc
 FROM {orders}
 """,
