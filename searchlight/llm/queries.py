@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from searchlight.llm import bpe, decontam, html_extract, pii, ppm, quality, sharding, simhash, token_counts, token_files
+from searchlight.llm import align, bpe, decontam, divergence, html_extract, pii, ppm, quality, repeats, sharding, simhash, token_counts, token_files
 from searchlight.llm.common import new_folder, read_table
 
 
@@ -51,5 +51,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_pii, op4_simhash, op5_ppm, op6_jump_shards, op7_token_counts, op8_decontamination, op9_html, op10_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokenizers(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_rules, op2_byte_bpe, op3_pii, op4_simhash, op5_ppm, op6_jump_shards, op7_token_counts, op8_decontamination, op9_html, op10_token_files, op11_divergence, op12_alignment, op13_repeats)
+}
+#: Fingerprints, merges and hashes are beyond SQL.
+ORACLE_SQL: dict[str, str] = {"op11_divergence": divergence.SQL}
