@@ -16,8 +16,10 @@ import hashlib
 import os
 import pickle
 import re
+import struct
 import uuid
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ FAN = 8
 #: Pairs of ids that are broadcast, 17 bytes each.
 MOST_PAIRS = 4_000_000
 LOW = 0xFFFFFFFF
+#: A link's code, (A's id << 32) + B's id, as bytes.
+LINK = struct.Struct("<II")
 find_cut_a = re.compile(f"(?<=[^{WHITE_SPACE}])[{WHITE_SPACE}]|(?<=[A-Za-z])[.,;:!?)\\]]").search
 
 
@@ -131,6 +135,7 @@ class Aligner:
             self.bytes_a[i] = bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes_a, self.sizes_b = [*map(len, self.bytes_a)], [*map(len, self.bytes_b)]
         #: Characters that stand side by side in a piece.
         self.joined = {(x, y) for i, p in enumerate(pieces) if not self.b.is_byte(i) for x, y in zip(p.replace("▁", " "), p[1:].replace("▁", " "))}
         self.guard = self.b.encode(self.GUARD)
@@ -140,7 +145,11 @@ class Aligner:
         # White space that a piece joins to other characters before it cuts nothing.
         glue = "".join(sorted({re.escape(y) for x, y in self.joined if white(y) and not white(x)}))
         rest = f"(?:[{glue}][{WHITE_SPACE}]*[^{WHITE_SPACE}]*)*" if glue else ""
-        self.segments_of = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+{rest}|[{WHITE_SPACE}]+").findall
+        # A stop behind a word is a segment of its own, unless a piece joins it to the letter before.
+        letters = "A-Za-zÀ-ÖØ-öø-ɏ"
+        parted = lambda stop: "(?<![{0}])(?={1}(?:[{2}]|\\Z))".format("".join(re.escape(x) for x, y in sorted(self.joined) if y == stop) or "\n", re.escape(stop), WHITE_SPACE)
+        word = f"[{WHITE_SPACE}]*[{letters}]+(?:{parted('.')}|{parted(',')})"
+        self.segments_of = re.compile(f"{word}|[{WHITE_SPACE}]*[^{WHITE_SPACE}]+{rest}|[{WHITE_SPACE}]+").findall
         self.joint_cuts = re.compile(f"(?<=[^{WHITE_SPACE}])" + (f"(?![{glue}])" if glue else "") + f"[{WHITE_SPACE}]").finditer
         self.cache = SegmentCache(self._align)
 
@@ -174,28 +183,22 @@ class Aligner:
         plain = [s[:1] == " " and len(s) > 1 for s in segments]
         found_a = self.a.encode_batch_fast(segments, add_special_tokens=False)
         found_b = self.b.encode([s[1:] if p else self.GUARD + s for s, p in zip(segments, plain)], num_threads=1)
+        bytes_a, bytes_b, sizes_a, sizes_b, text = self.bytes_a, self.bytes_b, self.sizes_a, self.sizes_b, b"%d".__mod__
         for segment, p, a, b in zip(segments, plain, found_a, found_b):
             ids_a, ids_b = a.ids, b if p else b[len(self.guard) :]
-            raw_a, raw_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
             raw = segment.encode()
-            if b"".join(raw_a) != raw or b"".join(raw_b) != raw:
+            if b"".join([bytes_b[i] for i in ids_b]) != raw or b"".join([bytes_a[i] for i in ids_a]) != raw:
                 yield None
                 continue
-            groups, codes, i, j, at_a, at_b, own_a, own_b = [], [], 0, 0, 0, 0, [], []
-            while i < len(ids_a) or j < len(ids_b):
-                if at_a <= at_b and i < len(ids_a):
-                    own_a.append(ids_a[i])
-                    at_a += len(raw_a[i])
-                    i += 1
-                else:
-                    own_b.append(ids_b[j])
-                    at_b += len(raw_b[j])
-                    j += 1
-                if at_a == at_b and own_a and own_b:
-                    groups.append(b",".join(map(b"%d".__mod__, own_a)) + b"|" + b",".join(map(b"%d".__mod__, own_b)))
-                    codes.append(own_a[-1] << 32 | own_b[-1])
-                    own_a, own_b = [], []
-            yield len(ids_a), len(ids_b), b";".join(groups), np.array(codes, "<i8").tobytes()
+            ends_a, ends_b = list(accumulate([sizes_a[i] for i in ids_a])), list(accumulate([sizes_b[i] for i in ids_b]))
+            cuts = set(ends_a).intersection(ends_b)
+            groups, codes, i, j = [], b"", 0, 0
+            for cut in sorted(cuts) if len(cuts) > 1 else cuts:
+                m, n = (ends_a.index(cut, i) + 1, ends_b.index(cut, j) + 1) if len(cuts) > 1 else (len(ids_a), len(ids_b))
+                groups.append(b",".join(map(text, ids_a[i:m])) + b"|" + b",".join(map(text, ids_b[j:n])))
+                codes += LINK.pack(ids_b[n - 1], ids_a[m - 1])
+                i, j = m, n
+            yield len(ids_a), len(ids_b), b";".join(groups), codes
 
     def closed(self, texts_: list[str]):
         """For each text, which has no open tokens at its ends, its segments' values."""
