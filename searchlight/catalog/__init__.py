@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from searchlight.catalog import exports, intents, page_checks, pages, pairs, periods, planning, search, sources, verdicts, weblog
+from searchlight.catalog import exports, intents, page_checks, page_tree, pages, pairs, periods, planning, search, sources, verdicts, weblog
 from searchlight.catalog.rounding import FLOATS
 
-_PARTS = (weblog, search, pairs, periods, pages, sources, intents, page_checks, planning, exports, verdicts)
+_PARTS = (weblog, search, pairs, periods, pages, sources, intents, page_checks, page_tree, planning, exports, verdicts)
 PLACES = 6
 
 

@@ -92,11 +92,17 @@ for _name, _char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#
 TEMPLATED = """WITH s AS (SELECT source || '-' || lang AS grp, doc_id AS page, trim(x) AS s FROM (SELECT source, lang, doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS x FROM documents) y WHERE length(trim(x)) > 40),
 p AS (SELECT grp, s, page, count(*) AS n FROM s GROUP BY 1, 2, 3), q AS (SELECT grp, s, count(*) AS pages FROM p GROUP BY 1, 2), z AS (SELECT source || '-' || lang AS grp, count(DISTINCT doc_id) AS peers FROM documents GROUP BY 1)
 SELECT grp, page, sum(CASE WHEN peers > 1 AND pages - 1 >= (peers - 1) / 2 THEN n ELSE 0 END) / sum(n) AS templated, count(*) FILTER (pages = 1) AS own_sentences, CAST(sum(n) AS BIGINT) AS sentences FROM p JOIN q USING (grp, s) JOIN z USING (grp) GROUP BY 1, 2"""
+#: Pages that a script fills with a number of paragraphs and links.
+RENDERED = """SELECT page_id, html AS raw_html, concat(html, repeat('<p>more words that a script brings</p>', cast(page_id % 11 * 40 AS int)), repeat('<a href="/js">j</a>', cast(page_id % 7 * 6 AS int))) AS rendered_html FROM {pages}"""
+_GRADE = lambda r, n: f"CASE WHEN ({n} - {r}) * 100 / {n} < 10 THEN 'none' WHEN ({n} - {r}) * 100 / {n} < 30 THEN 'low' WHEN ({n} - {r}) * 100 / {n} < 60 THEN 'medium' ELSE 'high' END"
+GAPS = f"""WITH r AS (SELECT page_id, len(list_filter(string_split(trim(regexp_replace({_DECODE}, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS words, len(regexp_extract_all(html, '<a\\b[^>]*?\\bhref', 0, 'is')) AS links FROM pages),
+g AS (SELECT page_id, words, words + page_id % 11 * 240 + page_id % 7 * 6 AS all_words, links, links + page_id % 7 * 6 AS all_links FROM r) SELECT page_id, {_GRADE('words', 'all_words')} AS text_gap, CASE WHEN all_links = 0 THEN 'none' ELSE {_GRADE('links', 'all_links')} END AS link_gap FROM g"""
 ALL = {
     "page_signals": (_signals, "SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '\\s+', ' ', 'g')), '&amp;', '&') AS title, replace(trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '\\s+', ' ', 'g')), '&amp;', '&') AS h1, CAST(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS INT) AS links, array_to_string(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)[1:3], '|') AS first_links FROM pages"),
     "page_text": (lambda s, d: _read(s, d, "pages").select("page_id", G.page_text(F.col("html")).alias("text")), f"SELECT page_id, trim(regexp_replace({_DECODE}, '\\s+', ' ', 'g')) AS text FROM pages"),
     "snapshot_diff": (lambda s, d: G.snapshot_diff(fixtures.view(s, d, "fx_snapshot")).select("page_id", "js_only_links", "js_only_images", "js_only_h2", "same_title"), f"WITH {fixtures.cte('fx_snapshot')} SELECT page_id, CASE WHEN contains(raw_html, '</article>') THEN 1 ELSE 0 END AS js_only_links, CASE WHEN contains(raw_html, '</article>') THEN 1 ELSE 0 END AS js_only_images, CASE WHEN contains(raw_html, '</article>') THEN 1 ELSE 0 END AS js_only_h2, true AS same_title FROM fx_snapshot"),
-    "render_gap": (lambda s, d: G.snapshot_diff(fixtures.view(s, d, "fx_snapshot")).groupBy("text_gap", "link_gap").agg(F.count("*").alias("pages")), None),
+    "render_gap": (lambda s, d: G.snapshot_diff(fixtures.made(s, RENDERED, {"pages": _read(s, d, "pages")})).select("page_id", "text_gap", "link_gap"), GAPS),
+    "js_only_items": (lambda s, d: G.js_only_items(fixtures.view(s, d, "fx_snapshot")), f"WITH {fixtures.cte('fx_snapshot')}, o AS (SELECT page_id FROM fx_snapshot WHERE contains(raw_html, '</article>')) SELECT page_id, 'link' AS kind, '/js/' || page_id % 7 AS item FROM o UNION ALL SELECT page_id, 'image', '/i/' || page_id || '.png' FROM o UNION ALL SELECT page_id, 'h2', 'More ' || page_id FROM o"),
     "templated_ratio": (lambda s, d: G.templated_ratio(_texts(s, d)), TEMPLATED),
     "doorway_verdict": (lambda s, d: G.doorway_verdict(G.templated_ratio(_texts(s, d))), f"SELECT *, CASE WHEN templated >= 0.8 AND own_sentences < 3 THEN 'doorway risk' WHEN templated >= 0.5 THEN 'thin' ELSE 'distinct' END AS verdict FROM ({TEMPLATED}) x"),
     "route_situations": (_routes, ROUTE),

@@ -64,6 +64,20 @@ c5 AS (SELECT sum(x) AS chi2, max(k) - 1 AS dof, CAST(max(n) AS BIGINT) AS n FRO
 _EFFECT = "SELECT *, sqrt(chi2 / n) AS cramers_v, CASE WHEN sqrt(chi2 / n) < 0.1 THEN 'negligible' WHEN sqrt(chi2 / n) < 0.3 THEN 'weak' ELSE 'meaningful' END AS reading FROM c5"
 _WPK = lambda s, c: f"sum(position_{s} * impressions_{s}) FILTER ({c}) / sum(impressions_{s}) FILTER ({c})"
 _CLEAN = "regexp_replace(domain, '^www\\.', '')"
+#: A break in level and slope leaves two lines, each fitted on its own side; the engine's regression aggregates give their residuals.
+BREAKS = f"""WITH {fixtures.cte('fx_dense')}, y AS (SELECT page AS series, date, sum(impressions)::DOUBLE AS m, (row_number() OVER (PARTITION BY page ORDER BY date) - 1)::DOUBLE AS k, count(*) OVER (PARTITION BY page) AS n, ln(greatest(sum(impressions), 1)) AS v FROM fx_dense GROUP BY page, date),
+s AS (SELECT *, regr_syy(v, k) OVER whole AS yy, regr_sxy(v, k) OVER whole AS xy, regr_sxx(v, k) OVER whole AS xx, regr_syy(v, k) OVER a AS yy_a, regr_sxy(v, k) OVER a AS xy_a, regr_sxx(v, k) OVER a AS xx_a, regr_syy(v, k) OVER c AS yy_c, regr_sxy(v, k) OVER c AS xy_c, regr_sxx(v, k) OVER c AS xx_c,
+  avg(m) OVER a AS before, avg(m) OVER c AS after FROM y WHERE n >= 20 WINDOW whole AS (PARTITION BY series), a AS (PARTITION BY series ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c AS (PARTITION BY series ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT series, date AS break_date, k, before, after, yy_a - xy_a ** 2 / xx_a + yy_c - xy_c ** 2 / xx_c AS rest, yy - xy ** 2 / xx AS plain, n FROM s WHERE k >= floor(n * 0.15) AND k < n - floor(n * 0.15)),
+b AS (SELECT *, (plain - rest) / 2 / (rest / (n - 4)) AS sup_f, row_number() OVER (PARTITION BY series ORDER BY (plain - rest) / 2 / (rest / (n - 4)) DESC, k) AS r FROM f)"""
+#: With an interaction, each period has a line of its own: coefficients are those of the first and the differences to it.
+AT_RANK = f"""WITH {PER}, x AS (SELECT period, ln(clicks / impressions) AS y, position::DOUBLE AS p, impressions::DOUBLE AS w FROM pr WHERE clicks > 0 AND position > 0 AND impressions >= 5),
+s AS (SELECT period, sum(w) AS s0, sum(w * p) AS s1, sum(w * p * p) AS s2, sum(w * y) AS t0, sum(w * p * y) AS t1 FROM x GROUP BY 1), l AS (SELECT *, s0 * s2 - s1 * s1 AS d, (s2 * t0 - s1 * t1) / d AS a, (s0 * t1 - s1 * t0) / d AS b FROM s),
+m AS (SELECT period, sum((w * (y - a - b * p)) ** 2) AS m0, sum((w * (y - a - b * p)) ** 2 * p) AS m1, sum((w * (y - a - b * p)) ** 2 * p * p) AS m2, count(*) AS n FROM x JOIN l USING (period) GROUP BY 1),
+v AS (SELECT period, a, b, (s2 * s2 * m0 - 2 * s2 * s1 * m1 + s1 * s1 * m2) / d ** 2 AS va, (s1 * s1 * m0 - 2 * s0 * s1 * m1 + s0 * s0 * m2) / d ** 2 AS vb, sum(n) OVER () AS n FROM l JOIN m USING (period)),
+z AS (SELECT A.a AS a0, A.b AS b0, B.a - A.a AS a1, B.b - A.b AS b1, A.va AS va0, A.vb AS vb0, A.va + B.va AS va1, A.vb + B.vb AS vb1, A.n / (A.n - 4) AS f FROM v A JOIN v B ON A.period = 'baseline' AND B.period = 'current')
+SELECT 'intercept' AS term, a0 AS coefficient, sqrt(va0 * f) AS standard_error FROM z UNION ALL SELECT 'position', b0, sqrt(vb0 * f) FROM z UNION ALL SELECT 'period', a1, sqrt(va1 * f) FROM z UNION ALL SELECT 'position:period', b1, sqrt(vb1 * f) FROM z"""
+_series = lambda s, d: fixtures.view(s, d, "fx_dense").groupBy("page", "date").agg(F.sum("impressions").alias("impressions"))
 ALL = {
     "cohort_join": (_k(lambda k: k), f"WITH {KEYS} SELECT * FROM ks"),
     "headline_per_day": (lambda s, d: P.headline_per_day(_daily(s, d)), f"WITH {DAY} SELECT period, CAST(greatest(date_diff('day', min(date), max(date)), 1) AS INT) AS days, sum(clicks) / greatest(date_diff('day', min(date), max(date)), 1) AS clicks_per_day, sum(impressions) / greatest(date_diff('day', min(date), max(date)), 1) AS impressions_per_day, sum(clicks) / sum(impressions) AS ctr FROM dy GROUP BY period"),
@@ -71,10 +85,11 @@ ALL = {
     "position_decomposition": (_k(P.position_decomposition), f"WITH {KEYS}, o AS (SELECT {_WPK('a', 'true')} AS a_all, {_WPK('a', "cohort = 'retained'")} AS a_retained, {_WPK('b', "cohort = 'retained'")} AS b_retained, {_WPK('b', 'true')} AS b_all FROM ks), q AS (SELECT *, (a_retained - a_all) + (b_all - b_retained) AS compositional, b_retained - a_retained AS real FROM o) SELECT *, (compositional > 0) <> (real > 0) AND abs(compositional) > 0.05 AND abs(real) > 0.05 AS signs_disagree FROM q"),
     "categorical_effect": (lambda s, d: P.categorical_effect(_seg(s, d)), f"WITH {SEGC.replace('@top', '15')} {_EFFECT}"),
     "categorical_effect_two": (lambda s, d: P.categorical_effect(_seg(s, d), top=1), f"WITH {SEGC.replace('@top', '1')} {_EFFECT}"),
-    "categorical_effect_p": (lambda s, d: P.with_p(P.categorical_effect(_seg(s, d))), None),
+    "categorical_effect_p": (lambda s, d: P.with_p(P.categorical_effect(_seg(s, d))), f"WITH {SEGC.replace('@top', '15')} SELECT *, CASE WHEN dof = 4 THEN exp(-chi2 / 2) * (1 + chi2 / 2) END AS p FROM ({_EFFECT}) e"),
     "counterfactual": (lambda s, d: P.counterfactual(_daily(s, d)), f"WITH {DAY}, o AS (SELECT regr_slope(clicks, impressions) FILTER (period = 'baseline') AS slope, regr_intercept(clicks, impressions) FILTER (period = 'baseline') AS intercept, regr_r2(clicks, impressions) FILTER (period = 'baseline') AS r2, avg(impressions) FILTER (period = 'current') AS mi, avg(clicks) FILTER (period = 'current') AS actual, regr_slope(ln(clicks), ln(impressions)) FILTER (period = 'baseline' AND clicks > 0 AND impressions > 0) AS elasticity FROM dy) SELECT slope, intercept, r2, actual, elasticity, intercept + slope * mi AS predicted, actual / (intercept + slope * mi) - 1 AS deviation FROM o"),
-    "ctr_at_rank": (lambda s, d: P.ctr_at_rank(_rows(s, d)), None),
-    "changepoint": (lambda s, d: P.changepoint(fixtures.view(s, d, "fx_dense").groupBy("page", "date").agg(F.sum("impressions").alias("impressions")), "page"), None),
+    "ctr_at_rank": (lambda s, d: P.ctr_at_rank(_rows(s, d)).select("term", "coefficient", "standard_error"), AT_RANK),
+    "changepoint": (lambda s, d: P.changepoint(_series(s, d), "page"), f"{BREAKS} SELECT series, break_date, sup_f, before, after FROM b WHERE r = 1"),
+    "changepoint_rows": (lambda s, d: P.around_break(_series(s, d), P.changepoint(_series(s, d), "page"), "page"), f"{BREAKS} SELECT y.series, (y.k - b.k)::INT AS \"offset\", y.date, y.m::BIGINT AS impressions FROM y JOIN b ON y.series = b.series AND b.r = 1 WHERE y.k - b.k BETWEEN -5 AND 4"),
     "lost_retained_new": (_k(lambda k: P.lost_retained_new(k, "lost")), f"WITH {KEYS} SELECT key, clicks_a AS clicks FROM ks WHERE cohort = 'lost'"),
     "daily_union": (lambda s, d: P.daily_union([_daily(s, d).where("period = 'current'"), _daily(s, d)]), f"WITH {DAY} SELECT * FROM dy"),
     "anchor_class": (lambda s, d: _links(s, d).groupBy(L.anchor_class(F.col("anchor"), "acme", ["anvil"]).alias("class")).agg(F.count("*").alias("links")), f"WITH {LK} SELECT {_CLASS} AS class, count(*) AS links FROM lk GROUP BY 1"),

@@ -37,6 +37,9 @@ FLOATS: dict[str, list[str]] = {
     "shift_share": ["lost_clicks", "new_clicks", "retained_change", "share_lost", "share_retained", "share_new"],
     "position_decomposition": ["a_all", "a_retained", "b_retained", "b_all", "compositional", "real"],
     "categorical_effect": ["chi2", "cramers_v"],
+    "categorical_effect_p": ["chi2", "cramers_v", "p"],
+    "ctr_at_rank": ["coefficient", "standard_error"],
+    "changepoint": ["sup_f", "before", "after"],
     "categorical_effect_two": ["chi2", "cramers_v"],
     "counterfactual": ["slope", "intercept", "r2", "actual", "elasticity", "predicted", "deviation"],
     "anchor_profile": ["money_pct", "brand_pct", "toxic_pct"],

@@ -154,7 +154,19 @@ _SHARE = "round(count(*) / sum(count(*)) OVER () * 100, 2) AS pct"
 
 from pyspark.sql import functions as F  # noqa: E402
 
+#: Addresses of both kinds, in either case and with or without a gap, and a list whose networks overlap.
+MIXED = """SELECT DISTINCT CASE user_id % 5 WHEN 0 THEN concat('2001:4860:4801:', lower(hex(cast(user_id % 64 AS int))), '::', lower(hex(cast(user_id % 65536 AS int)))) WHEN 1 THEN concat('2A03:288', hex(cast(user_id % 16 AS int)), ':F::1')
+  WHEN 2 THEN concat('10.1.2.', cast(user_id % 256 AS string)) WHEN 3 THEN concat('fe80:0:0:0:0:0:0:', lower(hex(cast(user_id % 65536 AS int)))) ELSE concat('::', lower(hex(cast(user_id % 65536 AS int)))) END AS ip, user_id % 5 AS k, user_id % 64 AS a, user_id % 16 AS b FROM {events}"""
+NETWORKS = """SELECT list_order, class, agent, cidr, cast(lo AS bigint) AS lo, cast(hi AS bigint) AS hi FROM (VALUES (3, 'search_bot', 'Wide', '2001:4860:4801::/48', NULL, NULL), (2, 'search_bot', 'Narrow', '2001:4860:4801:10:0:0:0:0/60', NULL, NULL),
+  (4, 'generic_bot', 'Social', '2a03:2880::/29', NULL, NULL), (5, 'seo_tool', 'Four', '10.1.2.0/24', 167838208, 167838463), (6, 'seo_tool', 'Late', '2001:4860::/32', NULL, NULL), (7, 'infra', 'One', '::1f/128', NULL, NULL), (8, 'infra', 'Broken', '2001:zz::/200', NULL, NULL)) t(list_order, class, agent, cidr, lo, hi)"""
+
+
+def _mixed(s, d):
+    return fixtures.made(s, MIXED, {"events": s.read.parquet(f"{d}/events.parquet")})
+
+
 SIMPLE = {
+    "verify_bot_ip_mixed": (lambda s, d: W.verify_bot_ip(_mixed(s, d), s.sql(NETWORKS)), f"SELECT DISTINCT ip, CASE k WHEN 0 THEN 'search_bot' WHEN 1 THEN 'generic_bot' WHEN 2 THEN 'seo_tool' ELSE 'infra' END AS verified_class, CASE WHEN k = 0 AND a BETWEEN 16 AND 31 THEN 'Narrow' WHEN k = 0 THEN 'Wide' WHEN k = 1 THEN 'Social' WHEN k = 2 THEN 'Four' ELSE 'One' END || ' (verified IP)' AS verified_agent FROM ({MIXED.replace('{events}', 'events')}) m WHERE k IN (0, 2) OR k = 1 AND b < 8 OR ip = '::1f'"),
     "url_purpose": (lambda s, d: _data(s, d)[0].select("event_id", A.url_purpose(F.col("url")).alias("purpose")), _W(CLASSIFIED, "SELECT event_id, purpose FROM q")),
     "content_type": (lambda s, d: _data(s, d)[0].select("event_id", A.content_type(F.col("url")).alias("content_type")), _W(CLASSIFIED, "SELECT event_id, content_type FROM q")),
     "named_crawler": (lambda s, d: _data(s, d)[0].select("event_id", A.named_crawler(F.col("user_agent")).alias("crawler"), A.crawler_class(A.named_crawler(F.col("user_agent"))).alias("class")), _W(CLASSIFIED, f"SELECT event_id, crawler, CASE WHEN crawler IN {_in(A.SEO_TOOLS)} THEN 'seo_tool' WHEN crawler IN {_in(A.AI_FETCHERS)} THEN 'generic_bot' WHEN crawler IS NOT NULL THEN 'search_bot' END AS class FROM c0")),

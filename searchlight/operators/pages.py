@@ -133,6 +133,18 @@ def snapshot_diff(snapshots: DataFrame) -> DataFrame:
     return both.select("page_id", F.size(only("links")).alias("js_only_links"), F.size(only("images")).alias("js_only_images"), F.size(only("h2")).alias("js_only_h2"), F.col("title_raw").eqNullSafe(F.col("title_rendered")).alias("same_title"), text_gap(F.col("n_words_raw"), F.col("n_words_rendered")).alias("text_gap"), text_gap(F.size("links_raw"), F.size("links_rendered")).alias("link_gap"))
 
 
+def _item(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("item"))
+
+
+def js_only_items(snapshots: DataFrame) -> DataFrame:
+    """page_id, kind (link, image, h2), item: each thing that only the rendered page has, once a page."""
+    side = lambda s: page_signals(snapshots, f"{s}_html").select("page_id", *[F.col(c).alias(f"{c}_{s}") for c in ("links", "images", "h2")])
+    both = side("raw").join(side("rendered"), "page_id")
+    items = F.flatten(F.array(*[F.transform(F.array_except(f"{c}_rendered", f"{c}_raw"), _item(kind)) for c, kind in (("links", "link"), ("images", "image"), ("h2", "h2"))]))
+    return both.select("page_id", F.explode(items).alias("x")).select("page_id", "x.kind", "x.item")
+
+
 def page_text(html: Column) -> Column:
     """The page's text without scripts, styles and tags, with common character references decoded and white space squeezed."""
     out = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")

@@ -77,8 +77,7 @@ def categorical_effect(rows: DataFrame, top: int = 15) -> DataFrame:
     A table of two by two gets the continuity correction. p is added from chi2 and dof by ``with_p``.
     """
     keys = by_period(rows)
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("clicks_a"), "key"))
-    head = keys.where("clicks_a is not null").orderBy(F.desc("clicks_a"), "key").limit(top).withColumn("r", rank).select("key")
+    head = keys.where("clicks_a is not null").orderBy(F.desc("clicks_a"), "key").limit(top).select("key")
     marked = keys.join(F.broadcast(head.withColumn("in_top", F.lit(True))), "key", "left")
     bucket = F.when(F.col("in_top"), F.col("key")).otherwise("OTHER")
     cells = marked.groupBy(bucket.alias("bucket")).agg(F.coalesce(F.sum("clicks_a"), F.lit(0)).alias("a"), F.coalesce(F.sum("clicks_b"), F.lit(0)).alias("b"))
@@ -133,29 +132,46 @@ def ctr_at_rank(rows: DataFrame, a: str = A, b: str = B) -> DataFrame:
     return spark.createDataFrame([(t, float(c), float(s), math.erfc(abs(c / s) / math.sqrt(2))) for t, c, s in zip(terms, beta, se)], schema)
 
 
-def changepoint(daily: DataFrame, series: str, metric: str = "impressions", trim: float = 0.15) -> DataFrame:
+def changepoint(daily: DataFrame, series: str, metric: str = "impressions", trim: float = 0.15, least_rows: int = 20) -> DataFrame:
     """Per series: the date at which a break in level and slope of the log metric fits best, its F, and the means around it.
 
-    One series is at most some years of days; series run in parallel.
+    With a break in both, the two sides are lines of their own, so a split's residual is that of the rows before it and of
+    those from it on. Running sums give both for every split; a series is sorted once and never gathered in memory. Of equal
+    splits the first counts; fewer than ``least_rows`` rows give none. Nulls count as no day.
     """
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        d = rows.sort_values("date").reset_index(drop=True)
-        n = len(d)
-        if n < 20:
-            return pd.DataFrame(columns=["series", "break_date", "sup_f", "before", "after"])
-        y, t = np.log(d[metric].clip(lower=1).to_numpy(float)), np.arange(n, dtype=float)
-        residual = lambda m: float(((y - m @ np.linalg.lstsq(m, y, rcond=None)[0]) ** 2).sum())
-        plain = residual(np.column_stack([np.ones(n), t]))
-        best = (-1.0, -1)
-        for k in range(int(trim * n), n - int(trim * n)):
-            late = (t >= k).astype(float)
-            r = residual(np.column_stack([np.ones(n), t, late, late * (t - k)]))
-            best = max(best, (((plain - r) / 2) / (r / (n - 4)) if r > 0 else math.inf, -k))
-        k = -best[1]
-        return pd.DataFrame({"series": [d[series].iloc[0]], "break_date": [d["date"].iloc[k]], "sup_f": [best[0]], "before": [float(d[metric].iloc[:k].mean())], "after": [float(d[metric].iloc[k:].mean())]})
-
-    return daily.select(series, "date", metric).groupBy(series).applyInPandas(scan, "series string, break_date date, sup_f double, before double, after double")
+    by_date = Window.partitionBy("series").orderBy("date")
+    so_far, whole = by_date.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("series")
+    rows = daily.where(F.col("date").isNotNull() & F.col(metric).isNotNull()).select(F.col(series).alias("series"), "date", F.col(metric).cast("double").alias("m"))
+    rows = rows.withColumn("n", F.count("*").over(whole)).where(F.col("n") >= least_rows)
+    # Around a series' mean, so that differences of the sums keep their digits.
+    log = F.ln(F.greatest("m", F.lit(1.0)))
+    rows = rows.withColumn("k", F.row_number().over(by_date) - 1).withColumn("y", log - F.avg(log).over(whole)).withColumn("t", F.col("k") - (F.col("n") - 1) / 2)
+    sums = {"y": F.col("y"), "t": F.col("t"), "yy": F.col("y") * F.col("y"), "tt": F.col("t") * F.col("t"), "ty": F.col("t") * F.col("y"), "m": F.col("m")}
+    for c, value in sums.items():
+        rows = rows.withColumns({f"{c}_a": F.coalesce(F.sum(value).over(so_far), F.lit(0.0)), f"{c}_all": F.sum(value).over(whole)})
+    rows = rows.withColumns({f"{c}_b": F.col(f"{c}_all") - F.col(f"{c}_a") for c in sums})
+
+    def residual(n, s):
+        y, t, yy, tt, ty = (F.col(f"{c}_{s}") for c in ("y", "t", "yy", "tt", "ty"))
+        x = ty - F.try_divide(t * y, n)
+        return yy - F.try_divide(y * y, n) - F.coalesce(F.try_divide(x * x, tt - F.try_divide(t * t, n)), F.lit(0.0))
+
+    n, k = F.col("n"), F.col("k")
+    edge = F.floor(n * trim)
+    split = F.greatest(residual(k, "a") + residual(n - k, "b"), F.lit(0.0))
+    sup_f = F.when(split > 0, (residual(n, "all") - split) / 2 / (split / (n - 4))).otherwise(F.lit(math.inf))
+    found = rows.where((k >= edge) & (k < n - edge)).select("series", F.struct(sup_f.alias("f"), (-k).alias("k")).alias("best"), "date", (F.col("m_a") / k).alias("before"), (F.col("m_b") / (n - k)).alias("after"))
+    top = found.groupBy("series").agg(F.max_by(F.struct("best.f", "date", "before", "after"), "best").alias("x"))
+    return top.select("series", F.col("x.date").alias("break_date"), F.col("x.f").alias("sup_f"), "x.before", "x.after")
+
+
+def around_break(daily: DataFrame, breaks: DataFrame, series: str, metric: str = "impressions", width: int = 5) -> DataFrame:
+    """series, offset, date and metric of the ``width`` rows before each break and from it on (offset 0 is the break)."""
+    rows = daily.select(F.col(series).alias("series"), "date", metric).join(breaks.select("series", "break_date"), "series")
+    late = F.col("date") >= F.col("break_date")
+    forth, back = Window.partitionBy("series", late).orderBy("date"), Window.partitionBy("series", late).orderBy(F.desc("date"))
+    offset = F.when(late, F.row_number().over(forth) - 1).otherwise(-F.row_number().over(back))
+    return rows.withColumn("offset", offset).where((F.col("offset") >= -width) & (F.col("offset") < width)).select("series", "offset", "date", metric)
 
 
 def lost_retained_new(keys: DataFrame, cohort: str) -> DataFrame:

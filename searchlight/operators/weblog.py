@@ -6,6 +6,9 @@ a URL, agent, IP or day, so everything after the classification works on small t
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +46,8 @@ SENSITIVE = [
 ]
 #: IPs that are broadcast, about 100 bytes each.
 MOST_IPS = 100_000
+#: Characters of URLs in an automaton, about 40 bytes each in a task's memory.
+MOST_CHARS = 4_000_000
 FINDING = ["category", "issue", "url", "segment", "status_code", "hits", "urgency", "confidence"]
 
 
@@ -63,14 +68,45 @@ def ip_profile(requests: DataFrame) -> DataFrame:
     return requests.groupBy("ip").agg(F.count("*").alias("hits"), F.count_if(admin).alias("admin_hits")).withColumn("admin_share", F.col("admin_hits") / F.col("hits"))
 
 
+def ip6_hex(ip: Column) -> Column:
+    """An IPv6 address as 32 hexadecimal digits, or null. A dotted tail is not read."""
+    halves = F.split(F.lower(F.trim(ip)), "::")
+    groups = lambda text: F.filter(F.split(F.coalesce(text, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.try_element_at(halves, F.lit(1))), groups(F.try_element_at(halves, F.lit(2)))
+    given = F.size(left) + F.size(right)
+    gap = F.when(F.size(halves) == 2, F.greatest(8 - given, F.lit(0))).otherwise(0)
+    whole = F.concat(left, F.array_repeat(F.lit("0"), gap), right)
+    fits = ip.contains(":") & (F.size(halves) <= 2) & (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(fits, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def hex_prefix(digits: Column, length: Column) -> Column:
+    """The first ``length`` bits of hexadecimal digits; of a digit that is cut, the bits within."""
+    whole, rest = F.floor(length / 4).cast("int"), length % 4
+    digit = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    cut = F.hex(F.floor(digit / F.pow(F.lit(2), 4 - rest)).cast("int"))
+    return F.when(rest == 0, F.substring(digits, F.lit(1), whole)).otherwise(F.concat(F.substring(digits, F.lit(1), whole), F.lit("."), cut))
+
+
 def verify_bot_ip(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """ip, verified_class, verified_agent for IPs within a published range; of several, the first in list order.
 
-    Ranges are dealt out to the blocks of 65 536 addresses they touch, so the range join is an equi-join.
+    IPv4 ranges are dealt out to the blocks of 65 536 addresses they touch. IPv6 networks are read from ``cidr``, where ranges
+    have it, and meet an address by their length and prefix: an address is looked up once for each length (129 at most) that
+    occurs in the list. So both range joins are equi-joins.
     """
     cut = ranges.select("*", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))).alias("block"))
-    at = ips.select("ip").distinct().withColumn("n", ip_number(F.col("ip"))).where("n is not null").withColumn("block", F.shiftright("n", 16))
-    found = at.join(cut, "block").where("n between lo and hi")
+    distinct = ips.select("ip").distinct()
+    at = distinct.withColumn("n", ip_number(F.col("ip"))).where("n is not null").withColumn("block", F.shiftright("n", 16))
+    found = at.join(cut, "block").where("n between lo and hi").select("ip", "list_order", "class", "agent")
+    if "cidr" in ranges.columns:
+        length = F.substring_index("cidr", "/", -1).try_cast("int")
+        six = ranges.where(F.col("cidr").contains(":")).select("list_order", "class", "agent", length.alias("length"), hex_prefix(ip6_hex(F.substring_index("cidr", "/", 1)), length).alias("prefix"))
+        lengths = [r.length for r in six.where("length between 0 and 128").select("length").distinct().collect()]
+        if lengths:
+            digits = distinct.where(F.col("ip").contains(":")).select("ip", ip6_hex(F.col("ip")).alias("digits")).where("digits is not null")
+            tried = digits.select("ip", "digits", F.explode(F.array(*map(F.lit, lengths))).alias("length")).select("ip", "length", hex_prefix(F.col("digits"), F.col("length")).alias("prefix"))
+            found = found.unionByName(tried.join(six, ["length", "prefix"]).select("ip", "list_order", "class", "agent"))
     first = found.groupBy("ip").agg(F.min_by(F.struct("class", "agent"), "list_order").alias("r"))
     return first.select("ip", F.col("r.class").alias("verified_class"), F.concat("r.agent", F.lit(" (verified IP)")).alias("verified_agent"))
 
@@ -240,16 +276,43 @@ def issue_302(urls: DataFrame, least: int = 3) -> DataFrame:
     return finding(found, "Redirects", "302 Temporary Redirect", P2, F.when(n >= 10, "High").otherwise("Medium"), status="302", hits=n)
 
 
-def _parts(referrer: str, starts: str) -> Column:
-    """Every part of a referrer that begins at a place i for which ``starts`` holds."""
-    return F.explode(F.expr(f"flatten(transform(filter(sequence(1, length({referrer})), i -> {starts}), i -> transform(sequence(1, length({referrer}) - i + 1), n -> substring({referrer}, i, n))))"))
+def naming(texts: DataFrame, names: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+    """The rows of texts (one string column) that contain any of names (one string column).
+
+    An automaton of all names reads a text once, whatever their number. Names go to the tasks in blocks of about ``most_chars``
+    characters; each block is a pass over the texts, which don't move.
+    """
+    column, name = texts.columns[0], names.columns[0]
+    names = names.where(F.col(name) != "").distinct()
+    blocks = 1 + (names.agg(F.sum(F.length(name))).first()[0] or 0) // most_chars
+    sc = texts.sparkSession.sparkContext
+
+    def run(held):
+        def found(batches):
+            from ahocorasick import Automaton
+
+            automaton = Automaton()
+            for word in held.value:
+                automaton.add_word(word, 0)
+            automaton.make_automaton()
+            for batch in batches:
+                yield batch.filter(pa.array([text is not None and next(automaton.iter(text), None) is not None for text in batch.column(0).to_pylist()], pa.bool_()))
+
+        return found
+
+    parts = []
+    for block in range(blocks):
+        own = [r[0] for r in names.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == block).collect()]
+        if own:
+            parts.append(texts.mapInArrow(run(sc.broadcast(own)), texts.schema))
+    return reduce(DataFrame.unionByName, parts).distinct() if parts else texts.limit(0)
 
 
-def redirect_chains(classified: DataFrame, urls: DataFrame, least_coverage: float = 0.2, top: int = 10, exact: bool = False) -> DataFrame:
+def redirect_chains(classified: DataFrame, urls: DataFrame, least_coverage: float = 0.2, top: int = 10, exact: bool = False, most_chars: int = MOST_CHARS) -> DataFrame:
     """301 answers whose referrer names a URL that itself answers 301: url, hits, coverage.
 
-    By default a referrer names a URL that it contains anywhere; exact compares paths. Either is an equi-join: the distinct
-    referrers give their parts, those from a slash or scheme on for URLs that begin so, any for the odd ones.
+    By default a referrer names a URL that it contains anywhere, which ``naming`` finds in one pass over the distinct
+    referrers; exact compares paths by an equi-join.
     """
     given = F.trim("referrer").isNotNull() & ~F.trim("referrer").isin("", "-")
     coverage = classified.agg((F.count_if(given) / F.greatest(F.count("*"), F.lit(1))).alias("c")).scalar()
@@ -258,11 +321,7 @@ def redirect_chains(classified: DataFrame, urls: DataFrame, least_coverage: floa
     if exact:
         chained = hops.withColumn("path", A.url_path(F.col("referrer"))).join(sources.withColumn("path", A.url_path(F.col("source"))), "path", "left_semi")
     else:
-        usual = F.col("source").rlike("^(/|http)")
-        refs = hops.select("referrer").distinct()
-        named = refs.select("referrer", _parts("referrer", "substring(referrer, i, 1) = '/' or substring(referrer, i, 4) = 'http'").alias("source")).join(sources.where(usual), "source", "left_semi")
-        odd = refs.select("referrer", _parts("referrer", "true").alias("source")).join(sources.where(~usual), "source", "left_semi")
-        chained = hops.join(named.unionByName(odd).select("referrer").distinct(), "referrer", "left_semi")
+        chained = hops.join(naming(hops.select("referrer").distinct(), sources, most_chars), "referrer", "left_semi")
     return chained.where(coverage >= least_coverage).groupBy("url").agg(F.sum("n").alias("hits")).orderBy(F.desc("hits"), "url").limit(top)
 
 

@@ -121,7 +121,7 @@ def read_period_export(files: DataFrame) -> DataFrame:
 def read_ip_ranges(lists: DataFrame, fallback: list[tuple[str, str, str]] = ()) -> DataFrame:
     """list_order, class, agent, cidr, lo, hi of providers' network lists (list_order, class, agent, doc) and a fixed fallback (class, agent, cidr).
 
-    A list holds objects with a prefix or an address, or plain strings, at its top or under prefixes or ips. IPv6 networks have no lo and hi.
+    A list holds objects with a prefix or an address, or plain strings, at its top or under prefixes or ips. IPv6 networks have no lo and hi; ``verify_bot_ip`` reads their cidr.
     """
     v = F.try_parse_json("doc")
     items = F.flatten(F.filter(F.array(*[F.coalesce(F.try_variant_get(v, p, "array<variant>"), F.array().cast("array<variant>")) for p in ("$.prefixes", "$.ips", "$")]), lambda a: F.size(a) > 0))

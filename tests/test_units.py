@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from searchlight import catalog, fixtures
-from searchlight.operators import clusters, intents, links, pages, periods, routing, search, weblog
+from searchlight.operators import clusters, intents, links, page_tree, pages, periods, routing, search, trust, weblog
 from searchlight.sources import logs
 from searchlight.streaming import weblog as live
 
@@ -227,3 +227,57 @@ def test_driver_contract_without_the_training_data_folders(tmp_path, away):
     said = subprocess.run([sys.executable, "-c", hide + "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q); print(*sorted(q))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
     assert said.stdout.splitlines()[-1].split() == sorted(catalog.QUERIES)
+
+
+def test_names_in_referrers(spark):
+    """One pass finds any name anywhere; the number of blocks changes nothing."""
+    texts = ["https://a.example/x/y", "/x", "", None, "https://ü.example/é?q=/p/1", "https://none.example"]
+    names = [("/x",), ("/p/1",), ("é?",), ("",), (None,), ("zzz",)]
+    frame, names = spark.createDataFrame([(t,) for t in texts], "referrer string"), spark.createDataFrame(names, "source string")
+    for most_chars in (10**6, 3):
+        assert sorted(r[0] for r in weblog.naming(frame, names, most_chars).collect()) == sorted([texts[0], texts[1], texts[4]])
+    assert weblog.naming(frame, names.where("source = ''")).collect() == []
+
+
+def test_ip6_addresses(spark):
+    import ipaddress
+
+    good = ["::", "::1", "2001:db8::8:800:200c:417a", "FF01::101", "1:2:3:4:5:6:7:8", "1::8"]
+    bad = ["1.2.3.4", "1:2:3", "1::2::3", "g::1", "12345::", "1:2:3:4:5:6:7:8:9", "", None]
+    rows = {r.ip: r.h for r in spark.createDataFrame([(x,) for x in good + bad], "ip string").select("ip", weblog.ip6_hex(F.col("ip")).alias("h")).collect()}
+    assert all(rows[x] == f"{int(ipaddress.ip_address(x)):032x}" for x in good) and all(rows[x] is None for x in bad)
+    rng = random.Random(3)
+    ips = [str(ipaddress.IPv6Address(rng.getrandbits(128) if rng.random() < 0.5 else (0x2001 << 112) + rng.getrandbits(20))) for _ in range(200)]
+    networks = [str(ipaddress.ip_network((int(ipaddress.ip_address(ip)), rng.choice([0, 1, 3, 29, 64, 109, 127, 128])), strict=False)) for ip in ips[:40]]
+    ranges = spark.createDataFrame([(i, "c", f"n{i}", n, None, None) for i, n in enumerate(networks)], "list_order int, class string, agent string, cidr string, lo long, hi long")
+    got = {r.ip: r.verified_agent for r in weblog.verify_bot_ip(spark.createDataFrame([(x,) for x in ips], "ip string"), ranges).collect()}
+    first = lambda ip: next((f"n{i} (verified IP)" for i, n in enumerate(networks) if ipaddress.ip_address(ip) in ipaddress.ip_network(n)), None)
+    assert all(got.get(ip) == first(ip) for ip in ips)
+
+
+def test_trees_of_odd_pages(spark):
+    deep = "<div>" * 3000 + "<p>x</p>" * 3000
+    rows = [(1, None), (2, ""), (3, "<p>a<p>b</i></p><![broken"), (4, deep), (5, "<html><body>" + "<ul>" + "<li>a b" * 6 + "</ul><h2></h2><div class='  x y '><h3> </h3><i></i><b></b><u></u></div></body>"), (5, "<p>again")]
+    elements = page_tree.page_elements(spark.createDataFrame(rows, "page_id long, html string").withColumn("node", F.lit("extra")))
+    metrics = {r.page_id: (r.nodes, r.depth, r.children) for r in page_tree.dom_metrics(elements).collect() if r.page_id != 5}
+    assert metrics == {3: (2, 2, 1), 4: (6000, 3001, 3000)}
+    found = [(r.page_id, r.rank, r.label, r.nodes, r.words) for r in page_tree.page_sections(elements).where("page_id < 5").collect()]
+    assert found == [(4, 1, "div", 6000, 3000)]
+    own = page_tree.page_elements(spark.createDataFrame(rows[4:5], "page_id long, html string"))
+    assert [(r.rank, r.label, r.nodes, r.words) for r in page_tree.page_sections(own).orderBy("rank").collect()] == [(1, "ul", 7, 12), (2, "x", 5, 0)]
+    assert page_tree.page_sections(own.limit(0)).collect() == [] and page_tree.dom_metrics(own.limit(0)).collect() == []
+
+
+def test_graph_of_odd_pages(spark):
+    rows = [(1, None), (2, "<script type=application/ld+json>[1, null, \"x\", {}]</script>"), (3, '<script type="application/ld+json">' + '{"a":' * 400 + "1" + "}" * 400 + "</script>"), (4, '<script type="application/ld+json">{"@type":[1,"Article"],"author":["Ann",{"@id":"#x"}]}</script><script type="application/ld+json">{"@id":"#x","@type":"Person","name":["N"]}</script>')]
+    got = {r.page_id: r for r in trust.trust_signals(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert len(got) == 4 and got[1].blocks == 0 and got[2].article_type is None and not got[3].names_nobody
+    assert (got[4].article_type, got[4].author_type, got[4].byline, got[4].persons) == ("Article", "Person", None, 1)
+    assert trust.trust_signals(spark.createDataFrame([], "page_id long, html string")).collect() == []
+
+
+def test_rules_are_data(spark):
+    features = spark.createDataFrame([(1, "a", 3.0), (1, "b", None), (2, "a", -1.0)], "page_id long, metric string, value double")
+    rules = spark.createDataFrame([("r1", "High", "a", "between", "0", "3"), ("r2", "Low", "b", ">", "0", None), ("r3", "Low", "a", "in", "x, -1", None), ("r4", "Low", "none", "=", "1", None), ("r5", "Low", None, None, None, None), ("r6", "Low", "a", "<", "zero", None)], "rule_id string, severity string, metric string, operator string, low string, high string")
+    got = {(r.page_id, r.rule_id): r.status for r in page_tree.rule_catalogue_check(features, rules).collect()}
+    assert got == {(1, "r1"): "pass", (2, "r1"): "fail", (1, "r2"): "not measured", (1, "r3"): "fail", (2, "r3"): "pass", (None, "r4"): "needs review", (None, "r5"): "needs review", (1, "r6"): "not measured", (2, "r6"): "not measured"}
