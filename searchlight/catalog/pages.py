@@ -97,7 +97,26 @@ RENDERED = """SELECT page_id, html AS raw_html, concat(html, repeat('<p>more wor
 _GRADE = lambda r, n: f"CASE WHEN ({n} - {r}) * 100 / {n} < 10 THEN 'none' WHEN ({n} - {r}) * 100 / {n} < 30 THEN 'low' WHEN ({n} - {r}) * 100 / {n} < 60 THEN 'medium' ELSE 'high' END"
 GAPS = f"""WITH r AS (SELECT page_id, len(list_filter(string_split(trim(regexp_replace({_DECODE}, '\\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS words, len(regexp_extract_all(html, '<a\\b[^>]*?\\bhref', 0, 'is')) AS links FROM pages),
 g AS (SELECT page_id, words, words + page_id % 11 * 240 + page_id % 7 * 6 AS all_words, links, links + page_id % 7 * 6 AS all_links FROM r) SELECT page_id, {_GRADE('words', 'all_words')} AS text_gap, CASE WHEN all_links = 0 THEN 'none' ELSE {_GRADE('links', 'all_links')} END AS link_gap FROM g"""
+#: Robots files of the suppliers' hosts, with agents that share a group, one group for all, an empty rule and rules that overlap.
+ROBOTS = """SELECT concat('s', cast(s_suppkey AS string), '.example') AS host, line, value, s_suppkey % 3 AS kind FROM {supplier} CROSS JOIN (VALUES (1, '# file'), (2, 'User-agent: GPTBot'), (3, 'User-Agent: CCBot'), (4, 'Disallow: /p # products'), (5, 'Allow: /p/1'), (6, 'Crawl-delay: 5'),
+  (7, 'User-agent: *'), (8, 'Disallow: /p/12'), (9, 'Disallow: /q'), (10, 'Allow: /q'), (11, 'user-agent: bingbot'), (12, 'disallow:')) t(line, value) WHERE s_suppkey % 3 > 0 OR line < 7"""
+ASKED = """SELECT DISTINCT concat('s', cast(o_custkey % 10 + 1 AS string), '.example') AS host, concat(CASE o_orderkey % 3 WHEN 0 THEN '/p/' WHEN 1 THEN '/q' ELSE '/' END, cast(o_orderkey % 150 AS string)) AS path,
+  CASE o_orderkey % 4 WHEN 0 THEN 'GPTBot' WHEN 1 THEN 'ccbot' WHEN 2 THEN 'Bingbot' ELSE 'Otherbot' END AS bot FROM {orders}"""
+#: Each rule against each path of its host.
+_SITE = "CAST(regexp_extract(host, '[0-9]+', 0) AS INT)"
+_KNOWN = f"({_SITE} IN (SELECT s_suppkey FROM supplier))"
+ACCESS = f"""WITH a AS (SELECT *, {_SITE} AS k, {_KNOWN} AS known FROM ({ASKED.replace('{orders}', 'orders')}) x), r AS (SELECT * FROM (VALUES ('gptbot', '/p', false), ('gptbot', '/p/1', true), ('ccbot', '/p', false), ('ccbot', '/p/1', true), ('*', '/p/12', false), ('*', '/q', false), ('*', '/q', true)) t(agent, rule, allow)),
+m AS (SELECT a.*, arg_max(allow, length(rule) * 2 + allow::INT) AS allow FROM a JOIN r ON (CASE WHEN lower(bot) IN ('gptbot', 'ccbot') THEN lower(bot) WHEN lower(bot) = 'bingbot' AND k % 3 > 0 THEN 'bingbot' ELSE '*' END) = agent AND (agent <> '*' OR k % 3 > 0) AND starts_with(path, rule) AND known GROUP BY ALL)
+SELECT host, path, bot, coalesce(allow, true) AS allowed FROM a LEFT JOIN m USING (host, path, bot)"""
+
+
+def _robots(s, d, **how):
+    rules = G.parse_robots(fixtures.made(s, ROBOTS, {"supplier": _read(s, d, "supplier")}), **how)
+    return G.robots_access(rules, fixtures.made(s, ASKED, {"orders": _read(s, d, "orders")}), **how)
+
+
 ALL = {
+    "robots_access": (_robots, ACCESS),
     "page_signals": (_signals, "SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '\\s+', ' ', 'g')), '&amp;', '&') AS title, replace(trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '\\s+', ' ', 'g')), '&amp;', '&') AS h1, CAST(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS INT) AS links, array_to_string(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)[1:3], '|') AS first_links FROM pages"),
     "page_text": (lambda s, d: _read(s, d, "pages").select("page_id", G.page_text(F.col("html")).alias("text")), f"SELECT page_id, trim(regexp_replace({_DECODE}, '\\s+', ' ', 'g')) AS text FROM pages"),
     "snapshot_diff": (lambda s, d: G.snapshot_diff(fixtures.view(s, d, "fx_snapshot")).select("page_id", "js_only_links", "js_only_images", "js_only_h2", "same_title"), f"WITH {fixtures.cte('fx_snapshot')} SELECT page_id, CASE WHEN contains(raw_html, '</article>') THEN 1 ELSE 0 END AS js_only_links, CASE WHEN contains(raw_html, '</article>') THEN 1 ELSE 0 END AS js_only_images, CASE WHEN contains(raw_html, '</article>') THEN 1 ELSE 0 END AS js_only_h2, true AS same_title FROM fx_snapshot"),

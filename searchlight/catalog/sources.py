@@ -30,13 +30,32 @@ def _iis(s, d):
     return _requests(s, d).select("event_id", words.alias("value"))
 
 
+def _tsv(s, d):
+    return _requests(s, d).select("event_id", F.concat(F.lit("tabs-"), F.col("event_id") % 2).alias("file"), F.when(F.col("event_id") < 6, F.lit("# note")).when(F.col("event_id") < 8, F.lit("Page URL\tHits")).otherwise(F.concat("url", F.lit("\t1"))).alias("value"))
+
+
+def _changing(s, d):
+    """Blocks of 300 lines of one file; every third block begins with another header, in the ones after it that header still holds."""
+    r = _requests(s, d).withColumn("at", F.col("event_id") % 900)
+    query = F.when(F.col("url").contains("?"), F.substring_index("url", "?", -1)).otherwise("-")
+    one = F.concat_ws(" ", F.col("status").cast("string"), query, F.substring_index("url", "?", 1))
+    two = F.concat_ws(" ", "method", F.substring_index("url", "?", 1), F.col("status").cast("string"))
+    lines = r.select(F.lit("f").alias("file"), F.floor(F.col("event_id") / 300).alias("block"), (F.col("event_id") * 2 + 1).alias("line"), F.when(F.col("at") < 400, one).otherwise(two).alias("value"), "event_id")
+    heads = r.where("at in (0, 400)").select(F.lit("f").alias("file"), F.floor(F.col("event_id") / 300).alias("block"), (F.col("event_id") * 2).alias("line"), F.when(F.col("at") == 0, "#Fields: sc-status cs-uri-query cs-uri-stem").otherwise("#Fields: cs-method cs-uri-stem sc-status").alias("value"), "event_id")
+    return lines.unionByName(heads)
+
+
+#: The rule for a file's first sample; a spoiled first line tells nothing.
+FORMATS = f"""WITH {WEB} SELECT file, CASE WHEN event_id % 97 = 0 THEN 'unknown' ELSE 'bracket' END AS format FROM (SELECT CAST(event_id % 3 AS VARCHAR) AS file, min(event_id) AS event_id FROM fx_weblog GROUP BY 1) x
+UNION ALL SELECT 'json', 'json' UNION ALL SELECT 'iis', 'iis' UNION ALL SELECT 'tabs-' || k, CASE WHEN n BETWEEN 6 AND 7 THEN 'tsv' ELSE 'unknown' END FROM (SELECT event_id % 2 AS k, min(event_id) FILTER (event_id >= 6) AS n FROM fx_weblog GROUP BY 1) y"""
 _FIELDS = "event_id, ip, date_trunc('second', ts) AS ts, method, url, status, bytes, user_agent, referrer"
 ALL = {
     "parse_combined": (lambda s, d: L.parse_combined(_combined(s, d)).where("ok").drop("ok", "file"), f"WITH {WEB} SELECT {_FIELDS} FROM fx_weblog WHERE event_id % 97 <> 0"),
     "parse_json_logs": (lambda s, d: L.parse_json_logs(_json(s, d)).drop("ok"), f"WITH {WEB} SELECT {_FIELDS} FROM fx_weblog"),
     "parse_iis": (lambda s, d: L.parse_iis(_iis(s, d)).drop("ok", "bytes"), f"WITH {WEB} SELECT {_FIELDS.replace(' bytes,', '')} FROM fx_weblog"),
     "parse_stats": (lambda s, d: L.parse_stats(L.parse_combined(_combined(s, d))), f"WITH {WEB} SELECT CAST(event_id % 3 AS VARCHAR) AS file, count(*) AS lines, count(*) FILTER (event_id % 97 = 0) AS failed, 1 - count(*) FILTER (event_id % 97 = 0) / count(*) AS rate FROM fx_weblog GROUP BY 1"),
-    "detect_log_format": (lambda s, d: L.detect_log_format(_combined(s, d).select("file", "value").unionByName(_json(s, d).select(F.lit("json").alias("file"), "value"))), f"WITH {WEB} SELECT DISTINCT CAST(event_id % 3 AS VARCHAR) AS file, 'bracket' AS format FROM fx_weblog UNION ALL SELECT 'json', 'json'"),
+    "detect_log_format": (lambda s, d: L.detect_log_format(_combined(s, d).unionByName(_json(s, d).withColumn("file", F.lit("json"))).unionByName(_iis(s, d).withColumn("file", F.lit("iis"))).unionByName(_tsv(s, d)), order="event_id"), FORMATS),
+    "parse_iis_files": (lambda s, d: L.parse_iis_files(_changing(s, d)).select("event_id", "url", "status", "method"), f"WITH {WEB} SELECT event_id, CASE WHEN event_id % 900 < 400 OR NOT contains(url, '?') THEN url ELSE string_split(url, '?')[1] END AS url, status, CASE WHEN event_id % 900 < 400 THEN '-' ELSE method END AS method FROM fx_weblog"),
     "parse_hits_csv": (lambda s, d: L.parse_hits_csv(_requests(s, d).groupBy(F.col("url").alias("Page URL"), F.col("status").cast("string").alias("Response Code")).agg((F.count("*") * 20).cast("string").alias("Hits"))), f"WITH {WEB} SELECT url, status, '' AS user_agent, '-' AS ip, CAST(least(count(*) * 20, 1000) AS INT) AS weight FROM fx_weblog GROUP BY url, status"),
 }
 QUERIES = {name: run for name, (run, _) in ALL.items()}

@@ -58,7 +58,7 @@ u AS (SELECT u0.* EXCLUDE (l), l.status AS last_status, l.ts AS last_seen, {_SEG
 
 def _find(category: str, issue: str, urgency: str, confidence: str, *, url="url", segment="segment", status="''", hits="hits") -> str:
     lit = lambda v: v if v.startswith(("CASE", "'", "(")) else _q(v)
-    return f"{_q(category)} AS category, {lit(issue)} AS issue, substring({url}, 1, 220) AS url, {segment} AS segment, CAST({status} AS VARCHAR) AS status_code, CAST({hits} AS BIGINT) AS hits, {lit(urgency)} AS urgency, {lit(confidence)} AS confidence"
+    return f"{_q(category)} AS category, {lit(issue)} AS issue, {url} AS url, {segment} AS segment, CAST({status} AS VARCHAR) AS status_code, CAST({hits} AS BIGINT) AS hits, {lit(urgency)} AS urgency, {lit(confidence)} AS confidence"
 
 
 P1, P2, P3 = map(_q, (W.P1, W.P2, W.P3))

@@ -60,8 +60,9 @@ def page_weight_flags(weights: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """page_id, host, position, href of every anchor, in page order."""
-    hrefs = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\""), F.lit(1)))
+    """page_id, host, position, href of every anchor, in page order; values stand in quotes of either kind or in none."""
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), F.lit(1))
+    hrefs = F.posexplode(F.transform(tags, lambda x: F.regexp_replace(x, r"""^["']|["']$""", "")))
     return pages.select("page_id", U.norm_domain(F.col("url")).alias("host"), hrefs.alias("position", "href"))
 
 

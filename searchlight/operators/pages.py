@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIGNALS = "title string, description string, robots string, canonical string, h1 array<string>, h2 array<string>, h3 array<string>, links array<string>, images array<string>, images_without_alt array<string>, jsonld_types array<string>, n_nodes int, depth int, n_words int, failed boolean"
@@ -173,14 +173,42 @@ def doorway_verdict(ratio: DataFrame) -> DataFrame:
     return ratio.withColumn("verdict", verdict)
 
 
-def robots_access(rules: DataFrame, requests: DataFrame) -> DataFrame:
+def parse_robots(lines: DataFrame, compat: bool = False) -> DataFrame:
+    """host, agent (lower case), allow, path of robots files given as host, line (number), value.
+
+    User-agent lines that follow each other name one group, and its rules hold for each of them. With ``compat`` a line
+    replaces the one before, so of agents that follow each other only the last has rules. Rules before any agent, and lines of other
+    directives, are left out. A file is a few hundred lines; files are spread by host.
+    """
+    clean = F.trim(F.regexp_replace("value", "#.*$", ""))
+    name, rest = F.lower(F.trim(F.substring_index(clean, ":", 1))), F.trim(F.expr("substring(clean, instr(clean, ':') + 1)"))
+    rows = lines.withColumn("clean", clean).where(F.col("clean").contains(":")).select("host", "line", name.alias("name"), rest.alias("rest")).where(F.col("name").isin("user-agent", "allow", "disallow"))
+    order = Window.partitionBy("host").orderBy("line")
+    agent = F.col("name") == "user-agent"
+    begins = agent if compat else agent & (F.coalesce(F.lag("name").over(order), F.lit("")) != "user-agent")
+    rows = rows.withColumn("begins", begins.cast("int")).withColumn("group", F.sum("begins").over(order))
+    agents = rows.where(agent).select("host", "group", F.lower("rest").alias("agent")).distinct()
+    return rows.where(~agent).join(agents, ["host", "group"]).select("host", "agent", (F.col("name") == "allow").alias("allow"), F.col("rest").alias("path"))
+
+
+def robots_access(rules: DataFrame, requests: DataFrame, compat: bool = False) -> DataFrame:
     """host, path, bot, allowed: the longest matching rule decides, the group that names the bot before *, and an empty Disallow allows.
 
-    rules: host, agent (lower case), allow, path; requests: host, path, bot. Rules of a host are few, so hosts are the key.
+    rules: host, agent (lower case), allow, path; requests: host, path, bot. With ``compat`` the rules of * hold beside the
+    bot's own and an empty Disallow blocks everything. A path meets the rules by its prefixes of the lengths that the host's
+    rules have, so the join is on host, agent and prefix; null paths count as empty.
     """
     named = rules.select("host", "agent").distinct()
-    asked = requests.withColumn("agent", F.lower("bot"))
-    own = asked.join(named.withColumn("named", F.lit(True)), ["host", "agent"], "left").withColumn("agent", F.when(F.col("named"), F.col("agent")).otherwise("*")).drop("named")
-    found = own.join(rules.where("path != ''").select("host", "agent", F.col("path").alias("rule"), "allow"), ["host", "agent"]).where(F.col("path").startswith(F.col("rule")))
-    best = found.groupBy("host", "path", "bot").agg(F.max_by("allow", F.struct(F.length("rule"), F.col("allow"))).alias("allow"))
-    return requests.join(best, ["host", "path", "bot"], "left").select("host", "path", "bot", F.coalesce("allow", F.lit(True)).alias("allowed"))
+    asked = requests.select("host", "path", "bot").distinct().withColumn("agent", F.lower("bot"))
+    if compat:
+        own = asked.withColumn("agent", F.explode(F.array_distinct(F.array("agent", F.lit("*")))))
+    else:
+        own = asked.join(named.withColumn("named", F.lit(True)), ["host", "agent"], "left").withColumn("agent", F.when(F.col("named"), F.col("agent")).otherwise("*")).drop("named")
+    counted = rules.where(F.lit(True) if compat else F.col("path") != "").select("host", "agent", F.coalesce("path", F.lit("")).alias("rule"), "allow").groupBy("host", "agent", "rule").agg(F.max("allow").alias("allow"))
+    lengths = counted.groupBy("host", "agent").agg(F.collect_set(F.length("rule")).alias("lengths"))
+    path = F.coalesce("path", F.lit(""))
+    tried = own.join(lengths, ["host", "agent"]).select("host", "agent", "path", "bot", F.explode(F.filter("lengths", lambda n: n <= F.length(path))).alias("n")).withColumn("rule", F.substring(path, F.lit(1), F.col("n")))
+    found = tried.join(counted, ["host", "agent", "rule"])
+    best = found.groupBy("host", "path", "bot").agg(F.max_by("allow", F.struct("n", F.col("allow"))).alias("allow"))
+    both = requests.join(best.withColumnRenamed("host", "h").withColumnRenamed("path", "p").withColumnRenamed("bot", "b"), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")) & F.col("bot").eqNullSafe(F.col("b")), "left")
+    return both.select("host", "path", "bot", F.coalesce("allow", F.lit(True)).alias("allowed"))

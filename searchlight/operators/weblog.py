@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlight.functions import agents as A
+from searchlight.storage import written
 
 # The labels of traffic classes.
 CLASS_LABELS = {"search_bot": "Search Bots", "seo_tool": "SEO Tools", "infra": "Infrastructure", "generic_bot": "Generic Bots", "suspicious": "Suspicious", "human": "Human"}
@@ -136,12 +137,12 @@ def classify(ua: Column, hits: Column, total: Column, admin_share: Column, verif
 def classify_requests(requests: DataFrame, ranges: DataFrame) -> DataFrame:
     """requests with purpose, content_type, class, agent, automated and verified.
 
-    One aggregate by IP comes first. A rule looks at an IP only if it is verified, mostly a logged-in user's or has over a
+    One aggregate by IP comes first and is written; the requests are read once for it and once for the verdicts. A rule looks at an IP only if it is verified, mostly a logged-in user's or has over a
     tenth of all requests. Up to ``MOST_IPS`` of such IPs are broadcast, so no request is shuffled; more are joined, and
     Spark's skew join splits a heavy IP's rows.
     """
-    profile = ip_profile(requests).withColumnRenamed("hits", "ip_hits")
-    total = requests.agg(F.count("*")).scalar()
+    profile = written(ip_profile(requests).withColumnRenamed("hits", "ip_hits"))
+    total = profile.agg(F.sum("ip_hits")).first()[0] or 0
     known = profile.join(verify_bot_ip(profile, ranges), "ip", "left").where(F.col("verified_agent").isNotNull() | (F.col("admin_share") > 0.5) | (F.col("ip_hits") > 0.10 * total))
     known = known.select("ip", "ip_hits", "admin_share", "verified_class", "verified_agent")
     rows = known.limit(MOST_IPS + 1).collect()
@@ -149,7 +150,7 @@ def classify_requests(requests: DataFrame, ranges: DataFrame) -> DataFrame:
         known = F.broadcast(requests.sparkSession.createDataFrame(rows, known.schema))
     joined = with_purpose(requests).join(known, "ip", "left")
     none = lambda c: F.coalesce(c, F.lit(0))
-    verdict = classify(F.coalesce("user_agent", F.lit("")), none("ip_hits"), total, none("admin_share"), F.col("verified_class"), F.col("verified_agent"))
+    verdict = classify(F.coalesce("user_agent", F.lit("")), none("ip_hits"), F.lit(total), none("admin_share"), F.col("verified_class"), F.col("verified_agent"))
     return joined.withColumn("verdict", verdict).select("*", "verdict.class", "verdict.agent", "verdict.automated", F.col("verified_agent").isNotNull().alias("verified")).drop("verdict", "ip_hits", "admin_share", "verified_class", "verified_agent")
 
 
@@ -181,7 +182,7 @@ def url_rollup(classified: DataFrame) -> DataFrame:
 
 
 def share_of_all(df: DataFrame, count: str = "requests") -> Column:
-    """The percentage of all counts of a roll-up."""
+    """The percentage of all counts of a roll-up, which is best written before."""
     return F.round(F.col(count) / df.agg(F.sum(count)).scalar() * 100, 2)
 
 
@@ -190,6 +191,7 @@ def traffic_segments(classified: DataFrame) -> DataFrame:
 
 
 def _with_share(df: DataFrame) -> DataFrame:
+    df = written(df)
     return df.withColumn("pct", share_of_all(df))
 
 
@@ -243,7 +245,7 @@ def crossref_search(classified: DataFrame, pages: DataFrame) -> DataFrame:
 def finding(df: DataFrame, category: str, issue: Column | str, urgency: Column | str, confidence: Column | str, *, url: Column | str = "url", segment: Column | str = "segment", status: Column | str = "", hits: Column | str = "hits") -> DataFrame:
     lit = lambda v: F.lit(v) if isinstance(v, str) else v
     col = lambda v: F.col(v) if isinstance(v, str) else v
-    return df.select(F.lit(category).alias("category"), lit(issue).alias("issue"), F.substring(col(url), 1, 220).alias("url"), col(segment).alias("segment"), lit(status).cast("string").alias("status_code"), col(hits).cast("bigint").alias("hits"), lit(urgency).alias("urgency"), lit(confidence).alias("confidence"))
+    return df.select(F.lit(category).alias("category"), lit(issue).alias("issue"), col(url).alias("url"), col(segment).alias("segment"), lit(status).cast("string").alias("status_code"), col(hits).cast("bigint").alias("hits"), lit(urgency).alias("urgency"), lit(confidence).alias("confidence"))
 
 
 def issue_404(urls: DataFrame, least: int = 3) -> DataFrame:
@@ -367,6 +369,7 @@ def issue_param_explosion(urls: DataFrame) -> DataFrame:
     rows = urls.where(F.col("url").contains("?") & ~F.col("purpose").isin("admin_polling", "admin_ui", "scanner_probe", "static_asset"))
     base, query = F.substring_index("url", "?", 1), F.expr("substring(url, instr(url, '?'))")
     rolled = rows.groupBy(base.alias("url")).agg(F.count("*").alias("variants"), F.count_if(query.rlike("(?i)" + A.TRACKING)).alias("tracking"), F.sum("hits").alias("hits"))
+    rolled = written(rolled)
     found = rolled.withColumn("all", rolled.agg(F.sum("variants")).scalar()).where((F.col("all") > 5) & ((F.col("variants") >= 20) | (F.col("tracking") >= 5)))
     return finding(found, "Crawl Budget", "URL Parameter Explosion", P2, F.when((F.col("variants") >= 50) | (F.col("tracking") >= 20), "High").otherwise("Medium"), segment=F.lit("All"))
 

@@ -24,8 +24,8 @@ ALIASES = {
 }
 NUMBERS = ("clicks", "impressions", "ctr", "position")
 KEYS = ("query", "page", "date", "country", "device", "appearance")
-#: Lines in which a header is looked for, and the most key slots of a raw row.
-PREAMBLE, MOST_KEYS = 6, 5
+#: Lines in which a header is looked for.
+PREAMBLE = 6
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -97,7 +97,7 @@ def read_search_dump(files: DataFrame) -> DataFrame:
         return F.when((F.size(head) > 0) & F.forall(head, lambda x: x.rlike(r"^\d{4}-\d{2}-\d{2}$")), "date").when(addresses > F.size(head) * 0.5, "page").otherwise("query")
 
     own = F.coalesce(F.size("dimensions") == F.col("width"), F.lit(False))
-    names = F.when(own, F.transform("dimensions", lambda d: F.coalesce(_name(d), F.lower(d)))).otherwise(F.array(*[inferred(i) for i in range(MOST_KEYS)]))
+    names = F.when(own, F.transform("dimensions", lambda d: F.coalesce(_name(d), F.lower(d)))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest("width", F.lit(1)) - 1), inferred))
     one = dumps.select("file", names.alias("names"), F.posexplode("rows").alias("row", "r")).withColumn("k", F.try_variant_get("r", "$.keys", "array<string>"))
     flat = lambda n: F.coalesce(*[F.try_variant_get("r", f"$['{a}']", "string") for a in dict.fromkeys([n, *ALIASES[n], n.capitalize()])])
     key = lambda n: F.when(F.col("k").isNotNull(), F.when(F.array_position("names", n) > 0, F.try_element_at("k", F.array_position("names", n).cast("int")))).otherwise(flat(n)).alias(n)

@@ -174,12 +174,83 @@ def parse_stats(parsed: DataFrame, file: str = "file") -> DataFrame:
     return parsed.groupBy(file).agg(F.count("*").alias("lines"), F.count_if(~F.col("ok")).alias("failed")).withColumn("rate", 1 - F.col("failed") / F.greatest("lines", F.lit(1)))
 
 
-def detect_log_format(lines: DataFrame, file: str = "file") -> DataFrame:
-    """Per file (of its first lines): json, iis, bracket, tsv, csv or unknown; the format of most lines."""
-    v = F.trim("value")
-    kind = F.when(v.startswith("{"), "json").when(v.startswith("#Fields:") | v.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d \S+ (GET|POST|HEAD)"), "iis").when(v.rlike(r"\[[^\]]+\]"), "bracket").when(v.contains("\t"), "tsv").when(v.contains(","), "csv").otherwise("unknown")
-    rolled = lines.where(v != "").groupBy(F.col(file), kind.alias("format")).agg(F.count("*").alias("n"))
-    return rolled.groupBy(file).agg(F.max_by("format", F.struct("n", "format")).alias("format"))
+# What the lines of a three-line request look like.
+FPM_LINES = [r"^[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}$", r"^\d{1,3}(?:\.\d{1,3}){3}$", r'^[A-Z]+ "']
+#: Lines of a file's head that are looked at, and those of them that count.
+HEAD_LINES, SAMPLES = 20, 5
+
+
+def detect_log_format(lines: DataFrame, file: str = "file", order: str = "line") -> DataFrame:
+    """Per file: json, csv, tsv, iis, bracket, fpm3 or unknown, by the first rule that applies to its samples.
+
+    Samples are the first five lines, of the file's first twenty, that are neither empty nor begin with #; most rules look at the first. ``lines`` may be
+    whole files, of which only the heads are kept by a rank limit, or better what ``read_heads`` reads.
+    """
+    first = Window.partitionBy(file).orderBy(order)
+    head = lines.select(file, order, F.trim("value").alias("v")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= HEAD_LINES)
+    use = (F.col("v") != "") & ~F.col("v").startswith("#")
+    samples = F.slice(F.transform(F.array_sort(F.collect_list(F.when(use, F.struct("r", "v")))), lambda x: x["v"]), 1, SAMPLES)
+    at = lambda i: F.coalesce(F.try_element_at("s", F.lit(i)), F.lit(""))
+    one, lower = at(1), F.lower(at(1))
+    says = lambda *words: lower.rlike("|".join(words))
+    kind = F.when(one.startswith("{"), "json").when(one.contains(",") & says("url", "status", "path"), "csv").when(one.contains("\t") & says("url", "status"), "tsv")
+    kind = kind.when(one.rlike(r"^\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\s+"), "iis").when(one.contains("[") & one.contains("]"), "bracket")
+    kind = kind.when(at(1).rlike(FPM_LINES[0]) & at(2).rlike(FPM_LINES[1]) & at(3).rlike(FPM_LINES[2]), "fpm3").otherwise("unknown")
+    return head.groupBy(file).agg(samples.alias("s")).select(file, kind.alias("format"))
+
+
+def read_heads(spark: SparkSession, *paths: str, lines: int = HEAD_LINES, most_bytes: int = 1 << 16) -> DataFrame:
+    """file, line, value of the first lines of files, plain or packed by gz, bz2 or xz, reading no more than ``most_bytes`` unpacked bytes of each.
+
+    Only names are listed by Spark; a task opens a file and stops after its head, so the work does not grow with the files.
+    A line that is longer than what is read counts as what was read of it; an empty file has no line.
+    """
+
+    def heads(batches):
+        import io
+
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, where = fs.FileSystem.from_uri(path)
+                kind = {"gz": "gzip", "bz2": "bz2"}.get(path.rsplit(".", 1)[-1])
+                with store.open_input_stream(where, compression=kind, buffer_size=1 << 14) as stream:
+                    # A reader that gives its bytes in pieces; xz is unpacked as they come.
+                    raw = io.BufferedReader(stream, 1 << 14) if not path.endswith(".xz") else lzma.LZMAFile(stream)
+                    found = raw.read(most_bytes).decode("utf-8", "ignore").splitlines()[:lines]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], ["file", "line", "value"])
+
+    listed = spark.read.format("binaryFile").load(list(paths)).select("path")
+    return listed.mapInArrow(heads, "file string, line bigint, value string")
+
+
+def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """file, block, line, value of text files. block is where the line's split of the file begins, and line grows within a block, so
+    (block, line) is the order of the file; no line is counted and no file needs to be in one task."""
+    return spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+
+
+def parse_iis_files(lines: DataFrame, file: str = "file", block: str = "block", order: str = "line") -> DataFrame:
+    """parse_iis of files whose ``#Fields:`` header may change on the way: each line is read by the last header before it.
+
+    A block's lines are ordered by themselves. What a block begins with is the last header of the blocks before it, found over
+    one row a block. Lines before any header have the usual fields.
+    """
+    names = F.filter(F.split(F.trim(F.regexp_replace("value", "#Fields:", "")), r"\s+"), lambda x: x != "")
+    marked = lines.withColumn("__own", F.when(F.trim("value").startswith("#Fields:"), names))
+    # Blocks are numbered by place, as a null block would not join.
+    marked = marked.withColumn("__block", F.coalesce(F.col(block), F.lit(-1)))
+    last = marked.where("__own is not null").groupBy(file, "__block").agg(F.max_by("__own", order).alias("__last"))
+    blocks = marked.select(file, "__block").distinct().join(last, [file, "__block"], "left")
+    earlier = Window.partitionBy(file).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(file, "__block", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+    within = Window.partitionBy(file, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = marked.withColumn("__own", F.last("__own", ignorenulls=True).over(within)).join(carried, [file, "__block"])
+    body = known.where(~F.trim("value").startswith("#") & (F.trim("value") != ""))
+    fields = F.coalesce("__own", "__carried", F.array(*map(F.lit, IIS_FIELDS)))
+    return parse_iis(body.withColumn("__fields", fields), F.col("__fields")).drop("__fields", "__own", "__carried", "__block")
 
 
 def read_logs(spark: SparkSession, *paths: str) -> DataFrame:

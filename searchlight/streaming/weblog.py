@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from searchlight.functions import agents as A
 from searchlight.operators import weblog as W
@@ -22,6 +25,16 @@ def stream_classify(requests: DataFrame, profile: DataFrame, ranges: DataFrame)
     return joined.withColumn("verdict", verdict).select(*requests.columns, "purpose", "content_type", "verdict.class", "verdict.agent", "verdict.automated")
 
 
+def classify_batches(requests: DataFrame, profile: Callable[[], DataFrame], ranges: Callable[[], DataFrame], write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """A stream that classifies each batch with the profile and ranges of its time: both are read anew for every batch.
+
+    ``profile`` and ``ranges`` read the last batch run's tables, so an IP that a run finds suspicious is so from the next batch
+    on, without a restart. ``write`` gets the classified rows and the batch's number, which is the same if a batch is tried again.
+    The caller sets the checkpoint and starts it.
+    """
+    return requests.writeStream.foreachBatch(lambda batch, number: write(stream_classify(batch, profile(), ranges()), number))
+
+
 def stream_crawl_trend(classified: DataFrame, late: str = "2 hours") -> DataFrame:
     """Requests a day and class. In update mode a day's row is given again as it grows, in append mode once it is over; rows that come later than ``late`` are left out."""
     day = F.window("ts", "1 day")

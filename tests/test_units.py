@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from searchlight import catalog, fixtures
-from searchlight.operators import clusters, intents, links, page_tree, pages, periods, routing, search, trust, weblog
+from searchlight.operators import clusters, intents, links, page_checks, page_tree, pages, periods, routing, search, trust, weblog
 from searchlight.sources import logs
 from searchlight.streaming import weblog as live
 
@@ -281,3 +281,72 @@ def test_rules_are_data(spark):
     rules = spark.createDataFrame([("r1", "High", "a", "between", "0", "3"), ("r2", "Low", "b", ">", "0", None), ("r3", "Low", "a", "in", "x, -1", None), ("r4", "Low", "none", "=", "1", None), ("r5", "Low", None, None, None, None), ("r6", "Low", "a", "<", "zero", None)], "rule_id string, severity string, metric string, operator string, low string, high string")
     got = {(r.page_id, r.rule_id): r.status for r in page_tree.rule_catalogue_check(features, rules).collect()}
     assert got == {(1, "r1"): "pass", (2, "r1"): "fail", (1, "r2"): "not measured", (1, "r3"): "fail", (2, "r3"): "pass", (None, "r4"): "needs review", (None, "r5"): "needs review", (1, "r6"): "not measured", (2, "r6"): "not measured"}
+
+
+def test_robots_files(spark):
+    text = "User-agent: A\nUser-agent: b\nDisallow: /x\n\nUser-agent: *\nDisallow: /\nAllow: /ok\nUser-agent: c\nDisallow:\nSitemap: https://h/s.xml"
+    lines = spark.createDataFrame([("h", i, x) for i, x in enumerate(text.split("\n"))] + [("h2", 0, "Disallow: /early"), ("h2", 1, None)], "host string, line int, value string")
+    asked = spark.createDataFrame([("h", p, b) for p in ("/x/1", "/ok", "/z") for b in ("A", "B", "C", "other")] + [("h2", "/early", "A"), ("h2", None, None), ("h", "/x/1", "A")], "host string, path string, bot string")
+    got = {compat: {(r.host, r.path, r.bot): r.allowed for r in pages.robots_access(pages.parse_robots(lines, compat), asked, compat).collect()} for compat in (False, True)}
+    blocked = {compat: {k[1:] for k, v in rows.items() if not v} for compat, rows in got.items()}
+    assert blocked[False] == {("/x/1", "A"), ("/x/1", "B"), ("/x/1", "other"), ("/z", "other")}
+    assert blocked[True] == {(p, b) for p in ("/x/1", "/z") for b in ("A", "B", "C", "other")}
+
+
+def test_stream_takes_up_a_new_profile(spark, tmp_path):
+    """An IP that a batch run finds to be a logged-in user's is one from the next batch on."""
+    requests = fixtures.view(spark, SF, "fx_weblog").withColumn("ts", F.col("ts").cast("timestamp")).where("user_agent like '%Chrome/137%'").limit(8).withColumn("ip", F.lit("10.9.9.9"))
+    requests.coalesce(1).write.parquet(str(tmp_path / "in"))
+    profile = lambda share: spark.createDataFrame([("10.9.9.9", 10, share)], "ip string, hits long, admin_share double").write.mode("overwrite").parquet(str(tmp_path / "profile"))
+    out = lambda: [agent for _, agent in sorted({(r.batch, r.agent) for r in spark.read.parquet(str(tmp_path / "out")).select("batch", "agent").collect()})]
+
+    def run():
+        stream = spark.readStream.schema(requests.schema).parquet(str(tmp_path / "in"))
+        write = lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("append").parquet(str(tmp_path / "out"))
+        query = live.classify_batches(stream, lambda: spark.read.parquet(str(tmp_path / "profile")), lambda: fixtures.view(spark, SF, "fx_ranges"), write).option("checkpointLocation", str(tmp_path / "state")).start()
+        return query
+
+    profile(0.0)
+    query = run()
+    query.processAllAvailable()
+    assert set(out()) == {"Human"}
+    profile(0.9)
+    requests.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query.processAllAvailable()
+    query.stop()
+    assert out() == ["Human", "Logged-in Admin / Session"]
+
+
+def test_links_in_any_quotes(spark):
+    html = """<a href="/a">1</a><A class=x HREF='/b"c'>2</A><a href=/d>3</a><a name=x>4</a><a href="">5</a>"""
+    rows = page_checks.page_links(spark.createDataFrame([(1, "https://h.example/", html)], "page_id long, url string, html string")).orderBy("position").collect()
+    assert [r.href for r in rows] == ["/a", '/b"c', "/d", ""]
+
+
+def test_formats_by_heads(spark, tmp_path):
+    import bz2
+    import gzip
+
+    texts = {
+        "a.log": '\n# c\n1.1.1.1 - - [10/Oct/2024:13:55:36 +0000] "GET / HTTP/1.1" 200 1\n', "b.log": "\n" * 25 + "{}", "c.csv": "Page URL,Hits\n/x,1\n", "d.tsv": "URL\thits\n", "e.log": "2024-01-01 00:00:00 GET /\n",
+        "f.log": 'Jan  5 10:00:01\n10.0.0.1\nGET "200 0.1" /p\n', "g.log": "words, only\n", "h.log": "", "i.log": "{" + "x" * 300_000,
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "j.log.gz").write_bytes(gzip.compress(b'{"a":1}\n' * 100_000))
+    (tmp_path / "k.log.bz2").write_bytes(bz2.compress(b"2024-01-01 00:00:00 x\n" * 1000))
+    (tmp_path / "l.log.xz").write_bytes(lzma.compress(b"x [y] z\n" * 100_000))
+    heads = logs.read_heads(spark, str(tmp_path))
+    assert max(r.n for r in heads.groupBy("file").agg(F.count("*").alias("n")).collect()) <= 20 and heads.agg(F.max(F.length("value"))).first()[0] <= 1 << 16
+    got = {r.file.rsplit("/", 1)[-1]: r.format for r in logs.detect_log_format(heads).collect()}
+    assert got == {"a.log": "bracket", "b.log": "unknown", "c.csv": "csv", "d.tsv": "tsv", "e.log": "iis", "f.log": "fpm3", "g.log": "unknown", "i.log": "json", "j.log.gz": "json", "k.log.bz2": "iis", "l.log.xz": "bracket"}
+
+
+def test_headers_that_change_in_a_file(spark, tmp_path):
+    (tmp_path / "a.log").write_text("#Software: x\n#Fields: cs-uri-stem sc-status\n/a 200\n#Fields: sc-status cs-uri-stem\n404 /b\n" + "404 /c\n" * 5)
+    (tmp_path / "b.log").write_text("500 /no-header\n")
+    lines = logs.numbered_lines(spark, str(tmp_path))
+    rows = logs.parse_iis_files(lines).where("ok")
+    assert sorted((r.url, r.status) for r in rows.collect()) == [("/a", 200), ("/b", 404)] + [("/c", 404)] * 5
+    split = spark.createDataFrame([("f", b, i, v) for i, (b, v) in enumerate([(0, "#Fields: cs-uri-stem sc-status"), (0, "/a 200"), (7, "/b 200"), (9, "/c 200"), (9, "#Fields: sc-status cs-uri-stem"), (9, "200 /d"), (12, "200 /e")])], "file string, block long, line long, value string")
+    assert sorted(r.url for r in logs.parse_iis_files(split).where("ok").collect()) == ["/a", "/b", "/c", "/d", "/e"]
