@@ -30,8 +30,8 @@ BLANKS = bytes(0x20 if b in b"\x20\x09\x0a\x0b\x0c\x0d" else b for b in range(25
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 #: Bytes of a part of a long text, and of the texts that are parsed together.
 PART, SLICE = 1 << 20, 1 << 21
-#: Keys or ids that are broadcast, 8 bytes each.
-MOST_IDS = 2_000_000
+#: Places of a screen.
+BITS = 1 << 27
 #: Rounds end when no text has two symbols left, or after so many.
 ROUNDS = 200
 
@@ -192,9 +192,24 @@ def parsed(batches, window: int, column: int = 1, part: int = PART):
             yield batch, np.array(rows), np.array(offsets), Parsed(parts)
 
 
-def among(df: DataFrame, ids: DataFrame, column: str, most: int) -> DataFrame:
-    """Rows of df whose ``column`` is in ``ids`` (distinct, written); up to ``most`` are broadcast, so that no row of df moves."""
-    return df.join(F.broadcast(ids) if ids.count() <= most else ids, column, "left_semi")
+def screened(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """df with ``hit``: false only if the row's ``column`` is not in ``ids``.
+
+    The ids mark places in a bitmap of BITS bits, which is always as large (16 MB) and broadcast. Among n ids a share of about
+    n / BITS of other rows is hit too; so what follows holds hits against the ids, and only moves fewer rows.
+    """
+    place = F.pmod(F.xxhash64(column), F.lit(BITS))
+    bucket = lambda p: F.shiftright(p, 15)
+    marks = ids.select(place.alias("p")).groupBy(bucket(F.col("p")).alias("__bucket")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(1 << 15))).alias("__bitmap"))
+    rows = df.withColumn("__place", place).withColumn("__bucket", bucket(F.col("__place"))).join(F.broadcast(marks), "__bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(shiftright(__place % 32768, 3) as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.col("__place") % 8).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("hit", hit).drop("__place", "__bucket", "__bitmap")
+
+
+def among(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose ``column`` is in ``ids`` (distinct, written)."""
+    return screened(df, ids, column).where("hit").drop("hit").join(ids, column, "left_semi")
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -276,7 +291,7 @@ def finished(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 50, part: int = PART, most_ids: int = MOST_IDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 50, part: int = PART) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256. A word goes if a window of ``window`` words covers it that also starts in
     a document with a smaller doc_id; what goes is decided on the input. Null texts have no words;
     texts of over ``part`` bytes are parsed in overlapping parts. A null doc_id is neither
@@ -291,7 +306,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, part: int = PART, most_
     named_in = spark.read.schema("k1 bigint, k2 bigint, doc_id bigint").parquet(folder)
     # Keys by 64 bits are enough to leave out what only one document has.
     shared = materialised(named_in.groupBy("k1").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("k1"))
-    found = materialised(among(named_in, shared, "k1", most_ids).distinct())
+    found = materialised(among(named_in, shared, "k1").distinct())
     least = materialised(found.where("k2 != 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("a")))
     anchors = found.where("k2 = 0").select("doc_id", F.col("k1").alias("shared"), F.lit(None).cast("bigint").alias("less"))
     symbols = found.where("k2 != 0").join(least, ["k1", "k2"]).where("a < doc_id").select("doc_id", F.lit(None).cast("bigint").alias("shared"), "k1", "k2")
@@ -299,21 +314,17 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, part: int = PART, most_
     lists = anchors.unionByName(symbols).groupBy("doc_id").agg(F.collect_list("shared").alias("shared"), F.collect_list("less").alias("less"))
     keyed = docs.withColumn("crc", F.xxhash64("text"))
     folder = new_folder(spark, "repeats-findings")
-    findings(among(keyed, materialised(found.select("doc_id").distinct()), "doc_id", most_ids).join(lists, "doc_id"), window, part).write.parquet(folder)
+    findings(among(keyed, materialised(found.select("doc_id").distinct()), "doc_id").join(lists, "doc_id"), window, part).write.parquet(folder)
     told = spark.read.schema("doc_id bigint, crc bigint, begin bigint, end bigint, h1 bigint, h2 bigint").parquet(folder)
     windows = told.where("h1 is not null").select("h1", "h2", "doc_id", "crc", "begin")
     first = materialised(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1", "h2", "a"))
-    again = among(windows, first.select("h1").distinct(), "h1", most_ids).join(first, ["h1", "h2"]).where("a < doc_id").select("doc_id", "crc", "begin", (F.col("begin") + window).alias("end"))
+    again = among(windows, materialised(first.select("h1").distinct()), "h1").join(first, ["h1", "h2"]).where("a < doc_id").select("doc_id", "crc", "begin", (F.col("begin") + window).alias("end"))
     spans = told.where("h1 is null").select("doc_id", "crc", "begin", "end").unionByName(again)
     spans = materialised(spans.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
-    touched = materialised(spans.select("doc_id").distinct())
-    few = touched.count() <= most_ids
-    some = among(keyed, touched, "doc_id", most_ids) if few else keyed
-    done = finished(some.join(spans, ["doc_id", "crc"], "left").select("doc_id", "text", "spans"))
-    if few:
-        rest = keyed.join(F.broadcast(touched), "doc_id", "left_anti")
-        done = done.unionByName(finished(rest.select("doc_id", "text", F.lit(None).cast("array<struct<begin: bigint, end: bigint>>").alias("spans"))))
-    return done
+    told_of = screened(keyed, spans, "doc_id")
+    some = told_of.where("hit").join(spans, ["doc_id", "crc"], "left")
+    none = F.lit(None).cast("array<struct<begin: bigint, end: bigint>>").alias("spans")
+    return finished(some.select("doc_id", "text", "spans")).unionByName(finished(told_of.where("not hit").select("doc_id", "text", none)))
 
 
 def _one_number(batches):

@@ -176,7 +176,7 @@ def test_repeats(spark, window, part, alphabet):
     piece = lambda: rng.choice(pool) if rng.random() < 0.5 else " ".join(rng.choices("abcdefghijklmnop", k=rng.randrange(0, 30)))
     rows = [(rng.choice([None] + [i] * 6 + [rng.randrange(100)]), "\x0b".join(piece() for _ in range(rng.randrange(0, 6)))) for i in range(110)]
     rows += [(500, "a " * 300), (501, "a " * 290), (501, "b" + " a" * 200), (502, None), *ROWS]
-    found = repeats.remove_repeats(clashing(spark.createDataFrame(rows, "doc_id long, text string")).repartition(3), window=window, part=part, most_ids=10**6 if part > 100 else 5)
+    found = repeats.remove_repeats(clashing(spark.createDataFrame(rows, "doc_id long, text string")).repartition(3), window=window, part=part)
     assert sorted(map(tuple, found.collect()), key=by_text) == sorted(repeat_rows(rows, window), key=by_text)
 
 
@@ -187,6 +187,14 @@ def test_repeats_of_documents_and_of_nothing(spark):
     assert repeats.remove_repeats(docs.limit(0)).collect() == []
 
 
+def test_a_screen_hits_all_that_is_there(spark):
+    ids = spark.range(0, 5000, 7).withColumnRenamed("id", "k")
+    rows = repeats.screened(spark.range(3000).select(F.col("id").alias("k")).unionByName(spark.createDataFrame([(None,)], "k long")), ids, "k").collect()
+    hits = {r.k for r in rows if r.hit}
+    assert len(rows) == 3001 and set(range(0, 3000, 7)) <= hits and len(hits) < 460
+    assert repeats.among(spark.range(50).select(F.col("id").alias("k")), ids, "k").count() == 8 and repeats.among(spark.range(50).select(F.col("id").alias("k")), ids.limit(0), "k").count() == 0
+
+
 def test_equal_passages_have_equal_symbols():
     """What the rounds make within a passage does not depend on what stands around it."""
     rng = random.Random(2)
