@@ -15,7 +15,11 @@ _HOST = "regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][
 _LEN = lambda tag: f"coalesce(list_sum(list_transform(regexp_extract_all(html, '<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1, 'is'), lambda x: length(x))), 0)::INT"
 _COUNT = lambda pattern: f"len(regexp_extract_all(html, '{pattern}', 0, 'i'))::INT"
 _WORDS = lambda t: f"len(list_filter(string_split({t}, ' '), lambda w: w <> ''))::INT"
-WEIGHT = f"SELECT page_id, strlen(html)::INT AS bytes, {_LEN('style')} AS inline_css, {_LEN('script')} AS inline_js, {_COUNT('<script\\b')} AS scripts, {_COUNT('<style\\b')} AS styles, {_COUNT('<[a-z]')} AS tags, {_COUNT('<form\\b')} AS forms, length(trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '\\s+', ' ', 'g')))::INT AS title_chars, {_WORDS(_TEXT)} AS words FROM pages"
+#: Pages with a different set of files, pictures, trackers and structured data on each.
+LOADED = """SELECT page_id, url, concat(CASE WHEN page_id % 2 = 0 THEN '<link href="a.css" rel="preload stylesheet"><LINK rel=stylesheet href=b.css>' ELSE '<link rel="icon" href="i">' END, repeat('<script async src="https://x/gtag/js?id=1"></script>', cast(page_id % 3 AS int)), CASE WHEN page_id % 5 = 0 THEN '<script>load("fbevents.js")</script>' ELSE '' END,
+  repeat('<svg><path d=""/></svg>', cast(page_id % 4 AS int)), CASE WHEN page_id % 7 = 0 THEN '<script type="application/ld+json">{"@type":"Thing"}</script>' ELSE '' END, CASE WHEN page_id % 6 = 0 THEN '<meta content="about &amp; more" name="description">' ELSE '' END, html) AS html FROM {pages}"""
+_LOADED = LOADED.replace("{pages}", "pages")
+WEIGHT = f"SELECT page_id, strlen(html)::INT AS bytes, {_LEN('style')} AS inline_css, {_LEN('script')} AS inline_js, {_COUNT('<script\\b')} AS scripts, {_COUNT('<style\\b')} AS styles, (CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END + {_COUNT('<link[^>]*stylesheet')} - CASE WHEN page_id % 2 = 0 THEN 2 ELSE 0 END)::INT AS external_css, {_COUNT('<script[^>]*src=')} AS external_js, {_COUNT('<svg')} AS svg, len(string_split(html, 'gtag/js')) + len(string_split(html, 'fbevents.js')) + len(string_split(html, 'swap.js')) - 3 AS trackers, {_COUNT('<[a-z]')} AS tags, {_COUNT('<form\\b')} AS forms, length(trim(regexp_replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is'), '\\s+', ' ', 'g')))::INT AS title_chars, length(regexp_extract(regexp_extract(html, '(<meta[^>]*name=\"description\"[^>]*>)', 1, 'i'), 'content=\"([^\"]*)\"', 1, 'i'))::INT AS meta_chars, {_COUNT('application/ld\\+json')} AS schema_blocks, {_WORDS(_TEXT)} AS words FROM ({_LOADED}) pages"
 LINKS = f"SELECT page_id, host, pos - 1 AS position, href FROM (SELECT page_id, {_HOST} AS host, unnest(h) AS href, unnest(range(1, len(h) + 1)) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*\"([^\"]*)\"', 1, 'is') AS h FROM pages) x) y"
 #: Pages with what asks for a conversion, a different part of it on each.
 OFFERS = """SELECT page_id, CASE WHEN page_id % 6 = 0 THEN replace(url, '/fr/', '/services/') ELSE url END AS url, concat(CASE WHEN page_id % 3 = 0 THEN '<section style="background-image: url(x)"><p>Hi</p></section>' ELSE '' END,
@@ -59,7 +63,7 @@ def _made(sql):
     return lambda s, d: fixtures.made(s, sql, {"pages": s.read.parquet(f"{d}/pages.parquet")})
 
 
-_audited, _templates = _made(AUDITED), _made(_TEMPLATES)
+_audited, _templates, _loaded = _made(AUDITED), _made(_TEMPLATES), _made(LOADED)
 
 
 def _outbound(s, d):
@@ -69,8 +73,8 @@ def _outbound(s, d):
 
 
 ALL = {
-    "page_weight": (_p(K.page_weight), WEIGHT),
-    "page_weight_flags": (_p(lambda p: K.page_weight_flags(K.page_weight(p))), f"SELECT page_id, concat_ws(';', CASE WHEN inline_css > 30000 THEN 'inline css' END, CASE WHEN tags > 1400 THEN 'many nodes' END, CASE WHEN forms = 0 THEN 'no form' END, CASE WHEN title_chars > 60 THEN 'long title' END, CASE WHEN words < 300 THEN 'thin text' END) AS flags FROM ({WEIGHT}) w"),
+    "page_weight": (lambda s, d: K.page_weight(_loaded(s, d)), WEIGHT),
+    "page_weight_flags": (lambda s, d: K.page_weight_flags(K.page_weight(_loaded(s, d))), f"SELECT page_id, concat_ws(';', CASE WHEN inline_css > 30000 THEN 'inline css' END, CASE WHEN tags > 1400 THEN 'many nodes' END, CASE WHEN trackers > 1 THEN 'trackers' END, CASE WHEN forms = 0 THEN 'no form' END, CASE WHEN title_chars > 60 THEN 'long title' END, CASE WHEN schema_blocks = 0 THEN 'no schema' END) AS flags FROM ({WEIGHT}) w"),
     "page_links": (_p(lambda p: K.page_links(p).withColumn("position", F.col("position").cast("bigint"))), LINKS),
     "outbound_links": (_outbound, f"SELECT page_id, 'https://amzn.to/' || substring(href, 2) AS href, 'Amazon' AS network FROM ({LINKS}) l"),
     "link_targets": (_p(lambda p: K.link_targets(K.page_links(p))), f"SELECT href, count(DISTINCT page_id) AS pages, count(*) AS places FROM ({LINKS}) l WHERE NOT regexp_matches(href, '^(https?:)?//', 'i') GROUP BY href"),

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from searchlight import fixtures
+from searchlight.functions import urls as U
+from searchlight.operators import page_checks as K
 from searchlight.operators import page_tree as T
+from searchlight.operators import routing as O
 from searchlight.operators import trust as R
 
 HEADER = '<header class="top bar"><nav><a href="/">x y</a><a>z</a><a>w</a></nav></header>'
@@ -55,6 +58,30 @@ TYPES = """SELECT type, count(*) AS pages, count(*) AS nodes FROM (SELECT unnest
   WHEN 5 THEN ['Article'] ELSE [] END) AS type FROM pages) x GROUP BY type"""
 
 
+#: Links of every network, with and without rel, in different places.
+SHOPS = ["https://www.amazon.com/dp/1", "//amzn.to/x", "https://shareasale.com/r", "https://go.awin1.com/c", "http://anrdoezrs.net/click", "https://impact.com/a?b=c", "https://click.rakuten.com/d", "https://x.clickbank.net/e", "https://other.example/notamazon.com", "/own"]
+_SHOP = "CASE cast(page_id % 10 AS int) " + " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate(SHOPS)) + " END"
+ANCHORS = f"""SELECT page_id, concat('<header><a href="', {_SHOP}, '" rel="Sponsored nofollow">Deal <b>one</b></a></header><main><p><a class=menu href=', {_SHOP}, '> ', repeat('word ', 40), '</a></p><nav><ul><li><a href=/n>n</a></ul></nav></main><div class="left Sidebar-x"><i><a rel href="', {_SHOP}, '">s</a></i></div><a name="top">no</a>') AS html FROM {{pages}}"""
+_NETWORK = "CASE page_id % 10 WHEN 0 THEN 'Amazon' WHEN 1 THEN 'Amazon' WHEN 2 THEN 'ShareASale' WHEN 3 THEN 'Awin' WHEN 4 THEN 'CJ' WHEN 5 THEN 'Impact' WHEN 6 THEN 'Rakuten' WHEN 7 THEN 'ClickBank' END"
+ANCHORED = f"""SELECT page_id, 1 AS node, {_SHOP} AS href, 'Deal one' AS text, 'Sponsored nofollow' AS rel, 'header' AS placement, {_NETWORK} AS network FROM pages UNION ALL SELECT page_id, 5, {_SHOP}, substring(repeat('word ', 40), 1, 120), NULL, 'main', {_NETWORK} FROM pages
+UNION ALL SELECT page_id, 9, '/n', 'n', NULL, 'nav', NULL FROM pages UNION ALL SELECT page_id, 12, {_SHOP}, 's', '', 'chrome', {_NETWORK} FROM pages"""
+STATES = """WITH t AS (SELECT url, page_id % 3 AS i, page_id % 4 AS k, page_id % 5 < 3 AS found FROM pages), s AS (SELECT DISTINCT url, 'i' || i AS issue, CASE WHEN found AND k = 0 THEN 'regressed' WHEN found THEN 'open' WHEN k = 0 THEN 'done' END AS state FROM t) SELECT * FROM s WHERE state IS NOT NULL"""
+DECISIONS = """WITH t AS (SELECT CASE WHEN p_size % 3 = 0 THEN 'Landing' ELSE 'Blog post' END AS page_type, CASE p_partkey % 4 WHEN 0 THEN 'dedicated' WHEN 1 THEN 'parent' ELSE 'na' END AS serp_verdict FROM part)
+SELECT 'page_type' AS dimension, page_type AS value, count(*) AS rows FROM t GROUP BY 2 UNION ALL SELECT 'serp_verdict', serp_verdict, count(*) FROM t GROUP BY 2"""
+
+
+def _states(s, d):
+    """Findings on some pages, and a log in which each page's issue was done, or done and opened again."""
+    p = s.read.parquet(f"{d}/pages.parquet").withColumn("issue", F.concat(F.lit("i"), F.col("page_id") % 3))
+    log = p.select("url", "issue", F.lit("done").alias("status"), F.lit(1).alias("ts")).unionByName(p.where("page_id % 4 > 0").select("url", "issue", F.lit("open").alias("status"), F.lit(2).alias("ts")))
+    return O.latest_task_state(p.where("page_id % 5 < 3"), log)
+
+
+def _anchored(s, d):
+    found = T.page_anchors(T.page_elements(_made(ANCHORS)(s, d)))
+    return found.withColumn("network", K.link_network(U.norm_domain(F.col("href"))))
+
+
 def _made(sql):
     return lambda s, d: fixtures.made(s, sql, {"pages": s.read.parquet(f"{d}/pages.parquet")})
 
@@ -62,6 +89,9 @@ def _made(sql):
 _trees, _graphs = _made(TREES), _made(GRAPHS)
 _elements = lambda s, d: T.page_elements(_trees(s, d))
 ALL = {
+    "page_anchors": (_anchored, ANCHORED),
+    "task_regression": (_states, STATES),
+    "decision_counts": (lambda s, d: O.decision_counts(fixtures.view(s, d, "fx_topics"), "page_type", "serp_verdict"), DECISIONS),
     "page_sections": (lambda s, d: T.page_sections(_elements(s, d)), SECTIONS),
     "dom_metrics": (lambda s, d: T.dom_metrics(_elements(s, d)).select(_SHOWN), METRICS),
     "missing_alt": (lambda s, d: T.missing_alt(_elements(s, d)).groupBy("page_id", "src").agg(F.count("*").alias("images")), f"SELECT page_id, 'b' AS src, page_id % 5 AS images FROM pages WHERE {_WIDE_IS} AND page_id % 5 > 0"),

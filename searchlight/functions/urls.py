@@ -32,7 +32,7 @@ def canonical_url(url: Column) -> Column:
 
 def norm_domain(url: Column) -> Column:
     """The host in lower case, without scheme, path, port and a leading www."""
-    host = F.regexp_replace(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.-]*://", "")
+    host = F.regexp_replace(F.lower(F.trim(url)), r"^([a-z][a-z0-9+.-]*:)?//", "")
     return F.regexp_replace(F.regexp_replace(host, r"[/?#:].*$", ""), r"^www\.", "")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from searchlight.operators.pages import page_text
 
 # Hosts of affiliate networks and their names.
 NETWORKS = [("amazon.com", "Amazon"), ("amzn.to", "Amazon"), ("shareasale.com", "ShareASale"), ("awin1.com", "Awin"), ("anrdoezrs.net", "CJ"), ("impact.com", "Impact"), ("rakuten.com", "Rakuten"), ("clickbank.net", "ClickBank")]
+# The trackers that are looked for by default.
+TRACKERS = ["swap.js", "gtag/js", "fbevents.js"]
 # What asks for, or supports, a conversion in a page's text.
 CTA = r"\b(get (a )?(free )?(quote|proposal|assessment|audit|consult\w*)|request|book|schedule|contact us|call now|get started|start (now|today)|free trial|talk to|speak (to|with)|claim|sign up)\b"
 SPECIFIC_CTA = r"\b(free (quote|assessment|audit|consultation)|request (a )?(proposal|quote|consult)|book (a )?(call|demo|meeting)|schedule (a )?(call|consult))\b"
@@ -34,11 +38,16 @@ def _within(html: Column, tag: str) -> Column:
     return F.aggregate(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1)), F.lit(0), lambda a, x: a + F.length(x))
 
 
-def page_weight(pages: DataFrame) -> DataFrame:
-    """page_id, bytes, inline_css, inline_js, scripts, styles, tags, forms, title_chars, words."""
+def page_weight(pages: DataFrame, trackers: list[str] = TRACKERS) -> DataFrame:
+    """page_id, bytes, inline_css, inline_js, scripts, styles, external_css, external_js, svg, trackers, tags, forms, title_chars, meta_chars, schema_blocks, words.
+
+    trackers counts every place that one of the patterns stands at.
+    """
     h = F.col("html")
     count = lambda pattern: F.regexp_count(h, F.lit(pattern))
     title = F.trim(F.regexp_replace(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    about = F.regexp_extract(F.regexp_extract(h, r"""(?i)(<meta\b[^>]*\bname=["']description["'][^>]*>)""", 1), r"""(?i)\bcontent="([^"]*)\"""", 1)
+    hits = sum((count(re.escape(t)) for t in trackers), F.lit(0))
     return pages.select(
         "page_id",
         F.octet_length(h).alias("bytes"),
@@ -46,16 +55,22 @@ def page_weight(pages: DataFrame) -> DataFrame:
         _within(h, "script").alias("inline_js"),
         count(r"(?i)<script\b").alias("scripts"),
         count(r"(?i)<style\b").alias("styles"),
+        count(r"""(?i)<link\b[^>]*\brel=["']?[^"'>]*stylesheet""").alias("external_css"),
+        count(r"(?i)<script\b[^>]*\bsrc=").alias("external_js"),
+        count(r"(?i)<svg\b").alias("svg"),
+        hits.alias("trackers"),
         count(r"<[a-zA-Z]").alias("tags"),
         count(r"(?i)<form\b").alias("forms"),
         F.length(title).alias("title_chars"),
+        F.length(about).alias("meta_chars"),
+        count(r"(?i)application/ld\+json").alias("schema_blocks"),
         F.size(F.filter(F.split(page_text(h), " "), lambda w: w != "")).alias("words"),
     )
 
 
 def page_weight_flags(weights: DataFrame) -> DataFrame:
     """page_id and what exceeds the guidelines."""
-    flags = {"inline css": F.col("inline_css") > 30_000, "many nodes": F.col("tags") > 1400, "no form": F.col("forms") == 0, "long title": F.col("title_chars") > 60, "thin text": F.col("words") < 300}
+    flags = {"inline css": F.col("inline_css") > 30_000, "many nodes": F.col("tags") > 1400, "trackers": F.col("trackers") > 1, "no form": F.col("forms") == 0, "long title": F.col("title_chars") > 60, "no schema": F.col("schema_blocks") == 0}
     return weights.select("page_id", F.concat_ws(";", *[F.when(c, F.lit(n)) for n, c in flags.items()]).alias("flags"))
 
 

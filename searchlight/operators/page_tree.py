@@ -6,20 +6,26 @@ an element's subtree is an interval, and everything after the pass is DataFrame
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ELEMENTS = "node int, parent int, last int, depth int, tag string, class string, begin int, finish int, words int, label string, attributes map<string,string>"
+ELEMENTS = "node int, parent int, last int, depth int, tag string, class string, begin int, finish int, words int, label string, text string, placement string, attributes map<string,string>"
 #: Attributes that are kept.
 KEPT = frozenset("alt lang href rel name property content role type datetime src aria-label".split())
+# What is around a page's main content.
+AROUND, AROUND_CLASS = ("nav", "header", "footer"), r"(?i)\b(nav|header|footer|menu|sidebar|widget)\b"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements counted as landmarks, and limits of a tree's size: nodes, depth, children.
 LANDMARKS = "header nav main aside footer section article form".split()
 GOOD_NODES, GOOD_DEPTH, GOOD_CHILDREN, MOST_NODES = 800, 32, 60, 1500
-_KIND = [pa.int32()] * 4 + [pa.string()] * 2 + [pa.int32()] * 3 + [pa.string(), pa.map_(pa.string(), pa.string())]
+_KIND = [pa.int32()] * 4 + [pa.string()] * 2 + [pa.int32()] * 3 + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string())]
+
+
+chrome = re.compile(AROUND_CLASS).search
 
 
 class _Tree(HTMLParser):
@@ -45,10 +51,12 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         held = {k: v or "" for k, v in attrs}
         node = len(self.rows)
-        self.rows.append([node, self.open[-1] if self.open else None, node, len(self.open) + 1, tag, held.get("class", ""), self._at(), self._at() + len(self.get_starttag_text() or ""), 0, None, [(k, v) for k, v in held.items() if k in KEPT]])
+        around = self.rows[self.open[-1]] if self.open else None
+        place = "main" if around is None else around[4] if around[4] in AROUND else "chrome" if around[5] and chrome(around[5]) else around[11]
+        self.rows.append([node, self.open[-1] if self.open else None, node, len(self.open) + 1, tag, held.get("class", ""), self._at(), self._at() + len(self.get_starttag_text() or ""), 0, None, None, place, [(k, v) for k, v in held.items() if k in KEPT]])
         if tag not in VOID:
             self.open.append(node)
-            if tag in ("h1", "h2", "h3"):
+            if tag in ("a", "h1", "h2", "h3"):
                 self.text[node] = []
 
     def handle_startendtag(self, tag, attrs):
@@ -68,8 +76,10 @@ class _Tree(HTMLParser):
         row[2], row[7] = len(self.rows) - 1, at
         if self.open:
             self.rows[self.open[-1]][8] += row[8]
-        text = " ".join("".join(self.text.pop(row[0], ())).split())
-        if text:
+        if row[0] not in self.text:
+            return
+        text = row[10] = " ".join("".join(self.text.pop(row[0])).split())
+        if text and row[4] != "a":
             for i in reversed(self.open):
                 if self.rows[i][9] is not None:
                     break
@@ -83,7 +93,8 @@ class _Tree(HTMLParser):
 
 
 def page_elements(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """key and ELEMENTS of each element, in page order. words and label (the first heading's text) are those of the subtree.
+    """key and ELEMENTS of each element, in page order. words and label (the first heading's text) are those of the
+    subtree; text is that of links and headings; placement is nav, header, footer or chrome by the nearest ancestor that says so, else main.
 
     Null and empty pages give no row, and markup that the parser gives up on gives what it had read of the page.
     """
@@ -130,6 +141,12 @@ def dom_metrics(elements: DataFrame, key: str = "page_id") -> DataFrame:
     return whole.select(key, "nodes", "depth", "children", verdict.alias("verdict"), *counts)
 
 
+def page_anchors(elements: DataFrame, key: str = "page_id", most_chars: int = 120) -> DataFrame:
+    """key, node, href, text (its first 120 characters), rel (null where there is none), placement of every link in page order."""
+    a = F.col("attributes")
+    return elements.where((F.col("tag") == "a") & F.map_contains_key("attributes", "href")).select(key, "node", F.trim(a["href"]).alias("href"), F.substring("text", 1, most_chars).alias("text"), a["rel"].alias("rel"), "placement")
+
+
 def missing_alt(elements: DataFrame, key: str = "page_id") -> DataFrame:
     """key, node, src of every image without an alternative text; an empty one says that the image is decoration."""
     return elements.where((F.col("tag") == "img") & ~F.map_contains_key("attributes", "alt")).select(key, "node", F.col("attributes")["src"].alias("src"))

@@ -60,9 +60,9 @@ def decision_counts(decisions: DataFrame, *by: str) -> DataFrame:
 
 
 def latest_task_state(findings: DataFrame, tasks: DataFrame) -> DataFrame:
-    """url, issue, state: done, regressed (done before, found again) or open, against a log of tasks (url, issue, status, ts)."""
+    """url, issue, state: done, regressed (done before, found again) or open, against a log of tasks (url, issue, status, ts). Open tasks that are not found again have no finding and no row."""
     rank = F.row_number().over(Window.partitionBy("url", "issue").orderBy(F.desc("ts"), "status"))
     last = tasks.withColumn("r", rank).where("r = 1").select("url", "issue", "status")
     joined = findings.select("url", "issue").distinct().withColumn("found", F.lit(True)).join(last, ["url", "issue"], "full")
-    state = F.when(F.col("found") & (F.col("status") == "done"), "regressed").when(F.col("found"), "open").when(F.col("status") == "done", "done").otherwise("not found")
-    return joined.select("url", "issue", state.alias("state"))
+    state = F.when(F.col("found") & (F.col("status") == "done"), "regressed").when(F.col("found"), "open").when(F.col("status") == "done", "done")
+    return joined.select("url", "issue", state.alias("state")).where("state is not null")
