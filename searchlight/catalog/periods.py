@@ -77,6 +77,9 @@ m AS (SELECT period, sum((w * (y - a - b * p)) ** 2) AS m0, sum((w * (y - a - b
 v AS (SELECT period, a, b, (s2 * s2 * m0 - 2 * s2 * s1 * m1 + s1 * s1 * m2) / d ** 2 AS va, (s1 * s1 * m0 - 2 * s0 * s1 * m1 + s0 * s0 * m2) / d ** 2 AS vb, sum(n) OVER () AS n FROM l JOIN m USING (period)),
 z AS (SELECT A.a AS a0, A.b AS b0, B.a - A.a AS a1, B.b - A.b AS b1, A.va AS va0, A.vb AS vb0, A.va + B.va AS va1, A.vb + B.vb AS vb1, A.n / (A.n - 4) AS f FROM v A JOIN v B ON A.period = 'baseline' AND B.period = 'current')
 SELECT 'intercept' AS term, a0 AS coefficient, sqrt(va0 * f) AS standard_error FROM z UNION ALL SELECT 'position', b0, sqrt(vb0 * f) FROM z UNION ALL SELECT 'period', a1, sqrt(va1 * f) FROM z UNION ALL SELECT 'position:period', b1, sqrt(vb1 * f) FROM z"""
+#: Backlinks by order: when each was first seen, and of some when it was lost.
+SEEN = """SELECT concat('S', cast(o_custkey % 30 AS string), '.example') AS domain, o_orderkey % 4 AS k, CASE o_orderkey % 4 WHEN 0 THEN 'noopener' WHEN 2 THEN 'NoFollow' WHEN 3 THEN 'ugc sponsored' END AS rel,
+  CASE WHEN o_orderkey % 9 > 0 THEN cast(o_orderdate AS date) END AS first_seen, CASE WHEN o_orderkey % 5 = 0 THEN cast(o_orderdate AS date) END AS lost FROM {orders}"""
 _series = lambda s, d: fixtures.view(s, d, "fx_dense").groupBy("page", "date").agg(F.sum("impressions").alias("impressions"))
 ALL = {
     "cohort_join": (_k(lambda k: k), f"WITH {KEYS} SELECT * FROM ks"),
@@ -95,6 +98,9 @@ ALL = {
     "anchor_class": (lambda s, d: _links(s, d).groupBy(L.anchor_class(F.col("anchor"), "acme", ["anvil"]).alias("class")).agg(F.count("*").alias("links")), f"WITH {LK} SELECT {_CLASS} AS class, count(*) AS links FROM lk GROUP BY 1"),
     "spam_domain": (lambda s, d: _links(s, d).select("domain", "site", L.spam_domain(F.col("domain"), F.col("source_url"), F.col("score")).alias("spam")), f"WITH {LK} SELECT domain, site, {_SPAM} AS spam FROM lk"),
     "anchor_profile": (lambda s, d: L.anchor_profile(_links(s, d), "acme", ["anvil"]), f"WITH {LK}, o AS (SELECT count(*) AS links, count(DISTINCT d) AS domains, 100.0 * count(*) FILTER ({_CLASS} = 'exact_money') / count(*) AS money_pct, 100.0 * count(*) FILTER ({_CLASS} = 'brand') / count(*) AS brand_pct, count(DISTINCT d) FILTER ({_SPAM}) AS toxic_domains FROM lk) SELECT *, 100.0 * toxic_domains / domains AS toxic_pct, money_pct >= 15 AS over_optimised, brand_pct < 30 AND links > 20 AS brand_poor, 100.0 * toxic_domains / domains >= 20 AS toxic_risk FROM o"),
+    "top_anchors": (lambda s, d: L.top_anchors(_links(s, d), 4), f"WITH {LK} SELECT anchor, count(*) AS links, count(DISTINCT d) AS domains FROM lk GROUP BY 1 ORDER BY links DESC, anchor LIMIT 4"),
+    "link_velocity": (lambda s, d: L.link_velocity(fixtures.made(s, SEEN, {"orders": s.read.parquet(f"{d}/orders.parquet")})), f"""WITH x AS ({SEEN.replace('{orders}', 'orders')}), o AS (SELECT count(*) AS links, count(DISTINCT lower(domain)) AS domains, count(*) FILTER (k < 2) AS follow, count(DISTINCT lower(domain)) FILTER (k < 2) AS fd, count(first_seen) AS won, count(lost) AS gone,
+  greatest(floor(date_diff('day', least(min(first_seen), min(lost)), greatest(max(first_seen), max(lost))) / 30.4375) + 1, 1) AS m FROM x) SELECT links, domains, links / domains AS links_a_domain, follow / links AS follow_share, fd / domains AS follow_domain_share, won / m AS won_a_month, gone / m AS lost_a_month FROM o"""),
     "toxic_multi_source": (_toxic, f"WITH {TOX} SELECT domain, string_agg(src, ',' ORDER BY src) AS sources, count(*) AS n_sources, CASE WHEN domain IN (SELECT domain FROM dv) THEN 'already disavowed' WHEN count(*) >= 2 THEN 'disavow' ELSE 'review' END AS status FROM tb GROUP BY domain"),
     "disavow_merge": (lambda s, d: L.disavow_merge(_disavowed(s, d), _toxic(s, d).where("status = 'disavow'")), f"WITH {TOX} SELECT domain FROM dv UNION SELECT domain FROM tb GROUP BY domain HAVING count(*) >= 2"),
     "link_gap": (lambda s, d: L.link_gap(_links(s, d).where("score >= 50"), "ahrefs"), f"WITH {LK} SELECT domain, count(DISTINCT site) AS competitors FROM lk WHERE score >= 50 AND site <> 'ahrefs' AND domain NOT IN (SELECT domain FROM lk WHERE score >= 50 AND site = 'ahrefs') GROUP BY domain HAVING count(DISTINCT site) >= 2"),

@@ -39,6 +39,7 @@ FLOATS: dict[str, list[str]] = {
     "categorical_effect": ["chi2", "cramers_v"],
     "categorical_effect_p": ["chi2", "cramers_v", "p"],
     "ctr_at_rank": ["coefficient", "standard_error"],
+    "link_velocity": ["links_a_domain", "follow_share", "follow_domain_share", "won_a_month", "lost_a_month"],
     "changepoint": ["sup_f", "before", "after"],
     "categorical_effect_two": ["chi2", "cramers_v"],
     "counterfactual": ["slope", "intercept", "r2", "actual", "elasticity", "predicted", "deviation"],

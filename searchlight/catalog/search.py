@@ -72,6 +72,7 @@ ALL = {
     "multi_page_queries": (_m(S.multi_page_queries), f"WITH {M} SELECT query, count(DISTINCT page) AS pages, CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks FROM fx_search GROUP BY query HAVING count(DISTINCT page) >= 2 ORDER BY pages DESC, impressions DESC, query LIMIT 50"),
     "monthly_trend": (_m(S.monthly_trend), f"WITH {MON} SELECT *, days < expected_days AS partial, 100.0 * clicks / impressions AS ctr FROM mo"),
     "brand_split": (_q(lambda q: S.brand_split(q, BRAND)), f"WITH {BSPLIT} SELECT * FROM bs2"),
+    "brand_top_queries": (_q(lambda q: S.brand_top_queries(q, BRAND)), f"WITH {QT} SELECT {_BS} AS brand, (row_number() OVER (PARTITION BY {_BS} ORDER BY clicks DESC, impressions DESC, query))::INT AS rank, query, clicks, impressions FROM qt QUALIFY rank <= 25"),
     "zero_click_queries": (_q(lambda q: S.zero_click_queries(q, BRAND, below_ctr=13)), f"WITH {QT} SELECT query, impressions, clicks / impressions * 100 AS ctr, position FROM qt WHERE NOT {_BS} AND position > 0 AND position <= 10 AND impressions >= 500 AND clicks / impressions * 100 < 13 ORDER BY impressions DESC, query LIMIT 25"),
     "position_bands": (_q(lambda q: S.position_bands(q, BRAND)), f"WITH {BSPLIT} SELECT * FROM pb"),
     "graduation_score": (_q(lambda q: S.graduation_score(q, BRAND)), f"WITH {BSPLIT}, g AS (SELECT greatest(0, least(1, (100 - bsh) / 50)) AS nonbrand_share, greatest(0, least(1, (30 - np) / 22)) AS nonbrand_position, greatest(0, least(1, (p1_3 + p4_10) / 40)) AS page1_share, greatest(0, least(1, median_ctr_4_10 / 3)) AS ctr_at_rank FROM (SELECT max(click_share) FILTER (brand) AS bsh, max(position) FILTER (NOT brand) AS np FROM bs2) x, pb), h AS (SELECT *, 100 * (0.3 * nonbrand_share + 0.3 * nonbrand_position + 0.25 * page1_share + 0.15 * ctr_at_rank) AS score FROM g) SELECT *, CASE WHEN score >= 70 THEN 'graduated' WHEN score >= 45 THEN 'emerging' WHEN score >= 25 THEN 'suppressed' ELSE 'deep suppression' END AS stage FROM h"),

@@ -30,6 +30,13 @@ def _iis(s, d):
     return _requests(s, d).select("event_id", words.alias("value"))
 
 
+def _times(s, d):
+    """The same times in different formats; those of the first kind stand two hours east of UTC."""
+    kind = F.col("event_id") % 5
+    text = F.when(kind == 0, F.concat(F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0200"))).when(kind == 1, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
+    return _requests(s, d).select("event_id", text.when(kind == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(kind == 3, F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")).otherwise("no time").alias("value"))
+
+
 def _tsv(s, d):
     return _requests(s, d).select("event_id", F.concat(F.lit("tabs-"), F.col("event_id") % 2).alias("file"), F.when(F.col("event_id") < 6, F.lit("# note")).when(F.col("event_id") < 8, F.lit("Page URL\tHits")).otherwise(F.concat("url", F.lit("\t1"))).alias("value"))
 
@@ -55,6 +62,7 @@ ALL = {
     "parse_iis": (lambda s, d: L.parse_iis(_iis(s, d)).drop("ok", "bytes"), f"WITH {WEB} SELECT {_FIELDS.replace(' bytes,', '')} FROM fx_weblog"),
     "parse_stats": (lambda s, d: L.parse_stats(L.parse_combined(_combined(s, d))), f"WITH {WEB} SELECT CAST(event_id % 3 AS VARCHAR) AS file, count(*) AS lines, count(*) FILTER (event_id % 97 = 0) AS failed, 1 - count(*) FILTER (event_id % 97 = 0) / count(*) AS rate FROM fx_weblog GROUP BY 1"),
     "detect_log_format": (lambda s, d: L.detect_log_format(_combined(s, d).unionByName(_json(s, d).withColumn("file", F.lit("json"))).unionByName(_iis(s, d).withColumn("file", F.lit("iis"))).unionByName(_tsv(s, d)), order="event_id"), FORMATS),
+    "normalise_ts": (lambda s, d: _times(s, d).select("event_id", L.normalise_ts(F.col("value")).alias("x")).select("event_id", "x.ts", "x.tz_aware"), f"WITH {WEB} SELECT event_id, CASE event_id % 5 WHEN 0 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 4 THEN NULL ELSE date_trunc('second', ts) END AS ts, event_id % 5 IN (0, 1) AS tz_aware FROM fx_weblog"),
     "parse_iis_files": (lambda s, d: L.parse_iis_files(_changing(s, d)).select("event_id", "url", "status", "method"), f"WITH {WEB} SELECT event_id, CASE WHEN event_id % 900 < 400 OR NOT contains(url, '?') THEN url ELSE string_split(url, '?')[1] END AS url, status, CASE WHEN event_id % 900 < 400 THEN '-' ELSE method END AS method FROM fx_weblog"),
     "parse_hits_csv": (lambda s, d: L.parse_hits_csv(_requests(s, d).groupBy(F.col("url").alias("Page URL"), F.col("status").cast("string").alias("Response Code")).agg((F.count("*") * 20).cast("string").alias("Hits"))), f"WITH {WEB} SELECT url, status, '' AS user_agent, '-' AS ip, CAST(least(count(*) * 20, 1000) AS INT) AS weight FROM fx_weblog GROUP BY url, status"),
 }

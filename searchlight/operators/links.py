@@ -41,6 +41,12 @@ def anchor_profile(links: DataFrame, brand: str | None, money: list[str]) -> Dat
     return one.withColumn("over_optimised", F.col("money_pct") >= 15).withColumn("brand_poor", (F.col("brand_pct") < 30) & (F.col("links") > 20)).withColumn("toxic_risk", F.col("toxic_pct") >= 20)
 
 
+def top_anchors(links: DataFrame, top: int = 20) -> DataFrame:
+    """anchor, links, domains of the anchors with the most links; ties by anchor. Links without an anchor count as ''."""
+    rolled = links.groupBy(F.coalesce(F.trim("anchor"), F.lit("")).alias("anchor")).agg(F.count("*").alias("links"), F.countDistinct(U.norm_domain(F.coalesce("domain", "source_url"))).alias("domains"))
+    return rolled.orderBy(F.desc("links"), "anchor").limit(top)
+
+
 def toxic_multi_source(flags: DataFrame, disavowed: DataFrame, least_score: float = 60, least_sources: int = 2) -> DataFrame:
     """domain, sources, n_sources, status for domains that several independent sources flag; those already disavowed are marked."""
     bad = flags.where(F.col("score") >= least_score).select(U.norm_domain(F.col("domain")).alias("domain"), "src").distinct()
@@ -67,6 +73,17 @@ def referring_profile(links: DataFrame, step: float = 20) -> DataFrame:
     return links.groupBy(band.alias("band")).agg(F.countDistinct("domain").alias("domains"), F.count("*").alias("links"))
 
 
+def link_velocity(links: DataFrame, domain: str = "domain") -> DataFrame:
+    """One row over backlinks (domain, rel, first_seen, lost): links, domains, links a domain, shares of follow links and domains, and per month of the
+    span links won and lost. A null rel follows; a null date is neither won nor lost."""
+    follow = ~F.lower(F.coalesce("rel", F.lit(""))).rlike(r"\b(nofollow|ugc|sponsored)\b")
+    name = U.norm_domain(F.col(domain))
+    one = links.agg(F.count("*").alias("links"), F.countDistinct(name).alias("domains"), F.count_if(follow).alias("follow"), F.countDistinct(F.when(follow, name)).alias("follow_domains"), F.count("first_seen").alias("won"), F.count("lost").alias("gone"), F.least(F.min("first_seen"), F.min("lost")).alias("a"), F.greatest(F.max("first_seen"), F.max("lost")).alias("b"))
+    months = F.greatest(F.floor(F.datediff("b", "a") / 30.4375) + 1, F.lit(1))
+    per = lambda c: F.try_divide(F.col(c), F.coalesce(months, F.lit(1)))
+    return one.select("links", "domains", F.try_divide("links", "domains").alias("links_a_domain"), F.try_divide("follow", "links").alias("follow_share"), F.try_divide("follow_domains", "domains").alias("follow_domain_share"), per("won").alias("won_a_month"), per("gone").alias("lost_a_month"))
+
+
 def rank_band(rank: Column) -> Column:
     """low, medium or high on a scale of 0 to 1000."""
     return F.when(rank < 200, "low").when(rank < 500, "medium").otherwise("high")

@@ -138,6 +138,15 @@ def brand_split(queries: DataFrame, pattern: str) -> DataFrame:
     return rolled.withColumn("ctr", F.coalesce(F.try_divide(100 * F.col("clicks"), F.col("impressions")), F.lit(0.0))).withColumn("click_share", F.try_divide(100 * F.col("clicks"), total))
 
 
+def brand_top_queries(queries: DataFrame, pattern: str, top: int = 25) -> DataFrame:
+    """brand, rank, query, clicks, impressions of the queries with the most clicks among brand and among other queries; ties by impressions, then query.
+
+    The rank limit is applied in each task before rows move, so no task ranks all queries of a side.
+    """
+    rank = F.row_number().over(Window.partitionBy("brand").orderBy(F.desc("clicks"), F.desc("impressions"), "query"))
+    return queries.withColumn("brand", is_brand(F.col("query"), pattern)).withColumn("rank", rank).where(F.col("rank") <= top).select("brand", "rank", "query", "clicks", "impressions")
+
+
 def zero_click_queries(queries: DataFrame, pattern: str, least_impressions: int = 500, below_ctr: float = 1.0, top: int = 25) -> DataFrame:
     """Non-brand queries that rank on page one with many impressions and hardly a click."""
     ctr = F.col("clicks") / F.col("impressions") * 100

@@ -60,6 +60,12 @@ def _time(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("dd/MMM/yyyy:HH:mm:ss Z", "dd/MMM/yyyy:HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX")])
 
 
+def normalise_ts(text: Column) -> Column:
+    """struct(ts, tz_aware): a log's time in UTC, and whether it came with a zone; without one it counts as UTC. A text that is no time has null and false."""
+    ts = F.coalesce(_time(text), *[F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")])
+    return F.struct(ts.alias("ts"), F.coalesce(ts.isNotNull() & F.trim(text).rlike(r"([+-]\d{2}:?\d{2}|Z)$"), F.lit(False)).alias("tz_aware"))
+
+
 def _number(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{1,18}$"), text.cast("bigint"))
 
