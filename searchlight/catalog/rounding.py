@@ -61,4 +61,5 @@ FLOATS: dict[str, list[str]] = {
     "cluster_winner": ["score"],
     "plan_summary": ["share"],
     "template_similarity": ["similarity"],
+    "template_candidates": ["similarity"],
 }

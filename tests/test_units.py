@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from searchlight import catalog, fixtures
-from searchlight.operators import clusters, intents, links, page_checks, page_tree, pages, periods, routing, search, trust, weblog
+from searchlight.operators import clusters, intents, links, page_audit, page_checks, page_tree, pages, periods, routing, search, trust, weblog
 from searchlight.sources import logs
 from searchlight.streaming import weblog as live
 
@@ -350,3 +350,17 @@ def test_headers_that_change_in_a_file(spark, tmp_path):
     assert sorted((r.url, r.status) for r in rows.collect()) == [("/a", 200), ("/b", 404)] + [("/c", 404)] * 5
     split = spark.createDataFrame([("f", b, i, v) for i, (b, v) in enumerate([(0, "#Fields: cs-uri-stem sc-status"), (0, "/a 200"), (7, "/b 200"), (9, "/c 200"), (9, "#Fields: sc-status cs-uri-stem"), (9, "200 /d"), (12, "200 /e")])], "file string, block long, line long, value string")
     assert sorted(r.url for r in logs.parse_iis_files(split).where("ok").collect()) == ["/a", "/b", "/c", "/d", "/e"]
+
+
+def test_candidates_by_smallest_hashes(spark):
+    """Pages that share over half of their lines meet; measured against the join of all lines."""
+    rng = random.Random(8)
+    rows = []
+    for family in range(12):
+        template = [f"<p>{family} {i}" for i in range(30)]
+        rows += [(family * 10 + k, "g", "<header>\n" + "\n".join(x for x in template if rng.random() < rng.choice([0.5, 0.8, 0.95])) + f"\nown {family} {k}") for k in range(6)]
+    frame = spark.createDataFrame(rows, "page_id long, grp string, html string")
+    found = [{(r.a, r.b): r.similarity for r in page_audit.template_similarity(frame, "grp", bands=bands).collect()} for bands in (0, 32)]
+    assert set(found[1].items()) <= set(found[0].items()) and len(found[1]) >= 0.9 * len(found[0]) > 50
+    met = page_audit.alike_candidates(page_audit.page_lines(frame, "grp"), "grp").count()
+    assert met < 0.5 * len(rows) * (len(rows) - 1) / 2
