@@ -1,6 +1,8 @@
 """Information-theoretic sanitisation over whole texts.
 
-Patterns find the protected entities: e-mail addresses, IP addresses, card and phone numbers. What a document
+Patterns find the protected entities: e-mail addresses, IP addresses, card and phone numbers, and one level up what
+several of them share: the domain, the network (three parts), the issuer (six digits), the number but for its last
+four digits. Few mentions of each of many addresses so add up to evidence about their group. What a document
 says elsewhere can reveal them as well. So terms (runs of letters and digits outside those spans) are counted in
 documents: n of them in all, n_c name the entity, n_t hold the term, n_ct do both. The pointwise mutual
 information log2(n n_ct / (n_c n_t)) tells how strongly the term reveals the entity; it is held against the
@@ -35,6 +37,8 @@ PATTERNS = {
 TERM = r"[\p{L}\p{N}]++(?:['’-][\p{L}\p{N}]++)*+"
 #: Characters on either side of a mention that are its surroundings; shortest term; most terms or texts that are broadcast.
 WIDTH, LEAST_LETTERS, MOST_BROADCAST = 60, 4, 100_000
+#: Characters a piece of a text that has spans.
+PIECE = 4096
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 #: Classes that terms are generalised to, by what they look like; the first that matches.
 CLASSES = {r"^\p{N}+$": "[NUMBER]", r"\p{N}": "[CODE]", r"^\p{Lu}": "[NAME]", "": "[TERM]"}
@@ -44,17 +48,28 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def running(values: str, step: str) -> str:
+    """SQL: the running sums (step ``x + y``) or maxima (``greatest(x, y)``) of an array of numbers from zero on, in n log n: round k adds what is 2^k places before."""
+    shifted = "slice(concat(array_repeat(0, shiftleft(1, k)), a), 1, size(a))"
+    return f"aggregate(sequence(0, cast(ceil(log2(greatest(size({values}), 1))) as int)), {values}, (a, k) -> zip_with(a, {shifted}, (x, y) -> {step}))"
+
+
 def matches(text: str, values: str, pattern: str, wanted: str, at: str = "0") -> str:
     """SQL: array<struct<s, e, v>> of those matches m in a text for which ``wanted`` holds; code points, end exclusive.
 
-    regexp_extract_all has given the ``values`` of all matches; the text begins at place ``at``.
+    regexp_extract_all has given the ``values`` of all matches; the text begins at place ``at``. A match ends where
+    the lengths of all matches and of the gaps before them add up to.
     """
     gaps = f"split({text}, {_text(pattern)}, -1)"
+    ends = running(f"zip_with(slice({gaps}, 1, size({values})), {values}, (g, v) -> length(g) + length(v))", "x + y")
     return f"""case when size({values}) = 0 then cast(array() as array<struct<s:int,e:int,v:string>>) else
-      aggregate(zip_with(slice({gaps}, 1, size({values})), {values}, (g, v) -> struct(length(g) as g, v as v)),
-        struct({at} as at, cast(array() as array<struct<s:int,e:int,v:string>>) as out),
-        (a, m) -> struct(a.at + m.g + length(m.v) as at, case when {wanted} then concat(a.out, array(struct(a.at + m.g as s, a.at + m.g + length(m.v) as e, m.v as v))) else a.out end as out),
-        a -> a.out) end"""
+      filter(zip_with({ends}, {values}, (t, v) -> struct({at} + t - length(v) as s, {at} + t as e, v as v)), m -> {wanted}) end"""
+
+
+def cut(at: str, size: str) -> str:
+    """SQL: the ``size`` characters of __text from place ``at`` on, read from its __pieces and so without walking through the text."""
+    first, last = f"cast(({at}) div {PIECE} as int)", f"cast((({at}) + greatest({size}, 1) - 1) div {PIECE} as int)"
+    return f"substring(array_join(slice(__pieces, {first} + 1, {last} - {first} + 1), ''), ({at}) % {PIECE} + 1, {size})"
 
 
 def _valid(kind: str) -> str:
@@ -71,12 +86,13 @@ def _valid(kind: str) -> str:
 
 
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds __text (null as empty) and __base: array<struct<s, k, e, v>> of the base spans by start, then kind."""
+    """Adds __text (null as empty), __base: array<struct<s, k, e, v>> of the base spans by start, then kind, and __pieces: the text in pieces (none without spans)."""
     prefilter = {"email": "instr(__text, '@') > 0", "ip": "instr(__text, '.') > 0", "card": "true", "phone": "instr(__text, '+') > 0"}
     found = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     found = found.select("*", *[F.expr(f"case when {prefilter[k]} then regexp_extract_all(__text, {_text(PATTERNS[k])}, 0) else cast(array() as array<string>) end").alias(f"__v_{k}") for k in KINDS])
     parts = [f"transform({matches('__text', f'__v_{k}', PATTERNS[k], _valid(k))}, m -> struct(m.s as s, {i} as k, m.e as e, m.v as v))" for i, k in enumerate(KINDS)]
-    return found.withColumn("__base", F.expr(f"array_sort(concat({', '.join(parts)}))")).drop(*[f"__v_{k}" for k in KINDS])
+    found = found.withColumn("__base", F.expr(f"array_sort(concat({', '.join(parts)}))")).drop(*[f"__v_{k}" for k in KINDS])
+    return found.withColumn("__pieces", F.expr(f"case when size(__base) = 0 then cast(array() as array<string>) else regexp_extract_all(__text, '(?s).{{1,{PIECE}}}+', 0) end"))
 
 
 def with_parts(found: DataFrame) -> DataFrame:
@@ -84,10 +100,13 @@ def with_parts(found: DataFrame) -> DataFrame:
 
     A span that reaches beyond one that it overlaps follows an empty part, so no character of a span is in a part.
     """
-    parts = """aggregate(__base, struct(0 as at, cast(array() as array<struct<at:int,t:string,k:int>>) as out),
-      (a, x) -> case when x.e <= a.at then a else struct(x.e as at, concat(a.out, array(struct(a.at as at, substring(__text, a.at + 1, greatest(x.s - a.at, 0)) as t, x.k as k))) as out) end,
-      a -> concat(a.out, array(struct(a.at as at, substring(__text, a.at + 1, length(__text)) as t, cast(null as int) as k))))"""
-    return found.withColumn("__parts", F.expr(f"case when size(__base) = 0 then array(struct(0 as at, __text as t, cast(null as int) as k)) else {parts} end"))
+    found = found.withColumn("__at", F.expr(f"concat(array(0), {running('transform(__base, x -> x.e)', 'greatest(x, y)')})"))
+    last = "__at[size(__base)]"
+    parts = f"""concat(
+      transform(filter(zip_with(__base, slice(__at, 1, size(__base)), (x, a) -> struct(a as at, x.s as s, x.e as e, x.k as k)), x -> x.e > x.at),
+        x -> struct(x.at as at, {cut('x.at', 'greatest(x.s - x.at, 0)')} as t, x.k as k)),
+      array(struct({last} as at, {cut(last, f'length(__text) - {last}')} as t, cast(null as int) as k)))"""
+    return found.withColumn("__parts", F.expr(f"case when size(__base) = 0 then array(struct(0 as at, __text as t, cast(null as int) as k)) else {parts} end")).drop("__at")
 
 
 def terms() -> Column:
@@ -110,16 +129,23 @@ def _few(df: DataFrame) -> DataFrame:
 def disclosures(docs: DataFrame, *, least_contexts: int = 3, generalise_from: float = 0.9) -> DataFrame:
     """(entity, t, n, n_c, n_t, n_ct, contexts, information, shared): the pairs whose mutual information reaches the threshold."""
     whole = with_parts(with_base(docs.select("text")))
-    name = f"concat(array({', '.join(_text(k) for k in KINDS)})[b.k], ':', case when b.k < 2 then lower(b.v) else regexp_replace(b.v, '[^0-9]', '') end)"
-    context = f"xxhash64(substring(__text, greatest(b.s - {WIDTH}, 0) + 1, b.e + {WIDTH} - greatest(b.s - {WIDTH}, 0)))"
-    small = whole.where(F.size("__base") > 0).select(F.monotonically_increasing_id().alias("row"), F.expr(f"transform(__base, b -> struct({name} as entity, {context} as context))").alias("mentions"), terms().alias("terms"))
-    small = materialised(small)
-    mentions = small.select("row", F.inline("mentions")).groupBy("row", "entity").agg(F.min("context").alias("context"))
+    digits = "regexp_replace(b.v, '[^0-9]', '')"
+    name = f"case when b.k < 2 then lower(b.v) else {digits} end"
+    group = f"case b.k when 0 then concat('@', lower(substring_index(b.v, '@', -1))) when 1 then concat(substring_index(b.v, '.', 3), '.*') when 2 then concat(left({digits}, 6), '*') else concat(left({digits}, length({digits}) - 4), '*') end"
+    kind = f"array({', '.join(_text(k + ':') for k in KINDS)})[b.k]"
+    start = f"greatest(b.s - {WIDTH}, 0)"
+    named = f"transform(__base, b -> struct(concat({kind}, {name}) as name, concat({kind}, {group}) as group, xxhash64({cut(start, f'b.e + {WIDTH} - {start}')}) as context))"
+    small = whole.where(F.size("__base") > 0).select(terms().alias("terms"), F.expr(named).alias("named"))
+    small = small.withColumn("m", F.expr("array_sort(flatten(transform(named, x -> array(struct(x.name as entity, x.context as context), struct(x.group as entity, x.context as context)))))"))
+    # The first of an entity's mentions in a document, by the digest of its surroundings.
+    first = F.expr("filter(m, (x, i) -> not get(m, i - 1).entity <=> x.entity)")
+    small = materialised(small.select(F.monotonically_increasing_id().alias("row"), first.alias("mentions"), "terms"))
+    mentions = small.select("row", F.inline("mentions"))
     own = mentions.groupBy("entity", "context").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_c"), F.count("*").alias("contexts"))
     own = materialised(own.where(F.col("contexts") >= least_contexts).select("entity", "n_c"))
     n = docs.count()
-    held = small.select("row", F.explode("terms").alias("t"))
-    together = mentions.join(_few(own), "entity").join(held, "row").groupBy("entity", "t", "n_c", "context").agg(F.count("*").alias("n"))
+    held = small.select(F.explode("terms").alias("t"))
+    together = mentions.join(_few(own), "entity").join(small.select("row", "terms"), "row").select("entity", "n_c", "context", F.explode("terms").alias("t")).groupBy("entity", "t", "n_c", "context").agg(F.count("*").alias("n"))
     together = together.groupBy("entity", "t", "n_c").agg(F.sum("n").alias("n_ct"), F.count("*").alias("contexts")).where(F.col("contexts") >= least_contexts)
     information = F.log2(F.lit(float(n)) / F.col("n_c"))
     shared = lambda n_t: F.log2(F.col("n_ct") * float(n) / (F.col("n_c") * F.col(n_t)))
@@ -127,7 +153,7 @@ def disclosures(docs: DataFrame, *, least_contexts: int = 3, generalise_from: fl
     at_least = held.groupBy("t").agg(F.count("*").alias("n_with_mentions"))
     together = materialised(together.join(at_least, "t").where(reaches("n_with_mentions")).drop("n_with_mentions"))
     wanted = materialised(together.select("t").distinct())
-    everywhere = whole.select(F.explode(terms()).alias("t")) if not wanted.isEmpty() else held.select("t")
+    everywhere = whole.select(F.explode(terms()).alias("t")) if not wanted.isEmpty() else held
     n_t = everywhere.join(_few(wanted), "t").groupBy("t").agg(F.count("*").alias("n_t"))
     found = together.join(n_t, "t").where(reaches("n_t"))
     return found.select("entity", "t", F.lit(n).cast("bigint").alias("n"), "n_c", "n_t", "n_ct", "contexts", information.alias("information"), shared("n_t").alias("shared"))
