@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from searchlight import fixtures
+from searchlight.sources import exports as E
 from searchlight.sources import logs as L
+from searchlight.storage import new_folder
 
 WEB = fixtures.cte("fx_weblog")
 
@@ -52,12 +54,44 @@ def _changing(s, d):
     return lines.unionByName(heads)
 
 
+def _packed(s, d):
+    """The lines as packed and plain text files in the shared folder, read again and parsed."""
+    folder = new_folder(s, "logs")
+    for kind in ("gzip", "bzip2", "none"):
+        number = {"gzip": 0, "bzip2": 1, "none": 2}[kind]
+        _combined(s, d).where(F.col("file") == str(number)).select("value").write.option("compression", kind).text(f"{folder}/{number}")
+    lines = L.read_logs(s, *[f"{folder}/{number}" for number in range(3)])
+    parsed = L.parse_combined(lines.withColumn("file", F.regexp_extract("file", "/([0-9])/[^/]*$", 1)))
+    return parsed.where("ok").select("file", "ip", "ts", "method", "url", "status", "bytes", "user_agent", "referrer")
+
+
+def _disavowed(s, d):
+    folder = new_folder(s, "disavow")
+    L.write_disavow(s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_nationkey"), F.lit(".example")).alias("domain")), folder)
+    lines = s.read.text(folder)
+    return L.read_disavow(lines)
+
+
+def _tables(s, d):
+    """Requests a URL, written in four formats for a day and read again."""
+    folder = new_folder(s, "tables")
+    table = fixtures.view(s, d, "fx_weblog").groupBy("url").agg(F.count("*").alias("requests"))
+    E.write_tables({"urls": table}, folder, "2024-05-01", ("parquet", "json", "csv", "tsv"))
+    read = {"parquet": s.read, "json": s.read.schema("url string, requests bigint, run_date date").format("json"), "csv": s.read.schema("url string, requests bigint, run_date date").option("header", True).format("csv")}
+    read["tsv"] = s.read.schema("url string, requests bigint, run_date date").option("header", True).option("sep", "\t").format("csv")
+    parts = [reader.load(f"{folder}/urls.{kind}").select(F.lit(kind).alias("kind"), F.col("run_date").cast("string").alias("run_date"), "url", "requests") for kind, reader in read.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 #: The rule for a file's first sample; a spoiled first line tells nothing.
 FORMATS = f"""WITH {WEB} SELECT file, CASE WHEN event_id % 97 = 0 THEN 'unknown' ELSE 'bracket' END AS format FROM (SELECT CAST(event_id % 3 AS VARCHAR) AS file, min(event_id) AS event_id FROM fx_weblog GROUP BY 1) x
 UNION ALL SELECT 'json', 'json' UNION ALL SELECT 'iis', 'iis' UNION ALL SELECT 'tabs-' || k, CASE WHEN n BETWEEN 6 AND 7 THEN 'tsv' ELSE 'unknown' END FROM (SELECT event_id % 2 AS k, min(event_id) FILTER (event_id >= 6) AS n FROM fx_weblog GROUP BY 1) y"""
 _FIELDS = "event_id, ip, date_trunc('second', ts) AS ts, method, url, status, bytes, user_agent, referrer"
 ALL = {
     "parse_combined": (lambda s, d: L.parse_combined(_combined(s, d)).where("ok").drop("ok", "file"), f"WITH {WEB} SELECT {_FIELDS} FROM fx_weblog WHERE event_id % 97 <> 0"),
+    "read_logs": (_packed, f"WITH {WEB} SELECT CAST(event_id % 3 AS VARCHAR) AS file, {_FIELDS.removeprefix('event_id, ')} FROM fx_weblog WHERE event_id % 97 <> 0"),
+    "write_disavow": (_disavowed, "SELECT DISTINCT 's' || s_nationkey || '.example' AS domain FROM supplier"),
+    "write_tables": (_tables, f"WITH {WEB} SELECT kind, '2024-05-01' AS run_date, url, count(*) AS requests FROM fx_weblog, (VALUES ('parquet'), ('json'), ('csv'), ('tsv')) AS k(kind) GROUP BY ALL"),
     "parse_json_logs": (lambda s, d: L.parse_json_logs(_json(s, d)).drop("ok"), f"WITH {WEB} SELECT {_FIELDS} FROM fx_weblog"),
     "parse_iis": (lambda s, d: L.parse_iis(_iis(s, d)).drop("ok", "bytes"), f"WITH {WEB} SELECT {_FIELDS.replace(' bytes,', '')} FROM fx_weblog"),
     "parse_stats": (lambda s, d: L.parse_stats(L.parse_combined(_combined(s, d))), f"WITH {WEB} SELECT CAST(event_id % 3 AS VARCHAR) AS file, count(*) AS lines, count(*) FILTER (event_id % 97 = 0) AS failed, 1 - count(*) FILTER (event_id % 97 = 0) / count(*) AS rate FROM fx_weblog GROUP BY 1"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from searchlight import fixtures
 from searchlight.functions import agents as A
+from searchlight.operators import advice
 from searchlight.operators import weblog as W
 
 RANGES = "(VALUES (1, 'search_bot', 'Googlebot', 1123631104, 1123639295), (2, 'search_bot', 'Google Common Crawler', 1123631104, 1123631359), (3, 'seo_tool', 'Ahrefsbot', 167968768, 168034303)) t(list_order, class, agent, lo, hi)"
@@ -224,6 +225,11 @@ _HEALTH = " UNION ALL ".join([
     _gauge("Infra Traffic", "count(*) FILTER (class = 'infra') / count(*) * 100", 10, 30),
     f"SELECT 'P1 Issues', CAST(count(*) FILTER (urgency = {P1}) AS DOUBLE), 0, 2, false FROM f",
 ])
+_TEXTS = ", ".join(f"({', '.join(map(_q, row))})" for row in advice.RULES)
+SIMPLE["finding_texts"] = (
+    lambda s, d: advice.with_rule_texts(_findings(s, d), advice.rule_texts(s)),
+    _W(ALL_FINDINGS, f"SELECT f.*, t.* FROM f LEFT JOIN (VALUES {_TEXTS}) AS t({', '.join(advice.COLUMNS)}) ON f.issue = t.rule OR starts_with(f.issue, t.rule || ': ') OR f.issue LIKE '5__ ' || t.rule"),
+)
 SIMPLE["health_score"] = (_health, _W(ALL_FINDINGS, f"SELECT gauge, value, CASE WHEN CASE WHEN up THEN value >= a ELSE value <= a END THEN 'Green' WHEN CASE WHEN up THEN value >= b ELSE value <= b END THEN 'Yellow' ELSE 'Red' END AS score FROM ({_HEALTH}) x"))
 
 QUERIES = {name: run for name, (run, _) in SIMPLE.items()}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return posixpath.join(shared_folder(spark), f"{kind}-{uuid.uuid4().hex}")
+
+
 def written(df: DataFrame) -> DataFrame:
     """df computed once and written to the shared folder, so that lost executors cost one step."""
     shared_folder(df.sparkSession)

@@ -364,3 +364,13 @@ def test_candidates_by_smallest_hashes(spark):
     assert set(found[1].items()) <= set(found[0].items()) and len(found[1]) >= 0.9 * len(found[0]) > 50
     met = page_audit.alike_candidates(page_audit.page_lines(frame, "grp"), "grp").count()
     assert met < 0.5 * len(rows) * (len(rows) - 1) / 2
+
+
+def test_rule_texts(spark):
+    """Every rule that makes findings has its texts; what has none keeps its row."""
+    from searchlight.operators import advice
+
+    issues = ["404 Not Found", "503 Server Error", "Backend URL Crawled: wp-admin", "Sensitive File: a: b", "robots.txt Returning Error", "no such rule", None, "404 Not Found"]
+    rows = advice.with_rule_texts(spark.createDataFrame([(i, x) for i, x in enumerate(issues)], "n int, issue string"), advice.rule_texts(spark)).orderBy("n").collect()
+    assert [r.owner for r in rows] == ["SEO", "Engineering", "Engineering", "Security", "Engineering", None, None, "SEO"]
+    assert len({r[0] for r in advice.RULES}) == len(advice.RULES) and all(all(r) for r in advice.RULES)
