@@ -8,7 +8,8 @@ article, and the blocks in it count, short ones and links as well.
 
 Names only weigh. An element whose class or id names boilerplate makes a path of its own, whose ratio is
 multiplied by a weight, unless the element holds an article or (but for readers' comments) the larger part of the
-page's plain text. So inside the article a named part stays out only if its path does not reach the threshold. What HTML itself calls
+page's plain text. So inside the article a part stays out only if all of its name is boilerplate and its path does not reach the
+threshold; one that has such a word among others stays in. A button's text counts within a sentence, and not by itself. What HTML itself calls
 no content (menus, footers, forms, scripts and so on, or what is hidden) has weight zero.
 """
 
@@ -36,10 +37,10 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 PUNCTUATION = re.compile(r"[.,;:!?。，！？、…]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg object select button".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg object select".split())
 #: Elements that are never part of the text.
 OUT = RAW | frozenset("head nav footer aside form menu dialog audio video canvas map datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr data output math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder semantics annotation".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr data output button math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder semantics annotation".split())
 #: An element of the key closes open elements of the value, up to the next container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("html body div article section main table ul ol dl blockquote figure details header".split())
@@ -54,7 +55,7 @@ NAMES = frozenset(
     searchbox alert alerts topbar topmenu""".split()
 )
 #: Words that stand beside a name without making it another thing.
-BESIDE = frozenset("list box bar area section block wrap wrapper container inner outer main top bottom left right page site header footer content item items body thread form text link links post posts id".split())
+BESIDE = frozenset("list box bar area section block wrap wrapper container inner outer main top bottom left right page site header footer content item items body thread form text link links post posts id slot unit button buttons icons sticky".split())
 #: Names of what readers wrote, which can be longer than the article.
 READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: What a path's ratio is multiplied by: left out by HTML, readers' comments, a class or id that is a name, one that has a name among other words.
@@ -94,22 +95,23 @@ def blocks_of(page: str) -> tuple[list[tuple[tuple, str, int]], set[int]]:
     """
     out: list[tuple[tuple, str, int]] = []
     stack: list[tuple[str, str, int]] = []  # tag, label, number
-    links = articles = number = 0
-    parts: list[tuple[str, bool]] = []
+    links = articles = buttons = number = 0
+    parts: list[tuple[str, bool, bool]] = []  # text, in a link, in a button
     around: set[int] = set()
 
     def flush():
         if parts:
-            text = " ".join("".join(p for p, _ in parts).split())
-            if text:
+            text = " ".join("".join(p for p, _, _ in parts).split())
+            if text and any(p.strip() for p, _, button in parts if not button):
                 path = tuple((label, n) for tag, label, n in stack if tag not in INLINE or label != tag)
-                out.append((path, text, sum(len(" ".join(p.split())) for p, linked in parts if linked)))
+                out.append((path, text, sum(len(" ".join(p.split())) for p, linked, _ in parts if linked)))
             parts.clear()
 
     def pop(to: int):
-        nonlocal links, articles
+        nonlocal links, articles, buttons
         for tag, _, _ in stack[to:]:
             links -= tag == "a"
+            buttons -= tag == "button"
             articles -= tag in ("article", "main")
         del stack[to:]
 
@@ -118,19 +120,19 @@ def blocks_of(page: str) -> tuple[list[tuple[tuple, str, int]], set[int]]:
         token = TOKEN.search(page, at)
         begin = token.start() if token else size
         if begin > at:
-            parts.append((html.unescape(page[at:begin]), links > 0))
+            parts.append((html.unescape(page[at:begin]), links > 0, buttons > 0))
         if not token:
             break
         at = token.end()
         if token[0].startswith("<![CDATA["):
-            parts.append((token[0][9:].removesuffix("]]>"), links > 0))
+            parts.append((token[0][9:].removesuffix("]]>"), links > 0, buttons > 0))
         tag = (token["name"] or token["name2"] or "").lower()
         if not tag:
             continue
         attrs = token["attrs"] or token["attrs2"] or ""
         block = tag not in INLINE and tag != "br"
         if tag == "br":
-            parts.append((" ", False))
+            parts.append((" ", False, False))
             continue
         if token["end"] or token["end2"]:
             open_ = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
@@ -163,6 +165,7 @@ def blocks_of(page: str) -> tuple[list[tuple[tuple, str, int]], set[int]]:
             flush()
         stack.append((tag, label, number))
         links += tag == "a"
+        buttons += tag == "button"
         if tag in ("article", "main"):
             articles += 1
             around.update(n for _, _, n in stack[:-1])
@@ -228,7 +231,7 @@ def main_text(page: str | None) -> str:
         if depth >= 0 and (len(path) <= depth or path[depth][1] != number):
             return False
         inside = path[depth + 1 :] if depth >= 0 else path
-        if any(name[-1] in WEIGHTS for name, _ in inside) and label not in good:
+        if any(name[-1] in WEIGHTS and name[-1] != "?" for name, _ in inside) and label not in good:
             return False
         return not narrow or (label in good or bool(label) and label[-1] in HEADINGS) and linked <= 0.7 * len(text)
 

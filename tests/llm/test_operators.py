@@ -670,6 +670,9 @@ LONGER = "<p>" + "</p><p>".join(PROSE) + "</p>"
     [
         (f'<body><div class="site-menu"><a href=a>Home</a> <a href=b>News</a></div><article>{LONGER}<div class="commentary"><p>{PROSE[0]}</p></div></article><p>(c) 2020</p></body>', " ".join([*PROSE, PROSE[0]])),
         (f'<body><article>{LONGER}<section class="social-policy"><p>{PROSE[1]}</p></section></article></body>', " ".join([*PROSE, PROSE[1]])),
+        (f'<body><article>{LONGER}<section class="social-policy"><p>Be kind.</p></section></article></body>', " ".join([*PROSE, "Be kind."])),
+        (f"<body><article>{LONGER}<p>Press <button>OK</button> to go.</p><button>Share</button><div><button><span>Save</span></button> <button>Print</button></div></article></body>", " ".join([*PROSE, "Press OK to go."])),
+        (f'<body><article>{LONGER}<div class="share-buttons"><a href="x">Send</a> or copy</div><div class="ad-slot-3">Buy.</div></article></body>', " ".join(PROSE)),
         (f'<body><div id="content">{LONGER}<div class="restaurant-menu-review"><p>{PROSE[2]}</p></div></div><footer>(c) 2020</footer></body>', " ".join([*PROSE, PROSE[2]])),
         (f'<body><div class="post widget">{LONGER}</div><p>(c) 2020</p></body>', " ".join(PROSE)),
         (f'<body><article><h1>Title</h1>{LONGER}<p><a href="x">All about this in a longer text elsewhere</a></p></article></body>', "Title " + " ".join(PROSE) + " All about this in a longer text elsewhere"),
