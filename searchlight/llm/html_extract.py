@@ -16,7 +16,6 @@ no content (menus, footers, forms, scripts and so on, or what is hidden) has wei
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import defaultdict
 
@@ -87,15 +86,17 @@ def mark(tag: str, attrs: str, inside: bool) -> str:
     return found
 
 
-def blocks_of(page: str) -> tuple[list[tuple[tuple, str, int]], set[int]]:
-    """(path, text, characters in links) of each block in page order, and the numbers of the elements that hold an article or main.
+def parse(page: str) -> tuple[list[str], list[int], list[tuple[int, str, int]], set[int]]:
+    """Labels (tag and mark) and parents of the elements, (element, text, characters in links) of each block in page order, and the elements that hold an article or main.
 
-    A path's elements are (tag and mark, number). Markup may be broken or cut off: ends without a beginning are passed
-    over, and elements that stay open end with what holds them.
+    Elements are numbered in page order, so parents come first; number 0 is the page. Inline elements without a mark are no
+    parents and hold no blocks. Markup may be broken or cut off: ends without a beginning are passed over, and elements that
+    stay open end with what holds them.
     """
-    out: list[tuple[tuple, str, int]] = []
-    stack: list[tuple[str, str, int]] = []  # tag, label, number
-    links = articles = buttons = number = 0
+    out: list[tuple[int, str, int]] = []
+    labels, parents = [""], [0]
+    stack: list[tuple[str, int, int]] = []  # tag, number, innermost element of the path
+    links = articles = buttons = 0
     parts: list[tuple[str, bool, bool]] = []  # text, in a link, in a button
     around: set[int] = set()
 
@@ -103,8 +104,7 @@ def blocks_of(page: str) -> tuple[list[tuple[tuple, str, int]], set[int]]:
         if parts:
             text = " ".join("".join(p for p, _, _ in parts).split())
             if text and any(p.strip() for p, _, button in parts if not button):
-                path = tuple((label, n) for tag, label, n in stack if tag not in INLINE or label != tag)
-                out.append((path, text, sum(len(" ".join(p.split())) for p, linked, _ in parts if linked)))
+                out.append((stack[-1][2] if stack else 0, text, sum(len(" ".join(p.split())) for p, linked, _ in parts if linked)))
             parts.clear()
 
     def pop(to: int):
@@ -159,21 +159,40 @@ def blocks_of(page: str) -> tuple[list[tuple[tuple, str, int]], set[int]]:
                         break
         if tag in VOID or attrs.endswith("/"):
             continue
-        number += 1
+        number = len(labels)
         label = tag + mark(tag, attrs, articles > 0)
         if label != tag and not block:  # a marked span is a block of its own
             flush()
-        stack.append((tag, label, number))
+        labels.append(label)
+        parents.append(stack[-1][2] if stack else 0)
+        stack.append((tag, number, number if block or label != tag else parents[-1]))
         links += tag == "a"
         buttons += tag == "button"
         if tag in ("article", "main"):
             articles += 1
-            around.update(n for _, _, n in stack[:-1])
+            for i in range(len(stack) - 2, -1, -1):
+                if stack[i][1] in around:  # and so what holds it
+                    break
+                around.add(stack[i][1])
     flush()
-    return out, around
+    return labels, parents, out, around
+
+
+def blocks_of(page: str) -> tuple[list[tuple[tuple, str, int]], set[int]]:
+    """The blocks of a page with whole paths, whose elements are (tag and mark, number), and the elements that hold an article or main."""
+    labels, parents, blocks, around = parse(page)
+
+    def path(node: int) -> tuple:
+        up = []
+        while node:
+            up.append((labels[node], node))
+            node = parents[node]
+        return tuple(reversed(up))
+
+    return [(path(node), text, linked) for node, text, linked in blocks], around
 
 
-def path_ratios(blocks: list[tuple[tuple, str, int]], paths: list[tuple]) -> np.ndarray:
+def path_ratios(blocks: list[tuple], paths: list) -> np.ndarray:
     """Per block its tag path's plain characters and punctuation marks a block, smoothed over neighbours and fused."""
     sums = defaultdict(lambda: np.zeros(3))
     for path, (_, text, linked) in zip(paths, blocks):
@@ -185,57 +204,67 @@ def path_ratios(blocks: list[tuple[tuple, str, int]], paths: list[tuple]) -> np.
     return ratios[:, 0] * (1 + ratios[:, 1])
 
 
+def sums_below(parents: list[int], sizes) -> list[int]:
+    """Per element the sum of the (element, size) in it and in all elements below it."""
+    out = [0] * len(parents)
+    for node, size in sizes:
+        out[node] += size
+    for i in range(len(parents) - 1, 0, -1):
+        out[parents[i]] += out[i]
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The text of the article; empty if there is none."""
     if not page:
         return ""
-    blocks, around = blocks_of(page)
-    plain: dict[int, int] = defaultdict(int)
-    for path, text, linked in blocks:
-        for label, number in path:
-            if label[-1] in WEIGHTS:
-                plain[number] += len(text) - linked
+    labels, parents, blocks, around = parse(page)
     most = sum(len(text) - linked for _, text, linked in blocks) / 2
-
-    def label_of(label: str, number: int) -> str:
-        """Without its mark if the element holds an article, or by its name alone is boilerplate but holds most of the page."""
-        lifted = number in around or label[-1] in "!?" and plain[number] > most
-        return label[:-1] if label[-1] in WEIGHTS and lifted else label
-
-    blocks = [(tuple((label_of(*e), e[1]) for e in path), text, linked) for path, text, linked in blocks]
-    weight = lambda path: math.prod(WEIGHTS.get(label[-1], 1.0) for label, _ in path)
-    blocks = [b for b in blocks if weight(b[0])] or [(tuple((label.rstrip("-~!?"), n) for label, n in path), text, linked) for path, text, linked in blocks]
+    plain = sums_below(parents, ((node, len(text) - linked) for node, text, linked in blocks))
+    for i, label in enumerate(labels):
+        # Without its mark if the element holds an article, or by its name alone is boilerplate but holds most of the page.
+        if label and label[-1] in WEIGHTS and (i in around or label[-1] in "!?" and plain[i] > most):
+            labels[i] = label[:-1]
+    weight = [1.0] * len(labels)
+    for i in range(1, len(labels)):
+        weight[i] = weight[parents[i]] * WEIGHTS.get(labels[i][-1], 1.0)
+    if any(weight[node] for node, _, _ in blocks):
+        blocks = [b for b in blocks if weight[b[0]]]
+    else:
+        labels, weight = [label.rstrip("-~!?") for label in labels], [1.0] * len(labels)
     if not blocks:
         return ""
-    paths = [tuple(label for label, _ in path) for path, _, _ in blocks]
-    weights = np.array([weight(path) for path, _, _ in blocks])
-    fused = path_ratios(blocks, paths) * weights
+    # A path is a number: equal labels below equal paths are the same path.
+    numbers: dict[tuple[int, str], int] = {}
+    path_of, depth = [0] * len(labels), [-1] * len(labels)
+    for i in range(1, len(labels)):
+        path_of[i] = numbers.setdefault((path_of[parents[i]], labels[i]), len(numbers) + 1)
+        depth[i] = depth[parents[i]] + 1
+    paths = [path_of[node] for node, _, _ in blocks]
+    fused = path_ratios(blocks, paths) * np.array([weight[node] for node, _, _ in blocks])
     chosen = fused >= THRESHOLD * fused.std()
     votes = defaultdict(list)
     for path, yes in zip(paths, chosen):
         votes[path].append(yes)
     good = {path for path, own in votes.items() if 2 * sum(own) >= len(own)}
-    held: dict[tuple[int, str, int], int] = defaultdict(int)  # depth, label and number of an element
-    total = 0
-    for label, (path, text, linked) in zip(paths, blocks):
-        if label in good and linked <= 0.7 * len(text):  # navigation that does not name itself finds no article
-            total += len(text)
-            for depth, (tag, number) in enumerate(path):
-                held[depth, tag, number] += len(text)
-    around_all = [e for e in held if e[1].rstrip("~!?") in CONTAINERS and held[e] >= HOLD * total]
-    articles = [e for e in around_all if e[1] in ("article", "main")]
-    depth, tag, number = max(articles or around_all, default=(-1, "", 0))
-    narrow = tag in ("", "html", "body")
-
-    def belongs(label: tuple, path: tuple, text: str, linked: int) -> bool:
-        if depth >= 0 and (len(path) <= depth or path[depth][1] != number):
-            return False
-        inside = path[depth + 1 :] if depth >= 0 else path
-        if any(name[-1] in WEIGHTS and name[-1] != "?" for name, _ in inside) and label not in good:
+    # Navigation that does not name itself finds no article.
+    telling = [(node, len(text)) for path, (node, text, linked) in zip(paths, blocks) if path in good and linked <= 0.7 * len(text)]
+    held, total = sums_below(parents, telling), sum(size for _, size in telling)
+    around_all = [i for i in range(1, len(labels)) if held[i] and held[i] >= HOLD * total and labels[i].rstrip("~!?") in CONTAINERS]
+    articles = [i for i in around_all if labels[i] in ("article", "main")]
+    article = max(articles or around_all, key=lambda i: (depth[i], labels[i], i), default=0)
+    narrow = labels[article] in ("", "html", "body")
+    inside, named = [article == 0] * len(labels), [False] * len(labels)
+    for i in range(1, len(labels)):
+        inside[i] = i == article or inside[parents[i]]
+        named[i] = i != article and inside[i] and (named[parents[i]] or labels[i][-1] in WEIGHTS and labels[i][-1] != "?")
+
+    def belongs(path: int, node: int, text: str, linked: int) -> bool:
+        if not inside[node] or named[node] and path not in good:
             return False
-        return not narrow or (label in good or bool(label) and label[-1] in HEADINGS) and linked <= 0.7 * len(text)
+        return not narrow or (path in good or labels[node] in HEADINGS) and linked <= 0.7 * len(text)
 
-    return " ".join(text for label, (path, text, linked) in zip(paths, blocks) if belongs(label, path, text, linked))
+    return " ".join(text for path, (node, text, linked) in zip(paths, blocks) if belongs(path, node, text, linked))
 
 
 def extract(pages: DataFrame) -> DataFrame:

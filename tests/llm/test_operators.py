@@ -687,6 +687,12 @@ def test_html_names_only_weigh(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_html_deep_pages_are_quick():
+    begin = time.monotonic()
+    deep = "<div>" * 3000 + "".join(f"<p>Some text, number {i}, and more of it.</p>" for i in range(3000))
+    assert html_extract.main_text(f"<body>{deep}").startswith("Some text, number 0") and time.monotonic() - begin < 2
+
+
 def test_html_path_ratios():
     """Against plain sums over each tag path."""
     blocks, _ = html_extract.blocks_of(PAGE)
