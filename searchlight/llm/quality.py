@@ -1,8 +1,7 @@
 """Quality rules: counts by fixed rules, and an n-gram log-likelihood ratio between two multinomials.
 
 Words and word pairs are hashed to ``buckets`` buckets. One multinomial is estimated from all documents,
-the other from trusted documents (labelled good and not toxic, at most ``target_rows`` of them, chosen by
-the hash of their ids). A document's score is the mean, over its n-grams, of the log ratio of the two
+the other from trusted documents (all that are labelled good and not toxic). A document's score is the mean, over its n-grams, of the log ratio of the two
 probabilities, and it is kept if the score reaches a threshold: the same text always gets the same
 verdict. Half the trusted documents make the multinomial and the other half, which it has not seen, the
 threshold: ``deviations`` standard deviations below their mean score. Each task adds its n-grams up before anything is shuffled, and
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from searchlight.llm.common import materialised, slices, texts
+from searchlight.llm.repeats import among, screened
 
 BUCKET_BITS = 16
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -79,14 +79,23 @@ class Model(NamedTuple):
     least_score: float
 
 
-def trusted_ids(labels: DataFrame, target_rows: int) -> DataFrame:
-    """At most target_rows distinct ids (trusted_id) of documents labelled quality 1 and not toxic 1, and their half (0 or 1)."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The distinct ids (trusted_id) of all documents labelled quality 1 and not toxic 1, and their half (0 or 1)."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    ids = good.select(F.col("doc_id").cast("bigint").alias("trusted_id")).distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(target_rows)
+    ids = good.select(F.col("doc_id").cast("bigint").alias("trusted_id")).distinct()
     return ids.withColumn("half", F.pmod(F.crc32(F.col("trusted_id").cast("string").cast("binary")), F.lit(2)))
 
 
-def fit_ratio(docs: DataFrame, trusted: DataFrame, *, smoothing: float = 1.0) -> np.ndarray:
+def marked(rows: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+    """rows (doc_id, text) with ``trusted``: whether doc_id is in ids (trusted_id). Few ids are broadcast; else only rows that a screen of the ids hits are moved."""
+    told = lambda df, ids: df.join(ids, F.col("doc_id") == F.col("trusted_id"), "left").select("doc_id", "text", F.col("trusted_id").isNotNull().alias("trusted"))
+    if few:
+        return told(rows, F.broadcast(ids))
+    hits = screened(rows, ids.select(F.col("trusted_id").alias("doc_id")), "doc_id")
+    return told(hits.where("hit"), ids).unionByName(hits.where("not hit").select("doc_id", "text", F.lit(False).alias("trusted")))
+
+
+def fit_ratio(docs: DataFrame, trusted: DataFrame, few: bool, *, smoothing: float = 1.0) -> np.ndarray:
     """The log ratio of trusted over all documents for each bucket; zeros if there is no trusted document."""
     size = 1 << BUCKET_BITS
 
@@ -114,9 +123,8 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, *, smoothing: float = 1.0) ->
         used = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(every[used]), pa.array(good[used])], ["bucket", "n", "n_good"])
 
-    # The trusted ids are at most target_rows longs, so they can be broadcast.
-    marked = texts(docs).join(F.broadcast(trusted.where("half = 0")), F.col("doc_id") == F.col("trusted_id"), "left").select("doc_id", "text", F.col("trusted_id").isNotNull().alias("trusted"))
-    sums = marked.mapInArrow(run, "bucket bigint, n bigint, n_good bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_good").alias("g")).toPandas()
+    rows = marked(texts(docs), trusted.where("half = 0"), few)
+    sums = rows.mapInArrow(run, "bucket bigint, n bigint, n_good bigint").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_good").alias("g")).toPandas()
     every, good = np.zeros(size), np.zeros(size)
     every[sums["bucket"]], good[sums["bucket"]] = sums["n"], sums["g"]
     if not good.sum():
@@ -133,11 +141,16 @@ def score_text(text: bytes, ratio: np.ndarray) -> tuple:
     return *counts, failed, float(ratio[ngram_buckets(ids, distinct)].mean()) if words else 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, target_rows: int = 100_000, deviations: float = DEVIATIONS) -> Model:
-    """The log ratios and the threshold; without trusted documents in the second half there is none and the rules alone decide."""
-    trusted = materialised(trusted_ids(labels, target_rows))
-    ratio = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, trusted))
-    others = texts(docs).join(F.broadcast(trusted.where("half = 1")), F.col("doc_id") == F.col("trusted_id"), "left_semi")
+def fit(docs: DataFrame, labels: DataFrame, *, most_broadcast: int = 1_000_000, deviations: float = DEVIATIONS) -> Model:
+    """The log ratios and the threshold; without trusted documents in the second half there is none and the rules alone decide.
+
+    All trusted documents count. Up to ``most_broadcast`` ids of theirs are broadcast; more are joined, with the same result.
+    """
+    trusted = materialised(trusted_ids(labels))
+    few = trusted.count() <= most_broadcast
+    ratio = docs.sparkSession.sparkContext.broadcast(fit_ratio(docs, trusted, few))
+    ids = trusted.where("half = 1").select(F.col("trusted_id").alias("doc_id"))
+    others = texts(docs).join(F.broadcast(ids), "doc_id", "left_semi") if few else among(texts(docs), ids, "doc_id")
     mean, spread = _scored(others, ratio).where("not base_failed").agg(F.mean("score"), F.stddev_pop("score")).first()
     return Model(ratio.value, float("-inf") if mean is None else round(mean - deviations * spread, PLACES))
 

@@ -20,6 +20,7 @@ import tokenizers
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from searchlight.llm import bpe, components, decontam, html_extract, pii, ppm, quality, segments, sharding, simhash, token_counts, token_files
 from searchlight.llm.common import new_folder
@@ -371,6 +372,18 @@ def test_quality_verdicts(spark, documents, texts):
         assert r.score == pytest.approx(score[i]) and r.kept == (not r.base_failed and score[i] >= round(float(least), 6))
 
 
+@pytest.mark.parametrize("most_broadcast", [1_000_000, 0])
+def test_quality_takes_all_trusted_documents(spark, most_broadcast):
+    """Labels of other documents, however many, leave the model as it is; ids in a broadcast and ids in a join give the same."""
+    words = "ab cd ef gh ij kl mn op qr st uv wx".split()
+    rows = [(i * 7001 % 300_000, " ".join(words[(i * j + j // 5) % 12] + str(j * i % 17) for j in range(60 + i))) for i in range(60)] + [(None, "a b"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.when(F.col("id") % 3 == 0, 1).alias("toxic"))
+    own = quality.fit(docs, labels.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    every = quality.fit(docs, labels, most_broadcast=most_broadcast)
+    assert own.ratio.any() and np.array_equal(own.ratio, every.ratio) and own.least_score == every.least_score
+
+
 def base_spans(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
