@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from searchlight.llm.common import materialised, slices, texts
 from searchlight.llm.components import components
+from searchlight.llm.repeats import among
 
 #: Free bits of a node that can have so few members that it needs no division.
 FEW_BITS = 8
@@ -332,9 +333,12 @@ def near_copies(docs: DataFrame, *, words_per_set: int = 5, least_share: float =
 
     rows = materialised(texts(docs).mapInArrow(sketch, "doc_id bigint, text_hash bigint, name binary, fp binary, bands array<bigint>, size bigint"))
     entries = rows.groupBy("name").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.min("text_hash").alias("text_hash"))
-    nodes = materialised(entries.select("name", "fp", "size", "text_hash", F.explode("bands").alias("node")))
-    shared = nodes.groupBy("node").agg(F.min(F.struct("name", "fp")).alias("least"), F.count("*").alias("n")).where("n > 1").select("node", "least")
-    nodes = materialised(nodes.join(materialised(shared), "node"))
+    # Most bands have one entry: they are counted by their keys alone, and only entries of shared ones are moved.
+    entries = materialised(entries)
+    shared = materialised(entries.select(F.explode("bands").alias("node")).groupBy("node").count().where("count > 1").select("node"))
+    nodes = materialised(among(entries.select("name", "fp", "size", "text_hash", F.explode("bands").alias("node")), shared, "node"))
+    least = nodes.groupBy("node").agg(F.min(F.struct("name", "fp")).alias("least"))
+    nodes = materialised(nodes.join(materialised(least), "node"))
 
     def read(batches):
         seen: set[bytes] = set()
@@ -378,7 +382,8 @@ def near_copies(docs: DataFrame, *, words_per_set: int = 5, least_share: float =
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs with one of each component (doc_id, text_hash, component): its smallest doc_id, of equal ids the smallest text hash; equal rows count once."""
     keep = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("k"))
-    keep = materialised(keep.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash")).distinct())
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    left = own.join(keep, own["doc_id"].eqNullSafe(keep["__id"]) & (own["__own"] == keep["__hash"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "__own"]).select(*[own[c] for c in docs.columns])
+    keep = materialised(keep.select(F.col("k.none").alias("__none"), F.coalesce("k.doc_id", F.lit(0)).alias("__id"), F.col("k.text_hash").alias("__own")).distinct())
+    # Equal rows go first, by the columns of the join: so each text is moved once.
+    key = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__own": F.xxhash64(F.coalesce("text", F.lit("")))}
+    own = docs.withColumns(key).dropDuplicates(list(key))
+    return own.join(keep, list(key), "left_semi").select(*docs.columns)

@@ -247,6 +247,17 @@ def test_near_copies(spark, block_bytes):
     assert {1000 * g for g in range(60)} <= left and len(left) <= 60 + 0.05 * len(alike)
 
 
+def test_one_of_each_moves_texts_once(spark):
+    """Null ids, equal ids with other texts and repeated rows; a text passes one exchange."""
+    rows = [(0, "a", 1), (0, "a", 1), (0, "b", 2), (5, "a", 3), (None, "a", 4), (None, "c", 5), (None, "c", 5), (7, None, 6), (8, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    found = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("component"))
+    left = simhash.one_of_each(docs, found)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect()), key=str) == sorted([(0, "a", 1), (0, "b", 2), (None, "c", 5), (7, None, 6)], key=str)
+    moved = [line for line in left._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].split("\n") if "Exchange hashpartitioning" in line]
+    assert len(moved) <= 2  # the texts, and the keys that are kept
+
+
 def plain_groups(rows, share=0.8):
     """Components of all pairs that share so much of their five-word shingles."""
     sets = {}
