@@ -16,6 +16,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,22 +64,26 @@ class Block:
 
     def run(self, rows: int = 1 << 14):
         """The block as record batches sorted by language and term; the block is empty afterwards."""
-        by_lang: dict[str, dict[bytes, list]] = defaultdict(dict)
-        for (lang, source), (occurrences, documents) in sorted(self.groups.items()):
-            terms = by_lang[lang]
-            for term, n in occurrences.items():
-                found = terms.get(term)
-                if found is None:
-                    terms[term] = [documents[term], [source], [n]]
-                else:
-                    found[0] += documents[term]
-                    found[1].append(source)
-                    found[2].append(n)
+        by_lang: dict[str, list[tuple[str, Counter, Counter]]] = defaultdict(list)
+        for (lang, source), counted in sorted(self.groups.items()):
+            by_lang[lang].append((source, *counted))
         self.__init__()
-        for lang, terms in sorted(by_lang.items()):
-            order = sorted(terms)
-            for a in range(0, len(order), rows):
-                yield packed([lang] * len(order[a : a + rows]), order[a : a + rows], [terms[t] for t in order[a : a + rows]])
+        for lang, held in sorted(by_lang.items()):
+            terms = pa.array([term for _, occurrences, _ in held for term in occurrences], pa.binary())
+            if not len(terms):
+                continue
+            order = pc.array_sort_indices(terms)  # stable: a term's sources stay in their order
+            terms = terms.take(order)
+            n = pa.array([n for _, occurrences, _ in held for n in occurrences.values()], pa.int64()).take(order)
+            n_docs = np.array([x for _, occurrences, documents in held for x in map(documents.__getitem__, occurrences)], np.int64)[order.to_numpy()]
+            source = pa.array(np.repeat(np.arange(len(held)), [len(occurrences) for _, occurrences, _ in held])).take(order)
+            apart = pc.not_equal(terms.slice(1), terms.slice(0, len(terms) - 1)).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(apart) + 1])
+            inner = pa.StructArray.from_arrays([pa.array([s for s, _, _ in held], pa.string()).take(source), n], ["source", "n"])
+            postings = pa.ListArray.from_arrays(np.append(starts, len(terms)).astype(np.int32), inner)
+            whole = pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(starts), np.int64))), terms.take(pa.array(starts)).cast(pa.string()), pa.array(np.add.reduceat(n_docs, starts)), postings], ["lang", "term", "n_docs", "postings"])
+            for at in range(0, len(starts), rows):
+                yield whole.slice(at, rows)
 
 
 def packed(langs: list[str], terms: list[bytes], found: list) -> pa.RecordBatch:
@@ -106,11 +111,23 @@ def index_runs(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def merge_runs(runs: DataFrame, least_docs: int) -> DataFrame:
     """One row a term that stands in ``least_docs`` documents of its language; postings in the order of sources.
 
-    Rows of a term are as many as runs that hold it: common terms meet as often in every shard.
+    Rows of a term are as many as runs that hold it: common terms meet as often in every shard. Of terms that lie within a
+    batch, those in too few documents are left out before rows are read one by one.
     """
 
+    def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows of the first and the last term, which neighbouring batches may have too, and of terms in enough documents."""
+        n = batch.num_rows
+        if n < 3:
+            return batch
+        apart = [pc.not_equal(batch.column(i).slice(1), batch.column(i).slice(0, n - 1)).to_numpy(zero_copy_only=False) for i in (0, 1)]
+        starts = np.concatenate([[0], np.flatnonzero(apart[0] | apart[1]) + 1])
+        enough = np.add.reduceat(batch.column(2).to_numpy(), starts) >= least_docs
+        enough[[0, -1]] = True
+        return batch.filter(pa.array(np.repeat(enough, np.diff([*starts, n]))))
+
     def run(batches):
-        key, n_docs, postings = None, 0, Counter()
+        key, n_docs, postings = None, 0, {}
         out: list = []
 
         def close():
@@ -123,17 +140,17 @@ def merge_runs(runs: DataFrame, least_docs: int) -> DataFrame:
             out.clear()
             return done
 
-        for batch in batches:
+        for batch in map(likely, batches):
             langs, terms, docs = (batch.column(i).to_pylist() for i in range(3))
             held = batch.column(3)
             edges, sources, counts = held.offsets.to_pylist(), held.values.field(0).to_pylist(), held.values.field(1).to_pylist()
             for i, now in enumerate(zip(langs, terms)):
                 if now != key:
                     close()
-                    key, n_docs, postings = now, 0, Counter()
+                    key, n_docs, postings = now, 0, {}
                 n_docs += docs[i]
                 for j in range(edges[i], edges[i + 1]):
-                    postings[sources[j]] += counts[j]
+                    postings[sources[j]] = postings.get(sources[j], 0) + counts[j]
             if len(out) >= 4096:
                 yield emitted()
         close()

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -72,6 +73,36 @@ def test_divergence_equals_its_sql(spark):
     assert sorted(map(tuple, found.collect())) == sorted(c.execute(f"SELECT {', '.join(COLUMNS)} FROM ({divergence.SQL})").fetchall())
 
 
+def test_divergence_merge_across_batches(spark):
+    """Terms that lie in several batches of three rows, at their ends or within, add up as a whole; rare ones go."""
+    runs = [(lang, f"t{t}", 1 + (t + k) % 2, [(f"s{k % 3}", k + 1)]) for lang in ("a", "b") for t in range(30) for k in range(t % 8)]
+    want = {}
+    for lang, term, n_docs, ((source, n),) in runs:
+        docs, postings = want.setdefault((lang, term), [0, {}])
+        want[lang, term][0] = docs + n_docs
+        postings[source] = postings.get(source, 0) + n
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = divergence.merge_runs(spark.createDataFrame(runs, divergence.POSTINGS), 4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.lang, r.term): (r.n_docs, [tuple(x) for x in r.postings]) for r in found} == {k: (n, sorted(p.items())) for k, (n, p) in want.items() if n >= 4} and len(found) > 20
+
+
+def test_divergence_writes_blocks_in_less_time_than_it_fills_them():
+    texts = [(f"s{i % 6}", " ".join(f"w{chr(97 + j % 26)}{chr(97 + i % 26)}{'abcdefghij'[i // 26 % 10]}{'klmnopqrst'[j // 26 % 10]}x{'uvwxyz'[i % 6]}" for j in range(250)).encode()) for i in range(1500)]
+    ratios = []
+    for _ in range(3):
+        block, began = divergence.Block(), time.process_time()
+        for source, text in texts:
+            block.add("en", source, text)
+        filled = time.process_time()
+        rows = sum(batch.num_rows for batch in block.run())
+        ratios.append((time.process_time() - filled) / (filled - began))
+    assert rows > 50_000 and min(ratios) < 1
+
+
 def test_divergence_of_nothing(spark):
     assert divergence.source_divergence(spark.createDataFrame([], "lang string, source string, text string")).collect() == []
 
