@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from searchlight.llm.common import materialised, slices, texts
-from searchlight.llm.segments import SegmentCache
+from searchlight.llm.segments import PackedSegments
 
 #: Fixed values of the zstandard seekable format.
 SKIPPABLE_KEYS, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -104,15 +104,20 @@ class TokenFile:
 
 
 @lru_cache(2)
-def id_cache(path: str) -> tuple[SegmentCache, int]:
+def id_cache(path: str) -> tuple[PackedSegments, int]:
     """The worker's cache of packed ids by segment, encoded by the tokenizers library, and the bytes an id takes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
-    kind = "H" if width == 2 else "I"
-    return SegmentCache(lambda new: (array(kind, found.ids).tobytes() for found in tokenizer.encode_batch_fast(new, add_special_tokens=False))), width
+    # A byte-level entry has a character a byte; added tokens stand as they are.
+    lengths = np.zeros(max(tokenizer.get_vocab().values()) + 1, np.int64)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        lengths[i] = len(token)
+    for i, token in tokenizer.get_added_tokens_decoder().items():
+        lengths[i] = len(token.content.encode())
+    return PackedSegments(lambda new: [found.ids for found in tokenizer.encode_batch_fast(new, add_special_tokens=False)], lengths, f"<u{width}"), width
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int = 0) -> DataFrame:
@@ -135,7 +140,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, *, end_id: int =
             if writer is None and keys:
                 out, first = store.open_output_stream(part, compression=None), keys[0]
                 writer = TokenFileWriter(out, width)
-            for key, ids in zip(keys, cache.encode([value.decode() for value in batch.column(1).to_pylist()])):
+            for key, ids in zip(keys, cache.encode_column(batch.column(1))):
                 writer.add(key, ids + end)
         if writer:
             writer.finish()

@@ -160,6 +160,32 @@ def test_token_files_special_strings():
         assert np.frombuffer(next(cache.encode([text])), f"<u{width}").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_token_files_columns_of_odd_texts():
+    """Texts of one column, cut as bytes, have the library's ids, whatever stands at their ends and however small the cache is."""
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(4)
+    cache, width = token_files.id_cache(path)
+    t = tokenizers.Tokenizer.from_file(path)
+    parts = [*" \n\t\r\x0b\x1c\x85\xa0\u2009\u3000ab.,$#'_é日🙂1À", "  ", "   ", "the", " the", "'s", "<|endoftext|>", "<|", "|>", "ab" * 40]
+    for _ in range(500):
+        texts_ = ["".join(rng.choices(parts, k=rng.randrange(0, 40))) for _ in range(rng.randrange(0, 8))]
+        assert [np.frombuffer(x, f"<u{width}").tolist() for x in cache.encode(texts_)] == [t.encode(x, add_special_tokens=False).ids for x in texts_]
+
+
+def test_token_files_encode_new_words_in_less_time_than_the_library_apart():
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(6)
+    t, ratios = tokenizers.Tokenizer.from_file(path), []
+    for _ in range(3):
+        words = [" " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(20_000)]
+        cache, _ = token_files.id_cache(path)
+        began = time.process_time()
+        packed = b"".join(cache.encode(["x" + "".join(words)]))
+        own = time.process_time()
+        ids = [i for found in t.encode_batch_fast(["x", *words], add_special_tokens=False) for i in found.ids]
+        ratios.append((own - began) / (time.process_time() - own))
+        assert np.frombuffer(packed, "<u2").tolist() == ids
+    assert min(ratios) < 0.8
+
+
 def plain_fingerprint(text, size=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     if not words:
