@@ -86,11 +86,48 @@ class Block:
                 yield whole.slice(at, rows)
 
 
-def packed(langs: list[str], terms: list[bytes], found: list) -> pa.RecordBatch:
-    """Rows of POSTINGS; ``found`` has for each [documents, sources, occurrences]."""
-    offsets = np.concatenate([[0], np.cumsum([len(f[1]) for f in found], dtype=np.int64)]).astype(np.int32)
-    inner = pa.StructArray.from_arrays([pa.array([s for f in found for s in f[1]], pa.string()), pa.array([n for f in found for n in f[2]], pa.int64())], ["source", "n"])
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([f[0] for f in found], pa.int64()), pa.ListArray.from_arrays(offsets, inner)], ["lang", "term", "n_docs", "postings"])
+def unpacked(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """Rows of POSTINGS as terms (lang, term, n_docs, number of postings) and their postings (source, n), one after the other."""
+    held = batch.column(3)
+    terms = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), held.value_lengths().cast(pa.int64())], ["lang", "term", "n_docs", "size"])
+    return terms, pa.RecordBatch.from_arrays(held.flatten().flatten(), ["source", "n"])
+
+
+def packed(terms: pa.RecordBatch, postings: pa.RecordBatch) -> pa.RecordBatch:
+    """What ``unpacked`` took apart."""
+    offsets = np.concatenate([[0], np.cumsum(terms.column(3).to_numpy())]).astype(np.int32)
+    inner = pa.StructArray.from_arrays(postings.columns, ["source", "n"])
+    return pa.RecordBatch.from_arrays([*terms.columns[:3], pa.ListArray.from_arrays(offsets, inner)], ["lang", "term", "n_docs", "postings"])
+
+
+def first_of_each(batch: pa.RecordBatch) -> np.ndarray:
+    """Where each term begins in rows sorted by language and term."""
+    n = batch.num_rows
+    apart = [pc.not_equal(batch.column(i).slice(1), batch.column(i).slice(0, n - 1)).to_numpy(zero_copy_only=False) for i in (0, 1)]
+    return np.concatenate([[0], np.flatnonzero(apart[0] | apart[1]) + 1])
+
+
+def added_up(terms: pa.RecordBatch, postings: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """One row a term of rows sorted by language and term; its postings by source, each source once."""
+    starts = first_of_each(terms)
+    of_row = np.repeat(np.arange(len(starts)), np.diff([*starts, terms.num_rows]))
+    names = postings.column(0).dictionary_encode()
+    order = pc.array_sort_indices(names.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code = np.repeat(of_row, terms.column(3).to_numpy()) * len(order) + rank[names.indices.to_numpy()]
+    by_code = np.argsort(code, kind="stable")
+    code = code[by_code]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    of_term, source = np.divmod(code[first], max(len(order), 1))
+    size = np.bincount(of_term, minlength=len(starts))
+    places = pa.array(starts)
+    terms = pa.RecordBatch.from_arrays([terms.column(0).take(places), terms.column(1).take(places), pa.array(np.add.reduceat(terms.column(2).to_numpy(), starts)), pa.array(size, pa.int64())], terms.schema.names)
+    return terms, pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(order[source])), pa.array(np.add.reduceat(postings.column(1).to_numpy()[by_code], first))], ["source", "n"])
+
+
+def chosen(terms: pa.RecordBatch, postings: pa.RecordBatch, which: np.ndarray) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    return terms.filter(pa.array(which)), postings.filter(pa.array(np.repeat(which, terms.column(3).to_numpy())))
 
 
 def index_runs(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -112,50 +149,32 @@ def merge_runs(runs: DataFrame, least_docs: int) -> DataFrame:
     """One row a term that stands in ``least_docs`` documents of its language; postings in the order of sources.
 
     Rows of a term are as many as runs that hold it: common terms meet as often in every shard. Of terms that lie within a
-    batch, those in too few documents are left out before rows are read one by one.
+    batch, those in too few documents are left out first; the rest of a batch is added up as arrays.
     """
 
     def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
         """Rows of the first and the last term, which neighbouring batches may have too, and of terms in enough documents."""
-        n = batch.num_rows
-        if n < 3:
+        if batch.num_rows < 3:
             return batch
-        apart = [pc.not_equal(batch.column(i).slice(1), batch.column(i).slice(0, n - 1)).to_numpy(zero_copy_only=False) for i in (0, 1)]
-        starts = np.concatenate([[0], np.flatnonzero(apart[0] | apart[1]) + 1])
+        starts = first_of_each(batch)
         enough = np.add.reduceat(batch.column(2).to_numpy(), starts) >= least_docs
         enough[[0, -1]] = True
-        return batch.filter(pa.array(np.repeat(enough, np.diff([*starts, n]))))
+        return batch.filter(pa.array(np.repeat(enough, np.diff([*starts, batch.num_rows]))))
 
     def run(batches):
-        key, n_docs, postings = None, 0, {}
-        out: list = []
-
-        def close():
-            if key is not None and n_docs >= least_docs:
-                order = sorted(postings)
-                out.append((key, [n_docs, order, [postings[s] for s in order]]))
-
-        def emitted():
-            done = packed([k[0] for k, _ in out], [k[1].encode() for k, _ in out], [f for _, f in out])
-            out.clear()
-            return done
-
+        held = None  # the last term, which may go on in the next batch
         for batch in map(likely, batches):
-            langs, terms, docs = (batch.column(i).to_pylist() for i in range(3))
-            held = batch.column(3)
-            edges, sources, counts = held.offsets.to_pylist(), held.values.field(0).to_pylist(), held.values.field(1).to_pylist()
-            for i, now in enumerate(zip(langs, terms)):
-                if now != key:
-                    close()
-                    key, n_docs, postings = now, 0, {}
-                n_docs += docs[i]
-                for j in range(edges[i], edges[i + 1]):
-                    postings[sources[j]] = postings.get(sources[j], 0) + counts[j]
-            if len(out) >= 4096:
-                yield emitted()
-        close()
-        if out:
-            yield emitted()
+            if not batch.num_rows:
+                continue
+            rows = unpacked(batch)
+            terms, postings = added_up(*(map(pa.concat_batches, zip(held, rows)) if held else rows))
+            last = np.arange(terms.num_rows) == terms.num_rows - 1
+            held = chosen(terms, postings, last)
+            whole = chosen(terms, postings, ~last & (terms.column(2).to_numpy() >= least_docs))
+            if whole[0].num_rows:
+                yield packed(*whole)
+        if held and held[0].column(2)[0].as_py() >= least_docs:
+            yield packed(*held)
 
     return runs.repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, POSTINGS)
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,48 @@ def test_divergence_merge_across_batches(spark):
     assert {(r.lang, r.term): (r.n_docs, [tuple(x) for x in r.postings]) for r in found} == {k: (n, sorted(p.items())) for k, (n, p) in want.items() if n >= 4} and len(found) > 20
 
 
+class Passed:
+    """Stands for a DataFrame whose rows are dealt out and sorted already, and gives what would run over them."""
+
+    repartition = sortWithinPartitions = lambda self, *columns: self
+    mapInArrow = lambda self, run, schema: run
+
+
+def merge_input(rng, n):
+    rows = sorted(((rng.choice("ab"), f"t{rng.randrange(n // 4)}é", rng.randrange(1, 3), [{"source": s, "n": rng.randrange(1, 9)} for s in rng.sample(["s1", "s2", "é", "", "\U0001f642", "\uffee"], rng.randrange(1, 4))]) for _ in range(n)), key=lambda r: (r[0], r[1].encode()))
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))]
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
+    return rows, pa.RecordBatch.from_arrays(columns, ["lang", "term", "n_docs", "postings"])
+
+
+@pytest.mark.parametrize("n, size", [(1, 5), (40, 1), (300, 2), (300, 7), (2000, 500)])
+def test_divergence_merge_of_any_batches(n, size):
+    rows, whole = merge_input(random.Random(n + size), max(n, 4))
+    want = {}
+    for lang, term, n_docs, postings in rows:
+        docs, counts = want.setdefault((lang, term), [0, Counter()])
+        want[lang, term][0] += n_docs
+        counts.update({x["source"]: x["n"] for x in postings})
+    run = divergence.merge_runs(Passed(), 5)
+    batches = [whole.slice(i, size) for i in range(0, whole.num_rows, size)]
+    found = [r for batch in run([whole.slice(0, 0), *batches, whole.slice(0, 0)]) for r in batch.to_pylist()]
+    plain = [(lang, term, docs, sorted(counts.items())) for (lang, term), (docs, counts) in want.items() if docs >= 5]
+    assert [(r["lang"], r["term"], r["n_docs"], [(x["source"], x["n"]) for x in r["postings"]]) for r in found] == plain
+    assert list(run([])) == list(run([whole.slice(0, 0)])) == []
+
+
+def test_divergence_merges_in_less_time_than_rows_are_read_one_by_one():
+    _, whole = merge_input(random.Random(9), 60_000)
+    batches, ratios = [whole.slice(i, 10_000) for i in range(0, whole.num_rows, 10_000)], []
+    for _ in range(3):
+        began = time.process_time()
+        assert sum(b.num_rows for b in divergence.merge_runs(Passed(), 3)(batches)) > 10_000
+        merged = time.process_time()
+        rows = [columns for b in batches for columns in zip(*(b.column(i).to_pylist() for i in range(3)))]
+        ratios.append((merged - began) / (time.process_time() - merged))
+    assert len(rows) == 60_000 and min(ratios) < 1
+
+
 def test_divergence_writes_blocks_in_less_time_than_it_fills_them():
     texts = [(f"s{i % 6}", " ".join(f"w{chr(97 + j % 26)}{chr(97 + i % 26)}{'abcdefghij'[i // 26 % 10]}{'klmnopqrst'[j // 26 % 10]}x{'uvwxyz'[i % 6]}" for j in range(250)).encode()) for i in range(1500)]
     ratios = []
