@@ -7,6 +7,7 @@ An export is one small file (25 000 rows at most a pull), so readers take whole
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,8 @@ NUMBERS = ("clicks", "impressions", "ctr", "position")
 KEYS = ("query", "page", "date", "country", "device", "appearance")
 #: Lines in which a header is looked for.
 PREAMBLE = 6
+#: A character reference as escaping writes it; what has no semicolon stood in the page like that.
+REFERENCE = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
 
 
 def read_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -142,6 +145,11 @@ def read_ip_ranges(lists: DataFrame, fallback: list[tuple[str, str, str]] = ())
     return found.where("cidr is not null").withColumn("lo", lo).withColumn("hi", F.when(four, F.col("lo") + size - 1))
 
 
+def unescaped(source: str) -> str:
+    """The text with its character references decoded; one without a semicolon, or of a name that is none, stays."""
+    return REFERENCE.sub(lambda m: html.unescape(m[0]) if m[1].startswith("#") else html.entities.html5.get(f"{m[1]};", m[0]), source)
+
+
 def read_page_snapshots(files: DataFrame) -> DataFrame:
     """file, url, html of saved pages: the address stands in a crawl marker or else in the file's name; escaped sources are unescaped."""
     marker = r"<!--\s*crawled:\s*(\S+)\s*-->"
@@ -156,7 +164,7 @@ def read_page_snapshots(files: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def unescape(column: pd.Series) -> pd.Series:
-        return column.map(html.unescape, na_action="ignore")
+        return column.map(unescaped, na_action="ignore")
 
     found = files.select("file", F.when(marked != "", marked).otherwise(named).alias("url"), body.alias("html")).withColumn("escaped", (count("&lt;") > 20) & (count("&lt;") > count("<") * 5))
     plain, escaped = found.where("not escaped"), found.where("escaped").withColumn("html", unescape("html"))

@@ -10,6 +10,7 @@ import lzma
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from searchlight import catalog, fixtures
 from searchlight.operators import clusters, intents, links, page_audit, page_checks, page_tree, pages, periods, routing, search, trust, weblog
-from searchlight.sources import logs
+from searchlight.sources import exports, logs
 from searchlight.streaming import weblog as live
 
 SF = "/root/testdata/sf0.001"
@@ -374,3 +375,10 @@ def test_rule_texts(spark):
     rows = advice.with_rule_texts(spark.createDataFrame([(i, x) for i, x in enumerate(issues)], "n int, issue string"), advice.rule_texts(spark)).orderBy("n").collect()
     assert [r.owner for r in rows] == ["SEO", "Engineering", "Engineering", "Security", "Engineering", None, None, "SEO"]
     assert len({r[0] for r in advice.RULES}) == len(advice.RULES) and all(all(r) for r in advice.RULES)
+
+
+def test_saved_sources_keep_what_no_escaping_wrote(spark):
+    """Only references with a semicolon come from escaping; the page's own stay as they stood."""
+    source = "<!DOCTYPE html><title>a &amp; b &#65;&#x42; &amp &notit; &nope; &&&amp</title>" + "<p>x</p>" * 20
+    files = spark.createDataFrame([("/d/a.example.html", source.replace("&amp;", "&amp;amp;").replace("<", "&lt;").replace(">", "&gt;"))], "file string, content string")
+    assert exports.read_page_snapshots(files).first().html == source.replace("&#65;&#x42;", "AB")
