@@ -59,10 +59,14 @@ def decision_counts(decisions: DataFrame, *by: str) -> DataFrame:
     return decisions.select(pairs.alias("p")).groupBy("p.dimension", "p.value").agg(F.count("*").alias("rows"))
 
 
-def latest_task_state(findings: DataFrame, tasks: DataFrame) -> DataFrame:
-    """url, issue, state: done, regressed (done before, found again) or open, against a log of tasks (url, issue, status, ts). Open tasks that are not found again have no finding and no row."""
-    rank = F.row_number().over(Window.partitionBy("url", "issue").orderBy(F.desc("ts"), "status"))
-    last = tasks.withColumn("r", rank).where("r = 1").select("url", "issue", "status")
-    joined = findings.select("url", "issue").distinct().withColumn("found", F.lit(True)).join(last, ["url", "issue"], "full")
+def latest_task_state(findings: DataFrame, tasks: DataFrame, key: tuple[str, ...] = ("url", "issue")) -> DataFrame:
+    """key, state: done, regressed (done before, found again) or open, against a log of tasks (key, status, ts). Open tasks that are not found again have no finding and no row.
+
+    Both have the columns of ``key``, which tell one task from another: where a URL stands for several pages, a page's number belongs to it. Null is a value like any other.
+    """
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ts"), "status"))
+    last = tasks.withColumn("r", rank).where("r = 1").select(*key, F.lit(False).alias("found"), "status")
+    rows = findings.select(*key, F.lit(True).alias("found"), F.lit(None).cast("string").alias("status")).unionByName(last)
+    known = rows.groupBy(*key).agg(F.bool_or("found").alias("found"), F.max("status").alias("status"))
     state = F.when(F.col("found") & (F.col("status") == "done"), "regressed").when(F.col("found"), "open").when(F.col("status") == "done", "done")
-    return joined.select("url", "issue", state.alias("state")).where("state is not null")
+    return known.select(*key, state.alias("state")).where("state is not null")

@@ -401,3 +401,16 @@ def test_signals_keep_references_as_the_sql_does(spark, tmp_path):
     frame = spark.createDataFrame([(i, "u", html.format(t)) for i, t in enumerate(texts)], "page_id long, url string, html string")
     got, want = against_sql(spark, tmp_path, "page_signals", pages=frame)
     assert got == want and [r[1] for r in got] == ["a & b", "&&&amp", "t = &quot;x", "&amp; &lt;", "& &# &#65; &x"]
+
+
+def shared_urls(spark):
+    """Pages of which many have the URL of others, or none."""
+    return spark.createDataFrame([(i, None if i % 7 == 6 else f"https://h.example/{i % 4}", "x") for i in range(150)], "page_id long, url string, html string")
+
+
+def test_task_states_of_pages_that_share_a_url(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "task_regression", pages=shared_urls(spark))
+    assert got == want and len(got) > len({r[:2] for r in got})
+    log = spark.createDataFrame([("u", "i", "done", 1), ("u", "i", "open", 2), (None, "i", "done", 1), ("v", "i", "done", 3)], "url string, issue string, status string, ts int")
+    found = spark.createDataFrame([("u", "i"), (None, "i"), (None, "i"), ("w", "i")], "url string, issue string")
+    assert {tuple(r) for r in routing.latest_task_state(found, log).collect()} == {("u", "i", "open"), (None, "i", "regressed"), ("v", "i", "done"), ("w", "i", "open")}
