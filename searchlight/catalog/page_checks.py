@@ -85,7 +85,7 @@ ALL = {
     "entity_signals": (lambda s, d: Q.entity_signals(_audited(s, d)), ENTITY),
     "template_similarity": (lambda s, d: Q.template_similarity(_templates(s, d), "grp"), TEMPLATE),
     "template_candidates": (lambda s, d: Q.template_similarity(_templates(s, d), "grp", least=0.85, bands=32), f"SELECT * FROM ({TEMPLATE}) t WHERE similarity > 0.85"),
-    "priority_weighting": (lambda s, d: K.priority_weighting(s.read.parquet(f"{d}/pages.parquet").selectExpr("url", "concat('i', page_id % 3) AS issue", "concat('P', 1 + page_id % 3, ' - x') AS urgency"), s.read.parquet(f"{d}/pages.parquet").where("page_id % 4 > 0").selectExpr("url", "page_id % 9 AS clicks", "cast(page_id % 25 as double) AS position")), "SELECT url, 'i' || (page_id % 3) AS issue, CAST((3 - page_id % 3) * greatest(CASE WHEN page_id % 4 > 0 THEN page_id % 9 ELSE 0 END, 1) * CASE WHEN page_id % 4 > 0 AND page_id % 25 BETWEEN 11 AND 20 THEN 2 ELSE 1 END AS BIGINT) AS weight FROM pages"),
+    "priority_weighting": (lambda s, d: K.priority_weighting(s.read.parquet(f"{d}/pages.parquet").selectExpr("page_id", "url", "concat('i', page_id % 3) AS issue", "concat('P', 1 + page_id % 3, ' - x') AS urgency"), s.read.parquet(f"{d}/pages.parquet").where("page_id % 4 > 0").selectExpr("page_id", "page_id % 9 AS clicks", "cast(page_id % 25 as double) AS position"), "page_id"), "SELECT url, 'i' || (page_id % 3) AS issue, CAST((3 - page_id % 3) * greatest(CASE WHEN page_id % 4 > 0 THEN page_id % 9 ELSE 0 END, 1) * CASE WHEN page_id % 4 > 0 AND page_id % 25 BETWEEN 11 AND 20 THEN 2 ELSE 1 END AS BIGINT) AS weight FROM pages"),
 }
 QUERIES = {name: run for name, (run, _) in ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in ALL.items() if sql}

@@ -414,3 +414,11 @@ def test_task_states_of_pages_that_share_a_url(spark, tmp_path):
     log = spark.createDataFrame([("u", "i", "done", 1), ("u", "i", "open", 2), (None, "i", "done", 1), ("v", "i", "done", 3)], "url string, issue string, status string, ts int")
     found = spark.createDataFrame([("u", "i"), (None, "i"), (None, "i"), ("w", "i")], "url string, issue string")
     assert {tuple(r) for r in routing.latest_task_state(found, log).collect()} == {("u", "i", "open"), (None, "i", "regressed"), ("v", "i", "done"), ("w", "i", "open")}
+
+
+def test_weights_of_pages_that_share_a_url(spark, tmp_path):
+    got, want = against_sql(spark, tmp_path, "priority_weighting", pages=shared_urls(spark))
+    assert got == want and len(got) == 150
+    found = spark.createDataFrame([("u", "i", "P1 - x"), ("v", "i", "P2 - x"), (None, "i", "P3 - x")], "url string, issue string, urgency string")
+    traffic = spark.createDataFrame([("u", 4, 30.0), ("u", 3, 15.0), (None, 5, 1.0)], "url string, clicks long, position double")
+    assert sorted(map(tuple, page_checks.priority_weighting(found, traffic).collect()), key=str) == [("u", "i", 42), ("v", "i", 2), (None, "i", 5)]
