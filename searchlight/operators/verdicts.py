@@ -9,6 +9,7 @@ from searchlight.config import OverlapConfig
 from searchlight.operators import intents as I
 from searchlight.operators import pairs as P
 from searchlight.operators import search as S
+from searchlight.storage import written
 
 CFG = OverlapConfig()
 # The order of an action plan's statuses.
@@ -64,21 +65,25 @@ def max_urls_cap(pages: DataFrame, most: int) -> DataFrame:
 
 
 def pair_evidence(universe: DataFrame, matrix: DataFrame, cfg: OverlapConfig = CFG) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The shortlist, and for its pairs the parity of each query and the hand-offs of each query."""
-    short = P.pairs_per_url_cap(P.shortlist_pairs(universe, cfg), cfg)
-    aligned = P.align_weekly(S.weekly_series(matrix), short)
-    return short, P.parity_test(aligned, matrix.agg(F.max("date")).scalar(), cfg), I.handoff_queries(aligned, cfg)
+    """The shortlist, and for its pairs the parity of each query and the hand-offs of each query.
+
+    All three are written, as verdicts read them several times: a plan that held each of them as often would outgrow the driver.
+    universe and matrix are read several times as well, so they should be tables or written.
+    """
+    short = written(P.pairs_per_url_cap(P.shortlist_pairs(universe, cfg), cfg))
+    aligned = P.align_weekly(written(S.weekly_series(matrix)), short)
+    return short, written(P.parity_test(aligned, matrix.agg(F.max("date")).scalar(), cfg)), written(I.handoff_queries(aligned, cfg))
 
 
-def pair_verdicts(universe: DataFrame, matrix: DataFrame, cfg: OverlapConfig = CFG, *, intents: DataFrame | None = None, shares: DataFrame | None = None, content: DataFrame | None = None) -> DataFrame:
+def pair_verdicts(universe: DataFrame, matrix: DataFrame, cfg: OverlapConfig = CFG, *, evidence: tuple[DataFrame, DataFrame, DataFrame] | None = None, intents: DataFrame | None = None, shares: DataFrame | None = None, content: DataFrame | None = None) -> DataFrame:
     """a, b, the evidence and the verdict. In this order: intent, duplicate, surface, hand-off, ongoing, guarded duplicate, redundant, overlap to watch.
 
     A page that earns most of its clicks on searches the other lacks is not merged but told apart. intents (page, intent), shares
-    (page, non_web_share) and content (a, b, content_sim) are optional; what is absent decides nothing.
+    (page, non_web_share) and content (a, b, content_sim) are optional; what is absent decides nothing. evidence is what ``pair_evidence`` gave, if it is there.
     """
-    short, parity, handoffs = pair_evidence(universe, matrix, cfg)
+    short, parity, handoffs = evidence or pair_evidence(universe, matrix, cfg)
     key = ["a", "b"]
-    joined = short.drop("shared").join(shared_queries(S.weekly_series(matrix), universe, short), key)
+    joined = short.drop("shared").join(shared_queries(matrix, universe, short), key)
     joined = joined.join(P.detect_ongoing(parity, cfg), key, "left").join(P.assess_redundant(parity, cfg).select(*key, "redundant", F.col("weak_side").alias("redundant_side")), key, "left")
     joined = joined.join(P.unique_click_share(universe, short), key, "left").join(P.url_twins(matrix).withColumn("twin", F.lit(True)), key, "left")
     joined = joined.join(I.detect_handoff(handoffs).select(*key, "direction", "handoff_date"), key, "left")

@@ -422,3 +422,10 @@ def test_weights_of_pages_that_share_a_url(spark, tmp_path):
     found = spark.createDataFrame([("u", "i", "P1 - x"), ("v", "i", "P2 - x"), (None, "i", "P3 - x")], "url string, issue string, urgency string")
     traffic = spark.createDataFrame([("u", 4, 30.0), ("u", 3, 15.0), (None, 5, 1.0)], "url string, clicks long, position double")
     assert sorted(map(tuple, page_checks.priority_weighting(found, traffic).collect()), key=str) == [("u", "i", 42), ("v", "i", 2), (None, "i", 5)]
+
+
+@pytest.mark.parametrize("name", ["action_plan"])
+def test_verdicts_read_the_tables_once(spark, name):
+    """The matrix and the evidence are tables of their own by then; a plan that made them anew for each use was too large for the driver."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan and plan.count("\n") < 250
