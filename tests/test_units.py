@@ -424,7 +424,7 @@ def test_weights_of_pages_that_share_a_url(spark, tmp_path):
     assert sorted(map(tuple, page_checks.priority_weighting(found, traffic).collect()), key=str) == [("u", "i", 42), ("v", "i", 2), (None, "i", 5)]
 
 
-@pytest.mark.parametrize("name", ["evidence_rows", "action_plan", "plan_summary"])
+@pytest.mark.parametrize("name", ["pair_verdict", "evidence_rows", "action_plan", "plan_summary"])
 def test_verdicts_read_the_tables_once(spark, name):
     """The matrix and the evidence are tables of their own by then; a plan that made them anew for each use was too large for the driver."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
