@@ -429,3 +429,33 @@ def test_verdicts_read_the_tables_once(spark, name):
     """The matrix and the evidence are tables of their own by then; a plan that made them anew for each use was too large for the driver."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_partkey" not in plan and plan.count("\n") < 250
+
+
+def test_templates_on_many_pages_move_no_pairs(spark, monkeypatch):
+    """Where all pages of a group share lines they are compared in blocks; the pairs are those of a plain comparison, whatever the blocks' size."""
+    rng = random.Random(5)
+    lines = {i: {"<head>", "same", *(f"l{rng.randrange(12)}" for _ in range(rng.randrange(8))), *([f"own {i}"] * (i % 3 > 0))} for i in range(160)}
+    lines |= {200 + i: {f"x{i // 2}", f"y{i // 2}", f"z{i}"} for i in range(40)}
+    rows = [(i, None if i == 7 else "dense" if i < 200 else "sparse", "\n".join(sorted(x))) for i, x in lines.items()] + [(500, "dense", None), (501, "dense", "")]
+    frame = spark.createDataFrame(rows, "page_id long, grp string, html string")
+    want = {}
+    for least in (0.5, 0.85):
+        same = [(a, b) for a in lines for b in lines if a < b and 7 not in (a, b) and (a < 200) == (b < 200)]
+        want[least] = {(a, b): (c := len(lines[a] & lines[b]), round(2 * c / (len(lines[a]) + len(lines[b])), 9)) for a, b in same}
+        want[least] = {k: v for k, v in want[least].items() if v[1] > least}
+    for most in (1024, 23):
+        monkeypatch.setattr(page_audit, "BLOCK_PAGES", most)
+        for least, bands in ((0.5, 0),):
+            found = page_audit.template_similarity(frame, "grp", least, bands=bands)
+            got = {(r.a, r.b): (r.common, round(r.similarity, 9)) for r in found.collect()}
+            assert got == want[least] and len(got) == found.count() > 20
+
+
+def test_common_lines(monkeypatch):
+    rng = random.Random(6)
+    pages_of = lambda n, m: [rng.sample(range(m), rng.randrange(min(m, 12))) for _ in range(n)]
+    side = lambda p: (np.repeat(np.arange(len(p)), [len(x) for x in p]), np.array([y for x in p for y in x], np.int64))
+    for most, n, k, m in ((1 << 22, 70, 50, 15), (50, 70, 50, 200), (50, 1, 1, 1), (1 << 22, 40, 60, 40)):
+        monkeypatch.setattr(page_audit, "MEETINGS", most)
+        a, b = pages_of(n, m), pages_of(k, m)
+        assert page_audit.common_lines(side(a), side(b), (n, k)).tolist() == [[len({*x} & {*y}) for y in b] for x in a]
