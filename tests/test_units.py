@@ -445,7 +445,7 @@ def test_templates_on_many_pages_move_no_pairs(spark, monkeypatch):
         want[least] = {k: v for k, v in want[least].items() if v[1] > least}
     for most in (1024, 23):
         monkeypatch.setattr(page_audit, "BLOCK_PAGES", most)
-        for least, bands in ((0.5, 0),):
+        for least, bands in ((0.5, 0), (0.85, 32)):
             found = page_audit.template_similarity(frame, "grp", least, bands=bands)
             got = {(r.a, r.b): (r.common, round(r.similarity, 9)) for r in found.collect()}
             assert got == want[least] and len(got) == found.count() > 20
