@@ -114,13 +114,20 @@ def parse_combined(lines: DataFrame) -> DataFrame:
 
 
 def parse_json_logs(lines: DataFrame) -> DataFrame:
-    """JSON lines; the first of a field's names that is there and neither empty nor zero counts."""
-    v = F.try_parse_json("value")
-    pick = lambda f: F.coalesce(*[F.nullif(F.nullif(F.try_variant_get(v, f"$['{n}']", "string"), F.lit("")), F.lit("0")) for n in JSON_NAMES[f]])
-    text = lambda f, none: F.coalesce(pick(f), F.lit(none))
-    ts = F.trim(pick("ts"))
-    stamp = F.coalesce(F.try_to_timestamp(ts, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(ts, F.lit("yyyy-MM-dd HH:mm:ss")))
-    return _finish(lines, {"ip": text("ip", "-"), "ts": stamp, "method": text("method", "-"), "url": text("url", "-"), "status": pick("status").try_cast("int"), "bytes": F.coalesce(pick("bytes").try_cast("bigint"), F.lit(0)), "user_agent": text("user_agent", ""), "referrer": text("referrer", "")})
+    """JSON lines; the first of a field's names that is there and neither empty nor zero counts.
+
+    A line is parsed once and a name looked up once: parsed lines and found texts are columns of their own, as an expression
+    in another counts again for each use. A time has a T or has not, so one format is tried; one that fails is dear.
+    """
+    v = F.try_parse_json("value").alias("__json")
+    found = lambda f: F.filter(F.array(*[F.try_variant_get("__json", f"$['{n}']", "string") for n in JSON_NAMES[f]]), lambda x: ~x.isin("", "0"))
+    texts = lines.select("*", v).select(*lines.columns, *[F.get(found(f), F.lit(0)).alias(f"__{f}") for f in FIELDS])
+    text = lambda f, none: F.coalesce(f"__{f}", F.lit(none))
+    ts, whole = F.trim("__ts"), lambda f, kind: F.col(f"__{f}").try_cast(kind)
+    stamp = F.when(ts.contains("T"), F.try_to_timestamp(ts, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))).otherwise(F.try_to_timestamp(ts, F.lit("yyyy-MM-dd HH:mm:ss")))
+    done = texts.withColumns({"__ts": stamp, "__status": whole("status", "int"), "__bytes": F.coalesce(whole("bytes", "bigint"), F.lit(0))})
+    fields = {"ip": text("ip", "-"), "ts": F.col("__ts"), "method": text("method", "-"), "url": text("url", "-"), "status": F.col("__status"), "bytes": F.col("__bytes"), "user_agent": text("user_agent", ""), "referrer": text("referrer", "")}
+    return _finish(done, fields).drop(*[f"__{f}" for f in FIELDS])
 
 
 def parse_iis(lines: DataFrame, fields: Column | None = None) -> DataFrame:

@@ -459,3 +459,14 @@ def test_common_lines(monkeypatch):
         monkeypatch.setattr(page_audit, "MEETINGS", most)
         a, b = pages_of(n, m), pages_of(k, m)
         assert page_audit.common_lines(side(a), side(b), (n, k)).tolist() == [[len({*x} & {*y}) for y in b] for x in a]
+
+
+def test_json_lines_are_parsed_once(spark):
+    """One parse and one lookup a name in the whole plan, and the same fields from odd lines."""
+    lines = ['{"uri":"/a","status":"200","time":" 2024-01-05 10:00:00 ","bytes":"0"}', '{"path":"/b","uri":"0","sc-status":404,"timestamp":"2024-01-05T10:00:00+02:00","EdgeResponseBytes":7}', '{"url":"/c","status":"x","sc-status":500}', '{"url":"/d","status":1.0,"time":"2024-01-05T10:00"}', "[1]", '{"url":', "", None]
+    frame = logs.parse_json_logs(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "n int, value string"))
+    got = [(r.n, r.ok, r.url, r.status, r.bytes, r.ts and r.ts.hour) for r in frame.orderBy("n").collect()]
+    assert frame.columns == ["n", "ok", *logs.FIELDS]
+    assert got == [(0, True, "/a", 200, 0, 10), (1, True, "/b", 404, 7, 8), (2, False, None, None, None, None), (3, True, "/d", 1, 0, None), *[(n, False, None, None, None, None) for n in range(4, 8)]]
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") <= 2 and plan.count("sc-status") == 1
