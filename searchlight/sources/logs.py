@@ -116,12 +116,11 @@ def parse_combined(lines: DataFrame) -> DataFrame:
 def parse_json_logs(lines: DataFrame) -> DataFrame:
     """JSON lines; the first of a field's names that is there and neither empty nor zero counts.
 
-    A line is parsed once and a name looked up once: parsed lines and found texts are columns of their own, as an expression
-    in another counts again for each use. A time has a T or has not, so one format is tried; one that fails is dear.
+    A line is parsed once, to a map of its texts: maps and found texts are columns of their own, as an expression in another
+    counts again for each use. A time has a T or has not, so one format is tried; one that fails is dear.
     """
-    v = F.try_parse_json("value").alias("__json")
-    found = lambda f: F.filter(F.array(*[F.try_variant_get("__json", f"$['{n}']", "string") for n in JSON_NAMES[f]]), lambda x: ~x.isin("", "0"))
-    texts = lines.select("*", v).select(*lines.columns, *[F.get(found(f), F.lit(0)).alias(f"__{f}") for f in FIELDS])
+    told = F.map_filter(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,string>"), lambda _, x: ~x.isin("", "0")).alias("__told")
+    texts = lines.select("*", told).select(*lines.columns, *[F.coalesce(*[F.try_element_at("__told", F.lit(n)) for n in JSON_NAMES[f]]).alias(f"__{f}") for f in FIELDS])
     text = lambda f, none: F.coalesce(f"__{f}", F.lit(none))
     ts, whole = F.trim("__ts"), lambda f, kind: F.col(f"__{f}").try_cast(kind)
     stamp = F.when(ts.contains("T"), F.try_to_timestamp(ts, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))).otherwise(F.try_to_timestamp(ts, F.lit("yyyy-MM-dd HH:mm:ss")))
